@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import op1_license_scan
 from .mixing import OP6_SQL, op6_mix_sources
 from .url_filter import OP7_SQL, op7_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op6_mix_sources": op6_mix_sources,
         "op7_url_filter": op7_url_filter,
     }
