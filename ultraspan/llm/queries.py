@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op5_decontaminate
 from .language import op2_language_id
 from .licenses import op1_license_scan
 from .mixing import OP6_SQL, op6_mix_sources
+from .pii import op8_pii
 from .toxicity import op4_toxicity
 from .url_filter import OP7_SQL, op7_url_filter
 
@@ -18,8 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op2_language_id": op2_language_id,
         "op4_toxicity": op4_toxicity,
+        "op5_decontaminate": op5_decontaminate,
         "op6_mix_sources": op6_mix_sources,
         "op7_url_filter": op7_url_filter,
+        "op8_pii": op8_pii,
     }
 
 
