@@ -12,6 +12,7 @@ from .licenses import op1_license_scan
 from .mixing import OP6_SQL, op6_mix_sources
 from .ngram_join import op10_ngram_join
 from .pii import op8_pii
+from .suffix_dedup import op9_suffix_dedup
 from .toxicity import op4_toxicity
 from .url_filter import OP7_SQL, op7_url_filter
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mix_sources": op6_mix_sources,
         "op7_url_filter": op7_url_filter,
         "op8_pii": op8_pii,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_ngram_join": op10_ngram_join,
     }
 
