@@ -13,6 +13,7 @@ from .mixing import OP6_SQL, op6_mix_sources
 from .ngram_join import op10_ngram_join
 from .pii import op8_pii
 from .suffix_dedup import op9_suffix_dedup
+from .topk import OP3_SQL, op3_topk_search
 from .toxicity import op4_toxicity
 from .url_filter import OP7_SQL, op7_url_filter
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_language_id": op2_language_id,
+        "op3_topk_search": op3_topk_search,
         "op4_toxicity": op4_toxicity,
         "op5_decontaminate": op5_decontaminate,
         "op6_mix_sources": op6_mix_sources,
@@ -33,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_topk_search": OP3_SQL,
         "op6_mix_sources": OP6_SQL,
         "op7_url_filter": OP7_SQL,
     }
