@@ -28,6 +28,10 @@ def spec_meta(recordings: DataFrame, n_fft: int = 512, hop: int = 256, start: fl
     )
 
 
+def _nothing(columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
 def spectrogram(chunks: DataFrame, n_fft: int = 512, win_length: int | None = None, hop: int = 256, power: float = 1.0) -> DataFrame:
     """``chunks``: recording, n_samples, chunk_id, sample_start, samples (all chunks but the last of equal length, at
     least ``n_fft`` samples). Centred short-time Fourier magnitudes to ``power``: recording, frame, mags.
@@ -52,14 +56,14 @@ def spectrogram(chunks: DataFrame, n_fft: int = 512, win_length: int | None = No
     def frames(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         core = pdf[pdf["own"] == pdf["to"]]
         if not len(core):
-            return pd.DataFrame({"recording": [], "frame": [], "mags": []})
+            return _nothing(["recording", "frame", "mags"])
         n = int(core["n_samples"].iloc[0])
         first, last = int(core["at"].iloc[0]), int(core["at"].iloc[0]) + len(core["part"].iloc[0])
         end_frame = n // hop
         f0 = -(-first // hop)
         f1 = end_frame if last >= n else min(end_frame, (last - 1) // hop)
         if f1 < f0:
-            return pd.DataFrame({"recording": [], "frame": [], "mags": []})
+            return _nothing(["recording", "frame", "mags"])
         base = int(pdf["at"].min())
         signal = np.zeros(int((pdf["at"] + pdf["part"].map(len)).max()) - base)
         for at, x in zip(pdf["at"], pdf["part"], strict=True):
@@ -243,7 +247,7 @@ def with_halo(frames: DataFrame, radius: int, fn: Callable[[np.ndarray, int, int
         lo, hi = int(key[-1]) * block, (int(key[-1]) + 1) * block
         core = (at >= lo) & (at < hi)
         if not core.any():
-            return pd.DataFrame({c: [] for c in (*kinds, "frame", "mags")})
+            return _nothing([*kinds, "frame", "mags"])
         m = np.array([np.asarray(x, float) for x in pdf["mags"]]).T
         out = fn(m, int((at < lo).sum()), int((at >= hi).sum()), **dict(zip(extra, key[len(keys) : len(keys) + len(extra)], strict=True)))
         return pd.DataFrame({**dict(zip(kinds, key, strict=False)), "frame": at[core], "mags": list(out.T)})
