@@ -33,6 +33,8 @@ SAMPLE_DOCS, SAMPLE_SENTENCES = 3000, 30000
 LEAST_DOCS, LEAST_Z = 4, 4.5
 CHAIN = 64
 DIM = 1 << 15
+#: Tokens whose chains are scored at once.
+TOKENS = 200_000
 THRESHOLD = 0.3
 STEPS = 60
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
@@ -135,9 +137,9 @@ class ToxicityModel:
         return np.where(ids > 0, _sigmoid(left + right), 0.0)
 
 
-def evidence(m: np.ndarray, n_words: int) -> tuple[float, float, float, float]:
-    total = float(m.sum())
-    return float(m.max()) if len(m) else 0.0, float(np.log1p(total)), total / (n_words + 5.0), float(np.log1p(n_words)) / 10
+def evidence(most: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What a document's score depends on: largest marginal, sum and share of marginals, length."""
+    return np.column_stack([most, np.log1p(total), total / (words + 5.0), np.log1p(words) / 10])
 
 
 def _fit_field(sentences: list[list[str]], labels: list[list[int]], l2: float = 1e-4) -> tuple[np.ndarray, tuple[float, float, float]]:
@@ -239,21 +241,44 @@ def tag(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFr
         words = Words(3, m.row)
         for batch in batches:
             scores, spans, found = [], [], []
+            texts: list[str] = []
+            ids: list[np.ndarray] = []
+
+            def flush():
+                # an end mark after each text keeps chains inside it
+                sizes = np.array([len(x) + 1 for x in ids])
+                starts = np.cumsum(sizes) - sizes
+                everything = np.zeros(int(sizes.sum()), np.int64)
+                for s, x in zip(starts.tolist(), ids, strict=True):
+                    everything[s : s + len(x)] = x
+                p = m.marginals(words, everything)
+                total, most = np.add.reduceat(p, starts), np.maximum.reduceat(p, starts)
+                count = np.add.reduceat((everything > 0).astype(float), starts)
+                x = evidence(most, total, count)
+                found.extend(x.tolist())
+                scores.extend(_sigmoid(np.column_stack([x, np.ones(len(x))]) @ m.document).tolist() if m.document is not None else [0.0] * len(x))
+                for i, text in enumerate(texts):
+                    own = []
+                    if most[i] >= 0.5:
+                        at = [t.span() for t in _TOKEN.finditer(text.lower())]
+                        own = [{"start": at[j][0], "end": at[j][1], "probability": float(p[starts[i] + j])} for j in np.flatnonzero(p[starts[i] : starts[i] + len(at)] >= 0.5)]
+                    spans.append(own)
+                texts.clear()
+                ids.clear()
+
+            held = 0
             for text in batch.column(batch.schema.names.index(text_col)):
                 text = text.as_py() or ""
-                if words.n > Words.MOST:
-                    words = Words(3, m.row)
-                ids = words.numbers(text)
-                p = m.marginals(words, ids) if len(ids) else np.zeros(0)
-                x = evidence(p, int((ids > 0).sum()))
-                found.append(x)
-                scores.append(float(_sigmoid(np.dot(m.document, [*x, 1.0]))) if m.document is not None else 0.0)
-                hot = np.flatnonzero(p >= 0.5)
-                own = []
-                if len(hot):
-                    at = [t.span() for t in _TOKEN.finditer(text.lower())]
-                    own = [{"start": at[i][0], "end": at[i][1], "probability": float(p[i])} for i in hot]
-                spans.append(own)
+                texts.append(text)
+                ids.append(words.numbers(text))
+                held += len(ids[-1])
+                if held > TOKENS:
+                    flush()
+                    held = 0
+                    if words.n > Words.MOST:
+                        words = Words(3, m.row)
+            if texts:
+                flush()
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
             yield with_columns(batch, {"tox_score": pa.array(scores, pa.float64()), "tox_spans": pa.array(spans, kind), "tox_evidence": pa.array(found, pa.list_(pa.float64()))})
 
