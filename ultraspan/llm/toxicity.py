@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import added_schema, with_columns
-from .common import bounded_sample, fold, read_table
+from .common import bounded_sample, fold, read_table, stash
 
 #: Most labelled documents of either class, and most sentences without a toxic word, used to fit.
 SAMPLE_DOCS, SAMPLE_SENTENCES = 3000, 30000
@@ -288,7 +288,9 @@ def tag(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFr
 def fit_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicityModel:
     """Fits on the labelled documents outside fold 2. A document with several labels counts as toxic if one says so."""
     labels = read_table(spark, sf_dir, "labels").filter(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    # the bounded sample is drawn from the labels, so that only its documents' texts move
+    chosen = stash(bounded_sample(labels.filter(F.col("toxic").isin(0, 1)), "toxic", F.col("doc_id"), SAMPLE_DOCS))
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # about 2 * SAMPLE_DOCS rows
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
