@@ -9,7 +9,7 @@ before and after it that have the same ``length`` bytes, which is the longest-pr
 (4) the windows found become byte ranges of documents.
 
 A gram with more than ``GROUP`` different super-strings (the edges of a passage that very many documents share) would
-make one large group: its windows are counted by hash in a Spark aggregation instead, which is exact as well.
+make one large group: its windows are dealt out by hash in parcels instead, which is exact as well.
 
 ``keep``: "none" removes every copy; "first" keeps the first one (by row, then position), as a later copy is removed
 only for the earlier match its longest previous factor shows.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from .common import read_table, stash
 from .repeats import GRAM, LENGTH, gram_hashes, merge, runs, slice_strings, suffix_classes
 
 GROUP = 256
+#: Super-strings of a parcel and windows of a bucket, where large groups are dealt out.
+PARCEL, BUCKET = 512, 1 << 19
 #: Bytes in a suffix array, and rows that may be broadcast to pick texts (more are joined by a shuffle).
 BATCH_BYTES, MOST_BROADCAST = 1 << 20, 400_000
 RANGES = "array<struct<a: int, b: int>>"
@@ -95,28 +98,65 @@ def repeated_windows(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_in_large_groups(pieces: DataFrame, length: int) -> DataFrame:
-    """As ``repeated_windows``, by counting window hashes in Spark: for groups too large for one task."""
-
-    def cut(batches):
-        for batch in batches:
-            for gram, digest, row, lo, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = window_hashes(np.frombuffer(body, np.uint8), length)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), pa.array(np.full(n, digest)), pa.array(np.full(n, row)), pa.array(np.arange(n, dtype=np.int32) + np.int32(lo)), pa.array(np.arange(n, dtype=np.int32)), pa.array(h.view(np.int64))], names=["gram", "digest", "row_key", "at", "w", "h"])
-
-    def ranges(batches):
-        for batch in batches:
-            found, firsts = [], []
-            for ws, fs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found.append(merge([(w, w + 1) for w in ws]))
-                firsts.append(merge([(w, w + 1) for w, f in zip(ws, fs, strict=True) if f]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _structs(found), _structs(firsts)], names=["gram", "digest", "found", "firsts"])
-
-    windows = stash(pieces.mapInArrow(cut, "gram long, digest long, row_key long, at int, w int, h long"))
-    twice = stash(windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "at")).alias("head")).filter("n > 1").select(F.col("h").alias("k"), "head"))
-    hits = windows.join(twice, F.col("h") == F.col("k")).withColumn("first", F.struct("row_key", "at") == F.col("head"))
-    own = hits.groupBy("gram", "digest").agg(F.collect_list(F.struct("w", "first")).alias("x"))  # windows of one super-string
-    return own.select("gram", "digest", "x.w", "x.first").mapInArrow(ranges, f"gram long, digest long, found {RANGES}, firsts {RANGES}")
+    """As ``repeated_windows``, by window hashes: for groups too large for one task.
+
+    Parcels of a few hundred super-strings deal their hashes out to buckets, as arrays; a bucket finds the hashes that
+    occur twice and answers each parcel. Parcels and buckets keep their size when the input grows, their number does not.
+    """
+    n = pieces.count()
+    parcels, buckets = max(1, -(-n // PARCEL)), max(1, -(-n * length // BUCKET))
+    pieces = stash(pieces.withColumn("parcel", F.pmod(F.xxhash64("gram", "digest"), F.lit(parcels))))
+    sent = "parcel long, bucket long, h binary, piece binary, w binary, row binary, at binary"
+
+    def windows(pdf: pd.DataFrame) -> tuple:
+        """Hash, piece, window, row and position of each window of a parcel."""
+        h = [window_hashes(np.frombuffer(x, np.uint8), length) for x in pdf["body"]]
+        sizes = np.array([len(x) for x in h])
+        piece = np.repeat(np.arange(len(h), dtype=np.int32), sizes)
+        w = (np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        return np.concatenate(h), piece, w, pdf["row_key"].to_numpy()[piece], pdf["lo"].to_numpy().astype(np.int32)[piece] + w
+
+    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = windows(pdf.sort_values(["gram", "digest"]))
+        to = (columns[0] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1], [True]]))
+        out = [(key[0], int(to[order[a]]), *(c[order[a:b]].tobytes() for c in columns)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pd.DataFrame(out, columns=["parcel", "bucket", "h", "piece", "w", "row", "at"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, row, at = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("h", np.uint64), ("row", np.int64), ("at", np.int32)))
+        source = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["h"]])
+        order = np.lexsort((at, row, h))
+        same = h[order][1:] == h[order][:-1]
+        later, shared = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        later[order[1:][same]] = True
+        shared[order[1:][same]] = True
+        shared[order[:-1][same]] = True
+        out = []
+        for i in range(len(pdf)):
+            own = source == i
+            keep = shared[own]
+            if keep.any():
+                out.append((pdf["parcel"].iloc[i], np.frombuffer(pdf["piece"].iloc[i], np.int32)[keep].tobytes(), np.frombuffer(pdf["w"].iloc[i], np.int32)[keep].tobytes(), (~later[own][keep]).tobytes()))
+        return pd.DataFrame(out, columns=["parcel", "piece", "w", "first"])
+
+    def ranges(pdf: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(hits):
+            return pd.DataFrame({"gram": [], "digest": [], "found": [], "firsts": []})
+        pdf = pdf.sort_values(["gram", "digest"])
+        sizes = np.array([len(x) - length + 1 for x in pdf["body"]])
+        starts = np.cumsum(sizes) - sizes
+        flag, first = np.zeros(sizes.sum(), bool), np.zeros(sizes.sum(), bool)
+        for piece, w, f in zip(hits["piece"], hits["w"], hits["first"], strict=True):
+            at = starts[np.frombuffer(piece, np.int32)] + np.frombuffer(w, np.int32)
+            flag[at] = True
+            first[at] = np.frombuffer(f, bool)
+        cut = lambda x: [[{"a": a, "b": b} for a, b in runs(x[s : s + n])] for s, n in zip(starts, sizes, strict=True)]
+        return pd.DataFrame({"gram": pdf["gram"].to_numpy(), "digest": pdf["digest"].to_numpy(), "found": cut(flag), "firsts": cut(first)})
+
+    hits = pieces.groupBy("parcel").applyInPandas(deal, sent).groupBy("bucket").applyInPandas(answer, "parcel long, piece binary, w binary, first binary")
+    return pieces.groupBy("parcel").cogroup(stash(hits).groupBy("parcel")).applyInPandas(ranges, f"gram long, digest long, found {RANGES}, firsts {RANGES}")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep: str = "none", text_col: str = "text", gram: int = GRAM, group: int = GROUP) -> DataFrame:
