@@ -142,10 +142,17 @@ def evidence(most: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarr
     return np.column_stack([most, np.log1p(total), total / (words + 5.0), np.log1p(words) / 10])
 
 
-def _fit_field(sentences: list[list[str]], labels: list[list[int]], l2: float = 1e-4) -> tuple[np.ndarray, tuple[float, float, float]]:
-    slots = np.array([_features(w) for s in sentences for w in s])
-    y = np.array([t for s in labels for t in s], float)
-    lengths = np.array([len(s) for s in sentences])
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] or [np.zeros(0, np.int32)])
+
+
+def _offsets(column: pa.ChunkedArray) -> np.ndarray:
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in column.chunks] or [np.zeros(0, np.int32)])
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _fit_field(slots: np.ndarray, y: np.ndarray, lengths: np.ndarray, l2: float = 1e-4) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """``slots`` [tokens x features], ``y`` tags, ``lengths`` of the sentences."""
     starts = np.cumsum(lengths) - lengths
     first = np.zeros(len(y), bool)
     first[starts] = True
@@ -209,21 +216,25 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_c
     seeds = frozenset(r[0] for r in found.filter((F.col("a") < n[1] + 0.4)).filter(z >= LEAST_Z).select("word").collect())  # words of the bounded sample
 
     def tagged(batches):
+        slots = Words(5, _features)
         for batch in batches:
             out = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = _TOKEN.findall(text.lower())
-                starts, lengths = chains(np.array([t not in _ENDS for t in tokens], np.int64))
+                ids = np.fromiter(map(slots.__getitem__, tokens), np.int64, len(tokens))
+                starts, lengths = chains(ids)
                 for s, k in zip(starts, lengths, strict=True):
-                    chain = tokens[s : s + k]
-                    tags = [int(y and (w in seeds or _start(w) in seeds)) for w in chain]
-                    out.append((chain, tags, any(tags)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.list_(pa.string())), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.bool_())], names=["words", "tags", "hit"])
-
-    sentences = rows.mapInArrow(tagged, "words array<string>, tags array<int>, hit boolean")
-    key = F.xxhash64("words", "tags")
-    chosen = [r for hit in (True, False) for r in sentences.filter(F.col("hit") == hit).orderBy(key).limit(sample_sentences).collect()]
-    weights, links = _fit_field([r["words"] for r in chosen], [r["tags"] for r in chosen])
+                    tags = np.array([int(y and (w in seeds or _start(w) in seeds)) for w in tokens[s : s + k]], np.int32)
+                    out.append((slots.table[ids[s : s + k]].astype(np.int32).ravel(), tags, bool(tags.any())))
+                if slots.n > Words.MOST:
+                    slots = Words(5, _features)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.bool_())], names=["slots", "tags", "hit"])
+
+    sentences = rows.mapInArrow(tagged, "slots array<int>, tags array<int>, hit boolean")
+    key = F.xxhash64("slots", "tags")
+    # at most sample_sentences of either kind come to the driver, as arrays
+    chosen = pa.concat_tables([sentences.filter(F.col("hit") == hit).orderBy(key).limit(sample_sentences).select("slots", "tags").toArrow() for hit in (True, False)]).combine_chunks()
+    weights, links = _fit_field(_flat(chosen["slots"]).reshape(-1, 5), _flat(chosen["tags"]).astype(float), np.diff(_offsets(chosen["tags"])))
     model = ToxicityModel(weights, links, None)
     scored = tag(rows, model).select("tox_evidence", "y").toPandas()  # the bounded sample
     model.document = _fit_documents(np.array(scored["tox_evidence"].tolist()), scored["y"].to_numpy(float))
