@@ -29,8 +29,9 @@ from .common import bounded_sample, fold, read_table, stash
 
 #: Most labelled documents of either class, and most sentences without a toxic word, used to fit.
 SAMPLE_DOCS, SAMPLE_SENTENCES = 3000, 30000
-#: A seed word: in this many toxic documents, and with a log-odds ratio so many standard errors above 0.
-LEAST_DOCS, LEAST_Z = 4, 4.5
+#: A seed word: in this many toxic documents, with a log-odds ratio and a log-likelihood ratio of so much at least. (A
+#: word of one group of copies passes the second test easily, not the first.)
+LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 4, 3.5, 20.0
 CHAIN = 64
 DIM = 1 << 15
 #: Tokens whose chains are scored at once.
@@ -195,9 +196,11 @@ def _fit_documents(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarr
     return w
 
 
-def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_sentences: int = SAMPLE_SENTENCES) -> ToxicityModel:
-    """Fits on rows with a label of 0 or 1 (the caller leaves out held-out ones)."""
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_sentences: int = SAMPLE_SENTENCES, share: dict[int, int] | None = None) -> ToxicityModel:
+    """Fits on rows with a label of 0 or 1 (the caller leaves out held-out ones). ``share``: numbers of rows of both
+    classes, where ``docs`` is a sample of them already."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"), F.col(key_col).alias("key")).filter(F.col("y").isin(0, 1))
+    every = share or {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     rows = bounded_sample(rows, "y", F.struct("key", "text"), sample_docs).select("text", "y").cache()
     n = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     if not n.get(1):
@@ -212,8 +215,9 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_c
 
     found = rows.mapInArrow(words_of, "word string, y int").groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(F.col("a") >= LEAST_DOCS)
     a, b, t, o = F.col("a") + 0.5, F.col("b") + 0.5, F.lit(n[1] + 1.0), F.lit(n.get(0, 0) + 1.0)
-    z = (F.log(a / (t - a)) - F.log(b / (o - b))) / F.sqrt(1 / a + 1 / b)
-    seeds = frozenset(r[0] for r in found.filter((F.col("a") < n[1] + 0.4)).filter(z >= LEAST_Z).select("word").collect())  # words of the bounded sample
+    odds = F.log(a / t) - F.log(b / o)
+    ratio = 2 * (a * F.log(a * (t + o) / ((a + b) * t)) + b * F.log(b * (t + o) / ((a + b) * o)))
+    seeds = frozenset(r[0] for r in found.filter((odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)).select("word").collect())  # words of the bounded sample
 
     def tagged(batches):
         slots = Words(5, _features)
@@ -238,6 +242,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_c
     model = ToxicityModel(weights, links, None)
     scored = tag(rows, model).select("tox_evidence", "y").toPandas()  # the bounded sample
     model.document = _fit_documents(np.array(scored["tox_evidence"].tolist()), scored["y"].to_numpy(float))
+    if n.get(0):  # the sample may hold the classes in other shares than the labels do
+        model.document[-1] += np.log(every[1] / every[0]) - np.log(n[1] / n[0])
     rows.unpersist()
     return model
 
@@ -299,9 +305,10 @@ def tag(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFr
 def fit_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicityModel:
     """Fits on the labelled documents outside fold 2. A document with several labels counts as toxic if one says so."""
     labels = read_table(spark, sf_dir, "labels").filter(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect() if r[0] in (0, 1)}
     # the bounded sample is drawn from the labels, so that only its documents' texts move
     chosen = stash(bounded_sample(labels.filter(F.col("toxic").isin(0, 1)), "toxic", F.col("doc_id"), SAMPLE_DOCS))
-    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # about 2 * SAMPLE_DOCS rows
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), share=share)  # about 2 * SAMPLE_DOCS rows
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
