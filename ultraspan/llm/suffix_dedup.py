@@ -35,7 +35,7 @@ from .repeats import GRAM, LENGTH, gram_hashes, merge, runs, slice_strings, suff
 GROUP = 256
 #: Super-strings of a parcel and windows of a bucket, where large groups are dealt out.
 PARCEL, BUCKET = 512, 1 << 19
-#: Bytes in a suffix array, and rows that may be broadcast to pick texts (more are joined by a shuffle).
+#: Bytes in a suffix array, and row keys (8 bytes each) that may be broadcast.
 BATCH_BYTES, MOST_BROADCAST = 1 << 20, 400_000
 RANGES = "array<struct<a: int, b: int>>"
 _RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
@@ -45,9 +45,20 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast behind a check of the number of rows."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+def _with(keyed: DataFrame, values: DataFrame, column: str, all_rows: bool) -> DataFrame:
+    """``keyed`` with the column of ``values`` (r, column) that goes with its row_key; ``all_rows``: null where none does.
+
+    Where few rows have a value (a checked count of 8-byte keys), the keys alone are broadcast to tell the two kinds of
+    rows apart, and only texts with a value are shuffled to it; else all texts are.
+    """
+    mine = F.col("row_key") == F.col("r")
+    if values.count() > MOST_BROADCAST:
+        return keyed.join(values, mine, "left" if all_rows else "inner").drop("r")
+    keys = F.broadcast(values.select("r"))
+    found = keyed.join(keys, mine, "left_semi").join(values, mine).drop("r")
+    if not all_rows:
+        return found
+    return found.unionByName(keyed.join(keys, mine, "left_anti").withColumn(column, F.lit(None).cast(values.schema[column].dataType)))
 
 
 def _structs(found: list[list[tuple[int, int]]]) -> pa.Array:
@@ -196,7 +207,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep: str = "none", t
                     names=["gram", "digest", "row_key", "lo", "body", "large"],
                 )
 
-    pieces = stash(keyed.join(_few(lists), F.col("row_key") == F.col("r")).select("row_key", "text", "own").mapInArrow(fetch, "gram long, digest long, row_key long, lo int, body binary, large boolean"))
+    pieces = stash(_with(keyed, lists, "own", False).select("row_key", "text", "own").mapInArrow(fetch, "gram long, digest long, row_key long, lo int, body binary, large boolean"))
     body = ["gram", "digest", "row_key", "lo", "body"]
     partial = stash(repeated_windows(pieces.filter("not large").select(body), length).unionByName(repeated_in_large_groups(pieces.filter("large").select(body), length)))
     # windows of a kind that are repeated, and those of them whose first copy its representative has
@@ -255,7 +266,7 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, text_col: str = "text", id
             a, b, c, d, e = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string()), pa.array(e, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = keyed.join(_few(marks), F.col("row_key") == F.col("r"), "left").select("id", "text", "ranges")
+    joined = _with(keyed, marks, "ranges", True).select("id", "text", "ranges")
     kind = keyed.schema["id"].dataType.simpleString()
     return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
