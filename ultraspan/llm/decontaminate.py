@@ -2,9 +2,9 @@
 
 A text becomes a sequence of canonical tokens: words in lower case, and typed placeholders for numbers, for names
 (capitalised words inside a sentence) and for units (after a number). Windows of ``WINDOW`` tokens of the benchmark
-items are hash-joined with those of the documents. A window match is kept if its slots are consistent: equal values in
-the item stand for equal values in the document and the other way round. So a passage is found whether it is copied
-or re-parameterised. A document is contaminated by an item if it has at least ``COVER`` of the item's windows.
+items are hash-joined with those of the documents. The windows of a copy are kept if their slots are consistent: equal
+values in the item stand for equal values in the document and the other way round. So a passage is found whether it is
+copied or re-parameterised. A document is contaminated by an item if it has at least ``COVER`` of the item's windows.
 
 A Bloom filter of the benchmark's window hashes (of fixed size) lets a pass over the documents emit only windows that
 may match; the join decides.
@@ -23,7 +23,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, stash
@@ -138,7 +138,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     if len(words):
         table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool))
-    head = [("row_key", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))]
+    head = [("row_key", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())), ("at", pa.int32())]
 
     def probe(batches):
         listed = shared.value
@@ -157,22 +157,34 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                     hit = np.ones(len(w), bool)
                     for p in _probes(w):
                         hit &= listed[p]
-                    rows += [(key, int(w[i].view(np.int64)), [tokens[j].lower() for j in range(i, i + size) if slot[j]]) for i in np.flatnonzero(hit)]
+                    rows += [(key, int(w[i].view(np.int64)), [tokens[j].lower() for j in range(i, i + size) if slot[j]], int(i)) for i in np.flatnonzero(hit)]
                 if len(rows) > 20000:
                     yield _frame(rows, head)
                     rows = []
             yield _frame(rows, head)
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    possible = keyed.select("row_key", "text").mapInArrow(probe, "row_key long, hash long, slots array<string>").distinct()
+    possible = keyed.select("row_key", "text").mapInArrow(probe, "row_key long, hash long, slots array<string>, at int")
     b = bench.select("item", "hash", "position", "n_windows", F.col("slots").alias("own"))
-    pairs = F.size(F.array_distinct(F.arrays_zip("slots", "own")))
-    consistent = (F.size("slots") == F.size("own")) & (pairs == F.size(F.array_distinct("slots"))) & (pairs == F.size(F.array_distinct("own")))
+
+    def one_to_one(pairs: Column) -> Column:
+        n = F.size(F.array_distinct(pairs))
+        return (n == F.size(F.array_distinct(F.transform(pairs, lambda x: x["slots"])))) & (n == F.size(F.array_distinct(F.transform(pairs, lambda x: x["own"]))))
+
+    matched = possible.join(b, "hash").filter(F.size("slots") == F.size("own")).withColumn("pairs", F.arrays_zip("slots", "own")).filter(one_to_one(F.col("pairs")))
+    # a copy's windows lie on one diagonal (position in the text less position in the item); its values must be
+    # consistent over all of them, else only its windows with equal values count
+    copies = matched.groupBy("row_key", "item", (F.col("at") - F.col("position")).alias("diagonal")).agg(
+        F.first("n_windows").alias("n_windows"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),  # those of one copy of an item
+        F.collect_set("position").alias("positions"),
+        F.collect_set(F.when(F.col("slots") == F.col("own"), F.col("position"))).alias("equal"),
+    )
     found = (
-        possible.join(b, "hash")
-        .filter(consistent)
+        copies.withColumn("fits", one_to_one(F.col("pairs")))
+        .withColumn("changed", F.col("fits") & (F.size("equal") < F.size("positions")))
         .groupBy("row_key", "item")
-        .agg(F.count_distinct("position").alias("matched"), F.first("n_windows").alias("n_windows"), F.max(F.col("slots") != F.col("own")).alias("reparameterised"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("fits"), F.col("positions")).otherwise(F.col("equal")))))).alias("matched"), F.first("n_windows").alias("n_windows"), F.max("changed").alias("reparameterised"))
         .filter(F.col("matched") >= F.col("n_windows") * cover)
     )
     ids = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias(id_col))

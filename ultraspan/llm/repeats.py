@@ -79,9 +79,9 @@ def suffix_classes(raw: np.ndarray, windows: np.ndarray, length: int) -> tuple[n
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for i in range(8):
+    depth = min(8, length)
+    for i in range(depth):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    depth = 8
 
     def ranks(key):
         order = np.argsort(key, kind="stable")
