@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, stash
+
+__all__ = ["WORD", "ascii_lower", "bounded_sample", "fold", "read_table", "shared_dir", "stash"]
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,27 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage, keeps statistics.
-
-    Spark then knows the real size of the table, so joins broadcast it only below
-    ``spark.sql.autoBroadcastJoinThreshold``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would also change other letters)."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -10,7 +10,8 @@ Blocks depend on the size of the sets: sizes fall into bands, a set goes by the
 that hold smaller partners. Empty blocks make no list. A set with more empty blocks than there are spare ones also
 joins by prefix filtering, that is by lists of its smallest single shingles, so no link is lost.
 
-Lists give candidate components. Inside one, sets are compared in blocks of ``BLOCK`` sets with answers derived from a
+Pairs are counted in short lists, and a pair that shares fewer blocks than linked sets must is dropped; long lists, which
+only large groups of near copies have, give star edges. What is left gives candidate components. Inside one, sets are compared in blocks of ``BLOCK`` sets with answers derived from a
 highly similar set: the sets linked to the leader have their component from it, and only for the others the answers
 against all sets are computed. Components larger than a block are compared block by block against the leader first;
 then the sets not in the leader's component, blocks of them, against all blocks. Nothing is sampled or capped.
@@ -31,12 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .arrowtext import text_slices
 from .common import read_table, stash
-from .components import connected_components
 
 BAND = 0.7
 BLOCK = 128
+#: Sets in a list whose pairs are counted one by one.
+SHORT = 32
+#: Bits for the band beside a row key; marks in place of a number of lists.
+BAND_BITS, SINGLE, EQUAL = 6, -1, -2
 #: Candidate documents (16 bytes each) that may be broadcast to pick their texts; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 _SPACE = np.zeros(256, bool)
@@ -111,7 +116,8 @@ class Scheme:
         self.limits = np.array(limits)
         # linked sets, the smaller of at most U shingles, differ in at most U (100 - p) / p of them
         differ = self.limits * (100 - percent) // percent
-        spare = np.ceil(differ * (0.02 if percent >= 88 else 0.15)).astype(np.int64)
+        # enough spare blocks for the empty ones that chance gives at this density
+        spare = np.where(differ > 0, np.ceil(differ * (0.02 if percent >= 88 else 0.3)) + (1 if percent >= 88 else 2), 0).astype(np.int64)
         self.blocks, self.spare = differ + 1 + spare, spare
 
     def bands(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,40 +125,42 @@ class Scheme:
         least = -(-sizes * self.percent // 100)
         return np.searchsorted(self.limits, least), np.searchsorted(self.limits, sizes)
 
-    def keys(self, sizes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List keys, and the row of each."""
+    def keys(self, sizes: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List keys, and of each the row, the band and ``need``: how many lists at least the row shares with any set it
+        is linked to in that band; ``SINGLE`` for lists of single shingles, of which one is shared."""
         row_start = np.cumsum(sizes) - sizes
         low, high = self.bands(np.maximum(sizes, 1))
-        keys, rows, short = [], [], np.zeros(len(sizes), bool)
+        out = []
         for step in range(int((high - low).max()) + 1 if len(sizes) else 0):
             own = np.flatnonzero((sizes > 0) & (high - step >= low))
             if not len(own):
                 break
             i = _spread(row_start[own], sizes[own])
             r = np.repeat(own, sizes[own])
-            band = (high - step)[r]
-            seg = ((x[i] >> np.uint64(32)) * self.blocks[band].astype(np.uint64)) >> np.uint64(32)
+            b = high - step
+            seg = ((x[i] >> np.uint64(32)) * self.blocks[b[r]].astype(np.uint64)) >> np.uint64(32)
             new = np.ones(len(i), bool)
             new[1:] = (seg[1:] != seg[:-1]) | (r[1:] != r[:-1])
             at = np.flatnonzero(new)
             total = np.add.reduceat(_mix(x[i] ^ _PRIME), at)
-            keys.append(_mix(total + _mix((band[at].astype(np.uint64) << np.uint64(40)) + seg[at])))
-            rows.append(r[at])
             used = np.bincount(r[at], minlength=len(sizes))
-            b = high - step
-            short[own] |= (self.blocks[b] - used > self.spare[b])[own]
-        own = np.flatnonzero(short)
-        count = sizes[own] - -(-sizes[own] * self.percent // 100) + 1
-        keys.append(_mix(x[_spread(row_start[own], count)] ^ _PREFIX))
-        rows.append(np.repeat(own, count))
-        return np.concatenate(keys), np.concatenate(rows)
+            need = 1 + self.spare[b] - (self.blocks[b] - used)
+            out.append((_mix(total + _mix((b[r[at]].astype(np.uint64) << np.uint64(40)) + seg[at])), r[at], b[r[at]], np.maximum(need, 0)[r[at]]))
+            own = own[need[own] < 1]
+            count = sizes[own] - -(-sizes[own] * self.percent // 100) + 1
+            r = np.repeat(own, count)
+            out.append((_mix(_mix(x[_spread(row_start[own], count)] ^ _PREFIX) + b[r].astype(np.uint64)), r, b[r], np.full(len(r), SINGLE)))
+        empty = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+        return tuple(np.concatenate(c) for c in zip(empty, *out, strict=True))
 
 
 def candidate_edges(keyed: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """``keyed``: row_key, text. Edges u, v between the sets of a list and the first one of it.
+    """``keyed``: row_key, text. Edges u, v that connect every pair of linked sets, directly or by a path.
 
-    The sets of a slice of texts that share a key are joined at once; one of them stands for the slice in the list, so
-    a list gets a row for a few megabytes of text at most however many copies there are.
+    Two linked sets share ``need`` lists at least (of either's need, the larger). Pairs are counted in lists of up to
+    ``SHORT`` sets, and kept if they share enough of them, less the long lists that both are in. A set whose long lists
+    could be all it shares with another is joined, in its long lists, to the first such set there. Equal sets of a
+    slice of texts are joined at once, and one of them goes on.
     """
 
     def run(batches):
@@ -160,28 +168,41 @@ def candidate_edges(keyed: DataFrame, n_words: int, percent: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, end, sizes, x in shingle_sets(batch.column(1), n_words):
-                keys, rows = scheme.keys(sizes, x)
-                order = np.lexsort((rows, keys))
-                keys, rows = keys[order], ids[first:end][rows[order]]
-                new = np.ones(len(keys), bool)
-                new[1:] = keys[1:] != keys[:-1]
-                leader = rows[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else rows
-                u, v = rows[~new], leader[~new]
-                if len(u):
-                    pairs = np.unique(np.stack([u, v]), axis=1)
-                    pairs = pairs[:, pairs[0] != pairs[1]]
-                    own = _mix(_mix(pairs[0].view(np.uint64)) + pairs[1].view(np.uint64))
-                else:
-                    pairs, own = np.zeros((2, 0), np.int64), np.zeros(0, np.uint64)
-                k = np.concatenate([keys[new], own]).view(np.int64)
-                head = pa.array(np.concatenate([rows[new], pairs[0]]), pa.int64())
-                tail = pa.array(np.concatenate([np.zeros(int(new.sum()), np.int64), pairs[1]]), mask=np.concatenate([np.ones(int(new.sum()), bool), np.zeros(pairs.shape[1], bool)]), type=pa.int64())
+                own = ids[first:end]
+                some = np.flatnonzero(sizes > 0)
+                starts = (np.cumsum(sizes) - sizes)[some]
+                whole = _mix(np.add.reduceat(_mix(x), starts) + sizes[some].astype(np.uint64)) if len(some) else np.zeros(0, np.uint64)
+                _, one, back = np.unique(whole, return_index=True, return_inverse=True)
+                copy = np.flatnonzero(one[back] != np.arange(len(some)))
+                head = some[np.sort(one)]
+                keys, rows, bands, need = scheme.keys(sizes[head], x[_spread(starts[np.sort(one)], sizes[head])])
+                k = np.concatenate([keys.view(np.int64), own[some[one[back][copy]]]])
+                u = np.concatenate([own[head[rows]] << BAND_BITS | bands, own[some[copy]] << BAND_BITS])
+                w = np.concatenate([need, np.full(len(copy), EQUAL)]).astype(np.int32)
                 for s in range(0, len(k), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(k[s : s + 200_000]), head[s : s + 200_000], tail[s : s + 200_000]], names=["key", "u", "v"])
-
-    lists = keyed.mapInArrow(run, "key long, u long, v long")
-    first = F.min("u").over(W.partitionBy("key"))
-    return lists.select("u", F.coalesce("v", first).alias("v")).filter("u != v").distinct()
+                    yield pa.RecordBatch.from_arrays([pa.array(k[s : s + 200_000]), pa.array(u[s : s + 200_000]), pa.array(w[s : s + 200_000])], names=["key", "ub", "need"])
+
+    size = F.count(F.lit(1)).over(W.partitionBy("key"))
+    listed = stash(keyed.mapInArrow(run, "key long, ub long, need int").withColumn("n", size).filter((F.col("n") > 1) | (F.col("need") == EQUAL)))
+    row = lambda c: F.shiftright(c, BAND_BITS)
+    equal = listed.filter(F.col("need") == EQUAL).select(row("ub").alias("u"), F.col("key").alias("v"))
+    lists = listed.filter(F.col("need") != EQUAL)
+    long_lists = lists.filter(F.col("n") > SHORT)
+    held = stash(long_lists.filter(F.col("need") != SINGLE).groupBy("ub").agg(F.count(F.lit(1)).alias("h")).withColumnRenamed("ub", "k"))
+    held = F.broadcast(held) if held.count() <= MOST_BROADCAST else held
+    # a list of SHORT sets at most, and all its pairs
+    member = F.sort_array(F.collect_list(F.struct("ub", "need")))
+    pair = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, SHORT), lambda b: F.struct(a["ub"].alias("a"), b["ub"].alias("b"), a["need"].alias("na"), b["need"].alias("nb")))))
+    pairs = lists.filter(F.col("n") <= SHORT).groupBy("key").agg(member.alias("m")).filter(F.size("m") > 1).select(F.explode(pair).alias("p")).select("p.*")
+    counted = pairs.groupBy("a", "b").agg(F.count_if((F.col("na") != SINGLE) & (F.col("nb") != SINGLE)).alias("c"), F.max(F.greatest("na", "nb")).alias("need"), F.max(F.col("na") == SINGLE).alias("single"))
+    a, b = held.select(F.col("k").alias("ka"), F.col("h").alias("ha")), held.select(F.col("k").alias("kb"), F.col("h").alias("hb"))
+    both = counted.join(a, F.col("a") == F.col("ka"), "left").join(b, F.col("b") == F.col("kb"), "left")
+    enough = F.col("single") | (F.col("c") >= F.greatest(F.lit(1), F.col("need")) - F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))))
+    near = both.filter(enough).select(row("a").alias("u"), row("b").alias("v"))
+    open_ = long_lists.join(held, F.col("ub") == F.col("k"), "left").filter((F.col("need") == SINGLE) | (F.col("need") <= F.col("h"))).select("key", "ub")
+    first = stash(open_.groupBy("key").agg(F.min("ub").alias("v"))).withColumnRenamed("key", "k2")
+    stars = open_.join(first, F.col("key") == F.col("k2")).select(row("ub").alias("u"), row("v").alias("v"))
+    return equal.unionByName(near).unionByName(stars).filter("u != v").distinct()
 
 
 def _shared(own: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
