@@ -105,23 +105,32 @@ def label_components(boxes: DataFrame, delta_time: int, delta_freq: int, keys: S
     sizes = boxes.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
     sized = boxes.join(sizes, own)
     out = T.StructType([*boxes.schema.fields, T.StructField("component", T.LongType())])
+    # islands share tasks' groups, about ``island`` boxes in each
+    groups = max(1, -(-boxes.count() // max(island, 1000)))
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_start", kind="stable").reset_index(drop=True)
+        code = pdf.groupby(own, dropna=False, sort=False).ngroup().to_numpy()
+        order = np.lexsort((pdf["t_start"].to_numpy(), code))
+        pdf, code = pdf.iloc[order], code[order]
         ts, te, fs, fe, ids = (pdf[c].to_numpy() for c in ("t_start", "t_end", "freq_start", "freq_end", "_id"))
+        # islands one after the other on one time axis, too far apart to touch
+        shift = code * (int(te.max()) - int(ts.min()) + delta_time + 2)
+        ts, te = ts + shift, te + shift
         pairs = []
         reach = np.searchsorted(ts, te + delta_time, side="right")
-        for i in range(len(pdf)):
+        for i in np.flatnonzero(reach > np.arange(len(ts)) + 1):
             j = np.arange(i + 1, reach[i])
             j = j[(fs[j] <= fe[i] + delta_freq) & (fs[i] <= fe[j] + delta_freq)]
             pairs.append(np.column_stack([np.full(len(j), i), j]))
-        root = kernels.components(len(pdf), np.concatenate(pairs))
-        least = np.full(len(pdf), np.iinfo(np.int64).max)
+        root = kernels.components(len(ts), np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64))
+        least = np.full(len(ts), np.iinfo(np.int64).max)
         np.minimum.at(least, root, ids)
         return pdf.assign(component=least[root])[[f.name for f in out.fields]]
 
-    small = sized.filter(F.col("_n") <= island).drop("_n").groupBy(*own).applyInPandas(label, out)
-    large = stash(sized.filter(F.col("_n") > island).drop("_n"))
+    alone = sized.filter(F.col("_n") == 1).drop("_n").withColumn("component", F.col("_id"))
+    few = sized.filter((F.col("_n") > 1) & (F.col("_n") <= island)).drop("_n")
+    small = alone.unionByName(few.groupBy(F.pmod(F.xxhash64(*own), F.lit(groups))).applyInPandas(label, out))
+    large = stash(sized.filter((F.col("_n") > 1) & (F.col("_n") > island)).drop("_n"))
     if large.isEmpty():
         return small.drop("island", "_id")
     edges = overlap_join(large, large, own, 256, delta_time, delta_freq).filter("a__id != b__id").select(F.col("a__id").alias("u"), F.col("b__id").alias("v"))

@@ -49,9 +49,10 @@ def spectrogram(chunks: DataFrame, n_fft: int = 512, win_length: int | None = No
         part(F.col("chunk_id") - 1, F.col("sample_start"), F.slice("samples", 1, half)),
         part(F.col("chunk_id") + 1, F.col("sample_start") + F.greatest(size - half, F.lit(0)), F.slice("samples", F.greatest(size - half + 1, F.lit(1)), half)),
     )
+    pieces = F.filter(pieces, lambda p: (p["to"] >= 0) & ((p["to"] <= F.col("chunk_id")) | (F.col("sample_start") + size < F.col("n_samples"))))
     # a last chunk shorter than half a window is passed on with what it lacks by the chunk before it, whose frames
     # near its end need the samples anyway; frames centred in the last chunk reach back half a window at most
-    dealt = chunks.filter((F.col("n_samples") > half) & (size > 0)).select("recording", "n_samples", F.col("chunk_id").alias("own"), F.explode(pieces).alias("p")).select("recording", "n_samples", "own", "p.*").filter(F.col("to") >= 0)
+    dealt = chunks.filter((F.col("n_samples") > half) & (size > 0)).select("recording", "n_samples", F.col("chunk_id").alias("own"), F.explode(pieces).alias("p")).select("recording", "n_samples", "own", "p.*")
 
     def frames(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         core = pdf[pdf["own"] == pdf["to"]]

@@ -57,7 +57,7 @@ def frame_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("recording", F.lit(0.0).alias("t0"), F.lit(DT).alias("dt"), "n_time", F.lit(0.0).alias("f0"), F.lit(DF).alias("df"), F.lit(BINS).cast("long").alias("n_freq"))
 
 
-def signal_chunks(spark: SparkSession, sf_dir: str, chunk: int = 32) -> DataFrame:
+def signal_chunks(spark: SparkSession, sf_dir: str, chunk: int = 1024) -> DataFrame:
     """Each user's values in order of time."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     at = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("recording"), F.col("value").alias("x"), (F.row_number().over(order) - 1).cast("long").alias("s"), F.count(F.lit(1)).over(W.partitionBy("user_id")).alias("n_samples"))
