@@ -181,7 +181,7 @@ _CLIP = f"""cm AS (SELECT recording, n, ceil(0.01::DOUBLE / {_EDT})::BIGINT AS t
 _HALF = "(SELECT *, 'train' AS part, 0 AS t_lo, ceil(36000.0::DOUBLE / {ts})::BIGINT AS t_hi FROM boxes UNION ALL SELECT *, 'test', ceil(36000.0::DOUBLE / {ts})::BIGINT, ceil(60.0::DOUBLE * 2879 / {ts})::BIGINT FROM boxes)".format(ts=_TS)
 _FTOP = f"ceil(1000.0::DOUBLE * 79 / {_FS})::BIGINT"
 
-_CONFIGS = "cfg AS (SELECT n_nationkey::VARCHAR AS config_id, n_nationkey % 5 + 2 AS num_iter, 0 AS smoothing, 0.5::DOUBLE + n_nationkey * 0.015::DOUBLE AS flood_threshold, 0.2::DOUBLE + n_nationkey * 0.06::DOUBLE AS balloon_latent, (1.0 + n_nationkey % 3)::DOUBLE AS sigma FROM nation)"
+_CONFIGS = "cfg AS (SELECT p_partkey::VARCHAR AS config_id, p_partkey % 25 % 5 + 2 AS num_iter, 0 AS smoothing, 0.5::DOUBLE + (p_partkey % 25) * 0.015::DOUBLE AS flood_threshold, 0.2::DOUBLE + (p_partkey % 25) * 0.06::DOUBLE AS balloon_latent, (1.0 + p_partkey % 25 % 3)::DOUBLE AS sigma FROM part)"
 _TRIALS = "tr AS (SELECT user_id::VARCHAR AS recording, count(*) AS n_boxes, unnest(range(0, 25)) AS n FROM events GROUP BY user_id), trials AS (SELECT recording, n::VARCHAR AS config_id, ((n_boxes * 7 + n * 13) % 17) / 17.0::DOUBLE AS score, n_boxes FROM tr)"
 _CHUNKS = """cp AS (SELECT recording, t_start // 100 AS chunk_id, t_start % 100 + 0.7::DOUBLE AS ts, freq_start + 0.9::DOUBLE AS fs, t_start % 100 + score + 0.2::DOUBLE AS te, freq_end + 0.1::DOUBLE AS fe, box_id % 4 AS label_id, (box_id % 10) / 10.0::DOUBLE AS score FROM boxes),
 cc AS (SELECT recording, floor(fs)::BIGINT AS freq_start, floor(fe)::BIGINT AS freq_end, floor(ts)::BIGINT + chunk_id * 100 AS t_start, floor(te)::BIGINT + chunk_id * 100 AS t_end, label_id::INT AS label_id, score FROM cp WHERE score > 0.3)"""

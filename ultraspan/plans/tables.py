@@ -85,6 +85,6 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One configuration for each nation, by arithmetic."""
-    n = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").select(n.cast("string").alias("config_id"), (n % 5 + 2).cast("double").alias("num_iter"), F.lit(0.0).alias("smoothing"), (0.5 + n * 0.015).alias("flood_threshold"), (0.2 + n * 0.06).alias("balloon_latent"), (1.0 + n % 3).cast("double").alias("sigma"))
+    """One configuration for each part, by arithmetic."""
+    n = F.col("p_partkey") % 25
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("config_id"), (n % 5 + 2).cast("double").alias("num_iter"), F.lit(0.0).alias("smoothing"), (0.5 + n * 0.015).alias("flood_threshold"), (0.2 + n * 0.06).alias("balloon_latent"), (1.0 + n % 3).cast("double").alias("sigma"))
