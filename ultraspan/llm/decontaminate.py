@@ -41,7 +41,7 @@ _MULT = np.array([xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(WIND
 class _Tokens(dict):
     """Numbers distinct tokens as they come, with their properties."""
 
-    MOST = 1_000_000
+    MOST = 200_000
 
     def __init__(self):
         self.hash, self.kind = np.zeros(4096, np.uint64), np.zeros(4096, np.uint8)

@@ -56,7 +56,7 @@ def _start(word: str) -> str:
 class Words(dict):
     """Numbers distinct words as they come; ``table`` has the feature slots of each. Number 0 ends a chain."""
 
-    MOST = 1_000_000
+    MOST = 200_000
 
     def __init__(self, width: int, row):
         super().__init__({c: 0 for c in _ENDS})
