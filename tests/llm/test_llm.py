@@ -103,6 +103,14 @@ def test_licences(spark, empty):
     assert licenses.scan(empty, model).count() == 0
 
 
+def test_licence_of_a_third_of_all_documents(spark):
+    rng = random.Random(2)
+    texts = ["\n".join(prose(rng, "en", 9) for _ in range(9)) + ("\nReleased under the MIT License." if i % 3 == 0 else "") for i in range(420)]
+    table = docs(spark, texts)
+    got = {r["doc_id"] for r in licenses.scan(table, licenses.fit(table)).collect() if r["confirmed"] and r["family"] == "mit"}
+    assert got == set(range(0, 420, 3))
+
+
 # language
 
 

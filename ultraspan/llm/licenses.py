@@ -7,9 +7,11 @@ A known paragraph is confirmed when a template of the predicted family is contai
 otherwise it is reported as ``unknown``.
 
 The model is trained on variants of the templates below (words left out, corpus words around them) and on paragraphs
-of a bounded sample of documents. All features contain an anchor: a word of a template that is rare in the sampled
-paragraphs. A paragraph without an anchor therefore has an empty vector, whose class is ``unknown`` (checked when the
-model is fitted), so only paragraphs with an anchor need scoring.
+of a bounded sample of documents. All features contain a word of a template, however frequent it is. The class of the
+empty vector is ``unknown`` (checked when the model is fitted), and features that weigh for no family more than for
+``unknown`` can't change that. So only paragraphs with another feature need scoring: they are found by anchors, words
+of which every such feature has one. Anchors come from the fitted weights, not from frequencies, and leave out nothing
+that scoring would return.
 
 Edge cases: null and empty texts have no paragraphs; repeated documents are scanned each; an empty table gives an
 empty result; other columns are ignored. Ties between families go to the first in alphabetical order.
@@ -57,8 +59,6 @@ UNKNOWN = "unknown"
 VARIANTS = 24
 #: Documents whose paragraphs stand for ``unknown`` when the model is fitted, and most paragraphs taken from them.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 400, 4000
-#: A template word is an anchor if at most this share of the sampled paragraphs has it.
-ANCHOR_SHARE = 0.005
 CONFIRM = 0.6
 PARAGRAPH = r"[\r\n]+"
 
@@ -87,11 +87,25 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES), "family string, template string")
 
 
-def _features(df: DataFrame, col: str, anchors: list[str]) -> DataFrame:
-    held = F.array(*[F.lit(a) for a in anchors])
+def _grams(col: str) -> Column:
     ws = _trim(words(F.col(col)))
-    grams = F.concat(ws, bigrams(ws))
-    return df.withColumn("grams", F.array_distinct(F.filter(grams, lambda g: F.arrays_overlap(F.split(g, " "), held))))
+    return F.concat(ws, bigrams(ws))
+
+
+def _features(df: DataFrame, col: str, own: list[str]) -> DataFrame:
+    held = F.array(*[F.lit(a) for a in own])
+    return df.withColumn("grams", F.array_distinct(F.filter(_grams(col), lambda g: F.arrays_overlap(F.split(g, " "), held))))
+
+
+def _anchors(terms: list[str], classifier: LogisticRegressionModel, at: int) -> list[str]:
+    """Words of which every feature has one that weighs for some family more than for ``unknown`` (class ``at``)."""
+    weights = classifier.coefficientMatrix.toArray()  # families x features of the training rows
+    raising = [t for t, up in zip(terms, (weights > weights[at]).any(axis=0), strict=True) if up]
+    out = {t for t in raising if " " not in t}
+    for t in raising:
+        if out.isdisjoint(t.split(" ")):
+            out.add(max(t.split(" "), key=len))
+    return sorted(out)
 
 
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_paragraphs: int = SAMPLE_PARAGRAPHS) -> LicenseModel:
@@ -111,10 +125,6 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
         .cache()
     )
     own = sorted({w for _, t in TEMPLATES for w in re.findall(r"[^\W_]+(?:\.[^\W_]+)*", t.lower())})
-    seen = {r[0]: r[1] for r in paragraphs.select(F.explode(F.array_distinct(_trim(words(F.col("paragraph"))))).alias("w")).filter(F.col("w").isin(own)).groupBy("w").count().collect()}
-    # notices in the sampled paragraphs count in the shares; words that only notices have stay below this
-    most = max(ANCHOR_SHARE * max(paragraphs.count(), 1), 40)
-    anchors = [w for w in own if seen.get(w, 0) <= most and len(w) > 1] or own
     filler = paragraphs.filter(F.length("paragraph") < 400).agg(F.slice(F.flatten(F.collect_list(F.slice(F.split("paragraph", " "), 1, 4))), 1, 400)).collect()[0][0] or ["and"]
     extra = F.array(*[F.lit(w) for w in filler])
     ws = F.split("template", " ")
@@ -125,13 +135,13 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
         templates.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
         .select("family", F.array_join(F.concat(around("a"), kept, around("b")), " ").alias("paragraph"), (F.col("variant") % 4 == 3).alias("held"))
     )
-    held = F.array(*[F.lit(a) for a in anchors])
+    held = F.array(*[F.lit(a) for a in own])
     is_plain = ~F.arrays_overlap(_trim(words(F.col("paragraph"))), held)
     # the sampled paragraphs are unlabelled: those that hold a template to CONFIRM take no part, and any other with
-    # an anchor is a hard example of ``unknown``
+    # a template's word is a hard example of ``unknown``
     negative = confirm(paragraphs.withColumn("family", F.lit(None).cast("string"))).filter((F.col("similarity") < CONFIRM) | is_plain).select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 3).alias("held"))
     partial = positive.select(F.lit(UNKNOWN).alias("family"), F.array_join(F.slice(F.split("paragraph", " "), 1, 2), " ").alias("paragraph"), "held")
-    rows = _features(positive.unionByName(negative).unionByName(partial), "paragraph", anchors).cache()
+    rows = _features(positive.unionByName(negative).unionByName(partial), "paragraph", own).cache()
     vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows.filter(~F.col("held")))
     indexer = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     ready = indexer.transform(vocabulary.transform(rows)).withColumn("weight", F.when(F.col("family") == UNKNOWN, 0.3).otherwise(1.0))
@@ -140,9 +150,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
     out = classifier.transform(ready.filter("held")).withColumn("p", vector_to_array("probability"))
     margins = out.select(_margin(F.col("p"), families).alias("m"), (F.col("family") != UNKNOWN).cast("double").alias("label"))
     platt = LogisticRegression(regParam=1e-3, maxIter=50).fit(VectorAssembler(inputCols=["m"], outputCol="features").transform(margins))
-    model = LicenseModel(vocabulary, classifier, families, (float(platt.coefficients[0]), float(platt.intercept)), anchors)
+    model = LicenseModel(vocabulary, classifier, families, (float(platt.coefficients[0]), float(platt.intercept)), _anchors(vocabulary.vocabulary, classifier, families.index(UNKNOWN)))
     blank = score(spark.createDataFrame([("",)], "paragraph string"), model).collect()[0]
-    if blank["family"] != UNKNOWN:
+    if blank["family"] != UNKNOWN or model.calibration[0] <= 0:
         raise ValueError("the empty paragraph is not classed as unknown; more sampled paragraphs are needed")
     paragraphs.unpersist()
     rows.unpersist()
@@ -159,7 +169,7 @@ def _margin(p: Column, families: list[str]) -> Column:
 def score(df: DataFrame, model: LicenseModel) -> DataFrame:
     """Adds ``family`` and ``probability`` (calibrated, of being a known licence) to rows with ``paragraph``."""
     at = model.families.index(UNKNOWN)
-    scored = model.classifier.transform(model.vocabulary.transform(_features(df, "paragraph", model.anchors))).withColumn("p", vector_to_array("probability"))
+    scored = model.classifier.transform(model.vocabulary.transform(df.withColumn("grams", _grams("paragraph")))).withColumn("p", vector_to_array("probability"))
     a, b = model.calibration
     known = [i for i in range(len(model.families)) if i != at]
     best = F.array_max(F.array(*[F.struct(F.col("p")[i].alias("p"), F.lit(-i).alias("i")) for i in known]))
