@@ -111,6 +111,20 @@ def test_licence_of_a_third_of_all_documents(spark):
     assert got == set(range(0, 420, 3))
 
 
+def test_wrapped_licences(spark):
+    rng = random.Random(2)
+    notices = [
+        ("gpl", "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version."),
+        ("bsd", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"),
+        ("isc", "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n# copyright notice and this permission notice appear in all copies."),
+        ("apache-2.0", "// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0"),
+    ]
+    texts = [prose(rng, "en", 40) + "\n" + prose(rng, "en", 30) for _ in range(120)] + ["\n".join([prose(rng, "en", 9), prose(rng, "en", 9), n, prose(rng, "en", 40)]) for _, n in notices * 20]
+    table = docs(spark, texts)
+    got = [(r["doc_id"] - 120, r["paragraph_no"], r["family"]) for r in licenses.scan(table, licenses.fit(table)).collect() if r["confirmed"]]
+    assert sorted(got) == [(i, 2, family) for i, (family, _) in enumerate(notices * 20)]
+
+
 # language
 
 

@@ -4,7 +4,8 @@ A paragraph (a line, by default) becomes a sparse binary vector of word 1- and 2
 regression with an L1 penalty tells licence families apart from ``unknown``; a one-variable logistic regression,
 fitted on held-out paragraphs, turns its margin into the calibrated probability that the paragraph is a known licence.
 A known paragraph is confirmed when a template of the predicted family is contained in it to ``CONFIRM`` at least;
-otherwise it is reported as ``unknown``.
+otherwise it is reported as ``unknown``. A notice wrapped over several lines is found in windows: a line and the next
+``SPAN`` words after it, however many lines they take.
 
 The model is trained on variants of the templates below (words left out, corpus words around them) and on paragraphs
 of a bounded sample of documents. All features contain a word of a template, however frequent it is. The class of the
@@ -27,7 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stash
 
 #: Customary wording of licence notices, by family.
 TEMPLATES = (
@@ -61,6 +62,8 @@ VARIANTS = 24
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 400, 4000
 CONFIRM = 0.6
 PARAGRAPH = r"[\r\n]+"
+#: Words of the longest template, so the most that a wrapped notice has after the line it begins in.
+SPAN = max(len(re.findall(r"[^\W_]+(?:\.[^\W_]+)*", t)) for _, t in TEMPLATES)
 
 
 def words(text: Column) -> Column:
@@ -115,7 +118,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
     # a share by hash first: without it every task would send its own sample_docs texts to one task
     share = min(1.0, 4.0 * sample_docs / max(docs.count(), 1))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull()).withColumn("h", F.xxhash64("i", "t"))
-    sample = texts.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share).orderBy("h").limit(sample_docs)
+    sample = texts.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share).orderBy("h").limit(sample_docs).cache()
     paragraphs = (
         sample.select(F.posexplode(F.split("t", PARAGRAPH)).alias("n", "paragraph"))
         .filter(F.length(F.trim("paragraph")) > 0)
@@ -137,9 +140,10 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
     )
     held = F.array(*[F.lit(a) for a in own])
     is_plain = ~F.arrays_overlap(_trim(words(F.col("paragraph"))), held)
-    # the sampled paragraphs are unlabelled: those that hold a template to CONFIRM take no part, and any other with
+    # the sampled paragraphs are unlabelled: those that hold a template to CONFIRM, alone or as lines of a window, take no part, and any other with
     # a template's word is a hard example of ``unknown``
-    negative = confirm(paragraphs.withColumn("family", F.lit(None).cast("string"))).filter((F.col("similarity") < CONFIRM) | is_plain).select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 3).alias("held"))
+    in_windows = stash(wrapped(sample, "t", "i").select(F.explode(F.split("paragraph", PARAGRAPH)).alias("paragraph")).distinct())
+    negative = confirm(paragraphs.join(in_windows, "paragraph", "left_anti").withColumn("family", F.lit(None).cast("string"))).filter((F.col("similarity") < CONFIRM) | is_plain).select(F.lit(UNKNOWN).alias("family"), "paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 3).alias("held"))
     partial = positive.select(F.lit(UNKNOWN).alias("family"), F.array_join(F.slice(F.split("paragraph", " "), 1, 2), " ").alias("paragraph"), "held")
     rows = _features(positive.unionByName(negative).unionByName(partial), "paragraph", own).cache()
     vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows.filter(~F.col("held")))
@@ -155,6 +159,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
     if blank["family"] != UNKNOWN or model.calibration[0] <= 0:
         raise ValueError("the empty paragraph is not classed as unknown; more sampled paragraphs are needed")
     paragraphs.unpersist()
+    sample.unpersist()
     rows.unpersist()
     return model
 
@@ -181,30 +186,94 @@ def score(df: DataFrame, model: LicenseModel) -> DataFrame:
     )
 
 
+def _template_bigrams() -> list[tuple[str, list[str]]]:
+    out = []
+    for family, text in TEMPLATES:
+        w = [x.rstrip(".") for x in re.split(r"[^\w.]+|_", text.lower()) if x.strip(".")]
+        out.append((family, [" ".join(p) for p in zip(w, w[1:], strict=False)]))
+    return out
+
+
+def _shares(paragraph: Column) -> list[Column]:
+    """The share of each template's bigrams that ``paragraph`` holds."""
+    return [F.size(F.array_intersect(paragraph, F.array(*[F.lit(g) for g in t]))) / F.lit(float(len(set(t)))) for _, t in _template_bigrams()]
+
+
 def confirm(df: DataFrame) -> DataFrame:
     """Adds ``similarity``: the largest share of a template's bigrams that the paragraph holds, over the templates of
     ``family`` (of all families, where that is null)."""
-    ws = F.col("_bigrams")
-    by_family: dict[str, list[list[str]]] = {}
-    for family, text in TEMPLATES:
-        w = [x.rstrip(".") for x in re.split(r"[^\w.]+|_", text.lower()) if x.strip(".")]
-        by_family.setdefault(family, []).append([" ".join(p) for p in zip(w, w[1:], strict=False)])
-    held = lambda t: F.size(F.array_intersect(ws, F.array(*[F.lit(g) for g in t]))) / F.lit(float(len(set(t))))
-    most = lambda ts: F.array_max(F.array(*[held(t) for t in ts]))
-    value = F.when(F.col("family").isNull(), F.array_max(F.array(*[most(ts) for ts in by_family.values()])))
-    for family, ts in by_family.items():
-        value = value.when(F.col("family") == family, most(ts))
+    by_family: dict[str, list[Column]] = {}
+    for (family, _), share in zip(TEMPLATES, _shares(F.col("_bigrams")), strict=True):
+        by_family.setdefault(family, []).append(share)
+    most = {family: F.array_max(F.array(*ts)) for family, ts in by_family.items()}
+    value = F.when(F.col("family").isNull(), F.array_max(F.array(*most.values())))
+    for family, share in most.items():
+        value = value.when(F.col("family") == family, share)
     return df.withColumn("_bigrams", bigrams(_trim(words(F.col("paragraph"))))).withColumn("similarity", value.otherwise(0.0)).drop("_bigrams")
 
 
+def _needed() -> list[str]:
+    """Words of which every text has one that holds a template to ``CONFIRM``: in each template, long words that more
+    of its bigrams have than may be missing."""
+    out: set[str] = set()
+    for _, t in _template_bigrams():
+        grams, chosen = {tuple(g.split(" ")) for g in t}, set()
+        for w in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+            if sum(not chosen.isdisjoint(g) for g in grams) > (1 - CONFIRM) * len(grams) + 1e-9:
+                break
+            chosen.add(w)
+        out |= chosen
+    return sorted(out)
+
+
+def _any_word(ws: list[str]) -> str:
+    return r"(?i)(?<![\p{L}\p{N}.])(?:" + "|".join(re.escape(w) for w in sorted(ws, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+
+
+def wrapped(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """id, ``paragraph_no`` of the first line, ``paragraph``: windows that hold a template to ``CONFIRM`` which no line
+    at their start holds alone. Of the windows over one notice, that which begins in the notice's first line. Lines
+    without a letter or digit (blank ones, comment marks) are passed over."""
+    needed = _any_word(_needed())
+    lines = F.filter(F.transform(F.split(F.col(text_col), PARAGRAPH), lambda p, i: F.struct(i.cast("long").alias("no"), p.alias("line"))), lambda x: x["line"].rlike(r"[\p{L}\p{N}]"))
+    kept = docs.filter(F.col(text_col).rlike(needed)).select(F.col(id_col), lines.alias("_lines"))
+    after = rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}.]++){{0,{SPAN}}}+"
+
+    def line(i: Column) -> Column:  # i from 0; null outside
+        return F.get("_lines", i)["line"]
+
+    def window(i: Column) -> Column:
+        rest = F.array_join(F.transform(F.slice("_lines", i + 2, SPAN), lambda x: x["line"]), "\n")
+        return F.concat(line(i), F.lit("\n"), F.regexp_extract(rest, after, 0))
+
+    def at(x: Column, i: Column) -> Column:
+        texts = {"own": window(i), "before": F.when(i > 0, window(i - 1)), "next": window(i + 1), "line": x["line"], "line_after": line(i + 1)}
+        row = F.struct(x["no"].alias("paragraph_no"), window(i).alias("paragraph"), *[bigrams(_trim(words(F.coalesce(c, F.lit(""))))).alias(f"_{k}") for k, c in texts.items()])
+        return F.when(window(i).rlike(needed), row)
+
+    rows = kept.select(id_col, F.explode(F.filter(F.transform("_lines", at), lambda x: x.isNotNull())).alias("x")).select(id_col, "x.*")
+    templates = F.array(*[F.array(*[F.lit(g) for g in dict.fromkeys(t)]) for _, t in _template_bigrams()])
+
+    def shares(name: str) -> Column:
+        return F.transform(templates, lambda t: F.size(F.array_intersect(F.col(name), t)) / F.size(t)).alias(name)
+
+    def first(x: Column) -> Column:
+        own = x["_own"]
+        return (own >= CONFIRM) & (own > x["_next"]) & (own >= x["_before"]) & (x["_line"] < CONFIRM) & (x["_line_after"] < CONFIRM)
+
+    begins = F.exists(F.arrays_zip(*[shares(k) for k in ("_own", "_before", "_next", "_line", "_line_after")]), first)
+    return rows.filter(begins).select(id_col, "paragraph_no", "paragraph")
+
+
 def scan(docs: DataFrame, model: LicenseModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The paragraphs classed as a licence: id, ``paragraph_no`` (from 0), ``family``, ``probability``, ``similarity``,
+    """The paragraphs and windows of lines classed as a licence: id, ``paragraph_no`` (from 0), ``family``, ``probability``, ``similarity``,
     ``confirmed``, ``paragraph``. An unconfirmed one keeps the predicted family in ``predicted`` and has ``family``
     ``unknown``."""
-    anchor = r"(?i)(?<![\p{L}\p{N}.])(?:" + "|".join(re.escape(a) for a in sorted(model.anchors, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+    anchor = _any_word(model.anchors)
     lines = F.split(F.col(text_col), PARAGRAPH)
     found = F.filter(F.transform(lines, lambda p, i: F.struct(i.cast("long").alias("paragraph_no"), F.when(p.rlike(anchor), p).alias("paragraph"))), lambda x: x["paragraph"].isNotNull())
     candidates = docs.filter(F.col(text_col).rlike(anchor)).select(F.col(id_col).alias(id_col), F.explode(found).alias("x")).select(id_col, "x.paragraph_no", "x.paragraph")
+    candidates = candidates.unionByName(wrapped(docs, text_col, id_col))
     known = confirm(score(candidates, model).filter(F.col("family") != UNKNOWN)).withColumn("confirmed", F.col("similarity") >= CONFIRM)
     return known.select(id_col, "paragraph_no", F.when(F.col("confirmed"), F.col("family")).otherwise(UNKNOWN).alias("family"), F.col("family").alias("predicted"), "probability", "similarity", "confirmed", "paragraph")
 
