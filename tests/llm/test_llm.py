@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ultraspan.llm import decontaminate, language, licenses, mixing, ngram_join, pii, suffix_dedup, topk, toxicity, url_filter
-from ultraspan.llm.common import stash
+from ultraspan.llm.common import stash, with_row_keys
 from ultraspan.operators.components import connected_components
-from ultraspan.llm.repeats import suffix_classes, super_strings
+from ultraspan.llm.repeats import longest_previous_factors, super_strings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = {"en": "the and ing ion ent tha her ere of to".split(), "de": "ein sch ung der ich keit und ber ge".split()}
@@ -298,39 +298,80 @@ def brute_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [1, 256])
+def removed(table, **options):
+    out = suffix_dedup.remove_repeats(table, **options).orderBy("doc_id").collect()
+    return [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out]
+
+
+def kept_first(texts, length):
+    """Bytes left when a window goes that an earlier one (by document, then place) equals."""
+    seen, out = set(), []
+    for t in texts:
+        b = (t or "").encode()
+        m = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            if b[s : s + length] in seen:
+                m[s : s + length] = True
+            seen.add(b[s : s + length])
+        out.append(np.frombuffer(b, np.uint8)[~m].tobytes())
+    return out
+
+
+def passages(rng, n, words):
+    parts = [prose(rng, "en", words) for _ in range(4)]
+    texts = [None, "", "short", "ab" * 4 * words, "ab" * 3 * words, "é" * 5 * words]
+    for _ in range(n):
+        own = [prose(rng, "de", rng.randrange(1, words + 5)) for _ in range(2)]
+        if rng.random() < 0.6:
+            p = rng.choice(parts)
+            own.insert(1, p[rng.randrange(9) : len(p) - rng.randrange(9)])
+        texts.append(" ".join(own))
+    return texts + texts[-3:]
+
+
+@pytest.mark.parametrize("group", [1, 128])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeats_against_brute_force(spark, seed, group):
-    rng = random.Random(seed)
-    passages = [prose(rng, "en", 20) for _ in range(4)]
-    texts = [None, "", "short", "ab" * 80, "ab" * 60, "é" * 90]
-    for _ in range(40):
-        parts = [prose(rng, "de", rng.randrange(1, 25)) for _ in range(2)]
-        if rng.random() < 0.6:
-            p = rng.choice(passages)
-            parts.insert(1, p[rng.randrange(9) : len(p) - rng.randrange(9)])
-        texts.append(" ".join(parts))
-    texts += texts[-3:]
-    table = docs(spark, texts).withColumn("ranges", F.lit(1))
-    found = suffix_dedup.repeated_ranges(table, 40, gram=16, group=group)
-    got = [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_ranges(table, found).orderBy("doc_id").collect()]
-    assert got == brute_removed(texts, 40)
+    texts = passages(random.Random(seed), 40, 20)
+    table = docs(spark, texts).withColumn("ranges", F.lit(1)).withColumn("row_key", F.lit("clash"))
+    assert removed(table, length=40, gram=16, group=group) == brute_removed(texts, 40)
+    left = suffix_dedup.remove_repeats(table.coalesce(1).sortWithinPartitions("doc_id"), 40, "first", gram=16, group=group).orderBy("doc_id").collect()
+    assert [bytes(r["kept"]) for r in left] == kept_first(texts, 40)
+
+
+def test_repeats_at_full_length_in_a_large_group(spark):
+    rng = random.Random(3)
+    p = prose(rng, "en", 100)
+    assert len(p.encode()) > 430
+    texts = passages(rng, 30, 90) + [f"{prose(rng, 'de', 30)} {p[: len(p) - rng.randrange(40)]} {prose(rng, 'de', 30)}" for _ in range(150)] + [p * 100]
+    expected = brute_removed(texts, 400)
+    assert removed(docs(spark, texts), group=16) == expected == removed(docs(spark, texts), group=1000)
 
 
 def test_keep_first(spark, empty):
     rng = random.Random(9)
     p = prose(rng, "en", 40)
-    table = docs(spark, [p, "x " + p, p, prose(rng, "de", 30)])
-    left = suffix_dedup.remove_ranges(table, suffix_dedup.repeated_ranges(table, 40, "first", gram=16)).orderBy("doc_id").collect()
+    left = suffix_dedup.remove_repeats(docs(spark, [p, "x " + p, p, prose(rng, "de", 30)]), 40, "first", gram=16).orderBy("doc_id").collect()
     assert sorted(r["n_removed"] for r in left) == [0, 0, len(p), len(p)] and left[3]["n_removed"] == 0
-    none = suffix_dedup.repeated_ranges(empty, 40)
-    assert none.count() == 0 and suffix_dedup.remove_ranges(empty, none).count() == 0
+    assert suffix_dedup.remove_repeats(empty, 40).count() == 0
+
+
+@pytest.mark.parametrize("length", [3, 6, 40, 100])
+def test_longest_previous_factors(length):
+    rng = random.Random(length)
+    raw = bytes(rng.choice(b"ab") for _ in range(300)) + b"abc" * 60
+    windows = np.array([i for i in range(len(raw) - length + 1) if i % 7])
+    lpf, source = longest_previous_factors(np.frombuffer(raw, np.uint8), windows, length)
+
+    def common(i, j):
+        return next((k for k in range(length) if raw[i + k] != raw[j + k]), length)
+
+    for k, i in enumerate(windows.tolist()):
+        assert lpf[k] == max((common(i, j) for j in windows[:k].tolist()), default=0)
+        assert source[k] < k and (source[k] < 0 or common(i, int(windows[source[k]])) == lpf[k])
 
 
-def test_suffix_classes_and_super_strings():
-    raw = np.frombuffer(b"abcabcabcxabcabc", np.uint8)
-    before, after = suffix_classes(raw, np.arange(len(raw) - 5), 6)
-    assert before[3] == 0 and after[0] == 3 and before[10] == 3 and before[9] == -1
+def test_super_strings():
     text = np.frombuffer(prose(random.Random(1), "en", 200).encode(), np.uint8)
     _, first, n = super_strings(text, 40, 16)
     assert first[0] == 0 and (first[1:] == (first + n)[:-1]).all() and (first + n)[-1] == len(text) - 39

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import shared_dir, stash
 
-__all__ = ["WORD", "ascii_lower", "bounded_sample", "fold", "read_table", "shared_dir", "stash"]
+__all__ = ["WORD", "ascii_lower", "bounded_sample", "fold", "fresh", "read_table", "shared_dir", "stash", "with_row_keys"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` is called so."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+def with_row_keys(docs: DataFrame, key: str = "row_key", **columns: str) -> DataFrame:
+    """``key`` (distinct for every row, also where ids repeat or are null) and columns of ``docs`` under new names; all
+    columns if none is named. Written once: a job that scans it again sees the same keys, however many executors there
+    are then and however they cut the files of ``docs``."""
+    own = [F.col(c).alias(n) for n, c in columns.items()] or [docs[c] for c in docs.columns]
+    return stash(docs.select(F.monotonically_increasing_id().alias(key), *own))
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would also change other letters)."""
     return F.translate(col, UPPER, UPPER.lower())

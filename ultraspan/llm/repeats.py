@@ -68,45 +68,84 @@ def super_strings(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray,
     return h[at[first]], first, np.diff(np.concatenate([first, [len(at)]]))
 
 
-def suffix_classes(raw: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of ``raw`` truncated at ``length`` bytes, by prefix doubling; for the given window starts it returns
-    the previous and the next position (in text order) of a suffix with the same first ``length`` bytes, or -1.
-
-    In suffix order such suffixes are neighbours. Sorted by position among themselves, the one before is the previous
-    smaller position, whose common prefix is the longest previous factor cut at ``length``; the one after is the next
-    match.
-    """
+def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(new).astype(np.uint64)
+    return rank, order
+
+
+def _nearest_smaller(a: np.ndarray) -> np.ndarray:
+    """For each entry the index of the nearest one before it that is smaller, or -1. Pointers jump over what is known
+    to be larger, all at once."""
+    p = np.arange(-1, len(a) - 1)
+    live = np.arange(len(a))
+    while len(live):
+        q = p[live]
+        live = live[(q >= 0) & (a[q] > a[live])]
+        p[live] = p[p[live]]
+    return p
+
+
+def _common_prefix(i: np.ndarray, j: np.ndarray, raw: np.ndarray, levels: list[tuple[int, np.ndarray]], length: int) -> np.ndarray:
+    """Length of the common prefix of suffixes i and j, cut at ``length``, from the ranks kept at doubling depths."""
     n = len(raw)
+    l = np.zeros(len(i), np.int64)  # noqa: E741
+    for depth, rank in reversed(levels):
+        inside = np.maximum(i, j) + l + depth <= n
+        same = np.zeros(len(i), bool)
+        same[inside] = rank[(i + l)[inside]] == rank[(j + l)[inside]]
+        l += same * depth
+    open_ = np.flatnonzero(l < length)
+    for _ in range(min(length, 8)):
+        open_ = open_[np.maximum(i[open_], j[open_]) + l[open_] < n]
+        open_ = open_[raw[i[open_] + l[open_]] == raw[j[open_] + l[open_]]]
+        l[open_] += 1
+    return np.minimum(l, length)
+
+
+def longest_previous_factors(raw: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window start (ascending): the longest prefix, cut at ``length``, that also starts at an earlier window,
+    and that window (its index in ``windows``; -1 if nothing is shared).
+
+    The suffix array of ``raw`` is built by prefix doubling up to ``length`` bytes, equal suffixes in order of position.
+    In suffix order the previous and the next smaller position of a suffix are the earlier ones it has most in common
+    with; the longer of the two common prefixes is the longest previous factor.
+    """
+    n, w = len(raw), len(windows)
+    if not w:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     depth = min(8, length)
     for i in range(depth):
         key = (key << np.uint64(8)) | padded[i : i + n]
-
-    def ranks(key):
-        order = np.argsort(key, kind="stable")
-        new = np.ones(len(key), bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(len(key), np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        return rank, order
-
-    rank, order = ranks(key)
+    rank, order = _ranks(key)
+    levels = [(depth, rank)]
     while depth < length:
         step = min(depth, length - depth)
         later = np.zeros(n, np.uint64)
         later[: n - step] = rank[step:]
-        rank, order = ranks((rank << np.uint64(32)) | later)
+        rank, order = _ranks((rank << np.uint64(32)) | later)
         depth += step
-    # only whole windows count; the order within a class is the order of positions, as the sort is stable
-    valid = np.zeros(n, bool)
-    valid[windows] = True
-    order = order[valid[order]]
-    same = rank[order][1:] == rank[order][:-1]
-    before, after = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    before[order[1:][same]] = order[:-1][same]
-    after[order[:-1][same]] = order[1:][same]
-    return before[windows], after[windows]
+        if step * 2 == depth:
+            levels.append((depth, rank))
+    # only whole windows are suffixes of the array
+    index = np.full(n, -1, np.int64)
+    index[windows] = np.arange(w)
+    at = index[order]
+    at = at[at >= 0]
+    before = _nearest_smaller(at)
+    after = w - 1 - _nearest_smaller(at[::-1])[::-1]
+    lpf, source = np.zeros(w, np.int64), np.full(w, -1, np.int64)
+    for near, known in ((before, before >= 0), (after, after < w)):
+        mine, other = at[known], at[near[known]]
+        common = _common_prefix(windows[mine], windows[other], raw, levels, length)
+        better = common > lpf[mine]
+        lpf[mine[better]], source[mine[better]] = common[better], other[better]
+    return lpf, source
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -125,11 +164,24 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def cells(body: bytes, length: int, gram: int, width: int) -> Iterator[tuple[bytes, bytes, int, int]]:
+    """Cuts a super-string into runs of windows by the place of the smallest gram in them, ``width`` places at a time:
+    (key, digest, first window, windows) of each. Equal windows have that gram at the same place, so they lie in cells
+    of one key: the hash of the bytes that all windows of a whole cell have in common."""
+    h = gram_hashes(np.frombuffer(body, np.uint8)[:length], gram)
+    p, n = int(h.argmin()), len(body) - length + 1
+    for c in range((p - n + 1) // width, p // width + 1):
+        lo, hi = max(0, p - (c + 1) * width + 1), min(n - 1, p - c * width)
+        core = p - c * width
+        key = xxhash.xxh3_128_digest(body[core : core + length - width + 1], seed=c)
+        yield key, xxhash.xxh3_128_digest(body[lo : hi + length]), lo, hi - lo + 1
+
+
 def slice_strings(keys: np.ndarray, texts: pa.Array, length: int, gram: int) -> Iterator[tuple[list[tuple], list[tuple]]]:
     """For slices of a text column: the distinct super-strings (gram, digest, copies, row, first window, windows), and
     the other copies inside the slice (row, first window, windows), joined where they touch."""
     for first, end, offsets, raw in text_slices(texts):
-        seen: dict[tuple[int, int], list] = {}
+        seen: dict[bytes, list] = {}
         again: list[tuple[int, int, int]] = []
         for r in range(end - first):
             own = raw[offsets[r] : offsets[r + 1]]
@@ -137,13 +189,13 @@ def slice_strings(keys: np.ndarray, texts: pa.Array, length: int, gram: int) ->
                 continue
             row, view = int(keys[first + r]), memoryview(own)
             for m, lo, n in zip(*(x.tolist() for x in super_strings(own, length, gram)), strict=True):
-                key = (m, xxhash.xxh3_64_intdigest(view[lo : lo + n + length - 1]))
+                key = xxhash.xxh3_128_digest(view[lo : lo + n + length - 1])
                 if key in seen:
-                    seen[key][0] += 1
+                    seen[key][1] += 1
                     if again and again[-1][0] == row and again[-1][1] + again[-1][2] == lo:
                         again[-1] = (row, again[-1][1], again[-1][2] + n)
                     else:
                         again.append((row, lo, n))
                 else:
-                    seen[key] = [1, row, lo, n]
-        yield [(m, s, *v) for (m, s), v in seen.items()], again
+                    seen[key] = [m, 1, row, lo, n]
+        yield [(v[0], s, *v[1:]) for s, v in seen.items()], again

@@ -2,21 +2,24 @@
 
 A window is a string of ``length`` bytes inside one document. Windows that have one smallest ``GRAM``-byte string in
 common lie side by side and form a super-string; equal windows have equal smallest grams, so they can only be in
-super-strings with the same gram. That deals the work out: (1) one pass over the texts emits a digest for each
-super-string; (2) super-strings that occur twice are repeated as a whole; (3) of those that share a gram but differ, the
-bytes are fetched, one copy each, and a suffix array over a batch of such groups gives every window the positions
-before and after it that have the same ``length`` bytes, which is the longest-previous-factor test cut at ``length``;
-(4) the windows found become byte ranges of documents.
+super-strings with the same gram. That deals the work out: (1) one pass over the texts emits a 128-bit digest for each
+super-string; (2) of equal super-strings, which are repeated as a whole, one goes on; (3) of those that share a gram but
+differ, the bytes are fetched, and the longest-previous-factor array of a batch of such groups (previous and next
+smaller positions in suffix order) gives every window the longest prefix that an earlier one has too: with ``length``
+bytes it is a later copy, and its source is repeated; (4) the windows found become byte ranges of documents.
 
 A gram with more than ``GROUP`` different super-strings (the edges of a passage that very many documents share) would
-make one large group: its windows are dealt out by hash in parcels instead, which is exact as well.
+make one large group. Its super-strings are cut into runs of windows that have the gram at nearly the same place, and
+grouped again by all that the windows of such a run have in common: steps (2) and (3) work on these smaller groups, and
+once more with shorter runs where a group is still large. A run of one window is equal to all others of its group, so
+the last groups hold one string each.
 
 ``keep``: "none" removes every copy; "first" keeps the first one (by row, then position), as a later copy is removed
 only for the earlier match its longest previous factor shows.
 
 Edge cases: null and empty texts, and texts shorter than a window, have no ranges; repeated documents are copies of each
 other; matches may overlap, also inside one document; very long texts are read whole; an empty table gives an empty
-result; other columns are ignored.
+result; null ids are kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,25 +27,31 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash
-from .repeats import GRAM, LENGTH, gram_hashes, merge, runs, slice_strings, suffix_classes
+from .common import read_table, stash, with_row_keys
+from .repeats import GRAM, LENGTH, cells, longest_previous_factors, merge, runs, slice_strings
 
-GROUP = 256
-#: Super-strings of a parcel and windows of a bucket, where large groups are dealt out.
-PARCEL, BUCKET = 512, 1 << 19
+#: Different strings in a group that one suffix array takes, and the lengths of runs that larger groups are cut into.
+GROUP, WIDTHS = 128, (64, 8, 1)
 #: Bytes in a suffix array, and row keys (8 bytes each) that may be broadcast.
 BATCH_BYTES, MOST_BROADCAST = 1 << 20, 400_000
 RANGES = "array<struct<a: int, b: int>>"
 _RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+KEY, KIND = ("k1", "k2"), ("k1", "k2", "d1", "d2")
+STRINGS = "k1 long, k2 long, d1 long, d2 long, copies int, row_key long, lo int, n int, part int"
+_NAMES = ["k1", "k2", "d1", "d2", "copies", "row_key", "lo", "n", "part"]
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    x = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))
+
+
+def _ints(values) -> pa.Array:
+    return pa.array(np.asarray(values, np.int32))
 
 
 def _with(keyed: DataFrame, values: DataFrame, column: str, all_rows: bool) -> DataFrame:
@@ -65,17 +74,15 @@ def _structs(found: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"a": a, "b": b} for a, b in x] for x in found], _RANGES)
 
 
-def window_hashes(raw: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each window, from two overlapping strings of a power of two bytes."""
-    size = 1 << (length.bit_length() - 1)
-    h = gram_hashes(raw, size)
-    n = len(raw) - length + 1
-    return (h[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ h[length - size : length - size + n]
+def _of_documents(keyed: DataFrame, refs: DataFrame, *columns: str) -> DataFrame:
+    """row_key, text, ``own``: the strings of ``refs`` (row_key, columns) in each document."""
+    lists = stash(refs.groupBy("row_key").agg(F.collect_list(F.struct(*columns)).alias("own")).withColumnRenamed("row_key", "r"))  # those of one document
+    return _with(keyed, lists, "own", False).select("row_key", "text", "own")
 
 
-def repeated_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """``pieces``: gram, digest, row_key, lo, body (bytes of a super-string). Returns gram, digest, ``found`` (ranges of
-    its windows that another super-string has too) and ``firsts`` (those whose first copy it has)."""
+def _compare(pieces: DataFrame, length: int) -> DataFrame:
+    """``pieces``: k1, k2, row_key, lo, body (bytes of a string). Returns row_key, lo, ``found`` (ranges of its windows
+    that another string of the group has too) and ``firsts`` (those of them whose first copy it has)."""
 
     def flush(group: list[tuple]) -> pa.RecordBatch:
         group.sort(key=lambda p: (p[2], p[3]))
@@ -85,19 +92,21 @@ def repeated_windows(pieces: DataFrame, length: int) -> DataFrame:
         counts = sizes - length + 1
         shift = np.cumsum(counts) - counts
         windows = np.arange(counts.sum()) + np.repeat(starts - shift, counts)
-        before, after = suffix_classes(raw, windows, length)
+        lpf, source = longest_previous_factors(raw, windows, length)
+        later = lpf >= length
+        shared = later.copy()
+        shared[source[later]] = True
         found, firsts = [], []
-        for i in range(len(group)):
-            s = slice(shift[i], shift[i] + counts[i])
-            found.append(runs((before[s] >= 0) | (after[s] >= 0)))
-            firsts.append(runs((before[s] < 0) & (after[s] >= 0)))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in group]), pa.array([p[1] for p in group]), _structs(found), _structs(firsts)], names=["gram", "digest", "found", "firsts"])
+        for a, n in zip(shift.tolist(), counts.tolist(), strict=True):
+            found.append(runs(shared[a : a + n]))
+            firsts.append(runs(shared[a : a + n] & ~later[a : a + n]))
+        return pa.RecordBatch.from_arrays([pa.array([p[2] for p in group]), _ints([p[3] for p in group]), _structs(found), _structs(firsts)], names=["row_key", "lo", "found", "firsts"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= BATCH_BYTES and held[-1][0] != p[0]:  # groups stay whole
+                if size >= BATCH_BYTES and held[-1][:2] != p[:2]:  # groups stay whole
                     yield flush(held)
                     held, size = [], 0
                 held.append(p)
@@ -105,152 +114,125 @@ def repeated_windows(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"gram long, digest long, found {RANGES}, firsts {RANGES}")
+    return pieces.select(*KEY, "row_key", "lo", "body").repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, f"row_key long, lo int, found {RANGES}, firsts {RANGES}")
 
 
-def repeated_in_large_groups(pieces: DataFrame, length: int) -> DataFrame:
-    """As ``repeated_windows``, by window hashes: for groups too large for one task.
+def _repeated(keyed: DataFrame, strings: DataFrame, length: int, gram: int, group: int, widths: tuple[int, ...]) -> DataFrame:
+    """``strings`` (as ``STRINGS``; equal windows lie in strings with equal k1, k2). Returns row_key, lo, part, and
+    ``found``, ``firsts`` as ``_compare`` does, for the strings in which something is found."""
+    shared = stash(strings.groupBy(*KEY).agg(F.sum("copies").alias("t")).filter("t > 1").drop("t"))
+    strings = stash(strings.join(shared, [*KEY]))
+    kinds = stash(strings.groupBy(*KIND).agg(F.sum("copies").alias("copies"), F.min(F.struct("row_key", "lo", "n")).alias("rep")))
+    several = stash(kinds.groupBy(*KEY).agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    unclear = stash(kinds.join(several, [*KEY]).select(*KEY, "rep.*", ((F.col("k") > group) & F.lit(bool(widths))).alias("large")))
 
-    Parcels of a few hundred super-strings deal their hashes out to buckets, as arrays; a bucket finds the hashes that
-    occur twice and answers each parcel. Parcels and buckets keep their size when the input grows, their number does not.
-    """
-    n = pieces.count()
-    parcels, buckets = max(1, -(-n // PARCEL)), max(1, -(-n * length // BUCKET))
-    pieces = stash(pieces.withColumn("parcel", F.pmod(F.xxhash64("gram", "digest"), F.lit(parcels))))
-    sent = "parcel long, bucket long, h binary, piece binary, w binary, row binary, at binary"
-
-    def windows(pdf: pd.DataFrame) -> tuple:
-        """Hash, piece, window, row and position of each window of a parcel."""
-        h = [window_hashes(np.frombuffer(x, np.uint8), length) for x in pdf["body"]]
-        sizes = np.array([len(x) for x in h])
-        piece = np.repeat(np.arange(len(h), dtype=np.int32), sizes)
-        w = (np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        return np.concatenate(h), piece, w, pdf["row_key"].to_numpy()[piece], pdf["lo"].to_numpy().astype(np.int32)[piece] + w
-
-    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = windows(pdf.sort_values(["gram", "digest"]))
-        to = (columns[0] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1], [True]]))
-        out = [(key[0], int(to[order[a]]), *(c[order[a:b]].tobytes() for c in columns)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pd.DataFrame(out, columns=["parcel", "bucket", "h", "piece", "w", "row", "at"])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, row, at = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("h", np.uint64), ("row", np.int64), ("at", np.int32)))
-        source = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["h"]])
-        order = np.lexsort((at, row, h))
-        same = h[order][1:] == h[order][:-1]
-        later, shared = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        later[order[1:][same]] = True
-        shared[order[1:][same]] = True
-        shared[order[:-1][same]] = True
-        out = []
-        for i in range(len(pdf)):
-            own = source == i
-            keep = shared[own]
-            if keep.any():
-                out.append((pdf["parcel"].iloc[i], np.frombuffer(pdf["piece"].iloc[i], np.int32)[keep].tobytes(), np.frombuffer(pdf["w"].iloc[i], np.int32)[keep].tobytes(), (~later[own][keep]).tobytes()))
-        return pd.DataFrame(out, columns=["parcel", "piece", "w", "first"])
-
-    def ranges(pdf: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(hits):
-            return pd.DataFrame({"gram": [], "digest": [], "found": [], "firsts": []})
-        pdf = pdf.sort_values(["gram", "digest"])
-        sizes = np.array([len(x) - length + 1 for x in pdf["body"]])
-        starts = np.cumsum(sizes) - sizes
-        flag, first = np.zeros(sizes.sum(), bool), np.zeros(sizes.sum(), bool)
-        for piece, w, f in zip(hits["piece"], hits["w"], hits["first"], strict=True):
-            at = starts[np.frombuffer(piece, np.int32)] + np.frombuffer(w, np.int32)
-            flag[at] = True
-            first[at] = np.frombuffer(f, bool)
-        cut = lambda x: [[{"a": a, "b": b} for a, b in runs(x[s : s + n])] for s, n in zip(starts, sizes, strict=True)]
-        return pd.DataFrame({"gram": pdf["gram"].to_numpy(), "digest": pdf["digest"].to_numpy(), "found": cut(flag), "firsts": cut(first)})
+    def fetch(batches):
+        for batch in batches:
+            for row, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text, own = text.as_py().encode(), own.as_py()
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in own], pa.int64()) for k in KEY), pa.array([row] * len(own), pa.int64()), _ints([x["lo"] for x in own]), pa.array([text[x["lo"] : x["lo"] + x["n"] + length - 1] for x in own], pa.binary())], names=[*KEY, "row_key", "lo", "body"])
+
+    small = _of_documents(keyed, unclear.filter("not large"), *KEY, "lo", "n").mapInArrow(fetch, "k1 long, k2 long, row_key long, lo int, body binary")
+    partial = _compare(small, length)
+    large = unclear.filter("large")
+    if widths and not large.isEmpty():
+
+        def cut(batches):
+            for batch in batches:
+                for row, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    text = text.as_py().encode()
+                    found = [(*c, x["lo"]) for x in own.as_py() for c in cells(text[x["lo"] : x["lo"] + x["n"] + length - 1], length, gram, widths[0])]
+                    k, d, lo, n, part = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([*_halves(k), *_halves(d), _ints([1] * len(lo)), pa.array([row] * len(lo), pa.int64()), _ints(np.add(lo, part)), _ints(n), _ints(part)], names=_NAMES)
+
+        shorter = stash(_of_documents(keyed, large, "lo", "n").mapInArrow(cut, STRINGS))
+        again = _repeated(keyed, shorter, length, gram, group, widths[1:])
+        moved = lambda c: F.transform(c, lambda x: F.struct((x["a"] + F.col("lo") - F.col("part")).alias("a"), (x["b"] + F.col("lo") - F.col("part")).alias("b")))
+        gathered = again.groupBy("row_key", "part").agg(*[F.array_sort(F.flatten(F.collect_list(moved(c)))).alias(c) for c in ("found", "firsts")])  # runs of one string
+        partial = partial.unionByName(gathered.withColumnRenamed("part", "lo"))
+    # windows of a kind that are repeated, and those of them whose first copy its representative has
+    p = stash(partial.filter(F.size("found") > 0)).select(F.col("row_key").alias("r"), F.col("lo").alias("at"), "found", "firsts")
+    joined = kinds.join(p, (F.col("rep.row_key") == F.col("r")) & (F.col("rep.lo") == F.col("at")), "left")
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("rep.n").alias("b")))
+    none = F.array().cast(RANGES)
+    own = F.coalesce("found", none)
+    first = F.when(F.size(own) == 0, whole).otherwise(F.col("firsts"))
+    marked = stash(joined.select(*KIND, "rep", F.when(F.col("copies") > 1, whole).otherwise(own).alias("found"), own.alias("shared"), first.alias("firsts")).filter(F.size("found") > 0))
+    hits = strings.join(marked, [*KIND])
+    is_rep = (F.col("row_key") == F.col("rep.row_key")) & (F.col("lo") == F.col("rep.lo"))
+
+    def firsts(batches):  # the windows of representatives without an earlier copy
+        for batch in batches:
+            out = []
+            for found, shared, first in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                flag = np.zeros(max(x["b"] for x in found), bool)
+                for x in found:
+                    flag[x["a"] : x["b"]] = True
+                for x in shared:
+                    flag[x["a"] : x["b"]] = False
+                for x in first:
+                    flag[x["a"] : x["b"]] = True
+                out.append(runs(flag))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), _structs(out)], names=["row_key", "lo", "part", "found", "firsts"])
 
-    hits = pieces.groupBy("parcel").applyInPandas(deal, sent).groupBy("bucket").applyInPandas(answer, "parcel long, piece binary, w binary, first binary")
-    return pieces.groupBy("parcel").cogroup(stash(hits).groupBy("parcel")).applyInPandas(ranges, f"gram long, digest long, found {RANGES}, firsts {RANGES}")
+    out = "row_key", "lo", "part", "found"
+    reps = hits.filter(is_rep).select(*out, "shared", "firsts").mapInArrow(firsts, f"row_key long, lo int, part int, found {RANGES}, firsts {RANGES}")
+    return reps.unionByName(hits.filter(~is_rep).select(*out, none.alias("firsts")))
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep: str = "none", text_col: str = "text", gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """row_key, ``ranges`` (merged, in bytes of UTF-8) for documents with a repeated window; ``row_key`` is
-    ``monotonically_increasing_id`` of ``docs``, stable for tables read from files."""
+def repeated_ranges(keyed: DataFrame, length: int = LENGTH, keep: str = "none", gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """``keyed``: row_key, text (a written table, see ``with_row_keys``). Returns row_key, ``ranges`` (merged, in bytes of
+    UTF-8) for documents with a repeated window."""
     if keep not in ("none", "first"):
         raise ValueError("keep: none or first")
     gram = min(gram, 1 << (length.bit_length() - 1))
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text"))
+    keyed = keyed.select("row_key", "text")
 
     def digests(batches):
-        names = ["gram", "digest", "copies", "row_key", "lo", "n"]
         for batch in batches:
             for own, again in slice_strings(batch.column(0).to_numpy(), batch.column(1), length, gram):
-                m, s, c, r, lo, n = zip(*own, strict=True) if own else ((),) * 6
-                yield pa.RecordBatch.from_arrays([_signed(m), _signed(s), pa.array(c, pa.int32()), pa.array(r, pa.int64()), pa.array(lo, pa.int32()), pa.array(n, pa.int32())], names=names)
+                if own:
+                    m, s, c, r, lo, n = zip(*own, strict=True)
+                    zero = np.zeros(len(m), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(m, np.uint64).view(np.int64)), pa.array(zero), *_halves(s), _ints(c), pa.array(r, pa.int64()), _ints(lo), _ints(n), _ints(zero)], names=_NAMES)
                 if again:
                     r, lo, n = zip(*again, strict=True)
                     none = pa.nulls(len(r), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array([0] * len(r), pa.int32()), pa.array(r, pa.int64()), pa.array(lo, pa.int32()), pa.array(n, pa.int32())], names=names)
-
-    everything = stash(keyed.mapInArrow(digests, "gram long, digest long, copies int, row_key long, lo int, n int"))
-    strings = everything.filter(F.col("gram").isNotNull())
-    shared = stash(strings.groupBy("gram").agg(F.sum("copies").alias("t")).filter("t > 1").select(F.col("gram").alias("g")))
-    strings = stash(strings.join(shared, F.col("gram") == F.col("g")).drop("g"))
-    kinds = stash(strings.groupBy("gram", "digest").agg(F.sum("copies").alias("copies"), F.min(F.struct("row_key", "lo", "n")).alias("rep")))
-    several = stash(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumnRenamed("gram", "g"))
-    unclear = stash(kinds.join(several, F.col("gram") == F.col("g")).select("gram", "digest", "rep.row_key", "rep.lo", "rep.n", (F.col("k") > group).alias("large")))
-    lists = stash(unclear.groupBy("row_key").agg(F.collect_list(F.struct("gram", "digest", "lo", "n", "large")).alias("own")).withColumnRenamed("row_key", "r"))  # those of one document
+                    yield pa.RecordBatch.from_arrays([none, none, none, none, _ints([0] * len(r)), pa.array(r, pa.int64()), _ints(lo), _ints(n), _ints([0] * len(r))], names=_NAMES)
 
-    def fetch(batches):
-        for batch in batches:
-            for row, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                text, own = text.as_py().encode(), own.as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["gram"] for x in own]), pa.array([x["digest"] for x in own]), pa.array([row] * len(own), pa.int64()), pa.array([x["lo"] for x in own], pa.int32()), pa.array([text[x["lo"] : x["lo"] + x["n"] + length - 1] for x in own], pa.binary()), pa.array([x["large"] for x in own])],
-                    names=["gram", "digest", "row_key", "lo", "body", "large"],
-                )
-
-    pieces = stash(_with(keyed, lists, "own", False).select("row_key", "text", "own").mapInArrow(fetch, "gram long, digest long, row_key long, lo int, body binary, large boolean"))
-    body = ["gram", "digest", "row_key", "lo", "body"]
-    partial = stash(repeated_windows(pieces.filter("not large").select(body), length).unionByName(repeated_in_large_groups(pieces.filter("large").select(body), length)))
-    # windows of a kind that are repeated, and those of them whose first copy its representative has
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("rep.n").alias("b")))
-    p = partial.select(F.col("gram").alias("g"), F.col("digest").alias("d"), "found", "firsts")
-    joined = kinds.join(p, (F.col("gram") == F.col("g")) & (F.col("digest") == F.col("d")), "left").drop("g", "d")
+    everything = stash(keyed.mapInArrow(digests, STRINGS))
+    widths = tuple(w for w in WIDTHS if w <= length - gram)
+    hits = _repeated(keyed, everything.filter(F.col("k1").isNotNull()), length, gram, group, widths)
     empty = F.array().cast(RANGES)
-    marked = stash(joined.select(F.col("gram").alias("g"), F.col("digest").alias("d"), "rep", F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("found", empty)).alias("found"), F.coalesce("found", empty).alias("shared"), F.coalesce("firsts", empty).alias("firsts")).filter(F.size("found") > 0))
-    hits = strings.join(marked, (F.col("gram") == F.col("g")) & (F.col("digest") == F.col("d")))
-    is_rep = (F.col("row_key") == F.col("rep.row_key")) & (F.col("lo") == F.col("rep.lo"))
-    copies = everything.filter(F.col("gram").isNull()).select("row_key", "lo", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("found"))
-
-    def kept(batches):  # for keep="first": windows of a representative that have an earlier copy
-        for batch in batches:
-            out = []
-            for found, shared, firsts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                n = max((x["b"] for x in found), default=0)
-                flag = np.zeros(n, bool)
-                for x in shared:
-                    flag[x["a"] : x["b"]] = True
-                for x in firsts:
-                    flag[x["a"] : x["b"]] = False
-                out.append(runs(flag))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _structs(out)], names=["row_key", "lo", "found"])
-
-    if keep == "first":
-        reps = hits.filter(is_rep).select("row_key", "lo", "found", "shared", "firsts").mapInArrow(kept, f"row_key long, lo int, found {RANGES}")
-        hits = hits.filter(~is_rep).select("row_key", "lo", "found").unionByName(reps)
-    found = hits.select("row_key", "lo", "found").unionByName(copies)
+    copies = everything.filter(F.col("k1").isNull()).select("row_key", "lo", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("found"), empty.alias("firsts"))
+    found = hits.select("row_key", "lo", "found", "firsts").unionByName(copies)
 
     def joined_up(batches):
         for batch in batches:
-            out = [merge([(x["lo"] + y["a"], x["lo"] + y["b"] + length - 1) for x in own for y in x["found"]]) for own in batch.column(1).to_pylist()]
+            out = []
+            for own in batch.column(1).to_pylist():
+                ranges = []
+                for x in own:
+                    spans = [(y["a"], y["b"]) for y in x["found"]]
+                    if keep == "first" and x["firsts"]:
+                        flag = np.zeros(spans[-1][1], bool)
+                        for a, b in spans:
+                            flag[a:b] = True
+                        for y in x["firsts"]:
+                            flag[y["a"] : y["b"]] = False
+                        spans = runs(flag)
+                    ranges += [(x["lo"] + a, x["lo"] + b + length - 1) for a, b in spans]
+                out.append(merge(ranges))
             yield pa.RecordBatch.from_arrays([batch.column(0), _structs(out)], names=["row_key", "ranges"])
 
-    own = found.filter(F.size("found") > 0).groupBy("row_key").agg(F.collect_list(F.struct("lo", "found")).alias("x"))  # those of one document
+    own = found.filter(F.size("found") > 0).groupBy("row_key").agg(F.collect_list(F.struct("lo", "found", "firsts")).alias("x"))  # those of one document
     return own.mapInArrow(joined_up, f"row_key long, ranges {RANGES}")
 
 
-def remove_ranges(docs: DataFrame, ranges: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row for each document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary: what is left)."""
+def remove_ranges(keyed: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``keyed``: row_key, id, text. One row for each: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept``
+    (binary: what is left)."""
     marks = stash(ranges).withColumnRenamed("row_key", "r")
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -268,9 +250,14 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame, text_col: str = "text", id
 
     joined = _with(keyed, marks, "ranges", True).select("id", "text", "ranges")
     kind = keyed.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", text_col: str = "text", id_col: str = "doc_id", gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """One row for each document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept``."""
+    keyed = with_row_keys(docs, id=id_col, text=text_col)
+    return remove_ranges(keyed, repeated_ranges(keyed, length, keep, gram, group)).withColumnRenamed("id", id_col)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return remove_ranges(docs, repeated_ranges(docs)).drop("kept")
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
