@@ -1,17 +1,18 @@
 """Personal data: pattern matches, and a bootstrapped contextual extraction that adds to them.
 
-The base finds e-mail addresses, IP addresses, card numbers and telephone numbers by their form. These are the seeds of
-the extraction: words around a seed make lexical patterns; patterns and the identifier-like words they surround form a
-bipartite graph, which Spark scores in turns (a pattern by the share of its instances that are believed, an instance by
-the patterns that vouch for it). Identifiers in high-confidence patterns that the base doesn't know are added with the
-pattern's kind.
+The base finds e-mail addresses, IP addresses, card numbers and telephone numbers by their form. They are seeds of the
+extraction, and so are values assigned to a few names (``password=...``), of a kind ``secret`` that the base lacks. The
+words around a seed make lexical patterns. Patterns and the identifier-like strings in them (words, groups of digits,
+assigned values) form a bipartite graph, which Spark scores in turns: a pattern by what is believed of its instances, an
+instance by the best pattern that vouches for a kind its form allows. What is found in one turn supports patterns in the
+next. Occurrences of believed instances that the base doesn't cover are added with their kind.
 
 Base matches are leftmost and do not overlap within a kind; matches that fail their check are dropped without retry.
 All scanners take time in proportion to the text, also on long runs of one character class.
 
-Edge cases: a null text counts as empty; repeated documents are scanned each; an empty table gives an empty result;
-other columns are ignored; without seeds nothing is added; equal scores add both spans unless they overlap, then the
-earlier one.
+Edge cases: a null text counts as empty; repeated documents are scanned each (an instance counts once in a pattern
+however often they repeat it); an empty table gives an empty result; other columns are ignored; without seeds nothing
+is added; of kinds with equal scores the last by name is taken; added spans never overlap base ones.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import added_schema, with_columns
-from .common import read_table, stash
+from .common import fresh, read_table, stash, with_row_keys
 
 KINDS = ("email", "ip", "card", "phone")
-#: Turns of the scoring, weight of doubt in a pattern's score, and the least scores of patterns and added instances.
-TURNS, DOUBT, LEAST_PATTERN, LEAST_INSTANCE = 3, 2.0, 0.9, 0.9
+SECRET = "secret"
+#: Names whose assigned values are seeds of the kind ``secret``.
+SEED_NAMES = frozenset("password passwd pwd secret token api_key apikey access_key".split())
+#: Turns of the scoring; weight of an instance nothing is known of and of doubt in a pattern's score; believed instances
+#: a pattern needs, and its least score.
+TURNS, UNSEEN, DOUBT, SUPPORT, LEAST_SCORE = 3, 0.25, 1.0, 4, 0.7
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match that fails at the first digit of a run fails at the others too, so only that one is tried
@@ -36,7 +41,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"\S+")
+_TOKEN = re.compile(r"""[^\s="'<>|;,:]+|[=:]""")
+_ZERO = str.maketrans("123456789", "000000000")
 _EDGE = ".,;:!?\"'()[]{}<>|*&%$#=“”„»«"
 
 
@@ -67,12 +73,18 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _small(part: str) -> bool:
+    """At most 255, however many zeros come first."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as in ``KINDS``, then start."""
     out = [("email", *s) for s in emails(text)] if "@" in text else []
     if not _DIGIT.search(text):
         return out
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_small(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         d = _digits(m.group()) if m.end() - m.start() <= 40 else ""
         if 13 <= len(d) <= 19 and luhn(d):
@@ -83,112 +95,143 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _norm(word: str) -> str:
-    return word.lower().strip(_EDGE)
+    return word if word in "=:" else word.lower().strip(_EDGE).translate(_ZERO)
 
 
-def _context(words: list[tuple[int, int]], text: str, start: int, end: int, first: int, last: int) -> list[str]:
-    """Patterns of the span over words ``first`` to ``last``: the two words before; the word before and the one after."""
-    left = [_norm(text[a:b]) for a, b in words[max(0, first - 2) : first]]
-    right = _norm(text[slice(*words[last + 1])]) if last + 1 < len(words) else "</s>"
+def _context(tokens: list[tuple[int, int]], text: str, first: int, last: int) -> list[str]:
+    """Patterns of a span over tokens ``first`` to ``last``: the two before; the one before and the one after."""
+    left = [_norm(text[a:b]) for a, b in tokens[max(0, first - 2) : first]]
+    right = _norm(text[slice(*tokens[last + 1])]) if last + 1 < len(tokens) else "</s>"
     left = ["<s>"] * (2 - len(left)) + left
     return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right}"]
 
 
+def _fits(core: str) -> list[str]:
+    """The kinds that a string's form allows; none: it isn't like an identifier."""
+    digits = sum("0" <= c <= "9" for c in core)
+    letters = any(c.isalpha() for c in core)
+    out = []
+    if "@" in core and len(core) >= 6:
+        out.append("email")
+    elif not letters:
+        out += ["ip"] * (core.count(".") == 3 and digits >= 4) + ["phone"] * (7 <= digits <= 15) + ["card"] * (12 <= digits <= 19)
+    return out + [SECRET] * ("@" not in core and len(core) >= 8 and digits > 0)
+
+
+def _numeric(word: str) -> bool:
+    return all(c in "0123456789().+-/" for c in word) and any("0" <= c <= "9" for c in word)
+
+
 def scan_text(text: str) -> tuple[list[dict], list[dict]]:
-    """Base spans, and occurrences for the graph: seeds (with their kind) and other identifier-like words (kind null)."""
+    """Base spans, and occurrences for the graph: seeds (with their kind) and other identifier-like strings (kind null)
+    with the kinds that their form allows."""
     base = base_spans(text)
     if not base and not _DIGIT.search(text) and "@" not in text:
         return [], []
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts = [a for a, _ in words]
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts = [a for a, _ in tokens]
     seen, covered = [], set()
     for kind, a, b in base:
-        first, last = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+        first, last = max(0, bisect_right(starts, a) - 1), max(0, bisect_right(starts, b - 1) - 1)
         covered.update(range(first, last + 1))
-        seen.append({"kind": kind, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": _context(words, text, a, b, first, last)})
-    for i, (a, b) in enumerate(words):
-        if i in covered or b - a > 120:
+        seen.append({"kind": kind, "start": a, "end": b, "instance": text[a:b].lower(), "fits": [kind], "patterns": _context(tokens, text, first, last)})
+    i = 0
+    while i < len(tokens):
+        first = i
+        i += 1
+        if first in covered or tokens[first][1] - tokens[first][0] > 120:
             continue
+        a, b = tokens[first]
+        if _numeric(text[a:b]):  # neighbouring groups of digits are one string
+            while i < len(tokens) and i not in covered and tokens[i][0] == b + 1 and b - a < 40 and _numeric(text[slice(*tokens[i])]):
+                b = tokens[i][1]
+                i += 1
         word = text[a:b]
         core = word.strip(_EDGE)
-        if len(core) < 6 or not ("@" in core or sum("0" <= c <= "9" for c in core) >= 4):
+        if not core or not (fits := _fits(core)):
             continue
-        a += word.index(core)
-        seen.append({"kind": None, "start": a, "end": a + len(core), "instance": core.lower(), "patterns": _context(words, text, a, a + len(core), i, i)})
+        at = word.index(core)
+        if core.count(")") > core.count("(") and word[at - 1 : at] == "(":
+            at, core = at - 1, "(" + core
+        a += at
+        named = first >= 2 and text[slice(*tokens[first - 1])] in ("=", ":") and _norm(text[slice(*tokens[first - 2])]) in SEED_NAMES
+        kind = SECRET if named and SECRET in fits and any(c.isalpha() for c in core) else None
+        seen.append({"kind": kind, "start": a, "end": a + len(core), "instance": core.lower(), "fits": fits, "patterns": _context(tokens, text, first, i - 1)})
     return [{"kind": k, "start": a, "end": b} for k, a, b in base], seen
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_SEEN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+_SEEN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("fits", pa.list_(pa.string())), ("patterns", pa.list_(pa.string()))])
 SPANS = "array<struct<kind: string, start: int, end: int>>"
+_OUT = "array<struct<kind: string, start: int, end: int, instance: string, fits: array<string>, patterns: array<string>>>"
 
 
-def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """row_key, id, ``base`` (spans) and ``seen`` (occurrences): one pass over the texts."""
+def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", key: str | None = None) -> DataFrame:
+    """row_key, id, ``base`` (spans) and ``seen`` (occurrences): one pass over the texts. ``key``: a column of ``docs``
+    that tells rows apart; without one, rows are numbered in this pass."""
 
     def run(batches):
         for batch in batches:
             found = [scan_text(t.as_py() or "") for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.list_(_SPAN)), pa.array([x[1] for x in found], pa.list_(_SEEN))], names=["row_key", "id", "base", "seen"])
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = F.col(key) if key else F.monotonically_increasing_id()
+    keyed = docs.select(own.alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"row_key long, id {kind}, base {SPANS}, seen array<struct<kind: string, start: int, end: int, instance: string, patterns: array<string>>>")
+    return keyed.mapInArrow(run, f"row_key long, id {kind}, base {SPANS}, seen {_OUT}")
 
 
 def bootstrap(occurrences: DataFrame, turns: int = TURNS) -> DataFrame:
-    """``occurrences``: instance, kind (null if unknown), pattern. Returns instance, kind, score for unknown instances
-    that high-confidence patterns vouch for.
+    """``occurrences``: instance, kind (null if unknown), ``fits`` (kinds that its form allows), pattern. Returns instance,
+    kind, score for seeds (score 1) and for the instances that high-confidence patterns vouch for.
 
     An edge joins an instance and a pattern. Turn by turn: score of (pattern, kind) = sum of its instances' scores for
-    the kind / (number of its instances + DOUBT); score of (instance, kind) = the best of its patterns' scores. Seeds
-    stay at 1. Only edges and scores are shuffled.
+    the kind / (its believed instances + UNSEEN * the others + DOUBT), if SUPPORT instances or more are believed to be
+    of the kind; score of an instance = the best of its patterns' scores for a kind it fits, if that is LEAST_SCORE or
+    more. Only edges and scores are shuffled.
     """
-    edges = stash(occurrences.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"), F.count("kind").alias("seeds")).filter((F.col("seeds") / (F.col("seeds") + DOUBT) >= LEAST_PATTERN))
-    # a pattern starts from its seeds: one that has too few of them to get the least score by itself takes no part
-    live = stash(edges.join(sizes.select("pattern", "size"), "pattern"))
-    beliefs = live.filter(F.col("kind").isNotNull()).select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-    patterns = None
+    edges = stash(occurrences.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("fits").alias("fits")))
+    seeds = stash(edges.filter(F.col("kind").isNotNull()).groupBy("instance").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("score")))
+    sizes = stash(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")))
+    unknown = stash(edges.select("pattern", "instance", "fits").join(seeds.select("instance"), "instance", "left_anti"))
+    beliefs = seeds
     for _ in range(turns):
-        patterns = (
-            live.select("pattern", "instance", "size")
-            .join(beliefs, "instance")
-            .groupBy("pattern", "kind")
-            .agg((F.sum("score") / (F.first("size") + DOUBT)).alias("pattern_score"))
-            .filter(F.col("pattern_score") >= LEAST_PATTERN)
-        )
-        found = live.filter(F.col("kind").isNull()).select("pattern", "instance").join(patterns, "pattern").groupBy("instance", "kind").agg(F.max("pattern_score").alias("score"))
-        seeds = live.filter(F.col("kind").isNotNull()).select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-        beliefs = stash(seeds.unionByName(found))
-    known = live.filter(F.col("kind").isNotNull()).select("instance").distinct()
-    best = beliefs.join(known, "instance", "left_anti").groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b"))
-    return best.filter(F.col("b.score") >= LEAST_INSTANCE).select("instance", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
-
-
-def find_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+        told = edges.select("pattern", "instance").join(beliefs, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("n"))
+        by_kind = told.groupBy("pattern").agg(F.sum("n").alias("known"), F.collect_list(F.struct("kind", "mass", "n")).alias("k"))  # one for each kind
+        weight = F.col("known") + UNSEEN * (F.col("size") - F.col("known")) + DOUBT
+        patterns = by_kind.join(sizes, "pattern").select("pattern", weight.alias("weight"), F.explode("k").alias("k")).select("pattern", "k.kind", (F.col("k.mass") / F.col("weight")).alias("score"), "k.n").filter((F.col("n") >= SUPPORT) & (F.col("score") >= LEAST_SCORE))
+        found = unknown.join(stash(patterns.select("pattern", "kind", "score")), "pattern").filter(F.array_contains("fits", F.col("kind"))).groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b"))
+        beliefs = stash(seeds.unionByName(found.select("instance", "b.kind", "b.score")))
+    return beliefs
+
+
+def find_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", key: str | None = None) -> DataFrame:
     """One row for each document: row_key, id, ``base`` and ``spans`` (base and added ones, by kind, then start)."""
-    scanned = stash(scan(docs, text_col, id_col))
+    scanned = stash(scan(docs, text_col, id_col, key))
     seen = scanned.filter(F.size("seen") > 0).select("row_key", F.explode("seen").alias("s")).select("row_key", "s.*")
-    added = bootstrap(seen.select("instance", "kind", F.explode("patterns").alias("pattern")))
+    believed = bootstrap(seen.select("instance", "kind", "fits", F.explode("patterns").alias("pattern")))
     more = (
-        seen.filter(F.col("kind").isNull())
-        .select("row_key", "start", "end", "instance")
-        .join(added.select("instance", "kind"), "instance")
+        seen.filter(F.col("kind").isNull() | (F.col("kind") == SECRET))
+        .select("row_key", "start", "end", "instance", "fits")
+        .join(believed.select("instance", "kind"), "instance")
+        .filter(F.array_contains("fits", F.col("kind")))
         .groupBy("row_key")
         .agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))  # spans of one document
     )
     more = stash(more).withColumnRenamed("row_key", "k")
     clear = F.filter(F.coalesce("added", F.array().cast(SPANS)), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    place = F.transform(F.concat("base", clear), lambda s: F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    order = F.array(*[F.lit(k) for k in (*KINDS, SECRET)])
+    place = F.transform(F.concat("base", clear), lambda s: F.struct(F.array_position(order, s["kind"]).alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.transform(F.array_sort(place), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return scanned.join(more, F.col("row_key") == F.col("k"), "left").select("row_key", F.col("id").alias(id_col), "base", spans.alias("spans"))
 
 
-def redact(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``spans`` (row_key, spans) replaced by its kind in brackets; other rows unchanged."""
-    columns = docs.columns
-    marks = stash(spans.filter(F.size("spans") > 0).select(F.col("row_key").alias("_k"), F.col("spans").alias("_spans")))
+def redact(keyed: DataFrame, spans: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``keyed`` without its column ``key``, every span of ``spans`` (row_key as in ``key``, spans) replaced by its kind in
+    brackets; other rows unchanged."""
+    columns = [c for c in keyed.columns if c != key]
+    mine, marked = fresh("k", keyed.columns), fresh("marks", keyed.columns)
+    marks = stash(spans.filter(F.size("spans") > 0).select(F.col("row_key").alias(mine), F.col("spans").alias(marked)))
 
     def run(batches):
         at = columns.index(text_col)
@@ -203,8 +246,15 @@ def redact(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFra
                 out.append("".join(parts) + text[done:] if parts else text)
             yield with_columns(batch.select(columns), {text_col: pa.array(out, batch.schema.field(at).type)})
 
-    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(marks, F.col("_row") == F.col("_k"), "left").select(*columns, "_spans")
-    return joined.mapInArrow(run, added_schema(docs.schema, f"{text_col} string"))
+    joined = keyed.join(marks, F.col(key) == F.col(mine), "left").select(*columns, marked)
+    return joined.mapInArrow(run, added_schema(keyed.select(columns).schema, f"`{text_col}` string"))
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """All rows and columns of ``docs``, personal data in the text replaced."""
+    key = fresh("row_key", docs.columns)
+    keyed = with_row_keys(docs, key)
+    return redact(keyed, find_spans(keyed, text_col, id_col, key), key, text_col)
 
 
 def _listed(spans: Column) -> Column:
@@ -217,4 +267,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    n = F.size("spans").cast("long")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), n.alias("n_spans"), (n - F.size("base")).alias("n_added"))
