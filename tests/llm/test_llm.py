@@ -238,6 +238,76 @@ def test_decontamination(spark, empty):
     assert decontaminate.find_contaminated(table, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_other_forms(spark):
+    tom = "Tom has 5 red apples. Tom buys 3 more apples. Tom eats 2 apples. How many apples are left?"
+    may = "In May Maria sent 48 cards to Peter and Susan and half as many to her old aunt"
+    short = "Tom eats two very red apples"
+    items = spark.createDataFrame([("q1", tom), ("q2", may), ("q3", short), (None, "alpha beta gamma delta epsilon zeta")], "item_id string, text string")
+    texts = ["Anna has 7 red apples. Anna buys 4 more apples. Anna eats 1 apples. How many apples are left?", may.lower(), may.upper(), f"Question: {short}", "x alpha beta gamma delta epsilon zeta"]
+    table = docs(spark, texts).withColumn("form", F.lit(1)).withColumn("hash", F.lit(1))
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontaminate.find_contaminated(table, items).collect()}
+    assert got == {(0, "q1"): True, (1, "q2"): False, (2, "q2"): False, (3, "q3"): False, (4, None): False}
+
+
+def brute_contaminated(texts, items):
+    def forms(text):
+        tokens = re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+", text or "")
+        template, slots = [], []
+        for i, t in enumerate(tokens):
+            number = t[0].isdigit()
+            unit = not number and t.lower() in decontaminate.UNITS and i > 0 and tokens[i - 1][0].isdigit()
+            name = not number and not unit and t[0].isupper() and not (len(t) > 1 and t.isupper())
+            template.append("<u>" if unit else "<n>" if number else "<name>" if name else t.lower())
+            slots.append(number or unit or name)
+        return tokens, (template, [t.lower() for t in tokens]), slots
+
+    def one_to_one(pairs):
+        return len(set(pairs)) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+    out = set()
+    for d, text in enumerate(texts):
+        tokens, own, slots = forms(text)
+        for i, item in items:
+            them, theirs, free = forms(item)
+            size = min(8, len(them))
+            if size < 4:
+                continue
+            for form in (0, 1):
+                places = range(len(them) - size + 1)
+                if form == 0:
+                    places = [p for p in places if size - sum(free[p : p + size]) >= 4] or list(places)
+                copies = {}
+                for p in places:
+                    for at in range(len(tokens) - size + 1):
+                        if own[form][at : at + size] == theirs[form][p : p + size]:
+                            pairs = [(tokens[at + k].lower(), them[p + k].lower()) for k in range(size) if free[p + k]] if form == 0 else []
+                            if one_to_one(pairs):
+                                copies.setdefault(at - p, []).append((p, pairs))
+                matched = set()
+                for windows in copies.values():
+                    fits = one_to_one([x for _, pairs in windows for x in pairs])
+                    matched |= {p for p, pairs in windows if fits or all(a == b for a, b in pairs)}
+                if len(matched) >= len(places) * decontaminate.COVER:
+                    out.add((d, i))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(16)
+    word = lambda: rng.choice(["apples", "red", "has", "the", "a", "buys", "How", "Tom", "Anna", "5", "7.5", "km", "left", "many", "so"])
+    items = [(i, " ".join(word() for _ in range(rng.randrange(2, 20)))) for i in range(12)]
+    texts = [None, "", "Tom " * 3000]
+    for _ in range(120):
+        _, text = rng.choice(items)
+        text = " ".join(rng.choice([w, w, w, w, word()]) if rng.random() < 0.4 else w for w in text.split())
+        for a, b in rng.sample([("Tom", "Anna"), ("5", "7.5"), ("apples", "pears"), ("has", "HAS"), ("How", "how")], 2):
+            text = text.replace(a, b)
+        texts.append(f"{word()} {word()}. {text} {word()}")
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.find_contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    expected = brute_contaminated(texts, items)
+    assert sorted(got) == sorted(expected) and len(expected) > 40
+
+
 # personal data
 
 
