@@ -533,16 +533,30 @@ def test_near_duplicates_against_brute_force(spark, n, percent, block, monkeypat
     texts += [texts[-1].upper()] * 20
     table = docs(spark, texts).withColumn("root", F.lit("clash"))
     sizes, roots = brute_components(texts, n, percent)
-    found = {r["row_key"]: r["root"] for r in ngram_join.jaccard_components(table, n, percent, block=block).collect()}
-    keys = {r["k"]: r["doc_id"] for r in table.select(F.monotonically_increasing_id().alias("k"), "doc_id").collect()}
-    groups = {}
-    for k, i in keys.items():
-        groups.setdefault(found.get(k, k), []).append(i)
-    assert sorted(sorted(g) for g in groups.values()) == sorted(sorted(i for i, r in enumerate(roots) if r == x) for x in set(roots))
-    counts = ngram_join.ngram_join(table, n, percent).orderBy("doc_id").collect()
+    counts = ngram_join.ngram_join(table, n, percent, block=block).orderBy("doc_id").collect()
     assert [r["n_shingles"] for r in counts] == sizes and [r["component_id"] for r in counts] == roots
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_derived_answers(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(12):
+        s = rng.choice(1 << 40, rng.integers(1, 300), replace=False)
+        for _ in range(rng.integers(1, 9)):
+            s = np.union1d(rng.permutation(s)[rng.integers(0, 1 + len(s) // 20) :], rng.choice(1 << 40, rng.integers(0, 1 + len(s) // 30), replace=False))
+            sets.append(s.astype(np.uint64))
+    sizes = np.array([len(s) for s in sets])
+    links = 0
+    for i, shared in ngram_join.answers(sets, sets, percent):
+        true = np.array([len(np.intersect1d(sets[i], t)) for t in sets])
+        linked = ngram_join._linked(sizes[i], sizes, true, percent)
+        assert (ngram_join._linked(sizes[i], sizes, shared, percent) == linked).all() and (shared[linked] == true[linked]).all()
+        assert (shared <= true).all()
+        links += int(linked.sum()) - 1
+    assert links > 50
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert ngram_join.ngram_join(empty).count() == 0
     assert ngram_join.ngram_join(docs(spark, [None, "", " "])).filter("n_shingles = 0 and component_id = doc_id").count() == 3

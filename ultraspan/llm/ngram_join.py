@@ -11,14 +11,19 @@ that hold smaller partners. Empty blocks make no list. A set with more empty blo
 joins by prefix filtering, that is by lists of its smallest single shingles, so no link is lost.
 
 Pairs are counted in short lists, and a pair that shares fewer blocks than linked sets must is dropped; long lists, which
-only large groups of near copies have, give star edges. What is left gives candidate components. Inside one, sets are compared in blocks of ``BLOCK`` sets with answers derived from a
-highly similar set: the sets linked to the leader have their component from it, and only for the others the answers
-against all sets are computed. Components larger than a block are compared block by block against the leader first;
-then the sets not in the leader's component, blocks of them, against all blocks. Nothing is sampled or capped.
+only large groups of near copies have, give star edges. What is left gives candidate components, and only they are
+compared, shingle by shingle, in blocks of ``BLOCK`` sets. There the index lists of the shingles are ordered by the
+position a shingle has in its set: linked sets hold a common shingle at nearly the same position, so the entries before
+and after that are skipped as blocks. A set's answers are derived from those of a highly similar set, its leader: the
+leader's counts, less the lists of the shingles that only the leader has, plus the lists of those that only the set has.
+Components larger than a block are compared block by block against their first set; then the sets not in its component,
+blocks of them, against all blocks. Nothing is sampled or capped.
+
+Hashes of lists and sets only make candidates; what decides is the number of shingles (64-bit hashes) in common.
 
 Edge cases: documents without a word (null and empty texts) have an empty set and link with nothing; equal sets link;
-repeated documents are separate rows; very long texts are read whole; empty tables give empty results; other columns
-are ignored.
+repeated documents are separate rows, also where ids repeat; null ids are kept; very long texts are read whole; empty
+tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +34,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .arrowtext import text_slices
-from .common import read_table, stash
+from .common import read_table, stash, with_row_keys
 
 BAND = 0.7
 BLOCK = 128
@@ -182,11 +186,12 @@ def candidate_edges(keyed: DataFrame, n_words: int, percent: int) -> DataFrame:
                 for s in range(0, len(k), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(k[s : s + 200_000]), pa.array(u[s : s + 200_000]), pa.array(w[s : s + 200_000])], names=["key", "ub", "need"])
 
-    size = F.count(F.lit(1)).over(W.partitionBy("key"))
-    listed = stash(keyed.mapInArrow(run, "key long, ub long, need int").withColumn("n", size).filter((F.col("n") > 1) | (F.col("need") == EQUAL)))
+    everything = stash(keyed.mapInArrow(run, "key long, ub long, need int"))
+    counted = everything.filter(F.col("need") != EQUAL)
+    several = stash(counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    lists = stash(counted.join(several, "key"))
     row = lambda c: F.shiftright(c, BAND_BITS)
-    equal = listed.filter(F.col("need") == EQUAL).select(row("ub").alias("u"), F.col("key").alias("v"))
-    lists = listed.filter(F.col("need") != EQUAL)
+    equal = everything.filter(F.col("need") == EQUAL).select(row("ub").alias("u"), F.col("key").alias("v"))
     long_lists = lists.filter(F.col("n") > SHORT)
     held = stash(long_lists.filter(F.col("need") != SINGLE).groupBy("ub").agg(F.count(F.lit(1)).alias("h")).withColumnRenamed("ub", "k"))
     held = F.broadcast(held) if held.count() <= MOST_BROADCAST else held
@@ -205,42 +210,80 @@ def candidate_edges(keyed: DataFrame, n_words: int, percent: int) -> DataFrame:
     return equal.unionByName(near).unionByName(stars).filter("u != v").distinct()
 
 
-def _shared(own: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """For each set of ``own``, the sizes of its intersections with all of ``others``."""
-    tokens = np.concatenate(others)
-    owner = np.repeat(np.arange(len(others)), [len(s) for s in others])
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    for s in own:
-        lo, hi = np.searchsorted(tokens, s, side="left"), np.searchsorted(tokens, s, side="right")
-        yield np.bincount(owner[_spread(lo, hi - lo)], minlength=len(others))
-
-
 def _linked(size: int, sizes: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
     return 100 * shared >= percent * (size + sizes - shared)
 
 
+class Lists:
+    """Index lists of the shingles of some sets: entries are sets, ordered by the shingle's position in them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        position = _spread(np.zeros(len(sets), np.int64), self.sizes)
+        order = np.lexsort((position, tokens))
+        self.values, number = np.unique(tokens, return_inverse=True)
+        self.place = (number[order] << 32) | position[order]
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def count(self, s: np.ndarray, positions: np.ndarray | None = None, reach: int = 1 << 31) -> np.ndarray:
+        """For each set, how many of the shingles ``s`` it has; with ``positions``, entries whose position is more than
+        ``reach`` away are skipped."""
+        k = np.searchsorted(self.values, s)
+        known = k < len(self.values)
+        known[known] = self.values[k[known]] == s[known]
+        k = k[known] << 32
+        at = positions[known] if positions is not None else np.zeros(len(k), np.int64)
+        lo = np.searchsorted(self.place, k | np.maximum(at - reach, 0), side="left")
+        hi = np.searchsorted(self.place, k | np.minimum(at + reach, (1 << 32) - 1), side="right")
+        return np.bincount(self.owner[_spread(lo, hi - lo)], minlength=len(self.sizes))
+
+
+def answers(own: list[np.ndarray], others: list[np.ndarray], percent: int, wanted=lambda i: True) -> Iterator[tuple[int, np.ndarray]]:
+    """For sets of ``own``, one after the other while ``wanted``: how many shingles it shares with each set of ``others``.
+    Exact for all it is linked with; for others it may be too low.
+
+    The first of the sets that are linked with each other is looked up in the lists; the others are derived from it. Its
+    counts must hold for what those are linked with, so entries are skipped only beyond (100 - percent) % of its size for
+    the one step and as much again, of the larger set, for the other.
+    """
+    mine, lists = Lists(own), Lists(others)
+    leader, counts = np.full(len(own), -1), {}
+    for i, s in enumerate(own):
+        if not wanted(i):
+            continue
+        if leader[i] < 0:
+            one = -(-len(s) * (100 - percent) // percent) + 1
+            two = one + -(-len(s) * 100 * (100 - percent) // percent**2) + 1
+            positions = np.arange(len(s))
+            similar = _linked(len(s), mine.sizes, mine.count(s, positions, one), percent)
+            leader[similar & (leader < 0)] = i
+            leader[i] = i
+            counts[i] = lists.count(s, positions, two)
+            yield i, counts[i]
+        else:
+            first = own[leader[i]]
+            yield i, counts[leader[i]] - lists.count(np.setdiff1d(first, s, assume_unique=True)) + lists.count(np.setdiff1d(s, first, assume_unique=True))
+
+
 def _within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of the sets; the first is the leader."""
+    """Links that span the components of the sets. Sets linked with the first are in its component already; what they
+    are linked with besides, the others' answers show."""
     sizes = np.array([len(s) for s in sets])
     done = np.zeros(len(sets), bool)
     links = []
-    for i in range(len(sets)):
-        if done[i]:
-            continue  # linked to a set whose answers are known: nothing new can come but from the others' answers
-        shared = next(_shared([sets[i]], sets))
+    for i, shared in answers(sets, sets, percent, lambda i: not done[i]):
         at = np.flatnonzero(_linked(sizes[i], sizes, shared, percent))
         links += [(i, int(j)) for j in at if j != i]
-        done[i] = True
         if i == 0:
             done[at] = True
     return links
 
 
-def jaccard_components(docs: DataFrame, n_words: int = 3, percent: int = 90, text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """row_key, root for documents that link with another one; ``row_key`` is ``monotonically_increasing_id`` of
-    ``docs``, stable for tables read from files; root is the smallest row_key of the component."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(text_col).alias("text"))
+def jaccard_components(keyed: DataFrame, n_words: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
+    """``keyed``: row_key, text (a written table, see ``with_row_keys``). Returns row_key, root for documents that link
+    with another one; root is the smallest row_key of the component."""
+    keyed = keyed.select("row_key", "text")
     groups = connected_components(candidate_edges(keyed, n_words, percent))
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("root", "r")
     members = stash(
@@ -288,7 +331,7 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, percent: int = 90, tex
                 others = [np.frombuffer(t, np.uint64) for t in b["tokens"]]
                 sizes, ids, labels = np.array([len(s) for s in others]), b["row_key"].to_numpy(), b["label"].to_numpy()
                 own = [np.frombuffer(t, np.uint64) for t in a["tokens"]]
-                for i, shared in enumerate(_shared(own, others)):
+                for i, shared in answers(own, others, percent):
                     at = np.flatnonzero(_linked(len(own[i]), sizes, shared, percent) & (labels != a["label"].iloc[i]))
                     _, one = np.unique(labels[at], return_index=True)  # one link to each component
                     out += [(a["row_key"].iloc[i], ids[j]) for j in at[one]]
@@ -299,22 +342,22 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, percent: int = 90, tex
     return connected_components(links).select(F.col("node").alias("row_key"), "root")
 
 
-def shingle_counts(docs: DataFrame, n_words: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """row_key, id, n_shingles."""
+def shingle_counts(keyed: DataFrame, n_words: int = 3) -> DataFrame:
+    """``keyed``: row_key, id, text. Returns row_key, id, n_shingles."""
 
     def run(batches):
         for batch in batches:
             sizes = np.concatenate([s for _, _, s, _ in shingle_sets(batch.column(2), n_words)] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["row_key", "id", "n_shingles"])
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return keyed.mapInArrow(run, f"row_key long, id {keyed.schema['id'].dataType.simpleString()}, n_shingles long")
+    return keyed.select("row_key", "id", "text").mapInArrow(run, f"row_key long, id {keyed.schema['id'].dataType.simpleString()}, n_shingles long")
 
 
-def ngram_join(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each document: id, ``n_shingles``, ``component_id`` (smallest id reachable by links)."""
-    counts = stash(shingle_counts(docs, n_words, text_col, id_col))
-    found = stash(jaccard_components(docs, n_words, percent, text_col)).select(F.col("row_key").alias("k"), "root")
+    keyed = with_row_keys(docs, id=id_col, text=text_col)
+    counts = stash(shingle_counts(keyed, n_words))
+    found = stash(jaccard_components(keyed, n_words, percent, block)).select(F.col("row_key").alias("k"), "root")
     labelled = counts.join(found, F.col("row_key") == F.col("k"), "left").drop("k")
     least = stash(labelled.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))).withColumnRenamed("root", "r")
     return labelled.join(least, F.col("root") == F.col("r"), "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
