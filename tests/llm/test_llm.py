@@ -192,7 +192,7 @@ def test_toxicity(spark, empty):
         labels.append(int(toxic))
     train = docs(spark, texts[:160]).withColumn("toxic", F.element_at(F.array(*[F.lit(y) for y in labels[:160]]), (F.col("doc_id") + 1).cast("int")))
     model = toxicity.fit(train)
-    tests = texts[160:] + [None, "", "fine words. you GRUMWIT!", "zorgle " * 5000]
+    tests = texts[160:] + [None, "", "İİ fine words. you GRUMWIT!", "zorgle " * 5000]
     got = toxicity.tag(docs(spark, tests).withColumn("tox_score", F.lit("clash")), model).orderBy("doc_id").collect()
     right = np.mean([(r["tox_score"] >= toxicity.THRESHOLD) == y for r, y in zip(got[:80], labels[160:], strict=True)])
     assert right >= 0.95
@@ -200,6 +200,8 @@ def test_toxicity(spark, empty):
     spans = got[82]["tox_spans"]
     assert [tests[82][s["start"] : s["end"]] for s in spans] == ["GRUMWIT"]
     assert len(got[83]["tox_spans"]) == 5000
+    kept = toxicity.drop_toxic(docs(spark, tests).withColumn("tox_score", F.lit("clash")), model)
+    assert kept.columns[-1] == "tox_score" and kept.filter("tox_score = 'clash'").count() == sum(r["tox_score"] < toxicity.THRESHOLD for r in got)
     assert toxicity.tag(empty, model).count() == 0
     assert toxicity.tag(docs(spark, ["a"]), toxicity.fit(train.withColumn("toxic", F.lit(0)))).first()["tox_score"] == 0.0
 

@@ -11,7 +11,8 @@ A chain ends at ``. ! ?``, at a line break, or after ``CHAIN`` words; all words
 length.
 
 Edge cases: null and empty texts have no words, no spans and the score of a document without evidence; without any
-labelled toxic row all scores are 0; repeated documents are scored each; other columns are ignored.
+labelled toxic row all scores are 0; repeated documents are scored each and alike; an empty table gives an empty result;
+a word that is equally a seed by itself and by its beginning counts once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,12 @@ _TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 _ENDS = frozenset(".!?\n")
 
 
+def folded(text: str) -> str:
+    """Lower case, letter for letter, so that offsets hold in the text itself: letters whose lower case is longer stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def _features(word: str) -> tuple[int, int, int, int, int]:
     """Slots of the word, its beginning, its end, and of the word as a left and as a right neighbour."""
     h = lambda kind, s: zlib.crc32(f"{kind}{s}".encode()) % DIM
@@ -71,7 +78,7 @@ class Words(dict):
         return self.n - 1
 
     def numbers(self, text: str) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, _TOKEN.findall(text.lower())), np.int64)
+        return np.fromiter(map(self.__getitem__, _TOKEN.findall(folded(text))), np.int64)
 
 
 def chains(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +217,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_c
     def words_of(batches):
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ws = list({x for w in _TOKEN.findall(text.lower()) if w not in _ENDS for x in (w, _start(w))})
+                ws = list({x for w in _TOKEN.findall(folded(text)) if w not in _ENDS for x in (w, _start(w))})
                 yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array([y] * len(ws), pa.int32())], names=["word", "y"])
 
     found = rows.mapInArrow(words_of, "word string, y int").groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter(F.col("a") >= LEAST_DOCS)
@@ -224,7 +231,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_c
         for batch in batches:
             out = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = _TOKEN.findall(text.lower())
+                tokens = _TOKEN.findall(folded(text))
                 ids = np.fromiter(map(slots.__getitem__, tokens), np.int64, len(tokens))
                 starts, lengths = chains(ids)
                 for s, k in zip(starts, lengths, strict=True):
@@ -235,9 +242,11 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_c
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.bool_())], names=["slots", "tags", "hit"])
 
     sentences = rows.mapInArrow(tagged, "slots array<int>, tags array<int>, hit boolean")
-    key = F.xxhash64("slots", "tags")
-    # at most sample_sentences of either kind come to the driver, as arrays
-    chosen = pa.concat_tables([sentences.filter(F.col("hit") == hit).orderBy(key).limit(sample_sentences).select("slots", "tags").toArrow() for hit in (True, False)]).combine_chunks()
+    # about sample_sentences of either kind are drawn by hash before they move, and come to the driver as arrays
+    sentences = sentences.withColumn("key", F.xxhash64("slots", "tags")).withColumn("u", F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53)))
+    count = {r[0]: r[1] for r in sentences.groupBy("hit").count().collect()}
+    few = lambda hit: sentences.filter((F.col("hit") == hit) & (F.col("u") <= sample_sentences / max(1, count.get(hit, 0))))
+    chosen = pa.concat_tables([few(hit).orderBy("key").select("slots", "tags").toArrow() for hit in (True, False)]).combine_chunks()
     weights, links = _fit_field(_flat(chosen["slots"]).reshape(-1, 5), _flat(chosen["tags"]).astype(float), np.diff(_offsets(chosen["tags"])))
     model = ToxicityModel(weights, links, None)
     scored = tag(rows, model).select("tox_evidence", "y").toPandas()  # the bounded sample
@@ -248,9 +257,10 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_c
     return model
 
 
-def tag(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """Adds ``tox_score``, ``tox_spans`` (start, end, probability; in code points of the lower-cased text) and
-    ``tox_evidence`` to every row."""
+def tag(docs: DataFrame, model: ToxicityModel, text_col: str = "text", prefix: str = "tox") -> DataFrame:
+    """Adds ``tox_score``, ``tox_spans`` (start, end, probability; in code points of the text) and ``tox_evidence`` to
+    every row; columns of these names are replaced (choose another ``prefix`` to keep them)."""
+    score, marked, known = (f"{prefix}_{x}" for x in ("score", "spans", "evidence"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by DIM
 
     def run(batches):
@@ -277,7 +287,7 @@ def tag(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFr
                 for i, text in enumerate(texts):
                     own = []
                     if most[i] >= 0.5:
-                        at = [t.span() for t in _TOKEN.finditer(text.lower())]
+                        at = [t.span() for t in _TOKEN.finditer(folded(text))]
                         own = [{"start": at[j][0], "end": at[j][1], "probability": float(p[starts[i] + j])} for j in np.flatnonzero(p[starts[i] : starts[i] + len(at)] >= 0.5)]
                     spans.append(own)
                 texts.clear()
@@ -297,9 +307,17 @@ def tag(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFr
             if texts:
                 flush()
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
-            yield with_columns(batch, {"tox_score": pa.array(scores, pa.float64()), "tox_spans": pa.array(spans, kind), "tox_evidence": pa.array(found, pa.list_(pa.float64()))})
+            yield with_columns(batch, {score: pa.array(scores, pa.float64()), marked: pa.array(spans, kind), known: pa.array(found, pa.list_(pa.float64()))})
+
+    return docs.mapInArrow(run, added_schema(docs.schema, f"{score} double, {marked} array<struct<start: int, end: int, probability: double>>, {known} array<double>"))
+
 
-    return docs.mapInArrow(run, added_schema(docs.schema, "tox_score double, tox_spans array<struct<start: int, end: int, probability: double>>, tox_evidence array<double>"))
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, all columns unchanged."""
+    prefix = "tox"
+    while any(c.lower().startswith(f"{prefix}_") for c in docs.columns):
+        prefix = f"_{prefix}"
+    return tag(docs, model, text_col, prefix).filter(F.col(f"{prefix}_score") < threshold).select(docs.columns)
 
 
 def fit_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicityModel:
