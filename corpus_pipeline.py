@@ -5,7 +5,8 @@ drop documents contaminated by benchmark items; redact personal data; mix the so
 
 Every stage takes (spark, docs, sf_dir) and handles nulls in any column, empty and very long texts, repeated rows and
 empty tables as its operator says. Of a near-duplicate group the document with the smallest id stays (nulls last, then
-the first row), a repeated id doesn't drop other rows: rows are told apart by position, not by id.
+the first row), a repeated id doesn't drop other rows: rows are told apart by a key that is written with them, not by id.
+Columns besides those of ``documents`` pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,45 +17,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ultraspan.llm import decontaminate, mixing, ngram_join, pii, toxicity
-from ultraspan.llm.common import read_table, shared_dir, stash
+from ultraspan.llm.common import fresh, read_table, shared_dir, stash, with_row_keys
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold, unchanged. The model learns from labels outside fold 2."""
-    model = toxicity.fit_on_labels(spark, docs, sf_dir)
-    return toxicity.tag(docs, model).filter(F.col("tox_score") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.fit_on_labels(spark, docs, sf_dir))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key column, written, and that column's name."""
+    key = fresh("row_key", docs.columns)
+    return with_row_keys(docs, key), key
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+def _without(keyed: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
     """``rejected``: row_key. Spark broadcasts the written keys when they are few, else it shuffles."""
-    keys = stash(rejected.select(F.col("row_key").alias("_key")).distinct())
-    return _rows(docs).join(keys, F.col("_row") == F.col("_key"), "left_anti").select(docs.columns)
+    gone = fresh("gone", keyed.columns)
+    keys = stash(rejected.select(F.col("row_key").alias(gone)).distinct())
+    return keyed.join(keys, F.col(key) == F.col(gone), "left_anti").drop(key)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links; all documents without a link."""
-    found = stash(ngram_join.jaccard_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)).withColumnRenamed("row_key", "k")
-    ids = _rows(docs).select("_row", F.col("doc_id").alias("id")).join(found, F.col("_row") == F.col("k"))
-    order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("_row").alias("row"))
+    keyed, key = _keyed(docs)
+    rows = keyed.select(F.col(key).alias("row_key"), F.col("doc_id").alias("id"), "text")
+    found = stash(ngram_join.jaccard_components(rows, SHINGLE_WORDS, SIMILARITY_PERCENT)).withColumnRenamed("row_key", "k")
+    ids = rows.select("row_key", "id").join(found, F.col("row_key") == F.col("k"))
+    order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("row_key").alias("row"))
     first = stash(ids.groupBy("root").agg(F.min(order).alias("first"))).select(F.col("first.row").alias("kept"))
-    return _without(docs, found.join(first, F.col("k") == F.col("kept"), "left_anti").select(F.col("k").alias("row_key")))
+    return _without(keyed, key, found.join(first, F.col("k") == F.col("kept"), "left_anti").select(F.col("k").alias("row_key")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, unchanged."""
-    return _without(docs, decontaminate.find_contaminated(docs, read_table(spark, sf_dir, "benchmark")))
+    keyed, key = _keyed(docs)
+    return _without(keyed, key, decontaminate.find_contaminated(keyed, read_table(spark, sf_dir, "benchmark"), key=key))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by the kind in brackets and ``n_chars`` set to the new length."""
-    clean = pii.redact(docs, pii.find_spans(docs))
-    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))).select(docs.columns)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return pii.redact_documents(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), length)).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
