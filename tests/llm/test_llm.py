@@ -160,7 +160,7 @@ def test_topk_against_brute_force(spark, seed):
     expected = {}
     for i in range(0, 300, 50):
         s = q @ q[i]
-        best = sorted((j for j in range(300) if j != i), key=lambda j: (-s[j], j))[:5]
+        best = sorted((j for j in [*range(300), 7] if j != i), key=lambda j: (-s[j], j))[:5]
         expected[i] = {k + 1: (j, int(s[j])) for k, j in enumerate(best)}
     assert got == expected
 
@@ -176,6 +176,26 @@ def test_topk_few_rows(spark):
     assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_repeated_ids_and_large_values(spark):
+    big = float(1 << 20)
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0]), (50, [big, 1.0]), (51, [big, -1.0]), (52, [1e300, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(table, table.filter("vec_id % 50 = 0"), 4).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    b = 256 << 20
+    assert got[0] == {1: (50, 256 * b), 2: (51, 256 * b), 3: (1, 256 * 768), 4: (1, 256 * 512)}
+    assert got[50] == {1: (51, b * b - 65536), 2: (1, b * 768), 3: (1, b * 512), 4: (2, b * 512)}
+
+
+def test_topk_leaves_out_far_annuli(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 12)) * 4
+    x = (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 12)) * 0.02).astype(float)
+    table = stash(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert topk.scored_share(table, table.filter("vec_id % 50 = 0")) < 0.3
+
+
 # toxicity
 
 
