@@ -31,7 +31,7 @@ def with_row_keys(docs: DataFrame, key: str = "row_key", **columns: str) -> Data
     columns if none is named. Written once: a job that scans it again sees the same keys, however many executors there
     are then and however they cut the files of ``docs``."""
     own = [F.col(c).alias(n) for n, c in columns.items()] or [docs[c] for c in docs.columns]
-    return stash(docs.select(F.monotonically_increasing_id().alias(key), *own))
+    return stash(docs.select(F.monotonically_increasing_id().alias(key), *own), "zstd")
 
 
 def ascii_lower(col: Column) -> Column:

@@ -12,6 +12,8 @@ from .arrowtext import text_slices
 
 LENGTH = 400
 GRAM = 64
+#: Bytes that the first ranks of a suffix array look at.
+FIRST = 5
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,12 +70,24 @@ def super_strings(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray,
     return h[at[first]], first, np.diff(np.concatenate([first, [len(at)]]))
 
 
+#: Bits of a position in a suffix array, where two ranks and the position fit one sortable word.
+_BITS = np.uint64(21)
+_MASK = np.uint64((1 << 21) - 1)
+
+
 def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    new = np.ones(len(key), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    rank = np.empty(len(key), np.uint64)
-    rank[order] = np.cumsum(new).astype(np.uint64)
+    """Ranks of keys (equal keys have one rank), and the order by key and position."""
+    n = len(key)
+    if n > int(_MASK):
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    else:  # keys of 43 bits; sorting whole words is far faster than sorting indices
+        word = np.sort((key << _BITS) | np.arange(n, dtype=np.uint64))
+        order, key = (word & _MASK).astype(np.int64), word >> _BITS
+    new = np.ones(n, np.uint64)
+    new[1:] = key[1:] != key[:-1]
+    rank = np.empty(n, np.uint64)
+    rank[order] = np.cumsum(new)
     return rank, order
 
 
@@ -99,7 +113,7 @@ def _common_prefix(i: np.ndarray, j: np.ndarray, raw: np.ndarray, levels: list[t
         same[inside] = rank[(i + l)[inside]] == rank[(j + l)[inside]]
         l += same * depth
     open_ = np.flatnonzero(l < length)
-    for _ in range(min(length, 8)):
+    for _ in range(min(length, FIRST)):
         open_ = open_[np.maximum(i[open_], j[open_]) + l[open_] < n]
         open_ = open_[raw[i[open_] + l[open_]] == raw[j[open_] + l[open_]]]
         l[open_] += 1
@@ -117,9 +131,9 @@ def longest_previous_factors(raw: np.ndarray, windows: np.ndarray, length: int)
     n, w = len(raw), len(windows)
     if not w:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([raw, np.zeros(FIRST, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    depth = min(8, length)
+    depth = min(FIRST, length)
     for i in range(depth):
         key = (key << np.uint64(8)) | padded[i : i + n]
     rank, order = _ranks(key)
@@ -128,7 +142,7 @@ def longest_previous_factors(raw: np.ndarray, windows: np.ndarray, length: int)
         step = min(depth, length - depth)
         later = np.zeros(n, np.uint64)
         later[: n - step] = rank[step:]
-        rank, order = _ranks((rank << np.uint64(32)) | later)
+        rank, order = _ranks((rank << (_BITS if n <= int(_MASK) else np.uint64(32))) | later)
         depth += step
         if step * 2 == depth:
             levels.append((depth, rank))

@@ -58,9 +58,10 @@ def _with(keyed: DataFrame, values: DataFrame, column: str, all_rows: bool) -> D
     """``keyed`` with the column of ``values`` (r, column) that goes with its row_key; ``all_rows``: null where none does.
 
     Where few rows have a value (a checked count of 8-byte keys), the keys alone are broadcast to tell the two kinds of
-    rows apart, and only texts with a value are shuffled to it; else all texts are.
+    rows apart, and only texts with a value are shuffled to it; else all texts are. Texts and values meet in a merge join
+    at every size, so that small runs show the plan of large ones.
     """
-    mine = F.col("row_key") == F.col("r")
+    mine, values = F.col("row_key") == F.col("r"), values.hint("merge")
     if values.count() > MOST_BROADCAST:
         return keyed.join(values, mine, "left" if all_rows else "inner").drop("r")
     keys = F.broadcast(values.select("r"))
