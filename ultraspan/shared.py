@@ -21,9 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors, and
     tells Spark the real size when it picks a join."""
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
