@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import boxes, frames, matrix, meta
 from ultraspan.functions import kernels
+from ultraspan.operators.intervals import time_islands
 from ultraspan.operators import contour as ct
 from ultraspan.operators import denoise as dn
 from ultraspan.operators import detect as de
@@ -192,6 +193,15 @@ def test_sweep(spark):
     truth = boxes(spark, [(4, 9, 19, 30, "x")])
     configs = se.sample_configs(spark, 2, 7, {"num_iter": (3.0, 9.0), "smoothing": (0.0, 0.9), "flood_threshold": (0.5, 0.9), "balloon_latent": (1.2, 1.7), "sigma": (1.0, 2.0)})
     assert configs.collect() == se.sample_configs(spark, 2, 7, {"num_iter": (3.0, 9.0), "smoothing": (0.0, 0.9), "flood_threshold": (0.5, 0.9), "balloon_latent": (1.2, 1.7), "sigma": (1.0, 2.0)}).collect()
+    # one plan for all settings finds what each setting finds by itself; equal settings are one trial
+    params = se.with_params(configs.unionByName(configs.limit(1).withColumn("config_id", F.lit("again")))).collect()
+    named = [{**r.asDict(), "setting": i} for i, r in enumerate(params)]
+    together = ct.detect_gac_settings(f, m, named, 1, True, 50.0).groupBy("setting").agg(F.sort_array(F.collect_list(F.struct("t_start", "t_end", "freq_start", "freq_end"))).alias("b"))
+    together = {r["setting"]: [tuple(b) for b in r["b"]] for r in together.collect()}
+    for i, r in enumerate(params[:2]):
+        alone = ct.detect_gac(f, m, 1, True, r["num_iter"], r["smoothing"], float(r["threshold"]), float(r["balloon"]), "eroded", float(r["flood_threshold"]), float(r["sigma"]), 50.0)
+        assert together.get(i, []) == sorted((b["t_start"], b["t_end"], b["freq_start"], b["freq_end"]) for b in alone.collect())
+    assert together.get(0) == together.get(2) and any(together.values())
     out = wf.tune(f, m, truth, configs, 40.0, alpha=50.0)
     assert out["trials"].count() == 2
     best = out["best"].first()
@@ -252,3 +262,32 @@ def test_annotation_files(spark, tmp_path):
     assert got == [(0.5, True), (0.5, True), (1.0, True)]
     labels = spark.createDataFrame([("junk",), ("x",), (None,)], "usv_type string")
     assert {r[0] for r in sa.clean_labels(labels).collect()} == {"x", None}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.5, 0.75, 1.0])
+def test_exact_percentile(spark, share):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 5000), (None, 300)) for v in rng.normal(size=n) ** 3] + [("d", 2.5)] * 50 + [("e", float(v // 10)) for v in range(95)] + [("c", None), ("f", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r["k"]: r["q"] for r in sp.exact_percentile(df, ("k",), "x", share, "q", 64).collect()}
+    by = {}
+    for k, v in rows:
+        if v is not None:
+            by.setdefault(k, []).append(v)
+    assert got == {k: pytest.approx(np.quantile(v, share)) for k, v in by.items()}
+
+
+def test_islands_across_buckets(spark):
+    rng = np.random.default_rng(4)
+    rows = [("r", int(a), int(a + b)) for a, b in zip(rng.integers(0, 3000, 300), rng.integers(0, 30, 300), strict=True)] + [("s", 5, 2000), ("s", 100, 120), ("s", 2003, 2003), (None, 7, 8)]
+    df = spark.createDataFrame(rows, "recording string, t_start long, t_end long")
+    for gap in (0, 3):
+        wide = {tuple(r) for r in time_islands(df, gap=gap, width=1 << 20).collect()}
+        assert wide == {tuple(r) for r in time_islands(df, gap=gap, width=16).collect()}
+        brute, end = {}, {}
+        for k, a, b in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+            brute.setdefault(k, 0)
+            if k not in end or a > end[k] + gap:
+                brute[k] += 1
+            end[k] = max(end.get(k, b), b)
+            assert (k, a, b, brute[k]) in wide

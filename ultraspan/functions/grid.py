@@ -36,3 +36,9 @@ def nearest_index(v: Column, origin: Column, step: Column, n: Column) -> Column:
 def axis_value(index: Column, origin: Column, step: Column, n: Column) -> Column:
     """Value at an index; an index of n (an end that was rounded up) counts as n - 1."""
     return origin + F.least(index, n - 1) * step
+
+
+def unit_hash(*columns: Column) -> Column:
+    """A number from 0 up to 1 that depends on the columns' texts only (52 bits of their md5)."""
+    text = F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))

@@ -46,15 +46,16 @@ def ones_level_set(frames: DataFrame, meta: DataFrame) -> DataFrame:
     return frames.join(_edge(meta), "recording").select(*frames.drop("mags").columns, F.transform("mags", lambda x, i: F.when(edge | (i == 0) | (i == last), 0.0).otherwise(1.0)).alias("mags"))
 
 
-def eroded_level_set(frames: DataFrame, meta: DataFrame, threshold: float, keys: Sequence[str] = KEYS) -> DataFrame:
-    """0 for pixels that a path over pixels above the threshold (8 neighbours) joins to the edge of the spectrogram,
-    1 for all others. The edge pixels themselves are 0.
+def eroded_level_set(frames: DataFrame, meta: DataFrame, threshold: float | str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """0 for pixels that a path over pixels above the threshold (a number, or a column of ``keys``; 8 neighbours) joins to
+    the edge of the spectrogram, 1 for all others. The edge pixels themselves are 0.
 
     Components of such pixels come from their runs; those that touch the edge are taken out.
     """
     last = F.size("mags") - 1
+    limit = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
     edge = (F.col("frame") == 0) | (F.col("frame") == F.col("_n") - 1)
-    rows = stash(frames.join(_edge(meta), "recording").select(*keys, "frame", "_n", F.size("mags").alias("_f"), F.transform("mags", lambda x, i: F.when(edge | (i == 0) | (i == last) | (x > threshold), 1.0).otherwise(0.0)).alias("mags")))
+    rows = stash(frames.join(_edge(meta), "recording").select(*keys, "frame", "_n", F.size("mags").alias("_f"), F.transform("mags", lambda x, i: F.when(edge | (i == 0) | (i == last) | (x > limit), 1.0).otherwise(0.0)).alias("mags")))
     size = rows.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max("_f").alias("_f"))
     parts = stash(label_components(mask_runs(rows, keys), 1, 1, keys))
     at_edge = (F.col("t_start") == 0) | (F.col("t_end") == F.col("_n") - 1) | (F.col("freq_start") == 0) | (F.col("freq_end") == F.col("_f") - 1)
@@ -91,6 +92,47 @@ def evolve(edges: DataFrame, start: DataFrame, num_iter: int = 230, smoothing: i
     return with_halo(both, halo, run, block=block, keys=keys)
 
 
+def detect_gac_settings(frames: DataFrame, meta: DataFrame, settings: Sequence[dict], min_side_length: int = 1, filter: bool = True, alpha: float = 100.0) -> DataFrame:
+    """``detect_gac`` with eroded level sets for many settings in one plan: boxes with ``setting`` and ``recording``.
+
+    ``settings``: setting (a number), num_iter, smoothing, threshold, balloon, flood_threshold, sigma. A setting is a
+    column: a tile and a setting are a group, edge maps are made once for each sigma, level sets once for each sigma and
+    flood threshold.
+    """
+    names = ("setting", "num_iter", "smoothing", "threshold", "balloon", "flood_threshold", "sigma")
+
+    def dealt(rows: DataFrame, own: tuple[str, ...], given: tuple[str, ...]) -> DataFrame:
+        """A copy of each row for every distinct value of ``own`` that goes with its values of ``given``."""
+        kinds = sorted({tuple(x[k] for k in (*given, *own)) for x in settings})
+        listed = F.array(*[F.struct(*[F.lit(v).alias(f"_{k}") for k, v in zip((*given, *own), kind, strict=True)]) for kind in kinds])
+        fits = lambda k: lambda x: x[f"_{k}"] == F.col(k)
+        for k in given:
+            listed = F.filter(listed, fits(k))
+        return rows.withColumn("_s", F.explode(listed)).withColumns({k: F.col(f"_s._{k}") for k in own}).drop("_s")
+
+    def edge_map(m: np.ndarray, left: int, right: int, sigma: float) -> np.ndarray:
+        r = int(4 * sigma + 0.5)
+        g = kernels.gradient_magnitude(m, sigma, (left, right))
+        return 1.0 / np.sqrt(1.0 + alpha * g[:, max(0, left - r) : g.shape[1] - max(0, right - r)])
+
+    def contour(m: np.ndarray, left: int, right: int, num_iter: float, smoothing: float, threshold: float, balloon: float) -> np.ndarray:
+        n = m.shape[0] // 2
+        u = kernels.active_contour(m[:n], m[n:], int(num_iter), int(smoothing), float(threshold), float(balloon))
+        return u[:, left : u.shape[1] - right].astype(float)
+
+    settings = [{k: x[k] if k == "setting" else float(x[k]) for k in names} for x in settings]
+    reach = max((int(4 * x["sigma"] + 0.5) for x in settings), default=0)
+    edges = stash(with_halo(dealt(frames.select("recording", "frame", "mags"), ("sigma",), ()), reach, edge_map, keys=("recording",), extra={"sigma": "sigma"}))
+    start = eroded_level_set(dealt(edges, ("flood_threshold",), ("sigma",)), meta, "flood_threshold", ("sigma", "flood_threshold", "recording"))
+    both = edges.join(start.withColumnRenamed("mags", "_u"), ["sigma", "recording", "frame"]).withColumn("mags", F.concat("mags", "_u")).drop("_u")
+    halo = max((int(x["num_iter"]) * (2 + 2 * int(x["smoothing"])) for x in settings), default=0)
+    steps = ("num_iter", "smoothing", "threshold", "balloon")
+    keys = ("setting", "recording")
+    inside = with_halo(dealt(both, ("setting", *steps), ("sigma", "flood_threshold")), halo, contour, 4096, keys, {k: k for k in steps})
+    boxes = find_bounding_boxes(inside, min_side_length, keys)
+    return filter_boxes(boxes, meta) if filter else boxes
+
+
 def detect_gac(
     frames: DataFrame,
     meta: DataFrame,

@@ -13,6 +13,10 @@ from ..shared import stash
 from .spectrogram import amplitude_to_db, cells, with_halo
 
 
+#: Frames in a segment of the noise gate.
+SEGMENT = 1024
+
+
 def _odd(m: int) -> int:
     if m % 2 == 0:
         raise ValueError("the window size must be odd")
@@ -78,7 +82,7 @@ def triangle(n: int) -> list[float]:
 def noise_gate(frames: DataFrame, noise_frames: DataFrame, n_grad_freq: int = 3, n_grad_time: int = 3, n_std_thresh: float = 1.5, noise_decrease: float = 1.0, ref: float = 1.0, amin: float = 1e-20, top_db: float | None = 80.0) -> DataFrame:
     """Cells under their bin's noise threshold are moved towards the recording's lowest level. The mask is smoothed by
     triangles along both axes (nothing outside the spectrogram counts). Spark functions only: masks are arrays, the
-    time axis is a window over frames of a segment with its neighbours."""
+    time axis is a window over the frames of a segment and copies of its neighbours' nearest."""
     db = stash(amplitude_to_db(frames, ref, amin, top_db).join(frames.select("recording", "frame", F.col("mags").alias("raw")), ["recording", "frame"]))
     profile = noise_profile(noise_frames, n_std_thresh, ref, amin, top_db).groupBy("recording").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "threshold"))), lambda x: x["threshold"]).alias("limit"))  # one value for each bin
     low = db.groupBy("recording").agg(F.min(F.array_min("mags")).alias("low"))
@@ -92,14 +96,16 @@ def noise_gate(frames: DataFrame, noise_frames: DataFrame, n_grad_freq: int = 3,
         own = _times(moved(k), w)
         smooth = own if smooth is None else F.zip_with(smooth, own, lambda a, b: a + b)
     masked = masked.withColumn("mask", smooth)
-    # along time: lags and leads of the mask
-    order = W.partitionBy("recording").orderBy("frame")
+    # along time: lags and leads of the mask, in segments with a halo
+    segment = lambda at: F.floor(at / SEGMENT)
+    masked = masked.withColumn("_segment", F.explode(F.sequence(segment(F.col("frame") - n_grad_time), segment(F.col("frame") + n_grad_time))))
+    order = W.partitionBy("recording", "_segment").orderBy("frame")
     total = None
     for k, w in zip(range(-n_grad_time, n_grad_time + 1), triangle(n_grad_time), strict=True):
         at = F.lag("mask", -k).over(order) if k < 0 else F.lead("mask", k).over(order) if k else F.col("mask")
         own = _times(F.coalesce(at, F.transform("mask", lambda x: F.lit(0.0))), w)
         total = own if total is None else F.zip_with(total, own, lambda a, b: a + b)
-    done = masked.withColumn("mask", _times(total, float(noise_decrease))).join(low, "recording")
+    done = masked.withColumn("mask", _times(total, float(noise_decrease))).filter(F.col("_segment") == segment(F.col("frame"))).join(low, "recording")
     out = F.zip_with("mags", "mask", lambda x, m: x * (1 - m) + F.col("low") * m)
     return done.withColumn("_db", out).select("recording", "frame", F.zip_with("_db", "raw", lambda x, r: amplitude(x, ref) * F.signum(r)).alias("mags"))
 

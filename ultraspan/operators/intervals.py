@@ -2,7 +2,8 @@
 
 The overlap join cuts time into buckets, so a recording is spread over many tasks and no two boxes are compared unless
 they share a bucket; a pair is kept in the later of the two first buckets only, which needs no shuffle to remove
-duplicates. Unions are never drawn as bitmaps: running maxima give lengths, a sweep over time slabs gives areas.
+duplicates. Running maxima and counts over a recording go by buckets of time too: a prefix over one row for each bucket,
+then a window inside each bucket. Unions are never drawn as bitmaps: islands give lengths, and areas bin by bin.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schemas import COORDS, KEYS
+from ..schemas import KEYS
+
+#: Frames in a bucket of the running maxima.
+BUCKET = 4096
 
 
 def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
@@ -44,16 +48,28 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, width:
     return left.join(right, [*keys, "_bucket"]).filter(meets & once).drop("_bucket", "a_first", "b_first")
 
 
-def time_islands(boxes: DataFrame, keys: Sequence[str] = KEYS, gap: int = 0) -> DataFrame:
+def same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` on keys, nulls being equal; the keys of ``b`` are dropped."""
+    other = b.withColumnsRenamed({k: f"_{k}_of_b" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}_of_b"))
+    return a.join(other, on, how).drop(*[f"_{k}_of_b" for k in keys])
+
+
+def time_islands(boxes: DataFrame, keys: Sequence[str] = KEYS, gap: int = 0, width: int = BUCKET) -> DataFrame:
     """Adds ``island``: numbered per key; a new one starts where a box begins more than ``gap`` frames after all
-    earlier ends. Boxes that touch, also in chains, are in one island."""
-    order = W.partitionBy(*keys).orderBy("t_start", "t_end", "freq_start", "freq_end")
-    before = F.max("t_end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    return (
-        boxes.withColumn("_new", F.when(before.isNull() | (F.col("t_start") > before + gap), 1).otherwise(0))
-        .withColumn("island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .drop("_new")
-    )
+    earlier ends. Boxes that touch, also in chains, are in one island. ``width``: frames in a bucket."""
+    own = [*keys, "_at"]
+    dealt = boxes.withColumn("_at", F.floor(F.col("t_start") / width))
+    earlier = W.partitionBy(*keys).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)  # a row for each bucket
+    order = W.partitionBy(*own).orderBy("t_start", "t_end")
+    ends = dealt.groupBy(*own).agg(F.max("t_end").alias("_end")).select(*own, F.max("_end").over(earlier).alias("_carried"))
+    before = F.greatest(F.max("t_end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("_carried"))
+    marked = same(dealt, ends, own).withColumn("_new", F.when(before.isNull() | (F.col("t_start") > before + gap), 1).otherwise(0))
+    counts = marked.groupBy(*own).agg(F.sum("_new").alias("_n")).select(*own, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
+    return same(marked.withColumn("_inside", inside), counts, own).withColumn("island", F.col("_base") + F.col("_inside")).drop("_new", "_at", "_carried", "_inside", "_base")
 
 
 def runs(flags: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
@@ -62,30 +78,19 @@ def runs(flags: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
     return flags.withColumn("_run", F.col(index) - F.row_number().over(order)).groupBy(*keys, "_run").agg(F.min(index).alias("first"), F.max(index).alias("last")).drop("_run")
 
 
-def union_length(boxes: DataFrame, keys: Sequence[str] = KEYS, axis: str = "t") -> DataFrame:
-    """keys, ``covered``: pixels of one axis (``t`` or ``freq``) under at least one box."""
-    start, end = f"{axis}_start", f"{axis}_end"
-    order = W.partitionBy(*keys).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.max(end).over(order), F.col(start) - 1)
-    part = F.greatest(F.lit(0).cast("long"), F.col(end) - F.greatest(F.col(start), before + 1) + 1)
-    return boxes.select(*keys, start, end, part.alias("_part")).groupBy(*keys).agg(F.sum("_part").alias("covered"))
-
+def union_length(boxes: DataFrame, keys: Sequence[str] = KEYS, axis: str = "t", width: int = BUCKET) -> DataFrame:
+    """keys, ``covered``: pixels of one axis (``t`` or ``freq``) under at least one box. Of ranges with one start only the
+    longest goes on."""
+    longest = boxes.groupBy(*keys, F.col(f"{axis}_start").alias("t_start")).agg(F.max(f"{axis}_end").alias("t_end"))
+    islands = time_islands(longest, keys, 0, width).groupBy(*keys, "island").agg((F.max("t_end") - F.min("t_start") + 1).alias("_part"))
+    return islands.groupBy(*keys).agg(F.sum("_part").alias("covered"))
 
-def union_area(boxes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """keys, ``covered``: pixels under at least one box.
 
-    In each time island the distinct starts and ends cut time into slabs; inside a slab the boxes don't change, so the
-    union of their frequency ranges times the slab's width adds up to the area. Areas of islands add up too.
-    """
-    own = [*keys, "island"]
-    parts = time_islands(boxes.select(*keys, *COORDS), keys)
-    edges = parts.select(*own, F.explode(F.array("t_start", F.col("t_end") + 1)).alias("s")).distinct()
-    slabs = edges.withColumn("e", F.lead("s").over(W.partitionBy(*own).orderBy("s"))).filter("e is not null")
-    inside = parts.join(slabs, own).filter("t_start <= s and t_end >= s")
-    order = W.partitionBy(*own, "s").orderBy("freq_start", "freq_end").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.max("freq_end").over(order), F.col("freq_start") - 1)
-    height = F.greatest(F.lit(0).cast("long"), F.col("freq_end") - F.greatest(F.col("freq_start"), before + 1) + 1)
-    return inside.withColumn("_part", height * (F.col("e") - F.col("s"))).groupBy(*keys).agg(F.sum("_part").alias("covered"))
+def union_area(boxes: DataFrame, keys: Sequence[str] = KEYS, width: int = BUCKET) -> DataFrame:
+    """keys, ``covered``: pixels under at least one box: the union of times in each frequency bin, added up. A box makes
+    as many rows as it has bins, however many others it overlaps."""
+    bins = boxes.select(*keys, "t_start", "t_end", F.explode(F.sequence("freq_start", "freq_end")).alias("_bin"))
+    return union_length(bins, [*keys, "_bin"], "t", width).groupBy(*keys).agg(F.sum("covered").alias("covered"))
 
 
 def covered(boxes: DataFrame, keys: Sequence[str] = KEYS, axis: str | int | None = None) -> DataFrame:

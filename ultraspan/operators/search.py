@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import latent_to_params
-from .contour import detect_gac
+from ..functions.grid import unit_hash
+from ..shared import stash
+from .contour import detect_gac_settings
 from .metrics import iou_global, metrics_at_thresholds
 
 #: The searched ranges.
@@ -17,7 +19,7 @@ SPACE = {"num_iter": (1.0, 40.0), "smoothing": (0.0, 7.99), "flood_threshold": (
 
 def sample_configs(spark: SparkSession, n: int, seed: int = 0, space: dict[str, tuple[float, float]] = SPACE) -> DataFrame:
     """config_id and a uniform draw for each parameter; the same for the same seed, whatever the partitioning."""
-    u = lambda name: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(name), F.col("id")), 11) / F.lit(float(1 << 53))
+    u = lambda name: unit_hash(F.lit(seed), F.lit(name), F.col("id"))
     return spark.range(n).select(F.col("id").cast("string").alias("config_id"), *[(F.lit(lo) + u(name) * F.lit(hi - lo)).alias(name) for name, (lo, hi) in space.items()])
 
 
@@ -31,23 +33,24 @@ def run_trials(frames: DataFrame, meta: DataFrame, truth: DataFrame, configs: Da
     """config_id, recording, score, n_boxes: detection with each configuration, scored by F-beta (sum mode) or the
     global IoU; 0 without boxes.
 
-    Every configuration is a lazy plan over the tiles; the plans are joined by union, so their tiles run side by side.
-    The driver only sees the configurations, never data.
+    Configurations with equal settings are one trial, and its score goes to all of them. The settings are a column of one
+    plan; the driver sees the distinct settings, never data.
     """
-    found = None
-    rows = with_params(configs).collect()  # the sweep itself: a few hundred rows
-    for c in rows:
-        own = detect_gac(frames, meta, min_side_length, True, c["num_iter"], c["smoothing"], float(c["threshold"]), float(c["balloon"]), "eroded", float(c["flood_threshold"]), float(c["sigma"]), alpha).withColumn("config_id", F.lit(c["config_id"]))
-        found = own if found is None else found.unionByName(own)
-    every = meta.select("recording").withColumn("config_id", F.explode(F.array(*[F.lit(c["config_id"]) for c in rows])))
-    keys = ("config_id", "recording")
+    names = ("num_iter", "smoothing", "threshold", "balloon", "flood_threshold", "sigma")
+    own = with_params(configs).select("config_id", *[F.col(c).cast("double").alias(c) for c in names])
+    own = stash(own.withColumn("setting", F.xxhash64(*names)))
+    settings = [r.asDict() for r in own.select("setting", *names).distinct().collect()]  # the sweep itself
+    keys = ("setting", "recording")
+    found = stash(detect_gac_settings(frames, meta, settings, min_side_length, True, alpha))
+    every = meta.select("recording").withColumn("setting", F.explode(F.array(*[F.lit(x["setting"]) for x in settings]).cast("array<bigint>")))
     sides = truth.join(every, "recording")
     if metric == "f_beta":
         scores = metrics_at_thresholds(found, sides, [hit_threshold], "sum", beta, keys, every).select(*keys, F.col("f_score").alias("score"))
     else:
         scores = iou_global(found, sides, None, keys, every).select(*keys, F.col("iou").alias("score"))
     n = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_boxes"))
-    return scores.join(n, list(keys), "left").select(*keys, "score", F.coalesce("n_boxes", F.lit(0)).cast("long").alias("n_boxes"))
+    trials = stash(scores.join(n, list(keys), "left").select(*keys, "score", F.coalesce("n_boxes", F.lit(0)).cast("long").alias("n_boxes")))
+    return own.select("config_id", "setting").join(trials, "setting").select("config_id", "recording", "score", "n_boxes")
 
 
 def best_config(trials: DataFrame, configs: DataFrame, keys: Sequence[str] = ("recording",)) -> DataFrame:

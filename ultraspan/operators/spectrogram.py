@@ -18,6 +18,7 @@ from ..functions import kernels
 from ..functions.decibel import amplitude, decibel
 from ..schemas import KEYS
 from .boxes import clip_bounds, clip_boxes
+from .intervals import same
 
 
 def spec_meta(recordings: DataFrame, n_fft: int = 512, hop: int = 256, start: float = 0.0) -> DataFrame:
@@ -84,14 +85,17 @@ def signal_slice(chunks: DataFrame, start: float = 0.0, end: float = 1.0) -> Dat
     lo, hi = F.floor(F.col("n_samples") * start), F.floor(F.col("n_samples") * end)
     a, b = F.greatest(lo, F.col("sample_start")), F.least(hi, F.col("sample_start") + F.size("samples"))
     cut = chunks.withColumns({"_lo": lo, "_n": hi - lo, "_a": a, "_b": b}).filter("_b > _a")
-    length = F.max(F.size("samples")).over(W.partitionBy("recording"))
-    sliced = cut.withColumn("_len", length.cast("long")).withColumn("samples", F.slice("samples", (F.col("_a") - F.col("sample_start") + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int")))
+    lengths = chunks.groupBy("recording").agg(F.max(F.size("samples")).cast("long").alias("_len"))
+    sliced = cut.join(lengths, "recording").withColumn("samples", F.slice("samples", (F.col("_a") - F.col("sample_start") + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int")))
+    # pieces are dealt anew, so that all chunks but the last have the same length: a piece is in two of them at most
     at = sliced.withColumn("_at", F.col("_a") - F.col("_lo"))
-    # samples are dealt anew, so that all chunks but the last have the same length
-    exploded = at.select("recording", F.col("_n").alias("n_samples"), "_len", F.posexplode("samples").alias("_i", "_x"), "_at").withColumn("_s", F.col("_at") + F.col("_i"))
-    chunk = F.floor(F.col("_s") / F.col("_len"))
-    back = F.transform(F.array_sort(F.collect_list(F.struct("_s", "_x"))), lambda x: x["_x"])
-    return exploded.withColumn("chunk_id", chunk).groupBy("recording", "n_samples", "_len", "chunk_id").agg(back.alias("samples")).withColumn("sample_start", F.col("chunk_id") * F.col("_len")).drop("_len")
+    in_chunk = lambda v: F.floor(v / F.col("_len"))
+    dealt = at.withColumn("chunk_id", F.explode(F.sequence(in_chunk(F.col("_at")), in_chunk(F.col("_at") + F.size("samples") - 1))))
+    first = F.greatest(F.lit(0).cast("long"), F.col("chunk_id") * F.col("_len") - F.col("_at"))
+    end = F.least(F.size("samples").cast("long"), (F.col("chunk_id") + 1) * F.col("_len") - F.col("_at"))
+    pieces = dealt.select("recording", F.col("_n").alias("n_samples"), "_len", "chunk_id", F.struct((F.col("_at") + first).alias("at"), F.slice("samples", (first + 1).cast("int"), (end - first).cast("int")).alias("x")).alias("_piece"))
+    back = F.flatten(F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["x"]))  # those of one chunk
+    return pieces.groupBy("recording", "n_samples", "_len", "chunk_id").agg(back.alias("samples")).withColumn("sample_start", F.col("chunk_id") * F.col("_len")).drop("_len")
 
 
 def signal_slice_spectrogram(chunks: DataFrame, recordings: DataFrame, start: float = 0.0, end: float = 1.0, n_fft: int = 512, win_length: int | None = None, hop: int = 256, power: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -209,10 +213,34 @@ def cells(frames: DataFrame, value: str = "mag") -> DataFrame:
     return frames.select("recording", "frame", F.posexplode("mags").alias("bin", value))
 
 
+def exact_percentile(values: DataFrame, keys: Sequence[str], value: str, share: float, name: str, slots: int = 4096) -> DataFrame:
+    """keys and the exact quantile (linear between neighbours, nulls left out) of each group, however large it is.
+
+    A histogram over each group's range tells which slots hold the two order statistics; only the values in those, a few
+    thousandths of them, are sorted, and equal ones as one row.
+    """
+    rows = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    ends = rows.groupBy(*keys).agg(F.min("_x").alias("_least"), F.max("_x").alias("_most"), F.count(F.lit(1)).alias("_n"))
+    slot = F.least(F.lit(slots - 1), F.when(F.col("_most") > F.col("_least"), F.floor((F.col("_x") - F.col("_least")) / (F.col("_most") - F.col("_least")) * slots)).otherwise(0)).cast("int")
+    placed = same(rows, ends, keys).withColumn("_slot", slot)
+    before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)  # ``slots`` rows at most
+    place = F.lit(float(share)) * (F.col("_n") - 1)
+    histogram = placed.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    needed = histogram.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).filter((F.col("_before") <= F.ceil(place)) & (F.col("_before") + F.col("_c") > F.floor(place))).select(*keys, "_slot", "_before")
+    few = same(placed, needed, [*keys, "_slot"]).groupBy(*keys, "_slot", "_x").agg(F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("_n").alias("_n"))
+    within = W.partitionBy(*keys, "_slot").orderBy("_x").rowsBetween(W.unboundedPreceding, -1)
+    at = F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0))
+    holds = lambda rank: F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_c")), F.col("_x")))
+    found = few.withColumn("_first", at).groupBy(*keys).agg(holds(F.floor(place)).alias("_lo"), holds(F.ceil(place)).alias("_hi"), F.first(place - F.floor(place)).alias("_w"))
+    return found.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((1 - F.col("_w")) * F.col("_lo") + F.col("_w") * F.col("_hi")).alias(name))
+
+
 def display_range(frames: DataFrame) -> DataFrame:
     """Colour bounds: 10 to the 1 % quantile of log10 (zeros left out), and the largest value."""
-    c = cells(frames)
-    return c.groupBy("recording").agg(F.pow(F.lit(10.0), F.percentile(F.log10(F.when(F.col("mag") > 0, F.col("mag"))), F.lit(0.01))).alias("low"), F.max("mag").alias("high"))
+    logs = cells(frames).select("recording", F.log10(F.when(F.col("mag") > 0, F.col("mag"))).alias("_log"))
+    high = frames.groupBy("recording").agg(F.max(F.array_max("mags")).alias("high"))
+    low = exact_percentile(logs, ("recording",), "_log", 0.01, "_q").select("recording", F.pow(F.lit(10.0), "_q").alias("low"))
+    return same(high, low, ("recording",), "left").select("recording", "low", "high")
 
 
 def amplitude_to_db(frames: DataFrame, ref: float = 1.0, amin: float = 1e-5, top_db: float | None = 80.0) -> DataFrame:
