@@ -158,7 +158,7 @@ def _smooth(width: int) -> str:
 
 def _ranges(cells: str = "cells") -> str:
     return f"""{_ENTROPY.format(cells=cells)}, {_smooth(3)},
-rg AS (SELECT recording, min(frame) AS first, max(frame) AS last FROM (SELECT recording, frame, frame - row_number() OVER (PARTITION BY recording ORDER BY frame) AS g FROM sm WHERE e < 0.58) GROUP BY recording, g)"""
+rg AS (SELECT recording, min(frame) AS first, max(frame) AS last FROM (SELECT recording, frame, frame - row_number() OVER (PARTITION BY recording ORDER BY frame) AS g FROM sm WHERE e < 0.64) GROUP BY recording, g)"""
 
 
 def _rows(cells: str) -> str:
@@ -196,7 +196,7 @@ ORACLE: dict[str, str] = {
     "iou_global_freq": _iou_global("f"),
     "coverage_2d": f"WITH {_BOXES},{_PIXELS.format(what='t, f')} SELECT recording, CASE WHEN sum(p) > 0 THEN round(sum(p * t_)::DOUBLE / sum(p), 6) ELSE 0 END AS a_covered, CASE WHEN sum(t_) > 0 THEN round(sum(p * t_)::DOUBLE / sum(t_), 6) ELSE 0 END AS b_covered FROM own GROUP BY recording",
     "iou_per_target_max": f"WITH {_BOXES}, {_BEST} SELECT recording, box_id, label, n_matches, round(value, 6) AS value FROM per_truth",
-    "iou_by_label": f"WITH {_BOXES}, {_BEST} SELECT recording, label, count(*) AS n, round(min(value), 6) AS least, round(max(value), 6) AS most FROM per_truth GROUP BY ALL",
+    "iou_by_label": f"WITH {_BOXES}, {_BEST} SELECT recording, label, row_number() OVER (PARTITION BY recording, label ORDER BY round(value, 6)) - 1 AS place, round(value, 6) AS value FROM per_truth",
     "count_hits": f"WITH {_BOXES}, {_BEST} SELECT recording, count(*) FILTER (n_matches > 0 AND value >= 0.1) AS hits, count(*) AS total FROM per_truth GROUP BY ALL",
     "hits_per_label": f"WITH {_BOXES}, {_BEST} SELECT recording, label, count(*) FILTER (n_matches > 0 AND value >= 0.1) AS hits, count(*) AS total FROM per_truth GROUP BY ALL",
     "detection_precision": f"WITH {_BOXES}, {_BEST}, {_scores('[0.1]', 1.0)} SELECT recording, round(p, 6) AS precision FROM scores",
@@ -266,7 +266,7 @@ b AS (SELECT recording, frame AS box_id, frame % 40 AS fs, frame % 40 + 6 AS fe,
 SELECT recording, box_id, least(greatest(fs, fl), fh) - fl AS freq_start, least(greatest(fe, fl), fh) - fl AS freq_end, least(greatest(ts, tl), th) - tl AS t_start, least(greatest(te, tl), th) - tl AS t_end FROM b JOIN p USING (recording) WHERE te > tl AND ts < th AND fe > fl AND fs < fh""",
     "pixels": f"WITH {_FRAMES} SELECT recording, ceil(0.0205::DOUBLE / {_EDT})::BIGINT AS t_px, ceil(18000.0::DOUBLE / {_EFS})::BIGINT AS f_px FROM sizes",
     "preprocess_spectrogram": f"WITH {_FRAMES} SELECT recording, frame, bin - 18 AS bin, round(pow(ln(CASE WHEN mag = 0 THEN 1e-8 ELSE mag END) / ln(10.0::DOUBLE), 2), 6) AS value FROM cells WHERE bin >= 18",
-    "sliding_chunks": f"WITH {_FRAMES}, st AS (SELECT recording, unnest(range(0, n - 12, 9)) AS first FROM sizes WHERE n > 12) SELECT s.recording, first // 9 AS chunk_id, first, count(*) AS n, round(sum(mags[1]), 6) AS total FROM st s JOIN frames f ON f.recording = s.recording AND f.frame BETWEEN first AND first + 11 GROUP BY ALL",
+    "sliding_chunks": f"WITH {_FRAMES}, st AS (SELECT recording, unnest(range(0, n - 12, 9)) AS first FROM sizes WHERE n > 12) SELECT s.recording, first // 9 AS chunk_id, first, frame, bin, round(mag, 6) AS value FROM st s JOIN cells c ON c.recording = s.recording AND c.frame BETWEEN first AND first + 11",
     "stft": f"WITH {_SIGNAL}, {_stft(16, 16, 8, 1)}",
     "stft_short_window": f"WITH {_SIGNAL}, {_stft(16, 8, 4, 2)}",
     "signal_slice": f"WITH {_SIGNAL}, cut AS (SELECT recording, x, s - floor(n * 0.25)::BIGINT AS s, floor(n * 0.75)::BIGINT - floor(n * 0.25)::BIGINT AS n FROM sig WHERE s >= floor(n * 0.25) AND s < floor(n * 0.75)), {_stft(16, 16, 8, 1, 'cut')}",
@@ -315,3 +315,58 @@ d AS (SELECT recording, frame, bin, mag, greatest(db, max(db) OVER (PARTITION BY
 k AS (SELECT d.recording, d.frame, d.bin, d.mag, d.db, (d.db < th.th)::INT AS m, min(d.db) OVER (PARTITION BY d.recording) AS low FROM d JOIN th USING (recording, bin)),
 s AS (SELECT c.recording, c.frame, c.bin, sum(x.m * w.w) * 0.8 AS m FROM k c, (VALUES {", ".join(f"({q}, {p}, {w!r}::DOUBLE)" for (q, p), w in _TRI.items())}) w(q, p, w), k x WHERE x.recording = c.recording AND x.frame = c.frame + w.p AND x.bin = c.bin + w.q GROUP BY ALL)
 SELECT k.recording, k.frame, k.bin, round(pow(10, (k.db * (1 - s.m) + k.low * s.m) / 20) * sign(k.mag), 6) AS value FROM k JOIN s USING (recording, frame, bin)"""
+
+for _name, _what in (("coverage_time", "t"), ("coverage_freq", "f")):
+    ORACLE[_name] = f"WITH {_BOXES},{_PIXELS.format(what=_what)} SELECT recording, CASE WHEN sum(p) > 0 THEN round(sum(p * t_)::DOUBLE / sum(p), 6) ELSE 0 END AS a_covered, CASE WHEN sum(t_) > 0 THEN round(sum(p * t_)::DOUBLE / sum(t_), 6) ELSE 0 END AS b_covered FROM own GROUP BY recording"
+
+
+def _sum_values(own: str, pairs: str) -> str:
+    """per_<own>: IoU of each box with the union of all that it meets, from pixel sets."""
+    return f"""{own}_x AS (SELECT box_id, t, unnest(generate_series(freq_start, freq_end)) AS f FROM (SELECT *, unnest(generate_series(t_start, t_end)) AS t FROM {own})),
+{own}_c AS (SELECT a_id, t, unnest(generate_series(b_fs, b_fe)) AS f FROM (SELECT *, unnest(generate_series(b_ts, b_te)) AS t FROM {pairs})),
+{own}_u AS (SELECT id, t, f, max(x) AS x, max(y) AS y FROM (SELECT box_id AS id, t, f, 1 AS x, 0 AS y FROM {own}_x UNION ALL SELECT a_id, t, f, 0, 1 FROM {own}_c) GROUP BY ALL),
+{own}_v AS (SELECT id, sum(x * y)::DOUBLE / count(*) AS value FROM {own}_u GROUP BY id),
+per_{own} AS (SELECT o.recording, o.box_id, o.label, (SELECT count(*) FROM {pairs} WHERE a_id = o.box_id) AS n_matches, v.value FROM {own} o JOIN {own}_v v ON v.id = o.box_id)"""
+
+
+ORACLE["metrics_at_thresholds_sum"] = f"WITH {_BOXES}, {_pairs('truth', 'pred', 'tp')}, {_pairs('pred', 'truth', 'pt')}, {_sum_values('truth', 'tp')}, {_sum_values('pred', 'pt')}, {_scores('[0.05, 0.1, 0.2]', 1.0)} SELECT recording, threshold, n_truth, truth_hits, n_pred, pred_hits, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f_score FROM scores"
+
+ORACLE["merge_predictions_per_label"] = f"""WITH RECURSIVE {_BOXES}, {_CHUNKS},
+src AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM cc WHERE label_id IN (1, 2)),
+e AS (SELECT a.id AS u, b.id AS v FROM src a JOIN src b ON a.recording = b.recording AND a.label_id = b.label_id AND a.t_start - 2 <= b.t_end AND b.t_start <= a.t_end + 2 AND a.freq_start <= b.freq_end AND b.freq_start <= a.freq_end AND a.id <> b.id),
+{_closure('src', 'e')}
+SELECT recording, min(freq_start) + 18 AS freq_start, max(freq_end) + 18 AS freq_end, min(t_start) AS t_start, max(t_end) AS t_end, CASE label_id WHEN 1 THEN 'sh' ELSE 'fm' END AS label, round(avg(score), 6) AS score
+FROM src JOIN roots ON node = id GROUP BY recording, label_id, root"""
+
+ORACLE["standardize_pad"] = f"""WITH {_FRAMES},
+cr AS (SELECT f.recording, f.frame AS box_id, c.bin - f.frame % 50 AS r, c.frame - f.frame AS k, c.mag FROM frames f JOIN cells c ON c.recording = f.recording AND c.frame BETWEEN f.frame AND f.frame + 4 AND c.bin BETWEEN f.frame % 50 AND f.frame % 50 + 7),
+m AS (SELECT recording, box_id, avg(mag) AS m, stddev_pop(mag) AS s FROM cr GROUP BY ALL),
+w AS (SELECT max(n) AS w FROM (SELECT count(DISTINCT k) AS n FROM cr GROUP BY recording, box_id)),
+g AS (SELECT recording, box_id, m, s, greatest(w, 4) AS w, r, unnest(range(0, greatest(w, 4))) AS k FROM (SELECT m.*, w.w, unnest(range(0, 8)) AS r FROM m, w))
+SELECT g.recording, g.box_id, 8 AS height, g.w AS width, g.r AS row, g.k AS "column", coalesce(round((c.mag - m) / s, 6), 0) AS value FROM g LEFT JOIN cr c ON c.recording = g.recording AND c.box_id = g.box_id AND c.r = g.r AND c.k = g.k"""
+
+_G = {k: math.exp(-0.5 * k * k) for k in range(-4, 5)}
+_G = {k: v / sum(_G.values()) for k, v in _G.items()}
+_DY = {(q, p): q * _G[q] * _G[p] for q in _G for p in _G}
+_DX = {(q, p): p * _G[q] * _G[p] for q in _G for p in _G}
+ORACLE["inverse_gaussian_gradient"] = f"WITH {_FRAMES} SELECT recording, frame, bin, round(1 / sqrt(1 + 100 * sqrt(y.v * y.v + x.v * x.v)), 6) AS value FROM {_stencil(_DY)} y JOIN {_stencil(_DX)} x USING (recording, frame, bin)"
+
+
+def _unit(*columns: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(columns)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+ORACLE["choose_noise_span"] = f"""WITH {_FRAMES}, {_LOUD},
+b AS (SELECT recording, arg_min((span_start, span_end), (-ln(1 - {_unit("'1'", 'recording', 'span_start', 'span_end')}) / weight, span_start)) AS s FROM wt WHERE weight > 0 GROUP BY recording),
+r AS (SELECT recording, ceil(3 * 0.001024::DOUBLE / {_EDT})::BIGINT AS least, coalesce(b.s[1], 0) AS a, coalesce(b.s[2], n - 1) AS z, b.s IS NULL AS fallback FROM sizes LEFT JOIN b USING (recording)),
+c AS (SELECT *, z - a - least AS room, CASE WHEN z - a - least > 0 THEN a + floor({_unit("'1'", 'recording', "'place'")} * (z - a - least + 1))::BIGINT ELSE a END AS span_start FROM r)
+SELECT recording, span_start, CASE WHEN room > 0 THEN span_start + least ELSE z END AS span_end, fallback FROM c"""
+
+#: The searched ranges.
+_SPACE = {"num_iter": (1.0, 40.0), "smoothing": (0.0, 7.99), "flood_threshold": (0.1, 0.99), "balloon_latent": (0.2, 1.8), "sigma": (1.0, 10.0)}
+_DRAWS = ", ".join(f"round({lo!r}::DOUBLE + {_unit(chr(39) + '3' + chr(39), chr(39) + k + chr(39), 'id')} * {hi - lo!r}::DOUBLE, 6) AS {k}" for k, (lo, hi) in _SPACE.items())
+ORACLE["sample_configs"] = f"WITH n AS (SELECT unnest(range(0, count(*))) AS id FROM part) SELECT id::VARCHAR AS config_id, {_DRAWS} FROM n"
+
+ORACLE["read_annotations"] = f"WITH {_ANN} SELECT 'folder=' || folder AS folder, box_id AS selection, begin_file, begin_time, end_time, low_freq, high_freq, usv_type FROM ann"
+ORACLE["read_detections"] = f"WITH {_BOXES} SELECT recording, 'c' AS config_id, box_id, label, score, round(t_start * 60.0::DOUBLE, 6) AS time_start, round(t_end * 60.0::DOUBLE, 6) AS time_end, round(freq_start * 1000.0::DOUBLE, 6) AS freq_start, round(freq_end * 1000.0::DOUBLE, 6) AS freq_end FROM pred0"
+ORACLE["write_metrics"] = f"WITH {_TRIALS} SELECT recording, config_id, round(score, 6) AS score, n_boxes FROM trials"

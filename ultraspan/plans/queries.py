@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -21,6 +22,7 @@ from ..operators import metrics as mt
 from ..operators import noise as nz
 from ..operators import search as se
 from ..operators import spectrogram as sp
+from ..shared import shared_dir
 from ..sources import annotations as sa
 from ..sources import audio
 from ..sources import detections as sd
@@ -81,6 +83,16 @@ def coverage_2d(s, d):
     return _r(mt.coverage(tb.pred(s, d), tb.truth(s, d)), "a_covered", "b_covered")
 
 
+@query
+def coverage_time(s, d):
+    return _r(mt.coverage(tb.pred(s, d), tb.truth(s, d), "time"), "a_covered", "b_covered")
+
+
+@query
+def coverage_freq(s, d):
+    return _r(mt.coverage(tb.pred(s, d), tb.truth(s, d), "freq"), "a_covered", "b_covered")
+
+
 @query
 def iou_per_target_max(s, d):
     return _r(mt.iou_per_target(tb.truth(s, d), tb.pred(s, d), "max", width=WIDTH), "value")
@@ -94,7 +106,7 @@ def iou_per_target_sum(s, d):
 @query
 def iou_by_label(s, d):
     per = _r(mt.iou_per_target(tb.truth(s, d), tb.pred(s, d), width=WIDTH), "value")
-    return mt.iou_by_label(per).select("recording", "label", F.size("values").cast("long").alias("n"), F.element_at("values", 1).alias("least"), F.element_at("values", -1).alias("most"))
+    return mt.iou_by_label(per).select("recording", "label", F.posexplode("values").alias("place", "value")).withColumn("place", F.col("place").cast("long"))
 
 
 @query
@@ -307,6 +319,35 @@ def get_signal(s, d):
     return audio.get_signal(tb.recordings(s, d), "7").select("recording", "name", "folder", "n_samples")
 
 
+@query
+def read_annotations(s, d):
+    """Annotations written as tab-separated files, a folder for each box, and read back."""
+    names = {k: v for v, (k, _) in sa.COLUMNS.items()}
+    a = tb.annotations(s, d).withColumnRenamed("box_id", "selection")
+    path = f"{shared_dir(s)}/annotations-{uuid.uuid4().hex}"
+    a.select("folder", *[F.col(c).alias(names[c]) for c in a.columns if c != "folder"]).write.partitionBy("folder").csv(path, sep="\t", header=True)
+    return sa.read_annotations(s, path).select("folder", "selection", "begin_file", "begin_time", "end_time", "low_freq", "high_freq", "usv_type")
+
+
+@query
+def read_detections(s, d):
+    """Predictions written in seconds and Hz, a folder for each recording and configuration, twice over, and read back."""
+    path = f"{shared_dir(s)}/detections-{uuid.uuid4().hex}"
+    own = tb.pred(s, d).withColumn("config_id", F.lit("c"))
+    for _ in range(2):
+        sd.write_detections(own, tb.box_meta(s, d), path)
+    return _r(sd.read_detections(s, path), "time_start", "time_end", "freq_start", "freq_end")
+
+
+@query
+def write_metrics(s, d):
+    """Trials of even and of odd configurations, appended to one folder of files."""
+    path = f"{shared_dir(s)}/metrics-{uuid.uuid4().hex}"
+    for odd in (0, 1):
+        sd.write_metrics(_r(_trials(s, d).filter(F.col("config_id").cast("int") % 2 == odd), "score"), path)
+    return s.read.schema("recording string, config_id string, score double, n_boxes long").csv(path, header=True)
+
+
 @query
 def pending_configs(s, d):
     every = tb.recordings(s, d).select("recording", F.explode(F.array(*[F.lit(str(i)) for i in range(4)])).alias("config_id"))
@@ -367,17 +408,17 @@ def entropy_moving_average(s, d):
 
 @query
 def low_entropy_ranges(s, d):
-    return de.low_entropy_ranges(tb.frames(s, d), 3, 0.58)
+    return de.low_entropy_ranges(tb.frames(s, d), 3, 0.64)
 
 
 @query
 def high_energy_rows(s, d):
-    return de.high_energy_rows(tb.frames(s, d), de.low_entropy_ranges(tb.frames(s, d), 3, 0.58), 3, 1.3).select("recording", "t_start", "t_end", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    return de.high_energy_rows(tb.frames(s, d), de.low_entropy_ranges(tb.frames(s, d), 3, 0.64), 3, 1.3).select("recording", "t_start", "t_end", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
 @query
 def detect_entropy_energy(s, d):
-    return de.detect_entropy_energy(tb.frames(s, d), tb.frame_meta(s, d), 9000.0, 3, 0.58, 3, 1.3, filter=True, filter_ratio=4.0).drop("box_id", "label")
+    return de.detect_entropy_energy(tb.frames(s, d), tb.frame_meta(s, d), 9000.0, 3, 0.64, 3, 1.3, filter=True, filter_ratio=4.0).drop("box_id", "label")
 
 
 @query
@@ -438,7 +479,7 @@ def preprocess_spectrogram(s, d):
 @query
 def sliding_chunks(s, d):
     c = sp.sliding_chunks(tb.frames(s, d), tb.frame_meta(s, d), 12, 0.25)
-    return _r(c.groupBy("recording", "chunk_id", "first").agg(F.count(F.lit(1)).alias("n"), F.sum(F.element_at("mags", 1)).alias("total")), "total")
+    return _r(c.select("recording", "chunk_id", "first", "frame", F.posexplode("mags").alias("bin", "value")).withColumn("bin", F.col("bin").cast("long")), "value")
 
 
 def _crops(s, d) -> DataFrame:
@@ -449,7 +490,8 @@ def _crops(s, d) -> DataFrame:
 def standardize_pad(s, d):
     crops = sp.standardize_pad(tb.frames(s, d), _crops(s, d), 4)
     rows = crops.select("recording", "box_id", "height", "width", F.posexplode("crop").alias("row", "values"))
-    return _r(rows.select("recording", "box_id", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), F.col("row").cast("long").alias("row"), F.element_at("values", 1).alias("first")), "first")
+    cells = rows.select("recording", "box_id", "height", "width", "row", F.posexplode("values").alias("column", "value"))
+    return _r(cells.withColumns({c: F.col(c).cast("long") for c in ("height", "width", "row", "column")}), "value")
 
 
 @query
@@ -582,6 +624,12 @@ def trial_log(s, d):
     return se.trial_log(_trials(s, d), tb.configs(s, d), 1)
 
 
+@query
+def sample_configs(s, d):
+    """As many draws as there are parts."""
+    return _r(se.sample_configs(s, tb.table(s, d, "part").count(), 3), *se.SPACE)
+
+
 @query
 def run_trials(s, d):
     """Every configuration on every recording, scored against boxes around the loud cells."""
