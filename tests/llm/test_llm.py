@@ -103,6 +103,27 @@ def test_licences(spark, empty):
     assert licenses.scan(empty, model).count() == 0
 
 
+def test_similarity_against_brute_force(spark):
+    rng = random.Random(12)
+    split = lambda t: [w.strip(".") for w in re.split(r"[^\w.]+|_", t.lower()) if w.strip(".")]
+    pairs = lambda t: set(zip(split(t), split(t)[1:], strict=False))
+    lines = []
+    for _, text in licenses.TEMPLATES:
+        for _ in range(4):
+            words = [w for w in text.split() if rng.random() < 0.85]
+            lines.append(" ".join([*prose(rng, "en", 2).split(), *words, *prose(rng, "en", 2).split()]))
+    table = docs(spark, [prose(rng, "en", 40) for _ in range(60)] + lines)
+    rows = licenses.scan(table, licenses.fit(table)).collect()
+    found = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(found) >= 0.8 * len(lines)
+    for i, r in found.items():
+        shares = {}
+        for family, text in licenses.TEMPLATES:
+            shares[family] = max(shares.get(family, 0), len(pairs(lines[i - 60]) & pairs(text)) / len(pairs(text)))
+        assert r["similarity"] == pytest.approx(shares[r["predicted"]])
+        assert r["confirmed"] == (r["similarity"] >= licenses.CONFIRM) and r["family"] == (r["predicted"] if r["confirmed"] else "unknown")
+
+
 def test_licence_of_a_third_of_all_documents(spark):
     rng = random.Random(2)
     texts = ["\n".join(prose(rng, "en", 9) for _ in range(9)) + ("\nReleased under the MIT License." if i % 3 == 0 else "") for i in range(420)]
@@ -143,6 +164,35 @@ def test_language(spark, empty):
     assert (none["lang_pred"], none["lang_score"]) == ("und", 0.0)
 
 
+def byte_grams(text):
+    low = bytes(c if c > 127 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in f" {text}  ".encode())
+    return [low[i : i + 4] for i in range(len(low) - 3) if low[i : i + 2] != b"  "]
+
+
+def test_language_against_exact_counts(spark):
+    """More languages than bits in a word; ties go to the language with more rows, then by name."""
+    rng = random.Random(13)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    syllables = {f"l{i:02d}": ["".join(rng.choices(alphabet, k=3)) for _ in range(12)] for i in range(70)}
+    text = lambda x, n: " ".join("".join(rng.choices(syllables[x], k=rng.randrange(1, 4))) for _ in range(n))
+    langs = [x for x in syllables for _ in range(6)]
+    texts = [text(x, 40) for x in langs]
+    model = language.fit(docs(spark, texts, lang=langs))
+    counts = {x: Counter(g for t, y in zip(texts, langs, strict=True) if y == x for g in byte_grams(t)) for x in syllables}
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    most = Counter()
+    for c in share.values():
+        for g, v in c.items():
+            most[g] = max(most[g], v)
+    held = {x: {g for g, n in c.items() if n >= language.LEAST_COUNT and share[x][g] >= language.LEAST_SHARE * most[g]} for x, c in counts.items()}
+    tests = [text(x, rng.randrange(2, 30)) for x in syllables for _ in range(2)]
+    got = [r["lang_pred"] for r in language.predict(docs(spark, tests), model).orderBy("doc_id").collect()]
+    expected = [max(sorted(held), key=lambda x: sum(g in held[x] for g in byte_grams(t))) for t in tests]
+    assert got == expected and {"l00", "l69"} <= set(got)
+    tie = language.predict(docs(spark, ["qqqq " * 3]), model).first()
+    assert tie["lang_pred"] == "l00" or any(g in h for g in byte_grams("qqqq " * 3) for h in held.values())
+
+
 # search
 
 

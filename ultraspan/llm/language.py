@@ -1,7 +1,8 @@
 """Language identification with language-bitmask n-gram filters.
 
 One array of bit masks serves as a Bloom filter for every language at once: bit l of a slot belongs to the filter of
-language l. The AND of the slots that an n-gram hashes to has the bits of all languages containing it. For a text, the
+language l (more than 64 languages have several words a slot). The AND of the slots that an n-gram hashes to has the bits
+of all languages containing it. For a text, the
 number of its n-grams each language contains, corrected for the filter's false positives, decides.
 
 Texts are read as UTF-8 bytes with ASCII letters lower-cased, other ASCII characters as blanks and a blank at either
@@ -9,8 +10,8 @@ end; n-grams are ``N`` bytes long. A language contains an n-gram when it is freq
 language where it is most frequent.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; so is every text when there is no labelled
-row to learn from. Equal counts go to the language with more training rows, then by code point. Repeated documents,
-very long texts and other columns change nothing.
+row to learn from. Equal counts go to the language with more training rows, then by code point. An empty table gives an
+empty result. Repeated documents, very long texts and other columns change nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ SLOT_BITS, HASHES = 20, 2
 #: Most labelled rows of each language used to learn its n-grams.
 SAMPLE_PER_LANGUAGE = 3000
 LEAST_COUNT, LEAST_SHARE = 3, 0.15
-MOST_LANGUAGES = 64
+#: Languages in a word of a slot.
+WORD_BITS = 64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 _LETTER = np.zeros(256, bool)
@@ -72,11 +74,11 @@ def _slots(grams: np.ndarray) -> list[np.ndarray]:
 
 
 class LanguageModel:
-    """``masks``: one word for each slot; ``rates``: false-positive rate of each language's filter."""
+    """``masks`` [words x slots]; ``rates``: false-positive rate of each language's filter."""
 
     def __init__(self, languages: list[str], masks: np.ndarray, prior: np.ndarray):
         self.languages, self.masks, self.prior = languages, masks, prior
-        fill = np.array([float(((masks >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])
+        fill = np.array([float(((masks[i // WORD_BITS] >> np.uint64(i % WORD_BITS)) & np.uint64(1)).mean()) for i in range(len(languages))])
         self.rates = fill**HASHES
 
 
@@ -86,8 +88,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(key_col).alias("key")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"at most {MOST_LANGUAGES} languages fit in a mask")
+    words = max(1, -(-len(languages) // WORD_BITS))
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
@@ -107,20 +108,22 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
         grams.withColumn("share", share)
         .groupBy("gram")
         .agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "n", "share")).alias("ls"))  # a row for each language at most
-        .select("gram", F.aggregate(F.filter("ls", lambda x: (x["n"] >= LEAST_COUNT) & (x["share"] >= LEAST_SHARE * F.col("most"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"]))).alias("mask"))
-        .filter("mask != 0")
+        .select("gram", F.filter("ls", lambda x: (x["n"] >= LEAST_COUNT) & (x["share"] >= LEAST_SHARE * F.col("most"))).alias("ls"))
+        .select("gram", F.explode("ls").alias("x"))
+        .groupBy("gram", F.floor(F.col("x.lang") / WORD_BITS).cast("int").alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.lang") % WORD_BITS)).alias("mask"))
     )
 
     def insert(batches):
         for batch in batches:
-            g, mask = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            g, word, mask = batch.column(0).to_numpy().view(np.uint64), batch.column(1), batch.column(2)
             for s in _slots(g):
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(mask)], names=["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(s), word, mask], names=["slot", "word", "mask"])
 
-    masks = np.zeros(1 << SLOT_BITS, np.uint64)
-    slots = held.mapInArrow(insert, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # 2^SLOT_BITS rows at most
+    masks = np.zeros((words, 1 << SLOT_BITS), np.uint64)
+    slots = held.mapInArrow(insert, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()  # 2^SLOT_BITS rows a word at most
     if len(slots):
-        masks[slots["slot"].to_numpy()] = slots["mask"].to_numpy().view(np.uint64)
+        masks[slots["word"].to_numpy(), slots["slot"].to_numpy()] = slots["mask"].to_numpy().view(np.uint64)
     grams.unpersist()
     prior = np.array([counts[x] for x in languages], float)
     return LanguageModel(languages, masks, prior / max(prior.sum(), 1))
@@ -141,13 +144,14 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             preds, scores = [], []
             for first, end, letter, grams, row in _grams(texts):
                 n = end - first
-                held = np.full(len(grams), np.iinfo(width).max, width)
+                held = [np.full(len(grams), np.iinfo(width).max, width) for _ in masks]
                 for s in _slots(grams):
-                    held &= masks[s]
+                    for h, mask in zip(held, masks, strict=True):
+                        h &= mask[s]
                 total = np.bincount(row, minlength=n).astype(float)
                 share = np.empty((n, k))
                 for i in range(k):
-                    hits = np.bincount(row, weights=(held >> width(i)) & width(1), minlength=n)
+                    hits = np.bincount(row, weights=(held[i // WORD_BITS] >> width(i % WORD_BITS)) & width(1), minlength=n)
                     share[:, i] = np.maximum(hits - m.rates[i] * total, 0) / (1 - min(m.rates[i], 0.999))
                 share += 0.01 * m.prior
                 best = np.array(order)[share[:, order].argmax(axis=1)] if k else np.zeros(n, int)
