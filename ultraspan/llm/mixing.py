@@ -1,6 +1,6 @@
 """Mixing sources to target weights (DataFrame functions only).
 
-Every document gets a hash-random key. Within a source the documents, in key order, form a sequence of words;
+Every document gets a hash-random key, from its id and text (rows without an id are spread too). Within a source the documents, in key order, form a sequence of words;
 the source's budget is a number of words to take from that sequence, starting again when it ends. Prefix sums are
 computed in two levels, so that no task holds a source: the key range of a source is cut into slices of a few
 hundred documents, running sums inside a slice are added to the running sum over slices.
@@ -60,7 +60,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The words taken from a source add up to its target rounded to a whole number: the document in which the budget
     ends gives its first words only.
     """
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long")
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))), 1, 13), 16, 10).cast("long")
     sized = stash(
         docs.select(
             F.col(id_col).alias(id_col),
@@ -103,7 +103,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS k
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS k
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (

@@ -65,11 +65,20 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
     urls = pages.select(F.col(url_col).alias("u")).filter(F.col("u").isNotNull()).distinct()
     host_u, path_u = url_parts(F.col("u"))
     n_host = F.size(F.split("h", r"\.", -1))
-    candidates = [F.when((n_host >= s["n"]) & (F.length("p") >= s["k"]), F.struct(F.substring_index("h", ".", -s["n"]).alias("c_host"), F.col("p").substr(1, s["k"]).alias("c_path"))) for s in shapes]
-    empty = F.struct(F.lit(None).cast("string").alias("c_host"), F.lit(None).cast("string").alias("c_path"))
+    kind = "array<struct<c_host: string, c_path: string>>"
+
+    def of_shape(n: int, lengths: list[int]) -> Column:
+        """The candidates with ``n`` labels; no more than the path has prefixes."""
+        fits = F.filter(F.array(*[F.lit(k) for k in lengths]), lambda k: k <= F.length("p"))
+        return F.when(n_host >= n, F.transform(fits, lambda k: F.struct(F.substring_index("h", ".", -n).alias("c_host"), F.col("p").substr(F.lit(1), k).alias("c_path")))).otherwise(F.array().cast(kind))
+
+    by_labels: dict[int, list[int]] = {}
+    for s in sorted(shapes):
+        by_labels.setdefault(s["n"], []).append(s["k"])
+    candidates = [of_shape(n, lengths) for n, lengths in by_labels.items()] or [F.array().cast(kind)]
     possible = (
         urls.select("u", host_u.alias("h"), path_u.alias("p"))
-        .select("u", F.explode(F.filter(F.array(*(candidates or [empty])), lambda c: c.isNotNull())).alias("c"))
+        .select("u", F.explode(F.flatten(F.array(*candidates))).alias("c"))
         .select("u", "c.c_host", "c.c_path")
         .withColumn("k", F.xxhash64("c_host", "c_path"))
         .withColumn("block", F.pmod("k", F.lit(blocks)))
