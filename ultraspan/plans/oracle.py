@@ -370,3 +370,11 @@ ORACLE["sample_configs"] = f"WITH n AS (SELECT unnest(range(0, count(*))) AS id
 ORACLE["read_annotations"] = f"WITH {_ANN} SELECT 'folder=' || folder AS folder, box_id AS selection, begin_file, begin_time, end_time, low_freq, high_freq, usv_type FROM ann"
 ORACLE["read_detections"] = f"WITH {_BOXES} SELECT recording, 'c' AS config_id, box_id, label, score, round(t_start * 60.0::DOUBLE, 6) AS time_start, round(t_end * 60.0::DOUBLE, 6) AS time_end, round(freq_start * 1000.0::DOUBLE, 6) AS freq_start, round(freq_end * 1000.0::DOUBLE, 6) AS freq_end FROM pred0"
 ORACLE["write_metrics"] = f"WITH {_TRIALS} SELECT recording, config_id, round(score, 6) AS score, n_boxes FROM trials"
+
+ORACLE["evaluate_detectors"] = f"""WITH {_BOXES}, {_MODEL_SCORES},
+mx AS (SELECT model, recording, t, unnest(generate_series(freq_start, freq_end)) AS f, 1 AS p, 0 AS y FROM (SELECT *, unnest(generate_series(t_start, t_end)) AS t FROM mp)),
+tx AS (SELECT recording, t, unnest(generate_series(freq_start, freq_end)) AS f FROM (SELECT *, unnest(generate_series(t_start, t_end)) AS t FROM truth)),
+al AS (SELECT model, recording, t, f, max(p) AS p, max(y) AS y FROM (SELECT * FROM mx UNION ALL SELECT e.model, x.recording, x.t, x.f, 0, 1 FROM tx x JOIN every e USING (recording)) GROUP BY ALL),
+io AS (SELECT model, recording, sum(p * y)::DOUBLE / count(*) AS v FROM al GROUP BY ALL),
+v AS (SELECT model, 'precision@0.1' AS metric, p AS v FROM ms UNION ALL SELECT model, 'recall@0.1', r FROM ms UNION ALL SELECT model, 'f_score@0.1', CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END FROM ms UNION ALL SELECT model, 'iou', v FROM io)
+SELECT model, metric, round(sum(v) / (SELECT count(*) FROM recs) * 100, 6) AS value FROM v GROUP BY ALL"""
