@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op11_bpe
+from .centroids import OP12_SQL, op12_centroids
+from .conversations import OP13_SQL, op13_conversation_repair
 from .decontaminate import op5_decontaminate
 from .language import op2_language_id
 from .licenses import op1_license_scan
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_ngram_join": op10_ngram_join,
+        "op11_bpe": op11_bpe,
+        "op12_centroids": op12_centroids,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -38,4 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_topk_search": OP3_SQL,
         "op6_mix_sources": OP6_SQL,
         "op7_url_filter": OP7_SQL,
+        "op12_centroids": OP12_SQL,
+        "op13_conversation_repair": OP13_SQL,
     }
