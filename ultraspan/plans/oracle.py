@@ -347,9 +347,20 @@ SELECT g.recording, g.box_id, 8 AS height, g.w AS width, g.r AS row, g.k AS "col
 
 _G = {k: math.exp(-0.5 * k * k) for k in range(-4, 5)}
 _G = {k: v / sum(_G.values()) for k, v in _G.items()}
-_DY = {(q, p): q * _G[q] * _G[p] for q in _G for p in _G}
-_DX = {(q, p): p * _G[q] * _G[p] for q in _G for p in _G}
-ORACLE["inverse_gaussian_gradient"] = f"WITH {_FRAMES} SELECT recording, frame, bin, round(1 / sqrt(1 + 100 * sqrt(y.v * y.v + x.v * x.v)), 6) AS value FROM {_stencil(_DY)} y JOIN {_stencil(_DX)} x USING (recording, frame, bin)"
+_DOWN = ", ".join(f"{' + '.join(f'{w!r} * mags[least(greatest(bin + {k}, 0), 63) + 1]' for k, w in ((k, v * (k if d else 1)) for k, v in _G.items()))} AS {n}" for n, d in (("g", 0), ("d", 1)))
+
+
+def _across(column: str, weights: dict[int, float]) -> str:
+    """A sum over neighbouring frames; the first and the last one repeat."""
+    at = lambda k: f"coalesce(lead({column}, {k}) OVER w, last_value({column}) OVER e)" if k >= 0 else f"coalesce(lag({column}, {-k}) OVER w, first_value({column}) OVER e)"
+    return " + ".join(f"{w!r} * {at(k)}" for k, w in weights.items())
+
+
+ORACLE["inverse_gaussian_gradient"] = f"""WITH {_FRAMES},
+v AS (SELECT recording, frame, bin, {_DOWN} FROM (SELECT *, unnest(range(0, 64)) AS bin FROM frames)),
+h AS (SELECT recording, frame, bin, {_across('d', _G)} AS y, {_across('g', {k: k * v for k, v in _G.items()})} AS x FROM v
+      WINDOW w AS (PARTITION BY recording, bin ORDER BY frame), e AS (PARTITION BY recording, bin ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT recording, frame, bin, round(1 / sqrt(1 + 100 * sqrt(y * y + x * x)), 6) AS value FROM h"""
 
 
 def _unit(*columns: str) -> str:
@@ -368,6 +379,9 @@ _DRAWS = ", ".join(f"round({lo!r}::DOUBLE + {_unit(chr(39) + '3' + chr(39), chr(
 ORACLE["sample_configs"] = f"WITH n AS (SELECT unnest(range(0, count(*))) AS id FROM part) SELECT id::VARCHAR AS config_id, {_DRAWS} FROM n"
 
 ORACLE["read_annotations"] = f"WITH {_ANN} SELECT 'folder=' || folder AS folder, box_id AS selection, begin_file, begin_time, end_time, low_freq, high_freq, usv_type FROM ann"
+ORACLE["read_recordings"] = """WITH e AS (SELECT user_id, least(floor(value), 127) / 128.0::DOUBLE AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT (user_id % 5) || '/' || user_id || '.wav' AS recording, user_id || '.wav' AS name, 16 AS sample_rate, n AS n_samples, n / 16.0::DOUBLE AS duration, sample // 16 AS chunk_id, sample, value FROM e"""
+ORACLE["read_noise_spans"] = f"WITH {_BOXES} SELECT recording, box_id::VARCHAR AS config_id, t_start * 60.0::DOUBLE AS start, t_end * 60.0::DOUBLE AS \"end\" FROM pred0"
 ORACLE["read_detections"] = f"WITH {_BOXES} SELECT recording, 'c' AS config_id, box_id, label, score, round(t_start * 60.0::DOUBLE, 6) AS time_start, round(t_end * 60.0::DOUBLE, 6) AS time_end, round(freq_start * 1000.0::DOUBLE, 6) AS freq_start, round(freq_end * 1000.0::DOUBLE, 6) AS freq_end FROM pred0"
 ORACLE["write_metrics"] = f"WITH {_TRIALS} SELECT recording, config_id, round(score, 6) AS score, n_boxes FROM trials"
 

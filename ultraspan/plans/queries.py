@@ -329,6 +329,27 @@ def read_annotations(s, d):
     return sa.read_annotations(s, path).select("folder", "selection", "begin_file", "begin_time", "end_time", "low_freq", "high_freq", "usv_type")
 
 
+@query
+def read_recordings(s, d):
+    """Signals written as WAV files, a folder for each box, and read back by ranges of 100 bytes: every sample, beside
+    what the headers say."""
+    path = f"{shared_dir(s)}/recordings-{uuid.uuid4().hex}"
+    whole = F.transform("samples", lambda x: (F.least(F.floor(x), F.lit(127)) / 128).cast("double"))
+    own = tb.signal_chunks(s, d, 1 << 30).join(tb.recordings(s, d).select("recording", "folder", "name", "sample_rate"), "recording").withColumn("samples", whole)
+    audio.write_recordings(own, path).write.format("noop").mode("overwrite").save()
+    recordings, chunks = audio.read_recordings(s, path, chunk=16, range_bytes=100)
+    samples = chunks.select("recording", "chunk_id", F.posexplode("samples").alias("place", "value"), "sample_start")
+    return recordings.select("recording", "name", "sample_rate", "n_samples", "duration").join(samples, "recording").select("recording", "name", "sample_rate", "n_samples", "duration", "chunk_id", (F.col("sample_start") + F.col("place")).alias("sample"), F.col("value").cast("double").alias("value"))
+
+
+@query
+def read_noise_spans(s, d):
+    """Spans of every prediction written as JSON, a folder for each recording, and read back."""
+    path = f"{shared_dir(s)}/spans-{uuid.uuid4().hex}"
+    sd.write_noise_spans(_config_spans(s, d), path)
+    return sd.read_noise_spans(s, path)
+
+
 @query
 def read_detections(s, d):
     """Predictions written in seconds and Hz, a folder for each recording and configuration, twice over, and read back."""

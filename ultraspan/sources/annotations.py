@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import stash
+
 #: Columns of the files and ours.
 COLUMNS = {
     "Selection": ("selection", "int"),
@@ -32,16 +34,43 @@ def clean_label(label: Column) -> Column:
     return F.when(low == "22-khz call", "22-khz").otherwise(low)
 
 
+def _fields(line: Column, n: int) -> Column:
+    """The ``n`` fields of a tab-separated line, quotes taken off; null where the line is shorter."""
+    cut = F.from_csv(line, ", ".join(f"_{i} string" for i in range(n)), {"sep": "\t", "maxColumns": str(max(n, 2) + 1), "maxCharsPerColumn": "-1"})
+    return F.array(*[cut[f"_{i}"] for i in range(n)])
+
+
+def _header_name(name: Column) -> Column:
+    """Blanks for underscores, no blanks around, no byte order mark."""
+    return F.trim(F.translate(name, "_\ufeff", " "))
+
+
 def read_annotations(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Columns by the files' headers (in any order, blanks or underscores in names, ``NOTE`` for the type); those that a
-    file lacks are null. ``folder`` is the last folder of the path."""
-    raw = spark.read.option("sep", "\t").option("header", "true").option("recursiveFileLookup", "true").csv(path)
-    have = {c.strip().replace("_", " "): c for c in raw.columns}
-    if "NOTE" in have:
-        have.setdefault("USV TYPE", have["NOTE"])
-    own = [(F.col(f"`{have[k]}`") if k in have else F.lit(None)).try_cast(kind).alias(name) for k, (name, kind) in COLUMNS.items()]
-    folder = F.regexp_extract(F.input_file_name(), r"([^/]*)/[^/]*$", 1)
-    return raw.select(folder.alias("folder"), *own).withColumn("usv_type", clean_label(F.col("usv_type")))
+    """Columns by each file's own header (in any order, blanks or underscores in names, ``NOTE`` for the type where there
+    is no ``USV TYPE``); those that a file lacks are null. Of columns with one name the first counts. A line that is the
+    header once more, and an empty one, are skipped. ``folder`` is the last folder of the path.
+
+    One scan of the first block of each file gives the headers (a row for each file), a second one reads the lines; a line
+    is cut once, and its header's places tell where the values are.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = lines.filter(F.trim(F.translate("value", "\t\r\ufeff", "")) != "")
+    # lines of a block are read in order by one task
+    first = lines.filter("_block = 0").withColumn("_n", F.monotonically_increasing_id()).groupBy("_file").agg(F.min_by("value", "_n").alias("_header"))
+    headers = stash(first)
+    width = headers.agg(F.max(F.size(F.split("_header", "\t", -1)))).first()[0]
+    if width is None:
+        width = 1
+    names = F.transform(_fields(F.col("_header"), width), _header_name)
+    place = lambda name: F.array_position("_names", F.lit(name))
+    places = {name: place(header) for header, (name, _) in COLUMNS.items()}
+    places["usv_type"] = F.when(place("USV TYPE") > 0, place("USV TYPE")).otherwise(place("NOTE"))
+    known = headers.withColumn("_names", names).select(F.col("_file").alias("_of"), "_header", F.struct(*[p.cast("int").alias(n) for n, p in places.items()]).alias("_at"))
+    rows = lines.join(known, F.col("_file") == F.col("_of")).filter(F.col("value") != F.col("_header")).withColumn("_values", _fields(F.col("value"), width))
+    at = lambda name: F.col(f"_at.{name}")
+    own = [F.when(at(name) > 0, F.get("_values", at(name) - 1)).try_cast(kind).alias(name) for name, kind in COLUMNS.values()]
+    folder = F.url_decode(F.regexp_replace(F.regexp_extract("_file", r"([^/]*)/[^/]*$", 1), r"\+", "%2B"))
+    return rows.select(folder.alias("folder"), *own).withColumn("usv_type", clean_label(F.col("usv_type")))
 
 
 def clean_labels(annotations: DataFrame, label: str = "usv_type", background: str = "background", drop: bool = True, junk: Sequence[str] = ("junk",)) -> DataFrame:

@@ -9,15 +9,27 @@ from ..operators.boxes import boxes_to_si
 
 
 def read_noise_spans(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One JSON file for each recording, ``{config_id: {start, end}}``: recording (the file's name without ending),
-    config_id, start, end."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.[^./]*)?$", 1).alias("recording"), F.from_json("value", "map<string, struct<start: double, end: double>>").alias("m"))
+    """One JSON file for each recording, ``{config_id: {start, end}}``: recording (the file's name without ending, or of
+    its folder where that is ``recording=...``), config_id, start, end."""
+    name = F.regexp_extract("_file", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    folder = F.regexp_extract("_file", r"/recording=([^/]*)/[^/]*$", 1)
+    of = F.url_decode(F.regexp_replace(F.when(folder != "", folder).otherwise(name), r"\+", "%2B"))
+    reader = spark.read.schema("value string").option("recursiveFileLookup", "true")  # folders are no column here
+    files = reader.text(path, wholetext=True).withColumn("_file", F.input_file_name()).select(of.alias("recording"), F.from_json("value", "map<string, struct<start: double, end: double>>").alias("m"))
     return files.select("recording", F.explode("m").alias("config_id", "s")).select("recording", "config_id", "s.start", "s.end")
 
 
+def write_noise_spans(spans: DataFrame, path: str) -> None:
+    """``spans``: recording, config_id, start, end. A JSON file for each recording, in a folder ``recording=...``; spans of
+    other recordings stay as they are."""
+    maps = spans.groupBy("recording").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("config_id", F.struct("start", "end")))))).alias("value"))  # settings of one recording
+    maps.repartition("recording").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording").text(path)
+
+
 def write_detections(boxes: DataFrame, meta: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Boxes in seconds and Hz, a folder for each recording and configuration; those of other pairs stay as they are."""
-    writer = boxes_to_si(boxes, meta).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording", "config_id")
+    dealt = boxes_to_si(boxes, meta).repartition("recording", "config_id")  # a folder is written by one task
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording", "config_id")
     writer.format(fmt).save(path)
 
 
