@@ -274,6 +274,11 @@ def test_toxicity(spark, empty):
     assert kept.columns[-1] == "tox_score" and kept.filter("tox_score = 'clash'").count() == sum(r["tox_score"] < toxicity.THRESHOLD for r in got)
     assert toxicity.tag(empty, model).count() == 0
     assert toxicity.tag(docs(spark, ["a"]), toxicity.fit(train.withColumn("toxic", F.lit(0)))).first()["tox_score"] == 0.0
+    # labels on wordless texts only: nothing is learned, nothing rejected
+    for labels in ([1, 1], [1, 0]):
+        wordless = toxicity.fit(docs(spark, ["", None]).withColumn("toxic", F.element_at(F.array(*map(F.lit, labels)), (F.col("doc_id") + 1).cast("int"))))
+        assert {r["tox_score"] for r in toxicity.tag(docs(spark, tests), wordless).collect()} == {0.0}
+        assert toxicity.drop_toxic(docs(spark, tests), wordless).count() == len(tests)
 
 
 def test_forward_backward_against_enumeration():

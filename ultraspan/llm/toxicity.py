@@ -11,7 +11,7 @@ A chain ends at ``. ! ?``, at a line break, or after ``CHAIN`` words; all words
 length.
 
 Edge cases: null and empty texts have no words, no spans and the score of a document without evidence; without any
-labelled toxic row all scores are 0; repeated documents are scored each and alike; an empty table gives an empty result;
+labelled toxic row, or without a word in any text of the sample, nothing can be learned and all scores are 0; repeated documents are scored each and alike; an empty table gives an empty result;
 a word that is equally a seed by itself and by its beginning counts once; other columns are ignored.
 """
 
@@ -247,6 +247,9 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "toxic", key_c
     count = {r[0]: r[1] for r in sentences.groupBy("hit").count().collect()}
     few = lambda hit: sentences.filter((F.col("hit") == hit) & (F.col("u") <= sample_sentences / max(1, count.get(hit, 0))))
     chosen = pa.concat_tables([few(hit).orderBy("key").select("slots", "tags").toArrow() for hit in (True, False)]).combine_chunks()
+    if not len(chosen):  # no labelled text has a word
+        rows.unpersist()
+        return ToxicityModel(np.zeros((5, DIM)), (-3.0, 0.0, 0.0), None)
     weights, links = _fit_field(_flat(chosen["slots"]).reshape(-1, 5), _flat(chosen["tags"]).astype(float), np.diff(_offsets(chosen["tags"])))
     model = ToxicityModel(weights, links, None)
     scored = tag(rows, model).select("tox_evidence", "y").toPandas()  # the bounded sample
