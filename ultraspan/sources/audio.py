@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -101,9 +102,11 @@ def parse_wav(data: bytes) -> tuple[int, np.ndarray]:
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
-        # one slash after file: is how Spark writes local paths
-        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    """The file system of a path or URI, and the path in it. Blanks in a URI may stand as they are, as Spark gives them."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", path):
+        return fs.FileSystem.from_uri(quote(path, safe=":/?&=%@+,~"))
     return fs.LocalFileSystem(), path
 
 

@@ -13,7 +13,8 @@ def read_noise_spans(spark: SparkSession, path: str | list[str]) -> DataFrame:
     its folder where that is ``recording=...``), config_id, start, end."""
     name = F.regexp_extract("_file", r"([^/]*?)(?:\.[^./]*)?$", 1)
     folder = F.regexp_extract("_file", r"/recording=([^/]*)/[^/]*$", 1)
-    of = F.url_decode(F.regexp_replace(F.when(folder != "", folder).otherwise(name), r"\+", "%2B"))
+    decoded = lambda c: F.url_decode(F.regexp_replace(c, r"\+", "%2B"))
+    of = F.when(folder != "", decoded(decoded(folder))).otherwise(decoded(name))  # a partition's name is escaped, then its path
     reader = spark.read.schema("value string").option("recursiveFileLookup", "true")  # folders are no column here
     files = reader.text(path, wholetext=True).withColumn("_file", F.input_file_name()).select(of.alias("recording"), F.from_json("value", "map<string, struct<start: double, end: double>>").alias("m"))
     return files.select("recording", F.explode("m").alias("config_id", "s")).select("recording", "config_id", "s.start", "s.end")
