@@ -33,17 +33,37 @@ def _brute(rows, dt, df):
     return sorted((min(rows[i][0] for i in g), max(rows[i][1] for i in g), min(rows[i][2] for i in g), max(rows[i][3] for i in g)) for g in [[i for i in range(len(rows)) if root[i] == r] for r in set(root)])
 
 
-@pytest.mark.parametrize("island", [1, 5000])
-def test_merge_in_tasks_and_by_components_agree(spark, island):
-    rows = random_boxes(3, 60, t=150, f=40, length=5)
-    got = bx.merge_boxes(boxes(spark, rows), 1, 1, island=island).collect()
-    assert sorted((r["freq_start"], r["freq_end"], r["t_start"], r["t_end"]) for r in got) == _brute(rows, 1, 1)
+@pytest.mark.parametrize("block", [1, 7, 5000])
+def test_merge_in_blocks_and_by_components_agree(spark, block):
+    for seed, dt, df in ((3, 1, 1), (4, 0, 2), (5, 4, 0)):
+        rows = random_boxes(seed, 60, t=150, f=40, length=5)
+        got = bx.merge_boxes(boxes(spark, rows), df, dt, block=block).collect()
+        assert sorted((r["freq_start"], r["freq_end"], r["t_start"], r["t_end"]) for r in got) == _brute(rows, dt, df)
+
+
+def test_sweep_against_all_pairs():
+    rng = np.random.default_rng(1)
+    for n in [2, 3, 5, 40, 200] * 6:
+        dt, df = rng.integers(0, 5, 2)
+        rows = [(int(b), int(b + h), int(a), int(a + w)) for a, b, w, h in zip(rng.integers(0, 90, n), rng.integers(-20, 60, n), rng.integers(0, 12, n), rng.integers(0, 9, n), strict=True)]
+        fs, fe, ts, te = np.array(rows).T
+        of = kernels.sweep_components(ts, te, fs, fe, int(dt), int(df))
+        got = sorted((int(fs[of == r].min()), int(fe[of == r].max()), int(ts[of == r].min()), int(te[of == r].max())) for r in set(of.tolist()))
+        assert got == _brute(rows, dt, df)
+
+
+def test_dense_island_gives_links_no_pairs(spark):
+    """50,000 boxes that all touch: one component, and no more links than boxes and blocks."""
+    n = 50_000
+    rows = spark.range(n).select(F.lit("r").alias("recording"), F.col("id").alias("box_id"), (F.col("id") % 90).alias("freq_start"), (F.col("id") % 90 + 20).alias("freq_end"), (F.col("id") % 977).alias("t_start"), (F.col("id") % 977 + 300).alias("t_end"), F.lit(1.0).alias("score"))
+    got = bx.merge_boxes(rows, 1, 1, block=512).collect()
+    assert [(r["n_merged"], r["t_start"], r["t_end"], r["freq_end"]) for r in got] == [(n, 0, 1276, 109)]
 
 
 def test_long_chain_is_one_box(spark):
     rows = [(0, 1, 2 * i, 2 * i + 2) for i in range(3000)]
-    for island in (10, 5000):
-        got = bx.merge_boxes(boxes(spark, rows), 0, 0, island=island).collect()
+    for block in (100, 10_000):
+        got = bx.merge_boxes(boxes(spark, rows), 0, 0, block=block).collect()
         assert [(r["t_start"], r["t_end"], r["n_merged"]) for r in got] == [(0, 6000, 3000)]
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,36 @@ def test_against_pixels(spark, seed, width):
             assert got[i] == pytest.approx(len(own & cover) / len(own | cover))
 
 
+def test_areas_against_pixels_and_across_blocks(spark):
+    rng = np.random.default_rng(2)
+    for n in [1, 2, 3, 10, 60] * 8:
+        rows = [(int(b), int(b + h), int(a), int(a + w)) for a, b, w, h in zip(rng.integers(0, 40, n), rng.integers(0, 30, n), rng.integers(0, 12, n), rng.integers(0, 9, n), strict=True)]
+        fs, fe, ts, te = np.array(rows).T
+        assert iv.area_of_union(ts, te + 1, fs, fe + 1) == len(pixels(rows))
+    sides = [random_boxes(s, 40, t=90, length=30) for s in (7, 8)]
+    both = boxes(spark, sides[0]).withColumn("side", F.lit(1)).unionByName(boxes(spark, sides[1]).withColumn("side", F.lit(2))).withColumn("other", F.lit(None).cast("string"))
+    for width in (1, 16, 1024):
+        r = iv.side_areas(both, ("recording", "other"), width).first()
+        a, b = map(pixels, sides)
+        assert (r["one"], r["two"], r["either"]) == (len(a), len(b), len(a | b))
+    assert iv.side_areas(both.filter("side = 2"), ("recording",)).select("one").first()[0] == 0
+    assert iv.side_areas(both.filter("false")).count() == 0
+
+
+def test_many_boxes_in_one_block(spark):
+    """Overlapping boxes over thousands of bins: their number counts, not their height."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit("r").alias("recording"), (F.col("id") * 37 % 700).alias("t_start"), (F.col("id") * 37 % 700 + 200).alias("t_end"), (F.col("id") * 131 % 50_000).alias("freq_start"), (F.col("id") * 131 % 50_000 + 9000).alias("freq_end"))
+    t, f, w, h = 700, 50_000, 200, 9000
+    grid = np.zeros((t + w + 2, f + h + 2), np.int32)
+    i = np.arange(n)
+    a, b = i * 37 % t, i * 131 % f
+    for da, db, s in ((0, 0, 1), (w + 1, 0, -1), (0, h + 1, -1), (w + 1, h + 1, 1)):
+        np.add.at(grid, (a + da, b + db), s)
+    expected = int((np.cumsum(np.cumsum(grid, 0, dtype=np.int32), 1, dtype=np.int32) > 0).sum())
+    assert iv.union_area(rows).first()["covered"] == expected
+
+
 def test_duplicates_null_labels_and_empty_sides(spark):
     p = boxes(spark, [(0, 3, 0, 3, None), (0, 3, 0, 3, None), (0, 3, 0, 3, "x")])
     t = boxes(spark, [])

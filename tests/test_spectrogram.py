@@ -2,12 +2,13 @@ import io
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import boxes, frames, matrix, meta
 from ultraspan.functions import kernels
-from ultraspan.operators.intervals import time_islands
+from ultraspan.operators.intervals import runs, time_islands
 from ultraspan.operators import contour as ct
 from ultraspan.operators import denoise as dn
 from ultraspan.operators import detect as de
@@ -202,6 +203,15 @@ def test_sweep(spark):
         alone = ct.detect_gac(f, m, 1, True, r["num_iter"], r["smoothing"], float(r["threshold"]), float(r["balloon"]), "eroded", float(r["flood_threshold"]), float(r["sigma"]), 50.0)
         assert together.get(i, []) == sorted((b["t_start"], b["t_end"], b["freq_start"], b["freq_end"]) for b in alone.collect())
     assert together.get(0) == together.get(2) and any(together.values())
+    # settings that differ in their number of steps share one evolution
+    ladder = [{**params[0].asDict(), "setting": 10 + n, "num_iter": n} for n in (2, 5, 9, 0, 5)]
+    steps = spark.sparkContext.accumulator(0)
+    rungs = ct.detect_gac_settings(f, m, [{**x, "setting": 20 + i} for i, x in enumerate(ladder)], 1, False, 50.0, steps).groupBy("setting").agg(F.sort_array(F.collect_list(F.struct("t_start", "t_end", "freq_start", "freq_end"))).alias("b"))
+    rungs = {r["setting"]: r["b"] for r in rungs.collect()}
+    assert steps.value == 9  # not 2 + 5 + 9 + 5
+    for i, x in enumerate(ladder):
+        alone = ct.detect_gac(f, m, 1, False, x["num_iter"], int(x["smoothing"]), float(x["threshold"]), float(x["balloon"]), "eroded", float(x["flood_threshold"]), float(x["sigma"]), 50.0)
+        assert [tuple(b) for b in rungs.get(20 + i, [])] == sorted((b["t_start"], b["t_end"], b["freq_start"], b["freq_end"]) for b in alone.collect())
     out = wf.tune(f, m, truth, configs, 40.0, alpha=50.0)
     assert out["trials"].count() == 2
     best = out["best"].first()
@@ -269,12 +279,136 @@ def test_exact_percentile(spark, share):
     rng = np.random.default_rng(3)
     rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 5000), (None, 300)) for v in rng.normal(size=n) ** 3] + [("d", 2.5)] * 50 + [("e", float(v // 10)) for v in range(95)] + [("c", None), ("f", None)]
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r["k"]: r["q"] for r in sp.exact_percentile(df, ("k",), "x", share, "q", 64).collect()}
     by = {}
     for k, v in rows:
         if v is not None:
             by.setdefault(k, []).append(v)
-    assert got == {k: pytest.approx(np.quantile(v, share)) for k, v in by.items()}
+    for accuracy in (10, 1000):
+        got = {r["k"]: r["q"] for r in sp.exact_percentile(df, ("k",), "x", share, "q", accuracy).collect()}
+        assert got == {k: pytest.approx(np.quantile(v, share)) for k, v in by.items()}
+
+
+def test_percentile_of_a_long_tail(spark, monkeypatch):
+    """Nearly all values in a small part of their range: few of them are counted one by one."""
+    rng = np.random.default_rng(5)
+    x = np.exp(rng.normal(0, 3, 100_000))
+    df = spark.createDataFrame(pd.DataFrame({"k": "r", "x": x}))
+    tables = []
+    monkeypatch.setattr(sp, "stash", lambda t: tables.append(t) or t)
+    got = sp.exact_percentile(df, ("k",), "x", 0.75, "q").first()["q"]
+    assert got == pytest.approx(np.quantile(x, 0.75))
+    bracket = df.agg(F.percentile_approx("x", [0.748, 0.752], 1000)).first()[0]
+    assert len(tables) == 1 and ((x >= bracket[0]) & (x <= bracket[1])).sum() < len(x) / 100
+
+
+def test_percentile_outside_its_bracket(spark, monkeypatch):
+    """A bracket that misses the rank is noticed, and the group counted whole."""
+    monkeypatch.setattr(sp.F, "percentile_approx", lambda c, shares, accuracy: F.array(F.lit(7.0), F.lit(8.0)))
+    df = spark.range(101).select(F.lit("r").alias("k"), F.col("id").cast("double").alias("x"))
+    assert sp.exact_percentile(df, ("k",), "x", 0.5, "q").first()["q"] == 50.0
+
+
+@pytest.mark.parametrize("reach", [0, 1])
+def test_runs_of_masks_against_flooding(reach):
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        mask = rng.random((int(rng.integers(1, 14)), int(rng.integers(1, 12)))) < rng.random()
+        at = np.sort(rng.choice(30, mask.shape[0], replace=False)) if rng.random() < 0.4 else np.arange(5, 5 + mask.shape[0])
+        row, first, last, of = kernels.mask_runs(mask, at, reach)
+        label = np.full(mask.shape, -1)
+        for r, a, b, c in zip(row, first, last, of, strict=True):
+            label[r, a : b + 1] = c
+        assert ((label >= 0) == mask).all()
+        seen = np.full(mask.shape, -1)
+        for start in zip(*np.nonzero(mask), strict=True):
+            todo = [start]
+            while todo:
+                i, j = todo.pop()
+                if 0 <= i < mask.shape[0] and 0 <= j < mask.shape[1] and mask[i, j] and seen[i, j] < 0:
+                    seen[i, j] = start[0] * mask.shape[1] + start[1]
+                    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (reach or not (a and b))]
+                    todo += [(i + a, j + b) for a, b in near if a == 0 or (0 <= i + a < mask.shape[0] and abs(at[i + a] - at[i]) == 1)]
+        pairs = {(a, b) for a, b in zip(label[mask].tolist(), seen[mask].tolist(), strict=True)}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_labels_and_level_sets_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.random((12, 70)), 3)
+    f, m = frames(spark, x), meta(spark, 70, 12)
+    level, found = [], []
+    for block in (1, 3, 16, 2048):
+        level.append(matrix(ct.eroded_level_set(f, m, 0.6, block=block)))
+        mask = f.withColumn("mags", F.transform("mags", lambda v: (v > 0.45).cast("double")))
+        found.append(sorted(tuple(r)[2:] for r in ct.find_bounding_boxes(mask, 2, block=block).collect()))
+        parts = ct.block_components(mask, block=block)
+        assert parts.select("_root").distinct().count() == len(ct.find_bounding_boxes(mask, 1, block=block).collect())
+    assert all((a == level[0]).all() for a in level) and all(b == found[0] for b in found)
+    above = np.pad(x > 0.6, 0)
+    above[[0, -1]], above[:, [0, -1]] = True, True
+    outside = np.zeros(x.shape, bool)
+    outside[[0, -1]], outside[:, [0, -1]] = True, True
+    while True:
+        grown = kernels.dilate(outside.astype(np.int8)).astype(bool) & above
+        if (grown == outside).all():
+            break
+        outside = grown
+    np.testing.assert_array_equal(level[0], 1.0 - outside)
+
+
+def test_eroded_contour_across_tiles(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((10, 90))
+    x[3:7, 20:60] += 4
+    f, m = frames(spark, x), meta(spark, 90, 10)
+    edges = ct.inverse_gaussian_gradient(f, 1.0, 100.0)
+    start = ct.eroded_level_set(edges, m, 0.3, block=16)
+    whole = kernels.active_contour(matrix(edges), matrix(start), 3, 1, 0.3, -1.0)
+    for block in (8, 4096):
+        np.testing.assert_array_equal(matrix(ct.evolve(edges, start, 3, 1, 0.3, -1, block=block)), whole)
+
+
+def test_averages_and_runs_over_block_borders(spark):
+    rng = np.random.default_rng(9)
+    n, width = 100, 5
+    x = rng.random(n)
+    df = spark.createDataFrame([("r", i, float(v)) for i, v in enumerate(x)] + [(None, i, 1.0) for i in range(3)], "recording string, frame long, v double")
+    padded = np.pad(x, (width // 2, (width - 1) // 2), constant_values=2.0)
+    expected = [padded[i : i + width].mean() for i in range(n)]
+    for block in (1, 7, 4096):
+        got = de.moving_average(df, "v", width, ["recording"], "frame", 2.0, block).filter("recording = 'r'").orderBy("frame").collect()
+        np.testing.assert_allclose([r["v"] for r in got], expected)
+    flags = sorted(set(rng.integers(0, 200, 120).tolist()) | set(range(40, 90)))
+    df = spark.createDataFrame([(k, i) for i in flags for k in ("r", None)], "recording string, frame long")
+    brute = [(a, b) for a in flags if a - 1 not in flags for b in [next(c for c in range(a, 300) if c + 1 not in flags)]]
+    for block in (1, 2, 16, 4096):
+        got = runs(df, ["recording"], "frame", block).collect()
+        assert sorted((r["first"], r["last"]) for r in got if r["recording"] == "r") == brute and len(got) == 2 * len(brute)
+
+
+def test_batches_of_like_sizes_are_padded_little(spark):
+    rng = np.random.default_rng(10)
+    rows = [(0, int(h), 0, int(w)) for h, w in zip(rng.integers(1, 60, 400), np.exp(rng.normal(3, 1.5, 400)).astype(int) + 1, strict=True)] + [(0, 5, 0, 5000)]
+    got = sp.size_batches(boxes(spark, rows), 20).groupBy("batch").agg(F.max(F.col("t_end") * 1.0).alias("w"), F.max("freq_end").alias("h"), F.sum(F.col("t_end") * F.col("freq_end")).alias("content"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in got) == len(rows)
+    assert sum(r["n"] * r["w"] * r["h"] for r in got) < 2 * sum(r["content"] for r in got)
+    image = np.arange(24.0).reshape(4, 6)
+    small = sp.size_batches(boxes(spark, [(0, 2, 0, 2), (1, 3, 1, 3), (0, 4, 0, 6), (2, 2, 1, 5)]), 10)
+    crops = {r["box_id"]: (r["height"], r["width"], np.array(r["crop"]).shape) for r in sp.standardize_pad(frames(spark, image), small, 1, ("batch",)).collect()}
+    assert crops == {0: (2, 2, (2, 2)), 1: (2, 2, (2, 2)), 2: (4, 6, (4, 6))}
+
+
+def test_runs_of_result_tables(spark, tmp_path):
+    path = str(tmp_path / "m")
+    first = sd.write_metrics(spark.range(3), path)
+    sd.write_metrics(spark.range(2), path, "b/1")
+    broken = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        sd.write_metrics(broken, path, "c")
+    assert sd.read_metrics(spark, path, "id long").count() == 5
+    for _ in range(2):
+        sd.write_metrics(spark.range(5), path, "c")
+    assert {r["run"]: r["count"] for r in sd.read_metrics(spark, path, "id long").groupBy("run").count().collect()} == {first: 3, "b/1": 2, "c": 5}
 
 
 def test_islands_across_buckets(spark):

@@ -101,11 +101,16 @@ def _inf_sup(u: np.ndarray) -> np.ndarray:
 def active_contour(g: np.ndarray, u: np.ndarray, iterations: int, smoothing: int, threshold: float, balloon: float) -> np.ndarray:
     """Morphological geodesic active contour: balloon force where the edge map allows it, attraction to its valleys,
     then curvature smoothing by alternating line operators."""
+    return contour_snapshots(g, u, [iterations], smoothing, threshold, balloon)[0]
+
+
+def contour_snapshots(g: np.ndarray, u: np.ndarray, iterations: list[int], smoothing: int, threshold: float, balloon: float) -> list[np.ndarray]:
+    """``active_contour`` after each number of iterations, from one evolution up to the largest."""
     u = (u > 0).astype(np.int8)
     dg = np.gradient(g)
     free = g > threshold / abs(balloon) if balloon else None
-    flip = 0
-    for _ in range(iterations):
+    flip, at = 0, {0: u}
+    for step in range(1, max(iterations, default=0) + 1):
         if balloon:
             moved = dilate(u) if balloon > 0 else erode(u)
             u = np.where(free, moved, u)
@@ -114,7 +119,9 @@ def active_contour(g: np.ndarray, u: np.ndarray, iterations: int, smoothing: int
         for _ in range(smoothing):
             u = _sup_inf(_inf_sup(u)) if flip % 2 == 0 else _inf_sup(_sup_inf(u))
             flip += 1
-    return u
+        if step in iterations:
+            at[step] = u
+    return [at[n] for n in iterations]
 
 
 def components(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -138,3 +145,54 @@ def components(n: int, pairs: np.ndarray) -> np.ndarray:
         if (new == root).all():
             return root
         root = new
+
+
+def sweep_components(ts: np.ndarray, te: np.ndarray, fs: np.ndarray, fe: np.ndarray, delta_time: int, delta_freq: int) -> np.ndarray:
+    """A member of each box's component; boxes (ends included) touch that come within the deltas of each other.
+
+    Boxes are taken by their start. For each gap between frequency coordinates, the box over it that ends last is enough
+    to know: of boxes that share a gap and haven't ended, the later one met the earlier one when it began.
+    """
+    n = len(ts)
+    parent = list(range(n))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    gaps = np.unique(np.concatenate([fs, fe + 1]))
+    ends, holder = np.full(len(gaps), np.iinfo(np.int64).min), np.full(len(gaps), -1)
+    lo, hi = np.searchsorted(gaps, fs), np.searchsorted(gaps, fe + 1)
+    near_lo, near_hi = np.maximum(np.searchsorted(gaps, fs - delta_freq, side="right") - 1, 0), np.searchsorted(gaps, fe + delta_freq + 1)
+    for i in np.argsort(ts, kind="stable").tolist():
+        a, b = near_lo[i], near_hi[i]
+        for j in set(holder[a:b][ends[a:b] >= ts[i] - delta_time].tolist()):
+            if (x := find(i)) != (y := find(j)):
+                parent[max(x, y)] = min(x, y)
+        a, b = lo[i], hi[i]
+        later = ends[a:b] < te[i]
+        ends[a:b][later], holder[a:b][later] = te[i], i
+    return np.array([find(i) for i in range(n)], np.int64)
+
+
+def mask_runs(mask: np.ndarray, frames: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first bin, last bin, component) of each run of set bins in ``mask`` [frames x bins]; runs of neighbouring
+    ``frames`` (sorted) are linked that share a bin, or come within ``reach`` bins. Components are numbered from 0, in
+    order of their first run."""
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1] - 1
+    width = mask.shape[1] + 2 * reach + 2
+    place = (frames[row] - frames[0]) * width if len(row) else np.zeros(0, np.int64)
+    starts, ends = place + first, place + last
+    a = np.searchsorted(ends, starts + width - reach, side="left")  # first run of the next frame that isn't before it
+    b = np.searchsorted(starts, ends + width + reach, side="right")
+    # runs of the next frame alone: reach may look past its borders
+    a = np.maximum(a, np.searchsorted(starts, place + width - reach, side="left"))
+    b = np.minimum(b, np.searchsorted(starts, place + 2 * width - reach, side="left"))
+    n = np.maximum(b - a, 0)
+    left = np.repeat(np.arange(len(row)), n)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+    root = components(len(row), np.column_stack([left, right]))
+    return row, first, last, np.unique(root, return_inverse=True)[1]

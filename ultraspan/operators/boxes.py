@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +16,10 @@ from ..functions.grid import axis_end, axis_value, freq_to_pixels, nearest_index
 from ..schemas import COORDS, KEYS
 from ..shared import stash
 from .components import connected_components
-from .intervals import overlap_join, time_islands
+from .grouped import longs, map_groups
 
-#: Boxes of an island that one task may hold when boxes are merged; larger islands go by edges and components.
-ISLAND = 5000
+#: Frames in a block when touching boxes are looked for.
+BLOCK = 4096
 
 
 def _meta(df: DataFrame, meta: DataFrame) -> DataFrame:
@@ -93,57 +93,54 @@ def filter_detection_size(boxes: DataFrame, meta: DataFrame | None = None, max_b
     return _meta(out, meta).filter((F.col("freq_start") + F.col("freq_end")) / 2 >= least).select(boxes.columns)
 
 
-def label_components(boxes: DataFrame, delta_time: int, delta_freq: int, keys: Sequence[str] = KEYS, island: int = ISLAND) -> DataFrame:
+def label_components(boxes: DataFrame, delta_time: int, delta_freq: int, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """Adds ``component``: equal for boxes of a key that touch, directly or through others, after one of them grows by
     the deltas (pixels).
 
-    Components never cross time islands, so an island is labelled in one task; an island with more than ``island`` boxes
-    goes by an overlap join and distributed components instead.
+    A box goes to the blocks of ``block`` frames that it reaches, so boxes that touch share a block. A sweep over a block
+    (see ``kernels.sweep_components``) costs its boxes times their height, however many of them touch, and links each box
+    to one other at most. Components inside one block are done; of those that reach into the next one, the links go
+    through the distributed components: as many as boxes, never pairs.
     """
-    boxes = stash(time_islands(boxes, keys, delta_time).withColumn("_id", F.monotonically_increasing_id()))
-    own = [*keys, "island"]
-    sizes = boxes.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
-    sized = boxes.join(sizes, own)
-    out = T.StructType([*boxes.schema.fields, T.StructField("component", T.LongType())])
-    # islands share tasks' groups, about ``island`` boxes in each
-    groups = max(1, -(-boxes.count() // max(island, 1000)))
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        code = pdf.groupby(own, dropna=False, sort=False).ngroup().to_numpy()
-        order = np.lexsort((pdf["t_start"].to_numpy(), code))
-        pdf, code = pdf.iloc[order], code[order]
-        ts, te, fs, fe, ids = (pdf[c].to_numpy() for c in ("t_start", "t_end", "freq_start", "freq_end", "_id"))
-        # islands one after the other on one time axis, too far apart to touch
-        shift = code * (int(te.max()) - int(ts.min()) + delta_time + 2)
-        ts, te = ts + shift, te + shift
-        pairs = []
-        reach = np.searchsorted(ts, te + delta_time, side="right")
-        for i in np.flatnonzero(reach > np.arange(len(ts)) + 1):
-            j = np.arange(i + 1, reach[i])
-            j = j[(fs[j] <= fe[i] + delta_freq) & (fs[i] <= fe[j] + delta_freq)]
-            pairs.append(np.column_stack([np.full(len(j), i), j]))
-        root = kernels.components(len(ts), np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64))
-        least = np.full(len(ts), np.iinfo(np.int64).max)
-        np.minimum.at(least, root, ids)
-        return pdf.assign(component=least[root])[[f.name for f in out.fields]]
-
-    alone = sized.filter(F.col("_n") == 1).drop("_n").withColumn("component", F.col("_id"))
-    few = sized.filter((F.col("_n") > 1) & (F.col("_n") <= island)).drop("_n")
-    small = alone.unionByName(few.groupBy(F.pmod(F.xxhash64(*own), F.lit(groups))).applyInPandas(label, out))
-    large = stash(sized.filter((F.col("_n") > 1) & (F.col("_n") > island)).drop("_n"))
-    if large.isEmpty():
-        return small.drop("island", "_id")
-    edges = overlap_join(large, large, own, 256, delta_time, delta_freq).filter("a__id != b__id").select(F.col("a__id").alias("u"), F.col("b__id").alias("v"))
-    roots = connected_components(edges).select(F.col("node").alias("_id"), F.col("root").alias("component"))
-    labelled = large.join(roots, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
-    return small.unionByName(labelled).drop("island", "_id")
-
-
-def merge_boxes(boxes: DataFrame, delta_freq: int, delta_time: int, label: str | None = None, keys: Sequence[str] = KEYS, island: int = ISLAND) -> DataFrame:
+    boxes = stash(boxes.withColumn("_id", F.monotonically_increasing_id()))
+    first = F.floor(F.col("t_start") / block)
+    last = F.greatest(first, F.floor((F.col("t_end") + delta_time) / block))
+    dealt = boxes.withColumns({"_first": first, "_last": last}).withColumn("_block", F.explode(F.sequence("_first", "_last")))
+
+    def label(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        ts, te, fs, fe, ids = (longs(rows, c) for c in ("t_start", "t_end", "freq_start", "freq_end", "_id"))
+        crosses = longs(rows, "_last") > longs(rows, "_first")
+        root, open_ = ids.copy(), crosses.copy()
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+            if hi - lo > 1:
+                of = kernels.sweep_components(ts[lo:hi], te[lo:hi], fs[lo:hi], fe[lo:hi], delta_time, delta_freq)
+                least = np.full(hi - lo, np.iinfo(np.int64).max)
+                np.minimum.at(least, of, ids[lo:hi])
+                crossed = np.zeros(hi - lo, bool)
+                np.logical_or.at(crossed, of, crosses[lo:hi])
+                root[lo:hi], open_[lo:hi] = least[of], crossed[of]
+        own = longs(rows, "_block") == longs(rows, "_first")
+        out = rows.drop_columns(["_first", "_last", "_block"])
+        for name, x in (("_own", own), ("_root", root), ("_open", open_)):
+            out = out.append_column(name, pa.array(x))
+        return out
+
+    extra = [T.StructField("_own", T.BooleanType()), T.StructField("_root", T.LongType()), T.StructField("_open", T.BooleanType())]
+    out = stash(map_groups(dealt, [*keys, "_block"], ["t_start"], label, T.StructType([*boxes.schema.fields, *extra])))
+    closed = out.filter("_own AND NOT _open").withColumn("component", F.col("_root"))
+    links = out.filter("_open").select(F.col("_id").alias("u"), F.col("_root").alias("v"))
+    if links.isEmpty():
+        return closed.drop("_id", "_own", "_root", "_open")
+    roots = connected_components(links).select(F.col("node").alias("_node"), F.col("root").alias("_to"))
+    crossing = out.filter("_own AND _open").join(roots, F.col("_id") == F.col("_node"), "left").withColumn("component", F.coalesce("_to", "_id")).drop("_node", "_to")
+    return closed.unionByName(crossing).drop("_id", "_own", "_root", "_open")
+
+
+def merge_boxes(boxes: DataFrame, delta_freq: int, delta_time: int, label: str | None = None, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """Boxes that touch after growing one by the deltas (pixels; see ``merge_boxes_si`` for Hz and seconds) become one
     box around them, with the mean of their scores and the given label; ``n_merged`` counts them. One closure over the
     input: merged boxes may still touch each other."""
-    parts = label_components(boxes, delta_time, delta_freq, keys, island)
+    parts = label_components(boxes, delta_time, delta_freq, keys, block)
     score = F.avg("score") if "score" in boxes.columns else F.lit(None).cast("double")
     return (
         parts.groupBy(*keys, "component")

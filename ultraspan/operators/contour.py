@@ -5,32 +5,96 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..schemas import KEYS
 from ..shared import stash
-from .boxes import filter_boxes, label_components
+from .boxes import filter_boxes
+from .components import connected_components
+from .grouped import longs, map_groups
+from .intervals import same
 from .spectrogram import with_halo
 
+#: Frames in a block whose mask is labelled in one task.
+BLOCK = 2048
+LAST = np.iinfo(np.int64).max
 
-def mask_runs(mask: DataFrame, keys: Sequence[str] = KEYS, value: str = "mags") -> DataFrame:
-    """``mask``: keys, frame, an array with 1 where the mask is set. Runs along frequency as boxes of one frame: keys,
-    box_id, t_start, t_end, freq_start, freq_end. Array functions only: bins are never rows."""
-    m = F.col(value)
-    at = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (F.get(m, i) > 0) & ((i == 0) | (F.coalesce(F.get(m, i - 1), F.lit(0)) <= 0)))
-    to = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (F.get(m, i) > 0) & (F.coalesce(F.get(m, i + 1), F.lit(0)) <= 0))
-    rows = mask.filter(F.size(m) > 0).select(*keys, "frame", F.explode(F.arrays_zip(at.alias("s"), to.alias("e"))).alias("r"))
-    return rows.select(*keys, F.xxhash64("frame", "r.s").alias("box_id"), F.col("frame").alias("t_start"), F.col("frame").alias("t_end"), F.col("r.s").cast("long").alias("freq_start"), F.col("r.e").cast("long").alias("freq_end"))
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """[rows x values] of a list column; shorter lists end in zeros."""
+    x = column.combine_chunks()
+    sizes = np.diff(x.offsets.to_numpy())
+    flat = x.flatten().to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes == sizes[0]).all():
+        return flat.reshape(len(sizes), sizes[0])
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1])[None] < sizes[:, None]] = flat
+    return out
 
-def find_bounding_boxes(mask: DataFrame, min_side_length: int = 1, keys: Sequence[str] = KEYS, value: str = "mags") -> DataFrame:
-    """Inclusive boxes around the 4-connected components of the mask, both sides ``min_side_length`` at least.
 
-    Runs of neighbouring frames that share a bin are linked: frames apart by one, no gap in frequency."""
-    parts = label_components(mask_runs(mask, keys, value), 1, 0, keys)
-    boxes = parts.groupBy(*keys, "component").agg(F.min("freq_start").alias("freq_start"), F.max("freq_end").alias("freq_end"), F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.sum(F.col("freq_end") - F.col("freq_start") + 1).alias("n_cells"))
+_PART = "_local int, t_start long, t_end long, freq_start long, freq_end long, n_cells long, _begin array<struct<s: int, e: int>>, _final array<struct<s: int, e: int>>"
+
+
+def block_components(mask: DataFrame, keys: Sequence[str] = KEYS, value: str = "mags", reach: int = 0, block: int = BLOCK) -> DataFrame:
+    """``mask``: keys, frame, an array with positive values where the mask is set. The connected parts of each block of
+    ``block`` frames, labelled inside its task: keys, ``_block``, ``_local``, box, ``n_cells``, ``_node`` (an id), and ``_root``, equal
+    for parts that belong together. ``reach``: 0 for 4 neighbours, 1 for 8.
+
+    Only the runs on both sides of a border between blocks are joined, and only the parts they belong to go through the
+    distributed components.
+    """
+    own = [*keys, "_block"]
+    dealt = mask.select(*keys, "frame", F.col(value).alias("_m"), F.floor(F.col("frame") / block).alias("_block"))
+
+    def label(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        out = []
+        for k, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)):
+            part = rows.slice(lo, hi - lo)
+            at, b = longs(part, "frame"), int(part.column("_block")[0].as_py())
+            row, first, last, of = kernels.mask_runs(_matrix(part.column("_m")) > 0, at, reach)
+            n = int(of.max(initial=-1)) + 1
+            frames = at[row]
+            ends = {}
+            for name, x, how, start in (("t0", frames, np.minimum, LAST), ("t1", frames, np.maximum, -1), ("f0", first, np.minimum, LAST), ("f1", last, np.maximum, -1), ("n", last - first + 1, np.add, 0)):
+                ends[name] = np.full(n, start, np.int64)
+                how.at(ends[name], of, x)
+            border: dict[int, list[list[tuple[int, int]]]] = {}
+            for side, frame in enumerate((b * block, (b + 1) * block - 1)):
+                for i in np.flatnonzero(frames == frame).tolist():
+                    border.setdefault(int(of[i]), [[], []])[side].append({"s": int(first[i]), "e": int(last[i])})
+            none: list[list] = [[], []]
+            out += [(lo, i, *(int(ends[c][i]) for c in ("t0", "t1", "f0", "f1", "n")), *border.get(i, none)) for i in range(n)]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 9
+        table = rows.select(own).take(pa.array(columns[0], pa.int64()))
+        run = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+        names = ("_local", "t_start", "t_end", "freq_start", "freq_end", "n_cells", "_begin", "_final")
+        for name, x, kind in zip(names, columns[1:], [pa.int32(), *[pa.int64()] * 5, run, run], strict=True):
+            table = table.append_column(name, pa.array(x, kind))
+        return table
+
+    kinds = T.StructType([*(dealt.schema[k] for k in own), *T.StructType.fromDDL(_PART).fields])
+    parts = stash(map_groups(dealt, own, ["frame"], label, kinds).withColumn("_node", F.monotonically_increasing_id()))
+    border = lambda runs, at, to: parts.select(*keys, at.alias("_border"), F.col("_node").alias(to), F.explode(runs).alias(f"_{to}"))
+    before, after = border("_final", F.col("_block") + 1, "u"), border("_begin", F.col("_block"), "v")
+    meets = (F.col("_u.s") <= F.col("_v.e") + reach) & (F.col("_v.s") <= F.col("_u.e") + reach)
+    links = same(before, after, [*keys, "_border"]).filter(meets).select("u", "v")
+    parts = parts.drop("_begin", "_final")
+    links = stash(links.distinct())
+    if links.isEmpty():
+        return parts.withColumn("_root", F.col("_node"))
+    roots = connected_components(links).select(F.col("node").alias("_n"), F.col("root").alias("_to"))
+    return parts.join(roots, F.col("_node") == F.col("_n"), "left").withColumn("_root", F.coalesce("_to", "_node")).drop("_n", "_to")
+
+
+def find_bounding_boxes(mask: DataFrame, min_side_length: int = 1, keys: Sequence[str] = KEYS, value: str = "mags", block: int = BLOCK) -> DataFrame:
+    """Inclusive boxes around the 4-connected components of the mask, both sides ``min_side_length`` at least."""
+    parts = block_components(mask, keys, value, 0, block)
+    boxes = parts.groupBy(*keys, "_root").agg(F.min("freq_start").alias("freq_start"), F.max("freq_end").alias("freq_end"), F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.sum("n_cells").alias("n_cells"))
     big = boxes.filter((F.col("t_end") - F.col("t_start") + 1 >= min_side_length) & (F.col("freq_end") - F.col("freq_start") + 1 >= min_side_length))
     return big.select(*keys, F.xxhash64("t_start", "t_end", "freq_start", "freq_end", "n_cells").alias("box_id"), "freq_start", "freq_end", "t_start", "t_end", F.lit(None).cast("string").alias("label"), "n_cells")
 
@@ -46,23 +110,39 @@ def ones_level_set(frames: DataFrame, meta: DataFrame) -> DataFrame:
     return frames.join(_edge(meta), "recording").select(*frames.drop("mags").columns, F.transform("mags", lambda x, i: F.when(edge | (i == 0) | (i == last), 0.0).otherwise(1.0)).alias("mags"))
 
 
-def eroded_level_set(frames: DataFrame, meta: DataFrame, threshold: float | str, keys: Sequence[str] = KEYS) -> DataFrame:
+def eroded_level_set(frames: DataFrame, meta: DataFrame, threshold: float | str, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """0 for pixels that a path over pixels above the threshold (a number, or a column of ``keys``; 8 neighbours) joins to
     the edge of the spectrogram, 1 for all others. The edge pixels themselves are 0.
 
-    Components of such pixels come from their runs; those that touch the edge are taken out.
+    The parts of such pixels in each block are labelled in its task; those whose component touches the edge are taken out
+    when the block is labelled once more.
     """
     last = F.size("mags") - 1
     limit = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
     edge = (F.col("frame") == 0) | (F.col("frame") == F.col("_n") - 1)
     rows = stash(frames.join(_edge(meta), "recording").select(*keys, "frame", "_n", F.size("mags").alias("_f"), F.transform("mags", lambda x, i: F.when(edge | (i == 0) | (i == last) | (x > limit), 1.0).otherwise(0.0)).alias("mags")))
     size = rows.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max("_f").alias("_f"))
-    parts = stash(label_components(mask_runs(rows, keys), 1, 1, keys))
+    parts = stash(block_components(rows, keys, "mags", 1, block))
     at_edge = (F.col("t_start") == 0) | (F.col("t_end") == F.col("_n") - 1) | (F.col("freq_start") == 0) | (F.col("freq_end") == F.col("_f") - 1)
-    outside = parts.join(size, list(keys)).filter(at_edge).select(*keys, "component").distinct()
-    gone = parts.join(outside, [*keys, "component"]).groupBy(*keys, F.col("t_start").alias("frame")).agg(F.collect_list(F.struct("freq_start", "freq_end")).alias("_runs"))  # runs of one frame
-    inside = lambda i: F.exists("_runs", lambda r: (r["freq_start"] <= i) & (i <= r["freq_end"]))
-    return rows.join(gone, [*keys, "frame"], "left").select(*keys, "frame", F.transform("mags", lambda x, i: F.when(F.coalesce(inside(i), F.lit(False)), 0.0).otherwise(1.0)).alias("mags"))
+    outside = same(parts, size, keys).filter(at_edge).select("_root").distinct()
+    gone = parts.join(outside, "_root").select(*keys, "_block", "_local")
+    own = [*keys, "_block"]
+    dealt = rows.select(*keys, "frame", "mags", F.floor(F.col("frame") / block).alias("_block"))
+
+    def erode(key: tuple, image: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
+        image = image.sort_values("frame")
+        sizes = image["mags"].map(len)
+        mask = np.zeros((len(image), int(sizes.max()) if len(image) else 0), bool)
+        for i, m in enumerate(image["mags"]):
+            mask[i, : len(m)] = np.asarray(m) > 0
+        row, first, final, of = kernels.mask_runs(mask, image["frame"].to_numpy(), 1)
+        result = np.ones(mask.shape)
+        for i in np.flatnonzero(np.isin(of, out["_local"].to_numpy())).tolist():
+            result[row[i], first[i] : final[i] + 1] = 0.0
+        return image[[*keys, "frame"]].assign(mags=[result[i, :n] for i, n in enumerate(sizes)])
+
+    schema = T.StructType([*(dealt.schema[k] for k in (*keys, "frame")), T.StructField("mags", T.ArrayType(T.DoubleType()))])
+    return dealt.groupBy(*own).cogroup(gone.groupBy(*own)).applyInPandas(erode, schema)
 
 
 def inverse_gaussian_gradient(frames: DataFrame, sigma: float = 5.0, alpha: float = 100.0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -92,18 +172,18 @@ def evolve(edges: DataFrame, start: DataFrame, num_iter: int = 230, smoothing: i
     return with_halo(both, halo, run, block=block, keys=keys)
 
 
-def detect_gac_settings(frames: DataFrame, meta: DataFrame, settings: Sequence[dict], min_side_length: int = 1, filter: bool = True, alpha: float = 100.0) -> DataFrame:
+def detect_gac_settings(frames: DataFrame, meta: DataFrame, settings: Sequence[dict], min_side_length: int = 1, filter: bool = True, alpha: float = 100.0, counted=None) -> DataFrame:
     """``detect_gac`` with eroded level sets for many settings in one plan: boxes with ``setting`` and ``recording``.
 
     ``settings``: setting (a number), num_iter, smoothing, threshold, balloon, flood_threshold, sigma. A setting is a
-    column: a tile and a setting are a group, edge maps are made once for each sigma, level sets once for each sigma and
-    flood threshold.
+    column: edge maps are made once for each sigma, level sets once for each sigma and flood threshold, and settings that
+    differ in ``num_iter`` only are one evolution of a tile. ``counted``: an accumulator for the steps of all tiles.
     """
     names = ("setting", "num_iter", "smoothing", "threshold", "balloon", "flood_threshold", "sigma")
 
-    def dealt(rows: DataFrame, own: tuple[str, ...], given: tuple[str, ...]) -> DataFrame:
+    def dealt(rows: DataFrame, own: tuple[str, ...], given: tuple[str, ...], among: list[dict] | None = None) -> DataFrame:
         """A copy of each row for every distinct value of ``own`` that goes with its values of ``given``."""
-        kinds = sorted({tuple(x[k] for k in (*given, *own)) for x in settings})
+        kinds = sorted({tuple(x[k] for k in (*given, *own)) for x in among or settings})
         listed = F.array(*[F.struct(*[F.lit(v).alias(f"_{k}") for k, v in zip((*given, *own), kind, strict=True)]) for kind in kinds])
         fits = lambda k: lambda x: x[f"_{k}"] == F.col(k)
         for k in given:
@@ -115,20 +195,32 @@ def detect_gac_settings(frames: DataFrame, meta: DataFrame, settings: Sequence[d
         g = kernels.gradient_magnitude(m, sigma, (left, right))
         return 1.0 / np.sqrt(1.0 + alpha * g[:, max(0, left - r) : g.shape[1] - max(0, right - r)])
 
-    def contour(m: np.ndarray, left: int, right: int, num_iter: float, smoothing: float, threshold: float, balloon: float) -> np.ndarray:
-        n = m.shape[0] // 2
-        u = kernels.active_contour(m[:n], m[n:], int(num_iter), int(smoothing), float(threshold), float(balloon))
-        return u[:, left : u.shape[1] - right].astype(float)
-
     settings = [{k: x[k] if k == "setting" else float(x[k]) for k in names} for x in settings]
     reach = max((int(4 * x["sigma"] + 0.5) for x in settings), default=0)
     edges = stash(with_halo(dealt(frames.select("recording", "frame", "mags"), ("sigma",), ()), reach, edge_map, keys=("recording",), extra={"sigma": "sigma"}))
     start = eroded_level_set(dealt(edges, ("flood_threshold",), ("sigma",)), meta, "flood_threshold", ("sigma", "flood_threshold", "recording"))
     both = edges.join(start.withColumnRenamed("mags", "_u"), ["sigma", "recording", "frame"]).withColumn("mags", F.concat("mags", "_u")).drop("_u")
     halo = max((int(x["num_iter"]) * (2 + 2 * int(x["smoothing"])) for x in settings), default=0)
-    steps = ("num_iter", "smoothing", "threshold", "balloon")
+    # settings that differ in their number of steps only are one evolution, with a picture after each of the numbers
+    shared = ("sigma", "flood_threshold", "smoothing", "threshold", "balloon")
+    families: dict[tuple, dict[int, list[int]]] = {}
+    for x in settings:
+        families.setdefault(tuple(x[k] for k in shared), {}).setdefault(int(x["num_iter"]), []).append(x["setting"])
+    listed = [dict(zip(shared, kind, strict=True)) | {"family": i} for i, kind in enumerate(families)]
+    pictures = [sorted(of) for of in families.values()]
+
+    def contour(m: np.ndarray, left: int, right: int, family: int) -> np.ndarray:
+        n, x = m.shape[0] // 2, listed[int(family)]
+        some = kernels.contour_snapshots(m[:n], m[n:], pictures[int(family)], int(x["smoothing"]), x["threshold"], x["balloon"])
+        if counted is not None:
+            counted.add(max(pictures[int(family)], default=0))
+        return np.concatenate([u[:, left : u.shape[1] - right].astype(float) for u in some])
+
     keys = ("setting", "recording")
-    inside = with_halo(dealt(both, ("setting", *steps), ("sigma", "flood_threshold")), halo, contour, 4096, keys, {k: k for k in steps})
+    evolved = with_halo(dealt(both, ("family",), ("sigma", "flood_threshold"), listed), halo, contour, 4096, ("recording",), {"family": "family"})
+    place = F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.lit(len(of)).alias("of"), F.lit(setting).cast("long").alias("setting")) for k, n in enumerate(sorted(of)) for setting in of[n]]) for of in families.values()])
+    each = evolved.withColumn("_p", F.explode(F.get(place, F.col("family").cast("int")))).withColumn("_h", (F.size("mags") / F.col("_p.of")).cast("int"))
+    inside = each.select(F.col("_p.setting").alias("setting"), "recording", "frame", F.slice("mags", F.col("_p.k") * F.col("_h") + 1, F.col("_h")).alias("mags"))
     boxes = find_bounding_boxes(inside, min_side_length, keys)
     return filter_boxes(boxes, meta) if filter else boxes
 

@@ -14,6 +14,9 @@ from .boxes import filter_by_ratio, merge_boxes
 from .intervals import runs
 from .spectrogram import frames_in
 
+#: Rows in a block of a moving average.
+BLOCK = 4096
+
 
 def flatness(mags: Column) -> Column:
     """Geometric over arithmetic mean: 0 if a bin is 0, null if all are (or there are none)."""
@@ -29,11 +32,18 @@ def spectral_entropy(frames: DataFrame) -> DataFrame:
     return frames.select("recording", "frame", flatness(F.col("mags")).alias("entropy"))
 
 
-def moving_average(df: DataFrame, value: str, width: int, keys: list[str], index: str, pad: Column | float = 1.0) -> DataFrame:
-    """Replaces ``value`` by its mean over ``width`` rows around it; rows missing at the ends count as ``pad``."""
-    own = W.partitionBy(*keys).orderBy(index).rowsBetween(-(width // 2), (width - 1) // 2)
+def moving_average(df: DataFrame, value: str, width: int, keys: list[str], index: str, pad: Column | float = 1.0, block: int = BLOCK) -> DataFrame:
+    """Replaces ``value`` by its mean over ``width`` rows around it; rows missing at the ends count as ``pad``.
+
+    A row also goes to the neighbouring block of ``block`` rows where its value is needed, so no window holds more than
+    a block and its margins."""
+    left, right = width // 2, (width - 1) // 2
+    at = F.col(index).cast("long")
+    dealt = df.withColumn("_block", F.explode(F.sequence(F.floor((at - right) / block), F.floor((at + left) / block))))
+    own = W.partitionBy(*keys, "_block").orderBy(at).rangeBetween(-left, right)
     pad = F.lit(float(pad)) if isinstance(pad, (int, float)) else pad
-    return df.withColumn(value, (F.sum(value).over(own) + (width - F.count(F.lit(1)).over(own)) * pad) / width)
+    mean = (F.sum(value).over(own) + (width - F.count(F.lit(1)).over(own)) * pad) / width
+    return dealt.withColumn(value, mean).filter(F.floor(at / block) == F.col("_block")).drop("_block")
 
 
 def low_entropy_ranges(frames: DataFrame, window: int = 5, threshold: float = 0.71) -> DataFrame:

@@ -3,21 +3,26 @@
 The overlap join cuts time into buckets, so a recording is spread over many tasks and no two boxes are compared unless
 they share a bucket; a pair is kept in the later of the two first buckets only, which needs no shuffle to remove
 duplicates. Running maxima and counts over a recording go by buckets of time too: a prefix over one row for each bucket,
-then a window inside each bucket. Unions are never drawn as bitmaps: islands give lengths, and areas bin by bin.
+then a window inside each bucket. Unions are never drawn as bitmaps: islands give lengths, and a sweep with a segment tree
+gives the area of each block of time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import KEYS
+from .grouped import longs, map_groups
 
-#: Frames in a bucket of the running maxima.
-BUCKET = 4096
+#: Frames in a bucket of the running maxima; in a block whose area is measured.
+BUCKET, AREA_BLOCK = 4096, 1024
 
 
 def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
@@ -57,25 +62,45 @@ def same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") ->
     return a.join(other, on, how).drop(*[f"_{k}_of_b" for k in keys])
 
 
+def earlier_end(boxes: DataFrame, keys: Sequence[str], order: Sequence[str] = ("t_start", "t_end"), width: int = BUCKET) -> DataFrame:
+    """Adds ``before``: the last end of all boxes of the key that come before in ``order`` (which begins with
+    ``t_start``), null for the first. Buckets of ``width`` frames: a prefix over one row for each, then a window inside."""
+    own = [*keys, "_at"]
+    dealt = boxes.withColumn("_at", F.floor(F.col("t_start") / width))
+    earlier = W.partitionBy(*keys).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    ends = dealt.groupBy(*own).agg(F.max("t_end").alias("_end")).select(*own, F.max("_end").over(earlier).alias("_carried"))
+    inside = W.partitionBy(*own).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return same(dealt, ends, own).withColumn("before", F.greatest(F.max("t_end").over(inside), F.col("_carried"))).drop("_at", "_carried")
+
+
 def time_islands(boxes: DataFrame, keys: Sequence[str] = KEYS, gap: int = 0, width: int = BUCKET) -> DataFrame:
     """Adds ``island``: numbered per key; a new one starts where a box begins more than ``gap`` frames after all
     earlier ends. Boxes that touch, also in chains, are in one island. ``width``: frames in a bucket."""
     own = [*keys, "_at"]
-    dealt = boxes.withColumn("_at", F.floor(F.col("t_start") / width))
     earlier = W.partitionBy(*keys).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)  # a row for each bucket
     order = W.partitionBy(*own).orderBy("t_start", "t_end")
-    ends = dealt.groupBy(*own).agg(F.max("t_end").alias("_end")).select(*own, F.max("_end").over(earlier).alias("_carried"))
-    before = F.greatest(F.max("t_end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("_carried"))
-    marked = same(dealt, ends, own).withColumn("_new", F.when(before.isNull() | (F.col("t_start") > before + gap), 1).otherwise(0))
+    new = F.when(F.col("before").isNull() | (F.col("t_start") > F.col("before") + gap), 1).otherwise(0)
+    marked = earlier_end(boxes, keys, width=width).withColumns({"_at": F.floor(F.col("t_start") / width), "_new": new})
     counts = marked.groupBy(*own).agg(F.sum("_new").alias("_n")).select(*own, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     inside = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return same(marked.withColumn("_inside", inside), counts, own).withColumn("island", F.col("_base") + F.col("_inside")).drop("_new", "_at", "_carried", "_inside", "_base")
+    return same(marked.withColumn("_inside", inside), counts, own).withColumn("island", F.col("_base") + F.col("_inside")).drop("_new", "_at", "before", "_inside", "_base")
+
 
+def runs(flags: DataFrame, keys: Sequence[str], index: str, block: int = BUCKET) -> DataFrame:
+    """Rows are the indices where a flag is set. Returns first, last of each maximal run (gaps and islands).
 
-def runs(flags: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
-    """Rows are the indices where a flag is set. Returns first, last of each maximal run (gaps and islands)."""
-    order = W.partitionBy(*keys).orderBy(index)
-    return flags.withColumn("_run", F.col(index) - F.row_number().over(order)).groupBy(*keys, "_run").agg(F.min(index).alias("first"), F.max(index).alias("last")).drop("_run")
+    Runs are found inside blocks of ``block`` indices; those that end at a block's border, two a block at most, are put
+    together over the borders."""
+    own = [*keys, "_block"]
+    order = W.partitionBy(*own).orderBy(index)
+    at = F.col(index).cast("long")
+    dealt = flags.select(*keys, at.alias("_i"), F.floor(at / block).alias("_block")).withColumnRenamed("_i", index)
+    parts = dealt.withColumn("_run", F.col(index) - F.row_number().over(order)).groupBy(*own, "_run").agg(F.min(index).alias("first"), F.max(index).alias("last"))
+    border = (F.col("first") == F.col("_block") * block) | (F.col("last") == F.col("_block") * block + block - 1)
+    over = W.partitionBy(*keys).orderBy("first")  # two rows for each block at most
+    joined = parts.filter(border).withColumn("_new", F.when(F.col("first") == F.lag("last").over(over) + 1, 0).otherwise(1)).withColumn("_n", F.sum("_new").over(over.rowsBetween(W.unboundedPreceding, 0)))
+    whole = joined.groupBy(*keys, "_n").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return parts.filter(~border).select(*keys, "first", "last").unionByName(whole.select(*keys, "first", "last"))
 
 
 def union_length(boxes: DataFrame, keys: Sequence[str] = KEYS, axis: str = "t", width: int = BUCKET) -> DataFrame:
@@ -86,11 +111,84 @@ def union_length(boxes: DataFrame, keys: Sequence[str] = KEYS, axis: str = "t",
     return islands.groupBy(*keys).agg(F.sum("_part").alias("covered"))
 
 
-def union_area(boxes: DataFrame, keys: Sequence[str] = KEYS, width: int = BUCKET) -> DataFrame:
-    """keys, ``covered``: pixels under at least one box: the union of times in each frequency bin, added up. A box makes
-    as many rows as it has bins, however many others it overlaps."""
-    bins = boxes.select(*keys, "t_start", "t_end", F.explode(F.sequence("freq_start", "freq_end")).alias("_bin"))
-    return union_length(bins, [*keys, "_bin"], "t", width).groupBy(*keys).agg(F.sum("covered").alias("covered"))
+class _Covered:
+    """A segment tree over the gaps between sorted coordinates: how often each gap is covered, and the length that is."""
+
+    def __init__(self, coordinates: np.ndarray):
+        self.at = coordinates.tolist()
+        self.times, self.length = [0] * (4 * len(self.at)), [0] * (4 * len(self.at))
+
+    def add(self, a: int, b: int, by: int, node: int = 1, lo: int = 0, hi: int | None = None) -> None:
+        """Covers the gaps a..b-1 ``by`` times more."""
+        hi = len(self.at) - 1 if hi is None else hi
+        if a <= lo and hi <= b:
+            self.times[node] += by
+        else:
+            mid = (lo + hi) // 2
+            if a < mid:
+                self.add(a, b, by, 2 * node, lo, mid)
+            if b > mid:
+                self.add(a, b, by, 2 * node + 1, mid, hi)
+        if self.times[node]:
+            self.length[node] = self.at[hi] - self.at[lo]
+        else:
+            self.length[node] = self.length[2 * node] + self.length[2 * node + 1] if hi - lo > 1 else 0
+
+
+def area_of_union(t0: np.ndarray, t1: np.ndarray, f0: np.ndarray, f1: np.ndarray) -> int:
+    """Pixels under boxes [t0, t1) x [f0, f1): a sweep over time with a segment tree over frequency."""
+    if len(t0) < 3:
+        area = int(((t1 - t0) * (f1 - f0)).sum())
+        if len(t0) == 2:
+            shared = max(0, int(t1.min() - t0.max())) * max(0, int(f1.min() - f0.max()))
+            area -= shared
+        return area
+    coordinates, places = np.unique(np.concatenate([f0, f1]), return_inverse=True)
+    n = len(t0)
+    lo, hi = places[:n].tolist(), places[n:].tolist()
+    times = np.concatenate([t0, t1])
+    tree, area, before = _Covered(coordinates), 0, 0
+    for i, t in zip((order := np.argsort(times, kind="stable")).tolist(), times[order].tolist(), strict=True):
+        area += (t - before) * tree.length[1]
+        before = t
+        tree.add(lo[i % n], hi[i % n], 1 if i < n else -1)
+    return area
+
+
+def side_areas(boxes: DataFrame, keys: Sequence[str] = KEYS, width: int = AREA_BLOCK) -> DataFrame:
+    """``boxes`` with ``side`` 1 or 2. keys, ``one``, ``two``, ``either``: pixels under boxes of the first side, of the
+    second, of any. Boxes are cut at the borders of blocks of ``width`` frames, so a recording is many groups; a block
+    costs its boxes times the logarithm of their number, whatever their height and however many overlap."""
+    own = [*keys, "_block"]
+    first = F.floor(F.col("t_start") / width)
+    dealt = boxes.filter("t_end >= t_start and freq_end >= freq_start").withColumn("_block", F.explode(F.sequence(first, F.floor(F.col("t_end") / width))))
+    lo, hi = F.greatest(F.col("t_start"), F.col("_block") * width), F.least(F.col("t_end") + 1, (F.col("_block") + 1) * width)
+    # equal pieces of a block are one
+    pieces = dealt.select(*own, lo.alias("_lo"), hi.alias("_hi"), F.col("freq_start").alias("_f"), (F.col("freq_end") + 1).alias("_g"), "side").distinct()
+
+    def measure(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        cols = [longs(rows, c) for c in ("_lo", "_hi", "_f", "_g")]
+        second = longs(rows, "side") == 2
+        out = np.zeros((3, len(starts)), np.int64)
+        for k, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)):
+            part, two = [c[a:b] for c in cols], second[a:b]
+            n = int(two.sum())
+            out[2, k] = area_of_union(*part)
+            out[0, k] = area_of_union(*[c[~two] for c in part]) if 0 < n else out[2, k]
+            out[1, k] = (area_of_union(*[c[two] for c in part]) if n < b - a else out[2, k]) if n else 0
+        table = rows.select([*keys]).take(pa.array(starts))
+        for name, x in zip(("one", "two", "either"), out, strict=True):
+            table = table.append_column(name, pa.array(x))
+        return table
+
+    kinds = T.StructType([boxes.schema[k] for k in keys] + [T.StructField(n, T.LongType()) for n in ("one", "two", "either")])
+    parts = map_groups(pieces, own, [], measure, kinds)
+    return parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in ("one", "two", "either")])
+
+
+def union_area(boxes: DataFrame, keys: Sequence[str] = KEYS, width: int = AREA_BLOCK) -> DataFrame:
+    """keys, ``covered``: pixels under at least one box."""
+    return side_areas(boxes.select(*keys, "t_start", "t_end", "freq_start", "freq_end", F.lit(1).alias("side")), keys, width).select(*keys, F.col("either").alias("covered"))
 
 
 def covered(boxes: DataFrame, keys: Sequence[str] = KEYS, axis: str | int | None = None) -> DataFrame:

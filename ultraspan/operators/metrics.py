@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box_iou, f_beta
 from ..schemas import COORDS, KEYS
-from .intervals import covered, overlap_join
+from .intervals import covered, overlap_join, side_areas
 
 
 def distinct_boxes(boxes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -43,9 +43,12 @@ def matches(target: DataFrame, cover: DataFrame, keys: Sequence[str] = KEYS, wid
 
 
 def _areas(pred: DataFrame, truth: DataFrame, keys: Sequence[str], axis) -> DataFrame:
-    """keys, p, t, both: covered by predictions, by truth, by either, from one sweep."""
-    side = lambda df, name: df.select(*keys, *COORDS, F.explode(F.array(F.lit(name), F.lit("both"))).alias("_set"))
-    sums = covered(side(pred, "p").unionByName(side(truth, "t")), [*keys, "_set"], axis)
+    """keys, p, t, both: covered by predictions, by truth, by either."""
+    if axis is None:
+        side = lambda df, n: df.select(*keys, *COORDS, F.lit(n).alias("side"))
+        return side_areas(side(pred, 1).unionByName(side(truth, 2)), keys).select(*keys, F.col("one").alias("p"), F.col("two").alias("t"), F.col("either").alias("both"))
+    sets = lambda df, name: df.select(*keys, *COORDS, F.explode(F.array(F.lit(name), F.lit("both"))).alias("_set"))
+    sums = covered(sets(pred, "p").unionByName(sets(truth, "t")), [*keys, "_set"], axis)
     pick = lambda name: F.coalesce(F.max(F.when(F.col("_set") == name, F.col("covered"))), F.lit(0)).alias(name)
     return sums.groupBy(*keys).agg(pick("p"), pick("t"), pick("both"))
 
@@ -78,15 +81,14 @@ def iou_per_target(target: DataFrame, cover: DataFrame, mode: str = "max", keys:
         return none.unionByName(found).groupBy(*keys, "box_id", "label").agg(F.sum("n").alias("n_matches"), F.max("iou").alias("value"))
     if mode != "sum":
         raise ValueError("mode: max or sum")
-    ids = [*keys, "box_id", "label"]
-    covers = pairs.select(*keys, F.col("a_box_id").alias("box_id"), F.col("a_label").alias("label"), *[F.col(f"b_{c}").alias(c) for c in COORDS], F.explode(F.array(F.lit("c"), F.lit("tc"))).alias("_set"))
-    sums = covered(covers.unionByName(own.select(*ids, *COORDS, F.lit("tc").alias("_set"))), [*ids, "_set"])
-    pick = lambda name: F.coalesce(F.max(F.when(F.col("_set") == name, F.col("covered"))), F.lit(0))
-    # a pair's target is counted in n_matches from the pairs, not from the areas
+    ids = [*keys, "box_id"]
+    # a target and its covers are a group: one is the target's area, two the covers', either that of both
+    box = lambda prefix, side: F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in COORDS], F.lit(side).alias("side"))
+    boxes = pairs.select(*keys, F.col("a_box_id").alias("box_id"), F.explode(F.array(box("a_", 1), box("b_", 2))).alias("_b")).select(*ids, "_b.*")
     n = pairs.groupBy(*keys, F.col("a_box_id").alias("box_id")).agg(F.count(F.lit(1)).alias("n_matches"))
-    per = sums.groupBy(*ids).agg(pick("c").alias("c"), pick("tc").alias("tc"))
-    t = own.select(*keys, "box_id", area().alias("t"))
-    return per.join(t, [*keys, "box_id"]).join(n, [*keys, "box_id"], "left").select(*ids, F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), _ratio(F.col("t") + F.col("c") - F.col("tc"), F.col("tc")).alias("value"))
+    per = side_areas(boxes, ids)
+    value = _ratio(F.col("one") + F.col("two") - F.col("either"), F.col("either"))
+    return own.join(per, ids, "left").join(n, ids, "left").select(*ids, "label", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce(value, F.lit(0.0)).alias("value"))
 
 
 def iou_by_label(per_target: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grid import time_to_pixels, unit_hash
 from ..schemas import GRID_COLUMNS
-from .intervals import same
+from .intervals import earlier_end, same
 from .spectrogram import exact_percentile, frames_in
 
 
@@ -19,9 +18,8 @@ def find_noise_spans(boxes: DataFrame, meta: DataFrame, noise_len: float = 1.0)
     px = meta.select("recording", time_to_pixels(F.lit(float(noise_len))).alias("least"), time_to_pixels(F.col("t0") + F.col("dt") * (F.col("n_time") - 1)).alias("stop"))
     ends = px.select("recording", F.col("stop").alias("t_start"), F.col("stop").alias("t_end"), F.lit(1).alias("last"))
     rows = boxes.select("recording", "t_start", "t_end", F.lit(0).alias("last")).unionByName(ends)
-    order = W.partitionBy("recording").orderBy("t_start", "last", "t_end").rowsBetween(W.unboundedPreceding, -1)
-    before = F.greatest(F.lit(0).cast("long"), F.coalesce(F.max("t_end").over(order), F.lit(0).cast("long")))
-    return rows.withColumn("span_start", before).join(px, "recording").filter(F.col("t_start") - F.col("span_start") >= F.col("least")).select("recording", "span_start", F.col("t_start").alias("span_end"))
+    before = F.greatest(F.lit(0).cast("long"), F.coalesce("before", F.lit(0).cast("long")))
+    return earlier_end(rows, ("recording",), ("t_start", "last", "t_end")).withColumn("span_start", before).join(px, "recording").filter(F.col("t_start") - F.col("span_start") >= F.col("least")).select("recording", "span_start", F.col("t_start").alias("span_end"))
 
 
 def weigh_noise_spans(spans: DataFrame, frames: DataFrame) -> DataFrame:

@@ -29,19 +29,19 @@ def with_params(configs: DataFrame) -> DataFrame:
     return configs.withColumns({"num_iter": F.col("num_iter").cast("int"), "smoothing": F.col("smoothing").cast("int"), "balloon": balloon, "threshold": threshold})
 
 
-def run_trials(frames: DataFrame, meta: DataFrame, truth: DataFrame, configs: DataFrame, metric: str = "f_beta", hit_threshold: float = 0.25, beta: float = 1.0, alpha: float = 200.0, min_side_length: int = 1) -> DataFrame:
+def run_trials(frames: DataFrame, meta: DataFrame, truth: DataFrame, configs: DataFrame, metric: str = "f_beta", hit_threshold: float = 0.25, beta: float = 1.0, alpha: float = 200.0, min_side_length: int = 1, counted=None) -> DataFrame:
     """config_id, recording, score, n_boxes: detection with each configuration, scored by F-beta (sum mode) or the
     global IoU; 0 without boxes.
 
     Configurations with equal settings are one trial, and its score goes to all of them. The settings are a column of one
-    plan; the driver sees the distinct settings, never data.
+    plan; the driver sees the distinct settings, never data. ``counted``: an accumulator for evolution steps.
     """
     names = ("num_iter", "smoothing", "threshold", "balloon", "flood_threshold", "sigma")
     own = with_params(configs).select("config_id", *[F.col(c).cast("double").alias(c) for c in names])
     own = stash(own.withColumn("setting", F.xxhash64(*names)))
     settings = [r.asDict() for r in own.select("setting", *names).distinct().collect()]  # the sweep itself
     keys = ("setting", "recording")
-    found = stash(detect_gac_settings(frames, meta, settings, min_side_length, True, alpha))
+    found = stash(detect_gac_settings(frames, meta, settings, min_side_length, True, alpha, counted))
     every = meta.select("recording").withColumn("setting", F.explode(F.array(*[F.lit(x["setting"]) for x in settings]).cast("array<bigint>")))
     sides = truth.join(every, "recording")
     if metric == "f_beta":

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.decibel import amplitude, decibel
 from ..schemas import KEYS
+from ..shared import stash
 from .boxes import clip_bounds, clip_boxes
 from .intervals import same
 
@@ -185,9 +186,22 @@ def sliding_chunks(frames: DataFrame, meta: DataFrame, duration: float | int, ov
     return frames_in(frames, chunk_starts(meta, duration, overlap)).select("recording", "chunk_id", "first", "frame", "mags")
 
 
+def size_batches(boxes: DataFrame, batch_size: int) -> DataFrame:
+    """Adds ``batch``: about ``batch_size`` boxes of one class of sizes, in which sides differ by less than the square
+    root of 2, so that padding to the largest never doubles a batch. A class with more boxes is dealt by hash."""
+    rows = boxes.filter("t_end > t_start and freq_end > freq_start")
+    side = lambda a, b: F.floor(2 * F.log2(F.col(b) - F.col(a))).cast("int")
+    own = ["_w", "_h"]
+    classed = rows.withColumns({"_w": side("t_start", "t_end"), "_h": side("freq_start", "freq_end")})
+    classes = stash(classed.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / batch_size).alias("_parts")))  # 128 * 128 rows at most
+    batch = F.concat_ws("-", "_w", "_h", F.pmod(F.xxhash64("recording", "box_id"), F.col("_parts")))
+    return classed.join(classes, own).withColumn("batch", batch).drop(*own, "_parts")
+
+
 def standardize_pad(frames: DataFrame, boxes: DataFrame, least: int = 32, batch_keys: Sequence[str] = ()) -> DataFrame:
     """``boxes``: recording, box_id, half-open ends. Crops as (value - mean) / std, padded with zeros to the largest
-    crop of the batch and ``least`` on each side: recording, box_id, height, width, ``crop`` [frequency x time]."""
+    crop of the batch and ``least`` on each side: recording, box_id, height, width, ``crop`` [frequency x time]. Without
+    ``batch_keys`` the table is one batch, as a small set is shown at once; ``size_batches`` makes batches of like sizes."""
     spans = boxes.filter("t_end > t_start and freq_end > freq_start").select("recording", "box_id", *batch_keys, F.col("t_start").alias("first"), (F.col("t_end") - 1).alias("last"), "freq_start", "freq_end")
     part = frames_in(frames, spans).select("recording", "box_id", *batch_keys, "frame", F.slice("mags", (F.col("freq_start") + 1).cast("int"), (F.col("freq_end") - F.col("freq_start")).cast("int")).alias("m"))
     crops = part.groupBy("recording", "box_id", *batch_keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "m"))), lambda x: x["m"]).alias("c"))  # frames of one box
@@ -213,26 +227,38 @@ def cells(frames: DataFrame, value: str = "mag") -> DataFrame:
     return frames.select("recording", "frame", F.posexplode("mags").alias("bin", value))
 
 
-def exact_percentile(values: DataFrame, keys: Sequence[str], value: str, share: float, name: str, slots: int = 4096) -> DataFrame:
-    """keys and the exact quantile (linear between neighbours, nulls left out) of each group, however large it is.
+def exact_percentile(values: DataFrame, keys: Sequence[str], value: str, share: float, name: str, accuracy: int = 1000) -> DataFrame:
+    """keys and the exact quantile (linear between neighbours, nulls left out) of each group, however large it is and
+    however its values are spread.
 
-    A histogram over each group's range tells which slots hold the two order statistics; only the values in those, a few
-    thousandths of them, are sorted, and equal ones as one row.
+    A mergeable summary (``approx_percentile``, wrong by a share of 1 / ``accuracy`` of the ranks at most) brackets the
+    wanted ranks. One aggregation then counts what lies below, inside (about 4 / ``accuracy`` of the values, equal ones as
+    one row) and above, which proves the bracket or, for a group where it doesn't hold, has all its values counted instead.
     """
     rows = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    ends = rows.groupBy(*keys).agg(F.min("_x").alias("_least"), F.max("_x").alias("_most"), F.count(F.lit(1)).alias("_n"))
-    slot = F.least(F.lit(slots - 1), F.when(F.col("_most") > F.col("_least"), F.floor((F.col("_x") - F.col("_least")) / (F.col("_most") - F.col("_least")) * slots)).otherwise(0)).cast("int")
-    placed = same(rows, ends, keys).withColumn("_slot", slot)
-    before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)  # ``slots`` rows at most
+    lo, hi = max(0.0, share - 2.0 / accuracy), min(1.0, share + 2.0 / accuracy)
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"), F.percentile_approx("_x", [lo, hi], accuracy).alias("_b"))
+    low = F.when(F.lit(lo == 0.0), F.col("_least")).otherwise(F.col("_b")[0])
+    high = F.when(F.lit(hi == 1.0), F.col("_most")).otherwise(F.col("_b")[1])
+    ends = ends.select(*keys, "_n", low.alias("_low"), high.alias("_high"))
     place = F.lit(float(share)) * (F.col("_n") - 1)
-    histogram = placed.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    needed = histogram.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).filter((F.col("_before") <= F.ceil(place)) & (F.col("_before") + F.col("_c") > F.floor(place))).select(*keys, "_slot", "_before")
-    few = same(placed, needed, [*keys, "_slot"]).groupBy(*keys, "_slot", "_x").agg(F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("_n").alias("_n"))
-    within = W.partitionBy(*keys, "_slot").orderBy("_x").rowsBetween(W.unboundedPreceding, -1)
-    at = F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0))
-    holds = lambda rank: F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_c")), F.col("_x")))
-    found = few.withColumn("_first", at).groupBy(*keys).agg(holds(F.floor(place)).alias("_lo"), holds(F.ceil(place)).alias("_hi"), F.first(place - F.floor(place)).alias("_w"))
-    return found.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((1 - F.col("_w")) * F.col("_lo") + F.col("_w") * F.col("_hi")).alias(name))
+
+    def counts(zone: Column, dealt: DataFrame) -> DataFrame:
+        """Rows of each value inside the bracket, of one value below it and of one above."""
+        return dealt.withColumn("_zone", zone).groupBy(*keys, "_zone", F.when(F.col("_zone") == 1, F.col("_x")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+
+    def found(table: DataFrame) -> DataFrame:
+        before = F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy("_zone", "_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        holds = lambda rank: F.max(F.when((F.col("_zone") == 1) & (F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_c")), F.col("_v")))
+        return table.withColumn("_first", before).groupBy(*keys).agg(holds(F.floor(place)).alias("_lo"), holds(F.ceil(place)).alias("_hi"), F.first(place - F.floor(place)).alias("_w"))
+
+    dealt = same(rows, ends, keys)
+    first = stash(found(counts(F.when(F.col("_x") < F.col("_low"), 0).when(F.col("_x") > F.col("_high"), 2).otherwise(1), dealt)))
+    missed = first.filter("_lo IS NULL OR _hi IS NULL").select(*keys)
+    out = first.filter("_lo IS NOT NULL AND _hi IS NOT NULL")
+    if not missed.isEmpty():
+        out = out.unionByName(found(counts(F.lit(1), same(dealt, missed, keys, "left_semi"))))
+    return out.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((1 - F.col("_w")) * F.col("_lo") + F.col("_w") * F.col("_hi")).alias(name))
 
 
 def display_range(frames: DataFrame) -> DataFrame:

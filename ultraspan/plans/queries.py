@@ -362,11 +362,11 @@ def read_detections(s, d):
 
 @query
 def write_metrics(s, d):
-    """Trials of even and of odd configurations, appended to one folder of files."""
+    """Trials of even and of odd configurations as two runs in one folder of files, the second written twice."""
     path = f"{shared_dir(s)}/metrics-{uuid.uuid4().hex}"
-    for odd in (0, 1):
-        sd.write_metrics(_r(_trials(s, d).filter(F.col("config_id").cast("int") % 2 == odd), "score"), path)
-    return s.read.schema("recording string, config_id string, score double, n_boxes long").csv(path, header=True)
+    for odd in (0, 1, 1):
+        sd.write_metrics(_r(_trials(s, d).filter(F.col("config_id").cast("int") % 2 == odd), "score"), path, f"odd {odd}")
+    return sd.read_metrics(s, path, "recording string, config_id string, score double, n_boxes long").drop("run")
 
 
 @query
@@ -515,6 +515,16 @@ def standardize_pad(s, d):
     return _r(cells.withColumns({c: F.col(c).cast("long") for c in ("height", "width", "row", "column")}), "value")
 
 
+@query
+def standardize_in_batches(s, d):
+    """Crops of very different lengths, each padded to the largest of its batch of like sizes."""
+    own = _crops(s, d).withColumn("t_end", F.col("t_start") + 1 + F.col("box_id") % 3 + F.when(F.col("box_id") % 29 == 0, 40).otherwise(0))
+    crops = sp.standardize_pad(tb.frames(s, d), sp.size_batches(own, 1 << 30), 1, ("batch",))
+    rows = crops.select("recording", "box_id", "batch", "height", "width", F.posexplode("crop").alias("row", "values"))
+    cells = rows.select("recording", "box_id", "batch", "height", "width", "row", F.posexplode("values").alias("column", "value"))
+    return _r(cells.withColumns({c: F.col(c).cast("long") for c in ("height", "width", "row", "column")}), "value")
+
+
 @query
 def stft(s, d):
     return _values(sp.spectrogram(tb.signal_chunks(s, d), 16, None, 8, 1.0))
@@ -584,6 +594,12 @@ def detect_gac(s, d):
     return ct.detect_gac(tb.frames(s, d), tb.frame_meta(s, d), 2, False, 5, 0, 0.3, -1, "ones", None, 1.0).drop("box_id", "label")
 
 
+@query
+def detect_gac_eroded(s, d):
+    """From an eroded level set, one step of a growing contour with curvature smoothing left out."""
+    return ct.detect_gac(tb.frames(s, d), tb.frame_meta(s, d), 1, False, 1, 0, 0.3, 1, "eroded", 0.75, 1.0).drop("box_id", "label")
+
+
 # models and searches
 
 

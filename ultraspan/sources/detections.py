@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +42,19 @@ def read_detections(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def write_metrics(df: DataFrame, path: str) -> None:
-    """Appends rows to a folder of CSV files."""
-    df.write.mode("append").option("header", "true").csv(path)
+def write_metrics(df: DataFrame, path: str, run: str | None = None) -> str:
+    """Adds the rows of a run to a folder of CSV files, and returns the run's name (``run``, else a new one).
+
+    A run is a folder of its own, which Spark fills when the whole job is done: a job that fails leaves nothing to read,
+    and one that is repeated under its name replaces what it wrote before."""
+    run = run or uuid.uuid4().hex
+    df.write.mode("overwrite").option("header", "true").csv(f"{path}/run={quote(run, safe='')}")
+    return run
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all finished runs, with ``run``."""
+    return spark.read.schema(f"{schema}, run string").option("header", "true").csv(path)
 
 
 def pending_configs(configs: DataFrame, done: DataFrame) -> DataFrame:
