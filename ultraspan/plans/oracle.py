@@ -356,11 +356,49 @@ def _across(column: str, weights: dict[int, float]) -> str:
     return " + ".join(f"{w!r} * {at(k)}" for k, w in weights.items())
 
 
-ORACLE["inverse_gaussian_gradient"] = f"""WITH {_FRAMES},
+_EDGES = f"""{_FRAMES},
 v AS (SELECT recording, frame, bin, {_DOWN} FROM (SELECT *, unnest(range(0, 64)) AS bin FROM frames)),
 h AS (SELECT recording, frame, bin, {_across('d', _G)} AS y, {_across('g', {k: k * v for k, v in _G.items()})} AS x FROM v
-      WINDOW w AS (PARTITION BY recording, bin ORDER BY frame), e AS (PARTITION BY recording, bin ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT recording, frame, bin, round(1 / sqrt(1 + 100 * sqrt(y * y + x * x)), 6) AS value FROM h"""
+      WINDOW w AS (PARTITION BY recording, bin ORDER BY frame), e AS (PARTITION BY recording, bin ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+edges AS MATERIALIZED (SELECT recording, frame, bin, 1 / sqrt(1 + 100 * sqrt(y * y + x * x)) AS g FROM h)"""
+ORACLE["inverse_gaussian_gradient"] = f"WITH {_EDGES} SELECT recording, frame, bin, round(g, 6) AS value FROM edges"
+
+_ALONG = "t AS (PARTITION BY recording, bin ORDER BY frame), f AS (PARTITION BY recording, frame ORDER BY bin)"
+_FLOOD = """m AS (SELECT recording, frame, bin, frame = 0 OR frame = n - 1 OR bin IN (0, 63) AS edge FROM {0} JOIN sizes USING (recording) WHERE {1} OR frame = 0 OR frame = n - 1 OR bin IN (0, 63)),
+o AS (SELECT recording, frame, bin FROM m WHERE edge UNION SELECT m.recording, m.frame, m.bin FROM o JOIN m ON m.recording = o.recording AND abs(m.frame - o.frame) <= 1 AND abs(m.bin - o.bin) <= 1)"""
+
+
+def _slope(x: str, w: str) -> str:
+    """Central differences, one-sided at the ends."""
+    return f"CASE WHEN lag({x}) OVER {w} IS NULL THEN lead({x}) OVER {w} - {x} WHEN lead({x}) OVER {w} IS NULL THEN {x} - lag({x}) OVER {w} ELSE (lead({x}) OVER {w} - lag({x}) OVER {w}) / 2.0 END"
+
+
+def _contour(steps: int, threshold: float, balloon: int) -> str:
+    """The contour from ``u0`` (recording, frame, bin, u) over ``edges``, step by step."""
+    best = "greatest" if balloon > 0 else "least"
+    near = lambda x, w: f"{best}({x}, coalesce(lag({x}) OVER {w}, 0), coalesce(lead({x}) OVER {w}, 0))"
+    out = [f"s AS MATERIALIZED (SELECT *, {_slope('g', 't')} AS gt, {_slope('g', 'f')} AS gf FROM edges WINDOW {_ALONG})"]
+    for k in range(steps):
+        out.append(f"""a{k} AS (SELECT *, {near('u', 't')} AS wide FROM u{k} WINDOW {_ALONG}),
+b{k} AS (SELECT *, {near('wide', 'f')} AS moved FROM a{k} WINDOW {_ALONG}),
+c{k} AS (SELECT recording, frame, bin, gt, gf, CASE WHEN g > {threshold / abs(balloon)!r}::DOUBLE THEN moved ELSE u END::DOUBLE AS u FROM b{k} JOIN s USING (recording, frame, bin)),
+d{k} AS (SELECT *, gf * ({_slope('u', 'f')}) + gt * ({_slope('u', 't')}) AS pull FROM c{k} WINDOW {_ALONG}),
+u{k + 1} AS MATERIALIZED (SELECT recording, frame, bin, CASE WHEN pull > 0 THEN 1 WHEN pull < 0 THEN 0 ELSE u END::DOUBLE AS u FROM d{k})""")
+    return ",\n".join(out) + f" SELECT recording, frame, bin, u AS value FROM u{steps}"
+
+
+_ONES = "u0 AS (SELECT recording, frame, bin, CASE WHEN frame = 0 OR frame = n - 1 OR bin IN (0, 63) THEN 0.0 ELSE 1.0 END::DOUBLE AS u FROM edges JOIN sizes USING (recording))"
+_ERODED = "u0 AS (SELECT c.recording, c.frame, c.bin, CASE WHEN o.bin IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS u FROM edges c LEFT JOIN o USING (recording, frame, bin))"
+ORACLE["contour_ones"] = f"WITH {_EDGES}, {_ONES}, {_contour(5, 0.3, -1)}"
+ORACLE["contour_eroded"] = f"WITH RECURSIVE {_EDGES}, {_FLOOD.format('edges', 'g > 0.45')}, {_ERODED}, {_contour(3, 0.3, 1)}"
+
+ORACLE["standardize_in_batches"] = f"""WITH {_FRAMES},
+b AS (SELECT recording, frame AS box_id, frame % 50 AS f, 1 + frame % 3 + CASE WHEN frame % 29 = 0 THEN 40 ELSE 0 END AS len FROM frames),
+cr AS (SELECT b.recording, b.box_id, (length(bin(len * len)) - 1) || '-6-0' AS batch, c.bin - f AS r, c.frame - b.box_id AS k, c.mag FROM b JOIN cells c ON c.recording = b.recording AND c.frame BETWEEN b.box_id AND b.box_id + len - 1 AND c.bin BETWEEN f AND f + 7),
+m AS (SELECT recording, box_id, batch, avg(mag) AS m, stddev_pop(mag) AS s FROM cr GROUP BY ALL),
+w AS (SELECT batch, max(n) AS w FROM (SELECT batch, count(DISTINCT k) AS n FROM cr GROUP BY recording, box_id, batch) GROUP BY batch),
+g AS (SELECT recording, box_id, batch, m, s, w, r, unnest(range(0, w)) AS k FROM (SELECT m.*, w.w, unnest(range(0, 8)) AS r FROM m JOIN w USING (batch)))
+SELECT g.recording, g.box_id, g.batch, 8 AS height, g.w AS width, g.r AS row, g.k AS "column", coalesce(round((c.mag - m) / s, 6), 0) AS value FROM g LEFT JOIN cr c ON c.recording = g.recording AND c.box_id = g.box_id AND c.r = g.r AND c.k = g.k"""
 
 
 def _unit(*columns: str) -> str:

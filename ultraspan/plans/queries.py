@@ -22,7 +22,7 @@ from ..operators import metrics as mt
 from ..operators import noise as nz
 from ..operators import search as se
 from ..operators import spectrogram as sp
-from ..shared import shared_dir
+from ..shared import shared_dir, stash
 from ..sources import annotations as sa
 from ..sources import audio
 from ..sources import detections as sd
@@ -594,10 +594,22 @@ def detect_gac(s, d):
     return ct.detect_gac(tb.frames(s, d), tb.frame_meta(s, d), 2, False, 5, 0, 0.3, -1, "ones", None, 1.0).drop("box_id", "label")
 
 
+def _edges(s, d) -> DataFrame:
+    return stash(ct.inverse_gaussian_gradient(tb.frames(s, d), 1.0, 100.0))
+
+
+@query
+def contour_ones(s, d):
+    """Every pixel of the shrinking contour that ``detect_gac`` puts its boxes around."""
+    edges = _edges(s, d)
+    return _values(ct.evolve(edges, ct.ones_level_set(edges, tb.frame_meta(s, d)), 5, 0, 0.3, -1, block=16))
+
+
 @query
-def detect_gac_eroded(s, d):
-    """From an eroded level set, one step of a growing contour with curvature smoothing left out."""
-    return ct.detect_gac(tb.frames(s, d), tb.frame_meta(s, d), 1, False, 1, 0, 0.3, 1, "eroded", 0.75, 1.0).drop("box_id", "label")
+def contour_eroded(s, d):
+    """Every pixel of a contour that grows from an eroded level set, on tiles of 16 frames."""
+    edges = _edges(s, d)
+    return _values(ct.evolve(edges, ct.eroded_level_set(edges, tb.frame_meta(s, d), 0.45, block=16), 3, 0, 0.3, 1, block=16))
 
 
 # models and searches
