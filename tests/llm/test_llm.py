@@ -234,8 +234,25 @@ def test_topk_repeated_ids_and_large_values(spark):
     for r in topk.top_k(table, table.filter("vec_id % 50 = 0"), 4).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     b = 256 << 20
-    assert got[0] == {1: (50, 256 * b), 2: (51, 256 * b), 3: (1, 256 * 768), 4: (1, 256 * 512)}
-    assert got[50] == {1: (51, b * b - 65536), 2: (1, b * 768), 3: (1, b * 512), 4: (2, b * 512)}
+    # every finite vector is a candidate; a score that doesn't fit into a long is null
+    assert got[0] == {1: (52, None), 2: (50, 256 * b), 3: (51, 256 * b), 4: (1, 256 * 768)}
+    assert got[50] == {1: (52, None), 2: (51, b * b - 65536), 3: (1, b * 768), 4: (1, b * 512)}
+
+
+def test_topk_wide_vectors_against_whole_numbers(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) * 10.0 ** rng.choice([0, 0, 0, 5, 8, 9, 30]) for _ in range(3)]) for i in range(120)] + [(50, [1e8, 1.0]), (7, [-1e8, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [n * 256 // d for n, d in (x.as_integer_ratio() for x in v)]) for i, v in rows]
+    got = {}
+    for r in topk.top_k(table, table.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for q in (0, 100):
+        own = next(v for i, v in whole if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in whole if i != q)[:5]
+        assert got[q] == {k + 1: (i, -s if abs(s) < 1 << 63 else None) for k, (s, i) in enumerate(best)}
+    assert set(got) == {0, 50, 100}
 
 
 def test_topk_leaves_out_far_annuli(spark):

@@ -14,8 +14,11 @@ best ``k`` of each query only. Bounds are widened by more than their rounding er
 How much the index saves depends on the vectors: ``scored_share`` measures it. Vectors without structure in many
 dimensions lie at nearly one distance from each other and from every pivot, and then few bounds exclude anything.
 
-Edge cases: null vectors, vectors with null or non-finite components, and null ids take no part, nor do vectors whose
-squared length is 2^62 or more (their scores might not fit a long); rows that repeat an id are candidates each, and a
+Vectors with a component of 2^31 or more, or a squared length of 2^62 or more (as whole numbers), are wide: they are kept
+out of the index, and their pairs are scored in Python's whole numbers, a block of vectors and one of queries at a time.
+A score that doesn't fit into a long is null; its rank is right.
+
+Edge cases: null vectors, vectors with null or non-finite components, and null ids take no part; rows that repeat an id are candidates each, and a
 query is no candidate of rows with its own id; query rows with one id share one ranking; equal vectors tie and go by id;
 shorter vectors count as padded with zeros; with fewer than k candidates all are returned; empty tables give empty
 results; other columns are ignored.
@@ -37,11 +40,65 @@ PIVOTS, ANNULI, SAMPLE, BLOCK, QUERY_BLOCK = 64, 8, 2000, 1024, 512
 EVERY = 50
 
 
-def _scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * SCALE))
-    square = F.aggregate(vector_col, F.lit(0.0), lambda a, v: a + F.pow(F.floor(v.cast("double") * SCALE).cast("double"), F.lit(2.0)))
-    fine = F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * SCALE) < float(1 << 31)))
-    return vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).filter(square < float(1 << 62)).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"))
+def _taking_part(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """vec_id, ``x`` (array of doubles) and ``wide``: whether its whole numbers or its squared length might not fit."""
+    x = F.col("x")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda v: v.cast("double")).alias("x"))
+    kept = rows.filter(F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v * SCALE) * (v * SCALE) + F.abs(v * (2 * SCALE)) + 1.0)  # of the floors at most
+    return kept.withColumn("wide", F.exists(x, lambda v: F.abs(v * SCALE) >= float(1 << 31) - 1) | (square >= float(1 << 62)))
+
+
+def _scaled(rows: DataFrame) -> DataFrame:
+    """vec_id, ``v`` (array of longs) of the rows that aren't wide."""
+    return rows.filter("NOT wide").select("vec_id", F.transform("x", lambda v: F.floor(v * SCALE)).alias("v"))
+
+
+def _exact_whole(rows: list, dim: int) -> np.ndarray:
+    """floor(256 x) as Python's whole numbers: a float is a fraction of two of them."""
+    out = np.zeros((len(rows), dim), object)
+    for i, x in enumerate(rows):
+        out[i, : len(x)] = [a * SCALE // b for a, b in (float(v).as_integer_ratio() for v in x)]
+    return out
+
+
+def _wide_pairs(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, ``exact`` (decimal text): the best ``k`` of each block of vectors for each query, in Python's whole
+    numbers. A block of each at a time."""
+
+    def packed(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // size))
+        row = F.struct("vec_id", "x")
+        return df.withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))).groupBy(name).agg(F.collect_list(row).alias(f"{name}_rows")), n  # about ``size`` rows
+
+    v, n = packed(vectors, BLOCK, "block")
+    q, _ = packed(queries.groupBy("vec_id", "x").count(), QUERY_BLOCK, "q")
+
+    def score(it):
+        for pdf in it:
+            for asked, held in zip(pdf["q_rows"], pdf["block_rows"], strict=True):
+                dim = max(len(r["x"]) for r in [*asked, *held])
+                scores = _exact_whole([r["x"] for r in asked], dim) @ _exact_whole([r["x"] for r in held], dim).T
+                out = []
+                for i, r in enumerate(asked):
+                    found = sorted((-s, h["vec_id"]) for s, h in zip(scores[i], held, strict=True) if h["vec_id"] != r["vec_id"])[:k]
+                    out += [(r["vec_id"], c, str(-s)) for s, c in found]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "exact"])
+
+    return q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(v, "block").mapInPandas(score, "query_id long, vec_id long, exact string")
+
+
+def _with_wide(found: DataFrame, asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The ranking of the index, and of all pairs with a wide query or a wide vector, as one."""
+    pairs = _wide_pairs(asked.filter("wide"), rows, k).unionByName(_wide_pairs(asked.filter("NOT wide"), rows.filter("wide"), k))
+    every = found.select("query_id", "vec_id", F.col("score").cast("string").alias("exact")).unionByName(pairs)
+
+    def rank(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        best = sorted((-int(s), int(i)) for s, i in zip(pdf["exact"], pdf["vec_id"], strict=True))[:k]
+        fits = lambda s: s if abs(s) < 1 << 63 else None
+        return pd.DataFrame({"query_id": [key[0]] * len(best), "rank": range(1, len(best) + 1), "vec_id": [i for _, i in best], "score": pd.Series([fits(-s) for s, _ in best], dtype="Int64")})
+
+    return every.groupBy("query_id").applyInPandas(rank, "query_id long, rank int, vec_id long, score long")  # k rows for each block of wide vectors
 
 
 def _matrix(rows, dim: int) -> np.ndarray:
@@ -102,10 +159,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scored=None) -> DataFrame:
     """``queries`` has the columns of ``vectors``. Returns query_id, rank (from 1), vec_id, score; a query's own id is
     no candidate. ``scored``: an accumulator for the number of scores that were computed."""
-    spark = vectors.sparkSession
-    rows = stash(_scaled(vectors, id_col, vector_col))
+    given = stash(_taking_part(vectors, id_col, vector_col))
+    wanted = stash(_taking_part(queries, id_col, vector_col))
+    if not given.filter("wide").unionByName(wanted.filter("wide")).isEmpty():
+        return _with_wide(_index_top_k(_scaled(given), _scaled(wanted), k, scored), wanted, given, k)
+    return _index_top_k(_scaled(given), _scaled(wanted), k, scored)
+
+
+def _index_top_k(rows: DataFrame, asked: DataFrame, k: int, scored) -> DataFrame:
+    """``top_k`` of rows (vec_id, v) that aren't wide."""
+    spark = rows.sparkSession
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    asked = stash(_scaled(queries, id_col, vector_col))
     empty = "query_id long, rank int, vec_id long, score long"
     stats = rows.agg(F.max(F.size("v")), F.max(square), F.count(F.lit(1))).collect()[0]
     if not stats[2]:
@@ -210,7 +274,7 @@ def scored_share(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     """The share of all pairs of a query and a vector that the search scores; 1 is brute force."""
     scored = vectors.sparkSession.sparkContext.accumulator(0)
     top_k(vectors, queries, k, id_col, vector_col, scored).count()
-    n, q = (_scaled(x, id_col, vector_col).count() for x in (vectors, queries))
+    n, q = (_taking_part(x, id_col, vector_col).count() for x in (vectors, queries))
     return scored.value / max(1, n * q)
 
 
