@@ -109,6 +109,27 @@ def test_long_cover_with_late_end_is_found(spark):
     assert [r["b_box_id"] for r in iv.overlap_join(t, p, width=16).collect()] == [1]
 
 
+@pytest.mark.parametrize("deltas", [(0, 0), (3, 2)])
+def test_boxes_of_all_lengths(spark, deltas):
+    rng = np.random.default_rng(11)
+    length = lambda n: np.exp(rng.random(n) * 9).astype(int)
+    make = lambda n: [(int(b), int(b) + 2, int(a), int(a + w)) for a, b, w in zip(rng.integers(0, 9000, n), rng.integers(0, 12, n), length(n), strict=True)]
+    a, b = make(120), make(150)
+    dt, df = deltas
+    pairs = [(r["a_box_id"], r["b_box_id"]) for r in iv.overlap_join(boxes(spark, a), boxes(spark, b), width=4, delta_time=dt, delta_freq=df).collect()]
+    assert sorted(pairs) == [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x[2] - dt <= y[3] and y[2] <= x[3] + dt and x[0] - df <= y[1] and y[0] <= x[1] + df]
+
+
+def test_rows_of_a_recording_long_box(spark):
+    day = 977 * 86_400
+    long, short = boxes(spark, [(0, 1, 5, day)]), boxes(spark, [(0, 1, 3 * i, 3 * i + 40) for i in range(50)])
+    assert iv.box_levels(short) == [0] and iv.box_levels(long) == [7]
+    dealt = iv._bucketed(iv._prefixed(long, ("recording",), "a_"), "a_", 256, 0, [7], [0])
+    assert dealt.count() <= 2
+    assert iv._bucketed(iv._prefixed(short, ("recording",), "b_"), "b_", 256, 0, [0], [7]).count() <= 4 * 50
+    assert iv.overlap_join(long, short).count() == 50
+
+
 def test_labels_and_confusion(spark):
     p = boxes(spark, [(0, 3, 0, 3, "a"), (0, 3, 10, 13, "b"), (0, 3, 30, 33, "a")])
     t = boxes(spark, [(0, 3, 1, 3, "a"), (0, 3, 0, 1, "b"), (0, 3, 10, 13, "a")])

@@ -1,8 +1,8 @@
 """Interval work on boxes: overlap join, islands, union lengths and areas.
 
-The overlap join cuts time into buckets, so a recording is spread over many tasks and no two boxes are compared unless
-they share a bucket; a pair is kept in the later of the two first buckets only, which needs no shuffle to remove
-duplicates. Running maxima and counts over a recording go by buckets of time too: a prefix over one row for each bucket,
+The overlap join cuts time into buckets, longer ones for longer boxes, so a recording is spread over many tasks and no two
+boxes are compared unless they share a bucket; a pair is kept in the later of the two first buckets only, which needs no
+shuffle to remove duplicates. Running maxima and counts over a recording go by buckets of time too: a prefix over one row for each bucket,
 then a window inside each bucket. Unions are never drawn as bitmaps: islands give lengths, and a sweep with a segment tree
 gives the area of each block of time.
 """
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,34 +23,59 @@ from .grouped import longs, map_groups
 
 #: Frames in a bucket of the running maxima; in a block whose area is measured.
 BUCKET, AREA_BLOCK = 4096, 1024
+#: Buckets of a level are so many times longer than those of the level below; so many levels above the first.
+RATIO, LEVELS = 8, 13
 
 
 def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in keys])
 
 
-def _bucketed(df: DataFrame, prefix: str, width: int, grow: int = 0) -> DataFrame:
-    first = F.floor((F.col(f"{prefix}t_start") - grow) / width)
-    last = F.floor((F.col(f"{prefix}t_end") + grow) / width)
-    return df.withColumn(f"{prefix}first", first).withColumn("_bucket", F.explode(F.sequence(first, last)))
+def _level(prefix: str, width: int, grow: int) -> Column:
+    """The first level whose buckets (``width`` frames, ``RATIO`` times more at each level) are as long as the box."""
+    length = F.col(f"{prefix}t_end") - F.col(f"{prefix}t_start") + 1 + 2 * grow
+    level = F.when(length <= width, 0)
+    for k in range(1, LEVELS):
+        level = level.when(length <= width * RATIO**k, k)
+    return level.otherwise(LEVELS)
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, width: int = 256, delta_time: int = 0, delta_freq: int = 0) -> DataFrame:
+def box_levels(df: DataFrame, width: int = 256, grow: int = 0) -> list[int]:
+    """The levels that the boxes of a table are at: one number from an aggregation of two columns."""
+    bits = df.filter("t_end >= t_start").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), _level("", width, grow)))).first()[0] or 0
+    return [k for k in range(LEVELS + 1) if bits >> k & 1]
+
+
+def _bucketed(df: DataFrame, prefix: str, width: int, grow: int, mine: list[int], others: list[int]) -> DataFrame:
+    """Rows of a box for its own level (one of ``mine``), and for the coarser ones among ``others``; two buckets at each at
+    most."""
+    own = F.col(f"{prefix}level")
+    at = lambda edge, k: F.floor((F.col(f"{prefix}{edge}") + (grow if edge == "t_end" else -grow)) / (width * RATIO**k))
+    level = lambda k: F.struct(F.lit(k).alias("level"), at("t_start", k).alias("first"), at("t_end", k).alias("last"))
+    shown = F.filter(F.array(*[level(k) for k in sorted({0, *mine, *others})]), lambda x: (x["level"] == own) | ((x["level"] > own) & x["level"].isin(*others)))
+    dealt = df.withColumn(f"{prefix}level", _level(prefix, width, grow)).withColumn("_l", F.explode(shown))
+    return dealt.withColumns({"_level": F.col("_l.level"), f"{prefix}first": F.col("_l.first"), "_bucket": F.explode(F.sequence("_l.first", "_l.last"))}).drop("_l")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, width: int = 256, delta_time: int = 0, delta_freq: int = 0, levels: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """All pairs of the same keys whose boxes share a pixel, or come within the deltas of it, as columns ``a_*``, ``b_*``.
 
-    ``width`` is a bucket's length in frames; about the length of a usual box is best. A box of length L goes to
-    L / width + 2 buckets at most.
+    ``width`` is a bucket's length in frames; about the length of a usual box is best. A longer box has buckets of its own
+    level, and shorter ones look there, too, if such boxes exist: a pair meets at the level of the longer one. So a box
+    of any length makes two rows for each level in use, and one or two where all are short. ``levels``: those of both sides
+    (``box_levels``) where the caller knows them.
     """
-    left = _bucketed(_prefixed(a.filter("t_end >= t_start"), keys, "a_"), "a_", width, delta_time)
-    right = _bucketed(_prefixed(b.filter("t_end >= t_start"), keys, "b_"), "b_", width)
+    in_a, in_b = levels or (box_levels(a, width, delta_time), box_levels(b, width))
+    left = _bucketed(_prefixed(a.filter("t_end >= t_start"), keys, "a_"), "a_", width, delta_time, in_a, in_b)
+    right = _bucketed(_prefixed(b.filter("t_end >= t_start"), keys, "b_"), "b_", width, 0, in_b, in_a)
     meets = (
         (F.col("a_t_start") - delta_time <= F.col("b_t_end"))
         & (F.col("b_t_start") <= F.col("a_t_end") + delta_time)
         & (F.col("a_freq_start") - delta_freq <= F.col("b_freq_end"))
         & (F.col("b_freq_start") <= F.col("a_freq_end") + delta_freq)
     )
-    once = F.col("_bucket") == F.greatest("a_first", "b_first")
-    return left.join(right, [*keys, "_bucket"]).filter(meets & once).drop("_bucket", "a_first", "b_first")
+    once = (F.col("_bucket") == F.greatest("a_first", "b_first")) & (F.col("_level") == F.greatest("a_level", "b_level"))
+    return left.join(right, [*keys, "_level", "_bucket"]).filter(meets & once).drop("_level", "_bucket", "a_first", "b_first", "a_level", "b_level")
 
 
 def same(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

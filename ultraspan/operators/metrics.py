@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import area, box_iou, f_beta
 from ..schemas import COORDS, KEYS
-from .intervals import covered, overlap_join, side_areas
+from .intervals import box_levels, covered, overlap_join, side_areas
 
 
 def distinct_boxes(boxes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -32,7 +32,8 @@ def _all_keys(recordings: DataFrame | None, keys: Sequence[str], *sides: DataFra
 
 def iou_elementwise(target: DataFrame, cover: DataFrame, keys: Sequence[str] = KEYS, width: int = 256) -> DataFrame:
     """All pairs that share a pixel: keys, ``a_*`` (target), ``b_*`` (cover), ``iou``."""
-    return overlap_join(distinct_boxes(target, keys), distinct_boxes(cover, keys), keys, width).withColumn("iou", box_iou("a_", "b_"))
+    levels = (box_levels(target, width), box_levels(cover, width))  # before equal boxes are looked for
+    return overlap_join(distinct_boxes(target, keys), distinct_boxes(cover, keys), keys, width, levels=levels).withColumn("iou", box_iou("a_", "b_"))
 
 
 def matches(target: DataFrame, cover: DataFrame, keys: Sequence[str] = KEYS, width: int = 256) -> DataFrame:
