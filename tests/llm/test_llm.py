@@ -103,6 +103,19 @@ def test_licences(spark, empty):
     assert licenses.scan(empty, model).count() == 0
 
 
+def test_every_licence_of_a_paragraph(spark):
+    rng = random.Random(2)
+    plain = [prose(rng, "en", 40) + "\n" + prose(rng, "en", 30) for _ in range(120)]
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."
+    marked = [f"{bsd} All rights reserved.", "Released under the MIT License. Licensed under the Apache License, Version 2.0.", bsd, "All rights reserved."]
+    table = docs(spark, plain + marked)
+    got = {}
+    for r in licenses.scan(table, licenses.fit(table)).filter("confirmed").collect():
+        got.setdefault(r["doc_id"] - 120, set()).add(r["family"])
+        assert 0 <= r["probability"] <= 1 and r["predicted"] == r["family"]
+    assert got == {0: {"bsd", "proprietary"}, 1: {"mit", "apache-2.0"}, 2: {"bsd"}, 3: {"proprietary"}}
+
+
 def test_similarity_against_brute_force(spark):
     rng = random.Random(12)
     split = lambda t: [w.strip(".") for w in re.split(r"[^\w.]+|_", t.lower()) if w.strip(".")]

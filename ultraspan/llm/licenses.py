@@ -4,15 +4,16 @@ A paragraph (a line, by default) becomes a sparse binary vector of word 1- and 2
 regression with an L1 penalty tells licence families apart from ``unknown``; a one-variable logistic regression,
 fitted on held-out paragraphs, turns its margin into the calibrated probability that the paragraph is a known licence.
 A known paragraph is confirmed when a template of the predicted family is contained in it to ``CONFIRM`` at least;
-otherwise it is reported as ``unknown``. A notice wrapped over several lines is found in windows: a line and the next
+otherwise it is reported as ``unknown``. Other families that are likelier than ``unknown`` and confirmed are reported beside
+it, but for those whose templates are like a likelier one's. A notice wrapped over several lines is found in windows: a line and the next
 ``SPAN`` words after it, however many lines they take.
 
 The model is trained on variants of the templates below (words left out, corpus words around them) and on paragraphs
-of a bounded sample of documents. All features contain a word of a template, however frequent it is. The class of the
-empty vector is ``unknown`` (checked when the model is fitted), and features that weigh for no family more than for
-``unknown`` can't change that. So only paragraphs with another feature need scoring: they are found by anchors, words
-of which every such feature has one. Anchors come from the fitted weights, not from frequencies, and leave out nothing
-that scoring would return.
+of a bounded sample of documents. All features contain a word of a template, however frequent it is. A paragraph without a
+feature that weighs for some family more than for ``unknown`` is unknown, whatever the intercepts are. So only paragraphs with
+such a feature are scored: they are found by anchors, words of which every such feature has one. Anchors come from the
+fitted weights, not from frequencies. Where the held-out paragraphs can't tell (a slope that isn't positive), the log-odds
+are not calibrated.
 
 Edge cases: null and empty texts have no paragraphs; repeated documents are scanned each; an empty table gives an
 empty result; other columns are ignored. Ties between families go to the first in alphabetical order.
@@ -154,10 +155,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
     out = classifier.transform(ready.filter("held")).withColumn("p", vector_to_array("probability"))
     margins = out.select(_margin(F.col("p"), families).alias("m"), (F.col("family") != UNKNOWN).cast("double").alias("label"))
     platt = LogisticRegression(regParam=1e-3, maxIter=50).fit(VectorAssembler(inputCols=["m"], outputCol="features").transform(margins))
-    model = LicenseModel(vocabulary, classifier, families, (float(platt.coefficients[0]), float(platt.intercept)), _anchors(vocabulary.vocabulary, classifier, families.index(UNKNOWN)))
-    blank = score(spark.createDataFrame([("",)], "paragraph string"), model).collect()[0]
-    if blank["family"] != UNKNOWN or model.calibration[0] <= 0:
-        raise ValueError("the empty paragraph is not classed as unknown; more sampled paragraphs are needed")
+    slope, shift = float(platt.coefficients[0]), float(platt.intercept)
+    calibration = (slope, shift) if slope > 0 else (1.0, 0.0)  # held-out rows that can't tell leave the log-odds as they are
+    model = LicenseModel(vocabulary, classifier, families, calibration, _anchors(vocabulary.vocabulary, classifier, families.index(UNKNOWN)))
     paragraphs.unpersist()
     sample.unpersist()
     rows.unpersist()
@@ -172,16 +172,21 @@ def _margin(p: Column, families: list[str]) -> Column:
 
 
 def score(df: DataFrame, model: LicenseModel) -> DataFrame:
-    """Adds ``family`` and ``probability`` (calibrated, of being a known licence) to rows with ``paragraph``."""
+    """Adds ``family`` and ``probability`` (calibrated, of being a known licence) to rows with ``paragraph``, and ``families``:
+    each family's probability against ``unknown``."""
     at = model.families.index(UNKNOWN)
     scored = model.classifier.transform(model.vocabulary.transform(df.withColumn("grams", _grams("paragraph")))).withColumn("p", vector_to_array("probability"))
     a, b = model.calibration
     known = [i for i in range(len(model.families)) if i != at]
     best = F.array_max(F.array(*[F.struct(F.col("p")[i].alias("p"), F.lit(-i).alias("i")) for i in known]))
     names = F.array(*[F.lit(x) for x in model.families])
+    calibrated = lambda margin: F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin * a + b)))
+    least = lambda c: F.log(F.greatest(c, F.lit(1e-12)))
+    each = F.array(*[F.struct(F.lit(model.families[i]).alias("family"), calibrated(least(F.col("p")[i]) - least(F.col("p")[at])).alias("probability")) for i in known])
     return (
-        scored.withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-(_margin(F.col("p"), model.families) * a + b))))
+        scored.withColumn("probability", calibrated(_margin(F.col("p"), model.families)))
         .withColumn("family", F.when(F.col("probability") >= 0.5, F.element_at(names, F.lit(1) - best["i"])).otherwise(UNKNOWN))
+        .withColumn("families", each)
         .drop("grams", "features", "rawPrediction", "prediction", "p")
     )
 
@@ -194,6 +199,15 @@ def _template_bigrams() -> list[tuple[str, list[str]]]:
     return out
 
 
+def _alike() -> dict[str, list[str]]:
+    """For each family the others with a template that shares half of its bigrams, or more, with one of its own."""
+    of: dict[str, list[set[str]]] = {}
+    for family, grams in _template_bigrams():
+        of.setdefault(family, []).append(set(grams))
+    shared = lambda a, b: max(len(x & y) / min(len(x), len(y)) for x in a for y in b)
+    return {f: [g for g in of if g != f and shared(of[f], of[g]) >= 0.5] for f in of}
+
+
 def _shares(paragraph: Column) -> list[Column]:
     """The share of each template's bigrams that ``paragraph`` holds."""
     return [F.size(F.array_intersect(paragraph, F.array(*[F.lit(g) for g in t]))) / F.lit(float(len(set(t)))) for _, t in _template_bigrams()]
@@ -267,15 +281,29 @@ def wrapped(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 def scan(docs: DataFrame, model: LicenseModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The paragraphs and windows of lines classed as a licence: id, ``paragraph_no`` (from 0), ``family``, ``probability``, ``similarity``,
-    ``confirmed``, ``paragraph``. An unconfirmed one keeps the predicted family in ``predicted`` and has ``family``
+    ``confirmed``, ``paragraph``. A paragraph that names several licences is a row for each. An unconfirmed one keeps the predicted family in ``predicted`` and has ``family``
     ``unknown``."""
     anchor = _any_word(model.anchors)
     lines = F.split(F.col(text_col), PARAGRAPH)
     found = F.filter(F.transform(lines, lambda p, i: F.struct(i.cast("long").alias("paragraph_no"), F.when(p.rlike(anchor), p).alias("paragraph"))), lambda x: x["paragraph"].isNotNull())
     candidates = docs.filter(F.col(text_col).rlike(anchor)).select(F.col(id_col).alias(id_col), F.explode(found).alias("x")).select(id_col, "x.paragraph_no", "x.paragraph")
     candidates = candidates.unionByName(wrapped(docs, text_col, id_col))
-    known = confirm(score(candidates, model).filter(F.col("family") != UNKNOWN)).withColumn("confirmed", F.col("similarity") >= CONFIRM)
-    return known.select(id_col, "paragraph_no", F.when(F.col("confirmed"), F.col("family")).otherwise(UNKNOWN).alias("family"), F.col("family").alias("predicted"), "probability", "similarity", "confirmed", "paragraph")
+    scored = score(candidates, model).filter(F.col("family") != UNKNOWN).withColumn("_bigrams", bigrams(_trim(words(F.col("paragraph")))))
+    most: dict[str, list[Column]] = {}
+    for (family, _), share in zip(TEMPLATES, _shares(F.col("_bigrams")), strict=True):
+        most.setdefault(family, []).append(share)
+    shares = F.array(*[F.struct(F.lit(f).alias("family"), F.array_max(F.array(*ts)).alias("similarity")) for f, ts in most.items()])
+    joined = F.transform("families", lambda x: F.struct(x["family"].alias("family"), x["probability"].alias("probability"), F.coalesce(F.filter("_shares", lambda y: y["family"] == x["family"])[0]["similarity"], F.lit(0.0)).alias("similarity")))
+    # every family that its template confirms and its own probability passes; else the likeliest one, unconfirmed
+    passed = F.filter("_all", lambda x: (x["similarity"] >= CONFIRM) & ((x["probability"] >= 0.5) | (x["family"] == F.col("family"))))
+    # of families with like templates the likeliest: a notice of one nearly holds the other's template, too
+    alike = F.create_map(*[x for f, others in _alike().items() for x in (F.lit(f), F.array(*map(F.lit, others)).cast("array<string>"))])
+    before = lambda y, x: (y["probability"] > x["probability"]) | ((y["probability"] == x["probability"]) & (y["family"] < x["family"]))
+    passed = F.filter(passed, lambda x: ~F.exists(passed, lambda y: F.array_contains(alike[x["family"]], y["family"]) & before(y, x)))
+    likeliest = F.filter("_all", lambda x: x["family"] == F.col("family"))
+    rows = scored.withColumn("_shares", shares).withColumn("_all", joined).select(id_col, "paragraph_no", "paragraph", F.explode(F.when(F.size(passed) > 0, passed).otherwise(likeliest)).alias("f"))
+    confirmed = F.col("f.similarity") >= CONFIRM
+    return rows.select(id_col, "paragraph_no", F.when(confirmed, F.col("f.family")).otherwise(UNKNOWN).alias("family"), F.col("f.family").alias("predicted"), F.col("f.probability").alias("probability"), F.col("f.similarity").alias("similarity"), confirmed.alias("confirmed"), "paragraph")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
