@@ -172,8 +172,8 @@ def _margin(p: Column, families: list[str]) -> Column:
 
 
 def score(df: DataFrame, model: LicenseModel) -> DataFrame:
-    """Adds ``family`` and ``probability`` (calibrated, of being a known licence) to rows with ``paragraph``, and ``families``:
-    each family's probability against ``unknown``."""
+    """Adds ``family`` and ``probability`` (calibrated, of being a known licence) to rows with ``paragraph``, and ``p``, the
+    classifier's probabilities."""
     at = model.families.index(UNKNOWN)
     scored = model.classifier.transform(model.vocabulary.transform(df.withColumn("grams", _grams("paragraph")))).withColumn("p", vector_to_array("probability"))
     a, b = model.calibration
@@ -181,16 +181,21 @@ def score(df: DataFrame, model: LicenseModel) -> DataFrame:
     best = F.array_max(F.array(*[F.struct(F.col("p")[i].alias("p"), F.lit(-i).alias("i")) for i in known]))
     names = F.array(*[F.lit(x) for x in model.families])
     calibrated = lambda margin: F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin * a + b)))
-    least = lambda c: F.log(F.greatest(c, F.lit(1e-12)))
-    each = F.array(*[F.struct(F.lit(model.families[i]).alias("family"), calibrated(least(F.col("p")[i]) - least(F.col("p")[at])).alias("probability")) for i in known])
     return (
         scored.withColumn("probability", calibrated(_margin(F.col("p"), model.families)))
         .withColumn("family", F.when(F.col("probability") >= 0.5, F.element_at(names, F.lit(1) - best["i"])).otherwise(UNKNOWN))
-        .withColumn("families", each)
-        .drop("grams", "features", "rawPrediction", "prediction", "p")
+        .drop("grams", "features", "rawPrediction", "prediction")
     )
 
 
+def _each_family(model: LicenseModel) -> Column:
+    """Each family's calibrated probability against ``unknown``, from ``p``."""
+    at, (a, b) = model.families.index(UNKNOWN), model.calibration
+    log = lambda i: F.log(F.greatest(F.col("p")[i], F.lit(1e-12)))
+    known = [i for i in range(len(model.families)) if i != at]
+    return F.array(*[F.struct(F.lit(model.families[i]).alias("family"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-((log(i) - log(at)) * a + b)))).alias("probability")) for i in known])
+
+
 def _template_bigrams() -> list[tuple[str, list[str]]]:
     out = []
     for family, text in TEMPLATES:
@@ -288,7 +293,8 @@ def scan(docs: DataFrame, model: LicenseModel, text_col: str = "text", id_col: s
     found = F.filter(F.transform(lines, lambda p, i: F.struct(i.cast("long").alias("paragraph_no"), F.when(p.rlike(anchor), p).alias("paragraph"))), lambda x: x["paragraph"].isNotNull())
     candidates = docs.filter(F.col(text_col).rlike(anchor)).select(F.col(id_col).alias(id_col), F.explode(found).alias("x")).select(id_col, "x.paragraph_no", "x.paragraph")
     candidates = candidates.unionByName(wrapped(docs, text_col, id_col))
-    scored = score(candidates, model).filter(F.col("family") != UNKNOWN).withColumn("_bigrams", bigrams(_trim(words(F.col("paragraph")))))
+    # written, as the columns that follow use its probabilities many times; only the paragraphs of licences are left
+    scored = stash(score(candidates, model).filter(F.col("family") != UNKNOWN)).withColumn("_bigrams", bigrams(_trim(words(F.col("paragraph")))))
     most: dict[str, list[Column]] = {}
     for (family, _), share in zip(TEMPLATES, _shares(F.col("_bigrams")), strict=True):
         most.setdefault(family, []).append(share)
@@ -301,7 +307,8 @@ def scan(docs: DataFrame, model: LicenseModel, text_col: str = "text", id_col: s
     before = lambda y, x: (y["probability"] > x["probability"]) | ((y["probability"] == x["probability"]) & (y["family"] < x["family"]))
     passed = F.filter(passed, lambda x: ~F.exists(passed, lambda y: F.array_contains(alike[x["family"]], y["family"]) & before(y, x)))
     likeliest = F.filter("_all", lambda x: x["family"] == F.col("family"))
-    rows = scored.withColumn("_shares", shares).withColumn("_all", joined).select(id_col, "paragraph_no", "paragraph", F.explode(F.when(F.size(passed) > 0, passed).otherwise(likeliest)).alias("f"))
+    shared = stash(scored.select(id_col, "paragraph_no", "paragraph", "family", _each_family(model).alias("families"), shares.alias("_shares")))
+    rows = stash(shared.select(id_col, "paragraph_no", "paragraph", "family", joined.alias("_all"))).select(id_col, "paragraph_no", "paragraph", F.explode(F.when(F.size(passed) > 0, passed).otherwise(likeliest)).alias("f"))
     confirmed = F.col("f.similarity") >= CONFIRM
     return rows.select(id_col, "paragraph_no", F.when(confirmed, F.col("f.family")).otherwise(UNKNOWN).alias("family"), F.col("f.family").alias("predicted"), F.col("f.probability").alias("probability"), F.col("f.similarity").alias("similarity"), confirmed.alias("confirmed"), "paragraph")
 
