@@ -50,7 +50,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_NAMED = re.compile(rf"(?i)(?:{'|'.join(sorted(SEED_NAMES))})[\"']?\s*[=:]")
+_NAMED = re.compile(rf"(?i)(?:{'|'.join(sorted(SEED_NAMES))})[^\w=:]*[=:]")
 _TOKEN = re.compile(r"""[^\s="'<>|;,:]+|[=:]""")
 _ZERO = str.maketrans("123456789", "000000000")
 _EDGE = ".,;:!?\"'()[]{}<>|*&%$#=“”„»«"
@@ -148,7 +148,7 @@ def scan_text(text: str) -> tuple[list[dict], list[dict]]:
     """Base spans, and occurrences for the graph: seeds (with their kind), other identifier-like strings (kind null) with
     the kinds that their form allows, and words in the place of a secret that can't be one (no kinds)."""
     base = base_spans(text)
-    if not base and not _DIGIT.search(text) and "@" not in text and not _NAMED.search(text):
+    if not base and not _DIGIT.search(text) and "@" not in text and not (("=" in text or ":" in text) and _NAMED.search(text)):
         return [], []
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     starts = [a for a, _ in tokens]
