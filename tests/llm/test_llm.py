@@ -137,6 +137,18 @@ def test_similarity_against_brute_force(spark):
         assert r["confirmed"] == (r["similarity"] >= licenses.CONFIRM) and r["family"] == (r["predicted"] if r["confirmed"] else "unknown")
 
 
+def test_words_of_a_paragraph_are_computed_once(spark):
+    """Each use of the words made Spark split the paragraph again: six times for one list of grams."""
+    table = docs(spark, ["Released under the MIT License. v2.0.", "one", "...", "", None]).withColumnRenamed("text", "paragraph")
+    for column, expected in (
+        (licenses._grams("paragraph"), [["released", "under", "the", "mit", "license", "v2.0", "released under", "under the", "the mit", "mit license", "license v2.0"], ["one"], [], [], None]),
+        (licenses._word_pairs(F.col("paragraph")), [["released under", "under the", "the mit", "mit license", "license v2.0"], [], [], [], []]),
+    ):
+        out = table.select("doc_id", column.alias("x"))
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+        assert [r["x"] for r in out.orderBy("doc_id").collect()] == expected
+
+
 def test_licence_of_a_third_of_all_documents(spark):
     rng = random.Random(2)
     texts = ["\n".join(prose(rng, "en", 9) for _ in range(9)) + ("\nReleased under the MIT License." if i % 3 == 0 else "") for i in range(420)]

@@ -22,6 +22,7 @@ empty result; other columns are ignored. Ties between families go to the first i
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StringIndexer, VectorAssembler
@@ -75,6 +76,11 @@ def bigrams(ws: Column) -> Column:
     return F.when(F.size(ws) > 1, F.zip_with(F.slice(ws, 1, F.size(ws) - 1), F.slice(ws, 2, F.size(ws) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, computing ``value`` once however often ``use`` names it (a column is pasted in at each place)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _trim(ws: Column) -> Column:
     """Drops full stops at the ends of words (``2.0.`` and ``2.0`` are one word)."""
     return F.transform(ws, lambda w: F.regexp_replace(w, r"\.+$", ""))
@@ -92,8 +98,11 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def _grams(col: str) -> Column:
-    ws = _trim(words(F.col(col)))
-    return F.concat(ws, bigrams(ws))
+    return _let(_trim(words(F.col(col))), lambda ws: F.concat(ws, bigrams(ws)))
+
+
+def _word_pairs(text: Column) -> Column:
+    return _let(_trim(words(text)), bigrams)
 
 
 def _features(df: DataFrame, col: str, own: list[str]) -> DataFrame:
@@ -228,7 +237,7 @@ def confirm(df: DataFrame) -> DataFrame:
     value = F.when(F.col("family").isNull(), F.array_max(F.array(*most.values())))
     for family, share in most.items():
         value = value.when(F.col("family") == family, share)
-    return df.withColumn("_bigrams", bigrams(_trim(words(F.col("paragraph"))))).withColumn("similarity", value.otherwise(0.0)).drop("_bigrams")
+    return df.withColumn("_bigrams", _word_pairs(F.col("paragraph"))).withColumn("similarity", value.otherwise(0.0)).drop("_bigrams")
 
 
 def _needed() -> list[str]:
@@ -267,7 +276,7 @@ def wrapped(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
     def at(x: Column, i: Column) -> Column:
         texts = {"own": window(i), "before": F.when(i > 0, window(i - 1)), "next": window(i + 1), "line": x["line"], "line_after": line(i + 1)}
-        row = F.struct(x["no"].alias("paragraph_no"), window(i).alias("paragraph"), *[bigrams(_trim(words(F.coalesce(c, F.lit(""))))).alias(f"_{k}") for k, c in texts.items()])
+        row = F.struct(x["no"].alias("paragraph_no"), window(i).alias("paragraph"), *[_word_pairs(F.coalesce(c, F.lit(""))).alias(f"_{k}") for k, c in texts.items()])
         return F.when(window(i).rlike(needed), row)
 
     rows = kept.select(id_col, F.explode(F.filter(F.transform("_lines", at), lambda x: x.isNotNull())).alias("x")).select(id_col, "x.*")
@@ -294,7 +303,7 @@ def scan(docs: DataFrame, model: LicenseModel, text_col: str = "text", id_col: s
     candidates = docs.filter(F.col(text_col).rlike(anchor)).select(F.col(id_col).alias(id_col), F.explode(found).alias("x")).select(id_col, "x.paragraph_no", "x.paragraph")
     candidates = candidates.unionByName(wrapped(docs, text_col, id_col))
     # written, as the columns that follow use its probabilities many times; only the paragraphs of licences are left
-    scored = stash(score(candidates, model).filter(F.col("family") != UNKNOWN)).withColumn("_bigrams", bigrams(_trim(words(F.col("paragraph")))))
+    scored = stash(score(candidates, model).filter(F.col("family") != UNKNOWN)).withColumn("_bigrams", _word_pairs(F.col("paragraph")))
     most: dict[str, list[Column]] = {}
     for (family, _), share in zip(TEMPLATES, _shares(F.col("_bigrams")), strict=True):
         most.setdefault(family, []).append(share)
