@@ -596,6 +596,37 @@ def test_keep_first(spark, empty):
     assert suffix_dedup.remove_repeats(empty, 40).count() == 0
 
 
+def brute_shares(texts, words):
+    held = {}
+    for i, t in enumerate(texts):
+        found = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        for (a, _), (_, b) in zip(found, found[words - 1 :], strict=False):
+            held.setdefault(t[a:b], set()).add(i)
+    return {i for x in held.values() if len(x) > 1 for i in x}
+
+
+def test_short_passages_of_over_50_words(spark, empty):
+    rng = random.Random(6)
+    short = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(n)) for n in (51, 50, 60, 51)]
+    own = [prose(rng, "de", 70) for _ in range(12)]
+    texts = [f"{own[2 * i]} {short[i]} {own[2 * i + 1]}" for i in range(3)] + [f"{prose(rng, 'en', 60)}\n{short[i]}\t{prose(rng, 'en', 5)}" for i in range(3)]
+    texts += [short[3].replace(" ", "  "), f"{short[3]} {own[8]} {short[3]}", "twice " + own[9], "twice " + own[9], None, "", " ", own[10]]
+    out = suffix_dedup.remove_repeats(docs(spark, texts), words=51).orderBy("doc_id").collect()
+    assert {r["doc_id"] for r in out if r["shares_passage"]} == brute_shares(texts, 51) == {0, 2, 3, 5, 8, 9}
+    assert [tuple(r)[1:5] for r in out] == brute_removed(texts, 400) and not any(r["n_removed"] for r in out[:8])
+    assert suffix_dedup.remove_repeats(empty, words=51).count() == 0
+
+
+@pytest.mark.parametrize(("words", "gram"), [(1, 1), (5, 8), (8, 4), (20, 8)])
+def test_shared_passages_against_brute_force(spark, words, gram):
+    rng = random.Random(words)
+    texts = passages(rng, 60, words) + [" ".join(rng.choice("ab") for _ in range(rng.randrange(4 * words))) for _ in range(20)] + ["a b " * 50, "c " * 80, "\u00a0 \u00e9\x0b" * 30]
+    table = docs(spark, texts)
+    keyed = suffix_dedup.with_row_keys(table, id="doc_id", text="text")
+    found = suffix_dedup.shared_passages(keyed, words, gram).join(keyed, "row_key").select("id").collect()
+    assert sorted(r["id"] for r in found) == sorted(brute_shares(texts, words))
+
+
 @pytest.mark.parametrize("length", [3, 6, 40, 100])
 def test_longest_previous_factors(length):
     rng = random.Random(length)
