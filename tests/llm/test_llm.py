@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ultraspan.llm import decontaminate, language, licenses, mixing, ngram_join, pii, suffix_dedup, topk, toxicity, url_filter
+from ultraspan.llm.arrowtext import SLICE_BYTES
 from ultraspan.llm.common import stash
 from ultraspan.operators.components import connected_components
-from ultraspan.llm.repeats import longest_previous_factors, super_strings
+from ultraspan.llm.repeats import longest_previous_factors, super_strings, window_digests, word_bounds, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = {"en": "the and ing ion ent tha her ere of to".split(), "de": "ein sch ung der ich keit und ber ge".split()}
@@ -627,6 +628,21 @@ def test_shared_passages_against_brute_force(spark, words, gram):
     assert sorted(r["id"] for r in found) == sorted(brute_shares(texts, words))
 
 
+def test_windows_of_many_strings_at_once():
+    texts = ["a b c d", "", "é\u00a0x y\tz ", "b c", " b c d", "a  b c"]
+    digests, sizes = window_digests([t.encode() for t in texts], 3)
+    assert sizes.tolist() == [2, 0, 1, 0, 1, 1]
+    alone = [window_digests([t.encode()], 3)[0].tolist() for t in texts]
+    assert digests.tolist() == sum(alone, []) and alone[4] == alone[0][1:] and len(set(digests.tolist())) == 4
+
+
+def test_word_hashes_in_slices_of_any_size():
+    short = np.frombuffer(b"one two three", np.uint8)
+    long = np.concatenate([np.full(SLICE_BYTES, 32, np.uint8), short])
+    found = [word_hashes(raw, *word_bounds(raw, np.array([0, len(raw)]))).tolist() for raw in (short, long)]
+    assert found[0] == found[1] and len(set(found[0])) == 3
+
+
 @pytest.mark.parametrize("length", [3, 6, 40, 100])
 def test_longest_previous_factors(length):
     rng = random.Random(length)
