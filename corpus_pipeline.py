@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ultraspan.llm import decontaminate, mixing, ngram_join, pii, toxicity
-from ultraspan.llm.common import fresh, read_table, shared_dir, stash, with_row_keys
+from ultraspan.llm.common import fresh, read_table, shared_dir, stash, with_row_keys, without_keys
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
@@ -34,10 +34,8 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _without(keyed: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
-    """``rejected``: row_key. Spark broadcasts the written keys when they are few, else it shuffles."""
-    gone = fresh("gone", keyed.columns)
-    keys = stash(rejected.select(F.col("row_key").alias(gone)).distinct())
-    return keyed.join(keys, F.col(key) == F.col(gone), "left_anti").drop(key)
+    """``rejected``: row_key. The texts aren't shuffled."""
+    return without_keys(keyed, key, rejected).drop(key)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

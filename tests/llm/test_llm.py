@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ultraspan.llm import decontaminate, language, licenses, mixing, ngram_join, pii, suffix_dedup, topk, toxicity, url_filter
 from ultraspan.llm.arrowtext import SLICE_BYTES
-from ultraspan.llm.common import stash
+from ultraspan.llm.common import stash, with_row_keys
 from ultraspan.operators.components import connected_components
 from ultraspan.llm.repeats import longest_previous_factors, super_strings, window_digests, word_bounds, word_hashes
 
@@ -703,6 +704,30 @@ def test_near_duplicates_against_brute_force(spark, n, percent, block, monkeypat
     assert [r["n_shingles"] for r in counts] == sizes and [r["component_id"] for r in counts] == roots
 
 
+def test_near_duplicates_of_many_copies(spark, monkeypatch):
+    """As on large tables: no broadcast by size, more candidates than may be broadcast. Of copies one is compared, and texts
+    aren't shuffled to drop rows."""
+    rng = random.Random(4)
+    base = [prose(rng, "en", 40) for _ in range(30)]
+    texts = base + [f"{b} end" for b in base[:8]] + base * 5
+    keyed = with_row_keys(docs(spark, texts), id="doc_id", text="text")
+    compared, edges = [], ngram_join.candidate_edges
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(ngram_join, "candidate_edges", lambda rows, *a: compared.append(rows.count()) or edges(rows, *a))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r["row_key"]: r["root"] for r in ngram_join.jaccard_components(keyed, 5, 80).collect()}
+        left = corpus_pipeline._without(keyed, "row_key", spark.createDataFrame([(k,) for k, root in found.items() if k != root], "row_key long"))
+        assert left.count() == 30 and left.columns == ["id", "text"]
+        assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    keys = [r["row_key"] for r in keyed.orderBy("id").collect()]
+    assert [found[k] for k in keys] == [keys[i if i < 30 else i - 30 if i < 38 else (i - 38) % 30] for i in range(len(texts))]
+    assert compared == [38]
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90])
 def test_derived_answers(percent):
     rng = np.random.default_rng(percent)

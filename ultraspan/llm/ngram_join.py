@@ -19,6 +19,9 @@ leader's counts, less the lists of the shingles that only the leader has, plus t
 Components larger than a block are compared block by block against their first set; then the sets not in its component,
 blocks of them, against all blocks. Nothing is sampled or capped.
 
+Of equal texts one is compared, the others are linked with it. Texts stay where they are: rows are picked by bits of their
+keys, and keys are shuffled once.
+
 Hashes of lists and sets only make candidates; what decides is the number of shingles (64-bit hashes) in common.
 
 Edge cases: documents without a word (null and empty texts) have an empty set and link with nothing; equal sets link;
@@ -34,11 +37,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .arrowtext import text_slices
-from .common import read_table, stash, with_row_keys
+from .common import WORD, read_table, stash, with_keys, with_row_keys, without_keys
 
 BAND = 0.7
 BLOCK = 128
@@ -186,12 +190,14 @@ def candidate_edges(keyed: DataFrame, n_words: int, percent: int) -> DataFrame:
                 for s in range(0, len(k), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(k[s : s + 200_000]), pa.array(u[s : s + 200_000]), pa.array(w[s : s + 200_000])], names=["key", "ub", "need"])
 
-    everything = stash(keyed.mapInArrow(run, "key long, ub long, need int"))
-    counted = everything.filter(F.col("need") != EQUAL)
-    several = stash(counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    lists = stash(counted.join(several, "key"))
+    # one shuffle; keys that only one set has are never written
+    everything = keyed.mapInArrow(run, "key long, ub long, need int")
+    held_by = F.count_if(F.col("need") != EQUAL).over(W.partitionBy("key"))
+    lists = stash(everything.withColumn("n", held_by).filter((F.col("n") > 1) | (F.col("need") == EQUAL)))
+    equal_to = F.col("need") == EQUAL
     row = lambda c: F.shiftright(c, BAND_BITS)
-    equal = everything.filter(F.col("need") == EQUAL).select(row("ub").alias("u"), F.col("key").alias("v"))
+    equal = lists.filter(equal_to).select(row("ub").alias("u"), F.col("key").alias("v"))
+    lists = lists.filter(~equal_to)
     long_lists = lists.filter(F.col("n") > SHORT)
     held = stash(long_lists.filter(F.col("need") != SINGLE).groupBy("ub").agg(F.count(F.lit(1)).alias("h")).withColumnRenamed("ub", "k"))
     held = F.broadcast(held) if held.count() <= MOST_BROADCAST else held
@@ -284,6 +290,21 @@ def jaccard_components(keyed: DataFrame, n_words: int = 3, percent: int = 90, bl
     """``keyed``: row_key, text (a written table, see ``with_row_keys``). Returns row_key, root for documents that link
     with another one; root is the smallest row_key of the component."""
     keyed = keyed.select("row_key", "text")
+    copies = _copies(keyed)
+    links = _links(without_keys(keyed, "row_key", copies.select("row_key")), n_words, percent, block)
+    # a copy is linked with the first of its kind
+    return connected_components(links.unionByName(copies.select(F.col("row_key").alias("u"), F.col("first").alias("v")))).select(F.col("node").alias("row_key"), "root")
+
+
+def _copies(keyed: DataFrame) -> DataFrame:
+    """row_key, first: documents with words whose whole text a document with a smaller key has (told by 128-bit digests)."""
+    told = keyed.filter(F.col("text").rlike(WORD)).select("row_key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    several = told.groupBy("digest").agg(F.min("row_key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return stash(told.join(several, "digest").filter("row_key != first").select("row_key", "first"))
+
+
+def _links(keyed: DataFrame, n_words: int, percent: int, block: int) -> DataFrame:
+    """Links u, v that span the components of the documents."""
     groups = connected_components(candidate_edges(keyed, n_words, percent))
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("root", "r")
     members = stash(
@@ -292,6 +313,7 @@ def jaccard_components(keyed: DataFrame, n_words: int = 3, percent: int = 90, bl
         .select(F.col("node").alias("k"), F.col("root").alias("cc"), "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("b"))
     )
     wanted = F.broadcast(members) if members.count() <= MOST_BROADCAST else members
+    candidates = with_keys(keyed, "row_key", members.select(F.col("k").alias("row_key")))  # of a shuffle, these texts alone
 
     def sets_of(batches):
         for batch in batches:
@@ -301,7 +323,7 @@ def jaccard_components(keyed: DataFrame, n_words: int = 3, percent: int = 90, bl
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[part.column(i) for i in (2, 3, 4)], pa.array(sets, pa.binary())], names=["row_key", "cc", "n_blocks", "b", "tokens"])
 
-    sets = stash(keyed.join(wanted, F.col("row_key") == F.col("k")).select("row_key", "text", "cc", "n_blocks", "b").mapInArrow(sets_of, "row_key long, cc long, n_blocks long, b long, tokens binary"))
+    sets = stash(candidates.join(wanted, F.col("row_key") == F.col("k")).select("row_key", "text", "cc", "n_blocks", "b").mapInArrow(sets_of, "row_key long, cc long, n_blocks long, b long, tokens binary"))
     # every block of a component gets its leader's set as well
     leaders = sets.filter("row_key = cc").select("row_key", "cc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("b"), "tokens", F.lit(True).alias("lead"))
     compared = sets.filter("row_key != cc").select("row_key", "cc", "b", "tokens", F.lit(False).alias("lead")).unionByName(leaders)
@@ -339,7 +361,7 @@ def jaccard_components(keyed: DataFrame, n_words: int = 3, percent: int = 90, bl
 
         more = left.groupBy("cc", "b", "rb").cogroup(right.groupBy("cc", "b", "rb")).applyInPandas(across, "u long, v long")
         links = links.unionByName(stash(more))
-    return connected_components(links).select(F.col("node").alias("row_key"), "root")
+    return links
 
 
 def shingle_counts(keyed: DataFrame, n_words: int = 3) -> DataFrame:
