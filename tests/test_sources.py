@@ -149,3 +149,17 @@ def test_noise_spans_round_trip(spark, tmp_path):
         sd.write_noise_spans(spans, str(tmp_path / "s"))
     sd.write_noise_spans(spans.filter("recording = 'r/1 +'"), str(tmp_path / "s"))
     assert sorted(map(tuple, sd.read_noise_spans(spark, str(tmp_path / "s")).collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_detections_of_many_recordings(spark, tmp_path, fmt):
+    """Files go by the size of a batch, not by its recordings; the newest batch of a pair counts."""
+    path = str(tmp_path / "found")
+    rows = lambda score, ids: spark.createDataFrame([(f"r{i}", f"c{i % 2}", b, 1, 2, 3, 4, "x", score) for i in ids for b in range(2)], "recording string, config_id string, box_id long, freq_start long, freq_end long, t_start long, t_end long, label string, score double")
+    grid = spark.createDataFrame([(f"r{i}", 0.0, 2.0, 9, 0.0, 1.0, 9) for i in range(200)], "recording string, t0 double, dt double, n_time long, f0 double, df double, n_freq long")
+    for score, ids in ((1.0, range(200)), (2.0, range(50, 60)), (3.0, range(55, 57))):
+        sd.write_detections(rows(score, ids), grid, path, fmt)
+    got = {(r["recording"], r["box_id"]): (r["config_id"], r["score"], r["time_start"], r["time_end"], r["freq_start"], r["label"]) for r in sd.read_detections(spark, path, fmt).collect()}
+    assert got == {(f"r{i}", b): (f"c{i % 2}", 3.0 if 55 <= i < 57 else 2.0 if 50 <= i < 60 else 1.0, 6.0, 8.0, 1.0, "x") for i in range(200) for b in range(2)}
+    assert sd.read_detections(spark, path, fmt).count() == 400
+    assert len([f for f in (tmp_path / "found").rglob("*") if f.is_file() and f.name.startswith("part-")]) < 30

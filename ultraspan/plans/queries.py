@@ -352,7 +352,7 @@ def read_noise_spans(s, d):
 
 @query
 def read_detections(s, d):
-    """Predictions written in seconds and Hz, a folder for each recording and configuration, twice over, and read back."""
+    """Predictions written in seconds and Hz by recording and configuration, twice over, and read back."""
     path = f"{shared_dir(s)}/detections-{uuid.uuid4().hex}"
     own = tb.pred(s, d).withColumn("config_id", F.lit("c"))
     for _ in range(2):
