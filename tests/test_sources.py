@@ -108,6 +108,21 @@ def test_read_recordings(spark, tmp_path):
     assert [x.count() for x in audio.read_recordings(spark, str(tmp_path / "none"))] == [0, 0]
 
 
+def test_many_short_files_share_tasks(tmp_path):
+    x = np.arange(70)[:, None]
+    for k in range(3000):
+        (tmp_path / f"r{k}.wav").write_bytes(audio.wav_bytes(x + k, 16))
+    reader = audio.WavReader({"path": str(tmp_path), "chunk": "16", "range": "100"})
+    parts = reader.partitions()
+    assert 200 < len(parts) < 300 and sum(p.length for p in parts) == 3000 * 184
+    read = [list(reader.read(p)) for p in parts]
+    assert sum(map(len, read)) < 2000  # not a batch for each chunk
+    rows = [r for batches in read for b in batches for r in b.to_pylist()]
+    assert len(rows) == 3000 * 5
+    for r in rows[:: 7]:
+        assert r["samples"] == ((x[16 * r["chunk_id"] :, 0][:16] + int(r["name"][1:-4])) / 32768).tolist()
+
+
 def test_annotations_by_each_files_own_header(spark, tmp_path):
     rng = random.Random(1)
     parse = {"int": int, "double": float, "string": str}

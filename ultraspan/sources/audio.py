@@ -2,7 +2,8 @@
 
 ``wav`` is a Spark data source (``register(spark)``, then ``spark.read.format("wav").load(path)``). A file is cut into
 ranges of bytes by its length alone; a task reads the header, then the chunks of samples that begin in its range, one at
-a time. So a file of any length is many tasks, and a task holds one chunk. With the option ``headers`` only headers are
+a time. So a file of any length is many tasks, and a task holds one chunk, or short ones of about 1024 samples in all;
+short ranges share a task. With the option ``headers`` only headers are
 read, many files to a task. Files are opened by pyarrow's file systems (local paths, ``file:``, ``hdfs:``, ``s3:``,
 ``gs:``, ...), on the driver for the list and in the tasks for the bytes.
 """
@@ -31,6 +32,11 @@ from ..schemas import RECORDINGS, SIGNAL_CHUNKS
 CHUNK = 1 << 20
 #: Bytes of a file in a range; headers in a task.
 RANGE, HEADERS = 64 << 20, 256
+#: Short ranges share a task up to so many bytes (or those of a range, if more), with so many for opening a file, as long
+#: as there are so many tasks.
+SHARED, OPENING, TASKS = 1 << 20, 4 << 10, 256
+#: Samples in a batch of short chunks.
+BATCH = 1024
 #: Sizes that a header gives when the real one isn't in it.
 UNKNOWN = (0, 0xFFFFFFFF)
 
@@ -156,10 +162,28 @@ def list_wav(paths: list[str]) -> list[tuple[str, int]]:
 
 
 @dataclass
-class WavRange(InputPartition):
-    path: str
-    offset: int
-    length: int
+class WavRanges(InputPartition):
+    """Ranges (path, offset, length)."""
+
+    ranges: list[tuple[str, int, int]]
+
+    @property
+    def length(self) -> int:
+        return sum(n for _, _, n in self.ranges)
+
+
+def share_tasks(ranges: list[tuple[str, int, int]], step: int) -> list[WavRanges]:
+    """The ranges dealt out to tasks, in order."""
+    weights = [n + OPENING for _, _, n in ranges]
+    most = min(max(step, SHARED), max(sum(weights) // TASKS, max(weights, default=0)))
+    out, full = [WavRanges([])], 0
+    for one, weight in zip(ranges, weights, strict=True):
+        if full and full + weight > most:
+            out.append(WavRanges([]))
+            full = 0
+        out[-1].ranges.append(one)
+        full += weight
+    return out
 
 
 @dataclass
@@ -180,8 +204,7 @@ class WavReader(DataSourceReader):
             names = [p for p, _ in files]
             out = [WavHeaders(names[i : i + HEADERS]) for i in range(0, len(names), HEADERS)]
             return out or [WavHeaders([])]
-        out = [WavRange(p, at, min(self.range, size - at)) for p, size in files for at in range(0, max(size, 1), self.range)]
-        return out or [WavRange("", 0, 0)]
+        return share_tasks([(p, at, min(self.range, size - at)) for p, size in files for at in range(0, max(size, 1), self.range)], self.range)
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if isinstance(partition, WavHeaders):
@@ -193,9 +216,8 @@ class WavReader(DataSourceReader):
                 rows.append((*_names(path), h.rate, h.frames, h.frames / h.rate if h.rate else None))
             if rows:
                 yield _batch(rows, _HEADER_TYPES)
-        elif partition.path:
-            for row in read_range(partition.path, partition.offset, partition.length, self.channel, self.chunk):
-                yield _batch([row], _CHUNK_TYPES)
+        else:
+            yield from _batches(row for path, at, n in partition.ranges for row in read_range(path, at, n, self.channel, self.chunk))
 
 
 _HEADER_TYPES = {"folder": pa.string(), "name": pa.string(), "sample_rate": pa.int32(), "n_samples": pa.int64(), "duration": pa.float64()}
@@ -206,6 +228,20 @@ def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
 
 
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Chunks as batches: one long chunk, or short ones of about ``BATCH`` samples in all."""
+    held, n = [], 0
+    for row in rows:
+        size = len(row[6]) + 1
+        if held and n + size > BATCH:
+            yield _batch(held, _CHUNK_TYPES)
+            held, n = [], 0
+        held.append(row)
+        n += size
+    if held:
+        yield _batch(held, _CHUNK_TYPES)
+
+
 class WavSource(DataSource):
     """Options: ``path`` or ``paths`` (a JSON list), ``channel``, ``chunk`` (samples), ``range`` (bytes), ``headers``."""
 
@@ -238,8 +274,7 @@ def decode(files: DataFrame, channel: int = 0, chunk: int = CHUNK, range_bytes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, at in zip(batch.column("path").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                for row in read_range(path, at, range_bytes, channel, chunk):
-                    yield _batch([row], _CHUNK_TYPES)
+                yield from _batches(read_range(path, at, range_bytes, channel, chunk))
 
     return _recording(ranges.repartition("path", "at").mapInArrow(run, SIGNAL_CHUNKS))
 
