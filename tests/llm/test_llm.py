@@ -246,6 +246,24 @@ def rows_of(v):
     return [float(a) for a in v]
 
 
+def test_topk_in_many_groups_and_shares(spark, monkeypatch):
+    """As on large tables: a task holds some blocks of vectors and some of the queries."""
+    for name, value in (("BLOCK", 8), ("QUERY_BLOCK", 4), ("GROUP", 4), ("GROUPS", 2), ("TASK_QUERIES", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (240, 4)).astype(float) / 256
+    table = spark.createDataFrame([(i, rows_of(r)) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(table, table.filter("vec_id % 5 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    q = np.round(256 * x).astype(int)
+    for i in range(0, 240, 5):
+        s = q @ q[i]
+        best = sorted((j for j in range(240) if j != i), key=lambda j: (-s[j], j))[:5]
+        assert sorted(got[i]) == [(k + 1, j, int(s[j])) for k, j in enumerate(best)]
+    assert len(got) == 48
+
+
 def test_topk_few_rows(spark):
     table = spark.createDataFrame([(0, [0.5, 1.0]), (1, [1.0]), (50, [0.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(table, table.filter("vec_id % 50 = 0")).collect())

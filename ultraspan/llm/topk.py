@@ -8,8 +8,9 @@ its nearest pivot and its distance from it; keys are cut into annuli of equal wi
 A query first searches the annulus it lies in itself and, outwards, as many neighbours as hold ``k`` vectors; that
 bounds the distance of its k-th neighbour. Then it expands to every annulus whose lower bound |distance to the pivot -
 distance of the annulus| is below that bound and stops there; inside a block the sorted distances give the rows that can still
-count. Queries travel in blocks; a task holds one block of vectors and one block of queries at a time, and passes on the
-best ``k`` of each query only. Bounds are widened by more than their rounding error; scores are whole numbers.
+count. A task holds up to ``GROUP`` blocks of vectors and ``TASK_QUERIES`` queries, scores a block of either at a time, and
+passes on the best ``k`` of each query only, if they reach the k-th so far. So a query is copied once for each group of
+blocks, not for each block, and a vector once for each ``TASK_QUERIES`` queries; memory is bounded. Bounds are widened by more than their rounding error; scores are whole numbers.
 
 How much the index saves depends on the vectors: ``scored_share`` measures it. Vectors without structure in many
 dimensions lie at nearly one distance from each other and from every pivot, and then few bounds exclude anything.
@@ -37,7 +38,11 @@ from .common import read_table, stash
 SCALE = 256
 #: Pivots (chosen from a bounded sample of vectors), annuli for each, vectors and queries in a block.
 PIVOTS, ANNULI, SAMPLE, BLOCK, QUERY_BLOCK = 64, 8, 2000, 1024, 512
+#: Blocks of vectors that a task holds at most, and tasks to make before it holds more than one; queries in a task.
+GROUP, GROUPS, TASK_QUERIES = 64, 64, 1 << 16
 EVERY = 50
+#: Below every score.
+LEAST = -(1 << 63)
 
 
 def _taking_part(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -146,14 +151,39 @@ def _scores(q: np.ndarray, m: np.ndarray, most: float) -> np.ndarray:
     return q.astype(np.int64) @ m.T.astype(np.int64)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k largest scores, ties to the smaller id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= least
-        scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return [(int(ids[i]), int(scores[i])) for i in order]
+class _Best:
+    """The ``k`` largest scores of each of some queries, ties to the smaller id; candidates come in pieces."""
+
+    def __init__(self, n: int, k: int, kth: np.ndarray):
+        """``kth``: scores below it are of no use; LEAST if there is no such score yet."""
+        self.k, self.kth, self.held, self.n = k, kth.copy(), [], 0
+        self.limit = 8 * k * max(n, QUERY_BLOCK)
+
+    def offer(self, rows: np.ndarray, scores: np.ndarray, use: np.ndarray, ids: np.ndarray) -> None:
+        """Scores [rows x ids] where ``use``."""
+        least = self.kth[rows]
+        unknown = np.flatnonzero(least == LEAST)
+        if len(unknown) and len(ids) > self.k:
+            own = np.where(use[unknown], scores[unknown], LEAST)
+            least[unknown] = np.partition(own, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+        i, j = np.nonzero(use & (scores >= least[:, None]))
+        self.held.append((rows[i], scores[i, j].astype(np.int64), ids[j]))
+        self.n += len(i)
+        if self.n > self.limit:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id) of the best so far."""
+        row, score, vec = (np.concatenate(c) for c in zip(*[(np.zeros(0, np.int64),) * 3, *self.held], strict=True))
+        order = np.lexsort((vec, -score, row))
+        row, score, vec = row[order], score[order], vec[order]
+        count = np.bincount(row, minlength=len(self.kth))
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        last = rank == self.k - 1
+        self.kth[row[last]] = np.maximum(self.kth[row[last]], score[last])
+        row, score, vec = (c[rank < self.k] for c in (row, score, vec))
+        self.held, self.n = [(row, score, vec)], len(row)
+        return row, score, vec
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scored=None) -> DataFrame:
@@ -204,68 +234,89 @@ def _index_top_k(rows: DataFrame, asked: DataFrame, k: int, scored) -> DataFrame
 
     blocks = stash(index.join(F.broadcast(small), ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("blocks"))).groupBy("pivot", "ring", "block").applyInPandas(pack, "pivot int, ring int, block long, ids binary, rs binary, m binary"))
     cell = list(zip(*(cells[c].tolist() for c in ("pivot", "ring", "size", "least", "most", "blocks")), strict=True))
-
-    def visits(pdf: pd.DataFrame, bounds: np.ndarray | None) -> pd.DataFrame:
-        """The cells each query goes to: the nearest ones that hold k + 1 vectors (no bounds yet), or those not seen yet
-        whose lower bound is within the query's bound."""
+    # blocks in order of their cells, cut into groups; a group's cells stand side by side
+    before = np.concatenate([[0], np.cumsum(cells["blocks"].to_numpy())]).astype(int)
+    held = int(min(GROUP, max(1, before[-1] // GROUPS)))
+    of_group = [(int(np.searchsorted(before, g * held, side="right")) - 1, int(np.searchsorted(before, min((g + 1) * held, before[-1])))) for g in range(-(-int(before[-1]) // held))]
+    number = {c[:2]: i for i, c in enumerate(cell)}
+
+    def visits(pdf: pd.DataFrame, bounds: np.ndarray | None) -> np.ndarray:
+        """[queries x cells]: the cells each query goes to: the nearest ones that hold k + 1 vectors (no bounds yet), or those
+        not seen yet whose lower bound is within the query's bound."""
         m = _matrix(pdf["v"].tolist(), dim)
         d = _distances(_flat(m), pivots)
         low = np.array([np.maximum(np.maximum(d[:, c[0]] - c[4], c[3] - d[:, c[0]]), 0) for c in cell]).T
         order = np.lexsort((np.broadcast_to(np.arange(len(cell)), low.shape), low), axis=1)
-        held = np.cumsum(np.array([c[2] for c in cell])[order], axis=1)
-        first = np.concatenate([np.ones((len(m), 1), bool), held[:, :-1] < k + 1], axis=1)  # in order of visit
+        in_order = np.cumsum(np.array([c[2] for c in cell])[order], axis=1)
+        first = np.concatenate([np.ones((len(m), 1), bool), in_order[:, :-1] < k + 1], axis=1)  # in order of visit
         seen = np.zeros(low.shape, bool)
         np.put_along_axis(seen, order, first, axis=1)
-        go = seen if bounds is None else ~seen & (low <= bounds[:, None] + _slack(m, most)[:, None])
-        qs, cs = np.nonzero(go)
-        return pd.DataFrame({"q": qs, "c": cs})
+        return seen if bounds is None else ~seen & (low <= bounds[:, None] + _slack(m, most)[:, None])
 
     def send(it, second: bool):
+        """A row for each group of blocks and each block of queries that go to one of its cells."""
+        names = ["group", "q_ids", "q_m", "q_bound", "q_kth", "go"]
         for pdf in it:
             for s in range(0, len(pdf), QUERY_BLOCK):
-                part = pdf.iloc[s : s + QUERY_BLOCK].reset_index(drop=True)
-                bounds = part["bound"].to_numpy() if second else None
-                to = visits(part, bounds)
-                m = _matrix(part["v"].tolist(), dim).astype(np.int32)
-                ids = part["vec_id"].to_numpy()
-                out = []
-                for c, g in to.groupby("c")["q"]:
-                    q = g.to_numpy()
-                    limit = part["bound"].to_numpy()[q] if second else np.full(len(q), np.inf)
-                    out += [(cell[c][0], cell[c][1], b, ids[q].tobytes(), m[q].tobytes(), limit.tobytes()) for b in range(cell[c][5])]
-                yield pd.DataFrame(out, columns=["pivot", "ring", "block", "q_ids", "q_m", "q_bound"])
-
-    sent = "pivot int, ring int, block long, q_ids binary, q_m binary, q_bound binary"
-
-    def search(it):
-        for pdf in it:
-            for x in pdf.itertuples(index=False):
-                q_ids, q, bound = np.frombuffer(x.q_ids, np.int64), np.frombuffer(x.q_m, np.int32).reshape(-1, dim).astype(float), np.frombuffer(x.q_bound)
-                ids, rs, m = np.frombuffer(x.ids, np.int64), np.frombuffer(x.rs), np.frombuffer(x.m, np.int32).reshape(-1, dim).astype(float)
+                part = pdf.iloc[s : s + QUERY_BLOCK]
+                go = visits(part, part["bound"].to_numpy() if second else None)
+                m, out = _matrix(part["v"].tolist(), dim).astype(np.int32), []
+                ids, bound, kth = part["vec_id"].to_numpy(), part["bound"].to_numpy() if second else np.full(len(part), np.inf), part["kth"].to_numpy()
+                for g, (lo, hi) in enumerate(of_group):
+                    q = np.flatnonzero(go[:, lo:hi].any(axis=1))
+                    if len(q):
+                        out.append((g, *(x[q].tobytes() for x in (ids, m, bound, kth, go[:, lo:hi]))))
+                    if len(out) == GROUP:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+                yield pd.DataFrame(out, columns=names)
+
+    sent = "group int, q_ids binary, q_m binary, q_bound binary, q_kth binary, go binary"
+
+    def search(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(asked):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        lo_cell, hi_cell = of_group[key[0]]
+        q_ids, q_bound, q_kth = (np.frombuffer(b"".join(asked[c]), t) for c, t in (("q_ids", np.int64), ("q_bound", float), ("q_kth", np.int64)))
+        q_m = np.frombuffer(b"".join(asked["q_m"]), np.int32).reshape(-1, dim)
+        go = np.frombuffer(b"".join(asked["go"]), bool).reshape(-1, hi_cell - lo_cell)
+        best = _Best(len(q_ids), k, q_kth)
+        for x in own.itertuples(index=False):
+            ids, rs, m = np.frombuffer(x.ids, np.int64), np.frombuffer(x.rs), np.frombuffer(x.m, np.int32).reshape(-1, dim).astype(float)
+            wanted = np.flatnonzero(go[:, number[x.pivot, x.ring] - lo_cell])
+            for s in range(0, len(wanted), QUERY_BLOCK):
+                rows = wanted[s : s + QUERY_BLOCK]
+                q = q_m[rows].astype(float)
                 d = _distances(_flat(q), pivots[[x.pivot]])[:, 0]
-                reach = bound + _slack(q, most)
+                reach = q_bound[rows] + _slack(q, most)
                 lo, hi = np.searchsorted(rs, d - reach, side="left"), np.searchsorted(rs, d + reach, side="right")
-                scores = _scores(q, m, most)
                 if scored is not None:
                     scored.add(int((hi - lo).sum()))
-                out = []
-                for i in range(len(q_ids)):
-                    s, own = scores[i, lo[i] : hi[i]], ids[lo[i] : hi[i]]
-                    other = own != q_ids[i]
-                    out += [(int(q_ids[i]), a, b) for a, b in _best(s[other], own[other], k)]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                at = np.arange(len(ids))
+                use = (at >= lo[:, None]) & (at < hi[:, None]) & (ids != q_ids[rows][:, None])
+                best.offer(rows, _scores(q, m, most), use, ids)
+        row, score, vec = best.cut()
+        return pd.DataFrame({"query_id": q_ids[row], "vec_id": vec, "score": score})
+
+    shares = max(1, -(-asked.count() // TASK_QUERIES))
+    place = F.create_map(*[y for (p, r), i in number.items() for y in (F.lit(p * ANNULI + r), F.lit(int(before[i])))])
+    grouped = blocks.withColumn("group", F.floor((place[F.col("pivot") * ANNULI + F.col("ring")] + F.col("block")) / held).cast("int"))
+    grouped = grouped.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    def searched(rows: DataFrame, second: bool) -> DataFrame:
+        out = rows.mapInPandas(lambda it: send(it, second), sent).withColumn("share", F.pmod(F.xxhash64("q_ids"), F.lit(shares)).cast("int"))
+        return grouped.groupBy("group", "share").cogroup(out.groupBy("group", "share")).applyInPandas(search, found)
 
     found = "query_id long, vec_id long, score long"
-    place = ["pivot", "ring", "block"]
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    asked = asked.select("vec_id", "v", F.lit(0.0).alias("bound"))
-    near = stash(blocks.join(asked.mapInPandas(lambda it: send(it, False), sent), place).mapInPandas(search, found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
+    asked = asked.select("vec_id", "v", F.lit(0.0).alias("bound"), F.lit(LEAST).cast("long").alias("kth"))
+    near = stash(searched(asked, False).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
     # squared distance of the k-th so far: |q|^2 + most - 2 score; a query with fewer than k has no bound
     kth = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("s"))
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     bound = F.when(F.col("c") >= k, F.sqrt(F.greatest(F.lit(0.0), size + F.lit(most) - 2.0 * F.col("s")))).otherwise(F.lit(float("inf")))
-    again = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
-    far = blocks.join(again.mapInPandas(lambda it: send(it, True), sent), place).mapInPandas(search, found)
+    again = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce(bound, F.lit(float("inf"))).alias("bound"), F.coalesce(F.when(F.col("c") >= k, F.col("s")), F.lit(LEAST).cast("long")).alias("kth"))
+    far = searched(again, True)
     everything = near.select("query_id", "vec_id", "score").unionByName(far)
     return everything.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
