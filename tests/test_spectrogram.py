@@ -187,6 +187,20 @@ def test_predictions(spark):
     assert [(r["label"], r["freq_start"]) for r in merged] == [("sh", 12)]
 
 
+def test_sweep_in_blocks_without_copies_of_frames(spark, monkeypatch):
+    """Contours over several blocks; no table has a row for each frame and setting."""
+    x = np.random.default_rng(4).random((12, 70))
+    x[3:8, 10:45] += 2
+    f, m = frames(spark, x), meta(spark, 70, 12)
+    given = [{"num_iter": n, "smoothing": 0, "threshold": 0.7, "balloon": b, "flood_threshold": v, "sigma": 1.0} for n, b, v in ((3, 1, 0.4), (2, -1, 0.6))]
+    expected = [sorted((b["t_start"], b["t_end"], b["freq_start"], b["freq_end"]) for b in ct.detect_gac(f, m, 1, False, g["num_iter"], 0, 0.7, g["balloon"], "eroded", g["flood_threshold"], 1.0, 50.0).collect()) for g in given]
+    monkeypatch.setattr(ct, "BLOCK", 16)
+    monkeypatch.setattr(ct, "eroded_level_set", None)  # makes such rows
+    found = ct.detect_gac_settings(f, m, [{**g, "setting": i} for i, g in enumerate(given)], 1, False, 50.0).collect()
+    assert [sorted((b["t_start"], b["t_end"], b["freq_start"], b["freq_end"]) for b in found if b["setting"] == i) for i in range(2)] == expected
+    assert any(b[1] - b[0] > 16 for e in expected for b in e)
+
+
 def test_sweep(spark):
     x = np.random.default_rng(2).random((16, 60))
     x[5:9, 20:30] += 3

@@ -40,45 +40,41 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 _PART = "_local int, t_start long, t_end long, freq_start long, freq_end long, n_cells long, _begin array<struct<s: int, e: int>>, _final array<struct<s: int, e: int>>"
 
 
-def block_components(mask: DataFrame, keys: Sequence[str] = KEYS, value: str = "mags", reach: int = 0, block: int = BLOCK) -> DataFrame:
-    """``mask``: keys, frame, an array with positive values where the mask is set. The connected parts of each block of
-    ``block`` frames, labelled inside its task: keys, ``_block``, ``_local``, box, ``n_cells``, ``_node`` (an id), and ``_root``, equal
-    for parts that belong together. ``reach``: 0 for 4 neighbours, 1 for 8.
+_RUN = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+_PART_KINDS = {"_local": pa.int32(), **dict.fromkeys(("t_start", "t_end", "freq_start", "freq_end", "n_cells"), pa.int64()), "_begin": _RUN, "_final": _RUN}
+
+
+def _parts_of(mask: np.ndarray, at: np.ndarray, b: int, block: int, reach: int) -> list[tuple]:
+    """The connected parts of ``mask`` [frames x bins] of block ``b`` with frames ``at``, as rows of ``_PART``."""
+    row, first, last, of = kernels.mask_runs(mask, at, reach)
+    n = int(of.max(initial=-1)) + 1
+    frames = at[row]
+    ends = {}
+    for name, x, how, start in (("t0", frames, np.minimum, LAST), ("t1", frames, np.maximum, -1), ("f0", first, np.minimum, LAST), ("f1", last, np.maximum, -1), ("n", last - first + 1, np.add, 0)):
+        ends[name] = np.full(n, start, np.int64)
+        how.at(ends[name], of, x)
+    border: dict[int, list[list[dict[str, int]]]] = {}
+    for side, frame in enumerate((b * block, (b + 1) * block - 1)):
+        for i in np.flatnonzero(frames == frame).tolist():
+            border.setdefault(int(of[i]), [[], []])[side].append({"s": int(first[i]), "e": int(last[i])})
+    none: list[list] = [[], []]
+    return [(i, *(int(ends[c][i]) for c in ("t0", "t1", "f0", "f1", "n")), *border.get(i, none)) for i in range(n)]
+
+
+def _part_table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
+    """``rows``: values of ``kinds``, then those of ``_PART``."""
+    kinds = kinds | _PART_KINDS
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _joined(found: DataFrame, keys: Sequence[str], reach: int) -> DataFrame:
+    """``found``: keys, ``_block``, ``_PART``. Adds ``_node`` (an id) and ``_root``.
 
     Only the runs on both sides of a border between blocks are joined, and only the parts they belong to go through the
     distributed components.
     """
-    own = [*keys, "_block"]
-    dealt = mask.select(*keys, "frame", F.col(value).alias("_m"), F.floor(F.col("frame") / block).alias("_block"))
-
-    def label(rows: pa.Table, starts: np.ndarray) -> pa.Table:
-        out = []
-        for k, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)):
-            part = rows.slice(lo, hi - lo)
-            at, b = longs(part, "frame"), int(part.column("_block")[0].as_py())
-            row, first, last, of = kernels.mask_runs(_matrix(part.column("_m")) > 0, at, reach)
-            n = int(of.max(initial=-1)) + 1
-            frames = at[row]
-            ends = {}
-            for name, x, how, start in (("t0", frames, np.minimum, LAST), ("t1", frames, np.maximum, -1), ("f0", first, np.minimum, LAST), ("f1", last, np.maximum, -1), ("n", last - first + 1, np.add, 0)):
-                ends[name] = np.full(n, start, np.int64)
-                how.at(ends[name], of, x)
-            border: dict[int, list[list[tuple[int, int]]]] = {}
-            for side, frame in enumerate((b * block, (b + 1) * block - 1)):
-                for i in np.flatnonzero(frames == frame).tolist():
-                    border.setdefault(int(of[i]), [[], []])[side].append({"s": int(first[i]), "e": int(last[i])})
-            none: list[list] = [[], []]
-            out += [(lo, i, *(int(ends[c][i]) for c in ("t0", "t1", "f0", "f1", "n")), *border.get(i, none)) for i in range(n)]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 9
-        table = rows.select(own).take(pa.array(columns[0], pa.int64()))
-        run = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        names = ("_local", "t_start", "t_end", "freq_start", "freq_end", "n_cells", "_begin", "_final")
-        for name, x, kind in zip(names, columns[1:], [pa.int32(), *[pa.int64()] * 5, run, run], strict=True):
-            table = table.append_column(name, pa.array(x, kind))
-        return table
-
-    kinds = T.StructType([*(dealt.schema[k] for k in own), *T.StructType.fromDDL(_PART).fields])
-    parts = stash(map_groups(dealt, own, ["frame"], label, kinds).withColumn("_node", F.monotonically_increasing_id()))
+    parts = stash(found.withColumn("_node", F.monotonically_increasing_id()))
     border = lambda runs, at, to: parts.select(*keys, at.alias("_border"), F.col("_node").alias(to), F.explode(runs).alias(f"_{to}"))
     before, after = border("_final", F.col("_block") + 1, "u"), border("_begin", F.col("_block"), "v")
     meets = (F.col("_u.s") <= F.col("_v.e") + reach) & (F.col("_v.s") <= F.col("_u.e") + reach)
@@ -91,9 +87,34 @@ def block_components(mask: DataFrame, keys: Sequence[str] = KEYS, value: str = "
     return parts.join(roots, F.col("_node") == F.col("_n"), "left").withColumn("_root", F.coalesce("_to", "_node")).drop("_n", "_to")
 
 
+def block_components(mask: DataFrame, keys: Sequence[str] = KEYS, value: str = "mags", reach: int = 0, block: int = BLOCK) -> DataFrame:
+    """``mask``: keys, frame, an array with positive values where the mask is set. The connected parts of each block of
+    ``block`` frames, labelled inside its task: keys, ``_block``, ``_local``, box, ``n_cells``, ``_node`` (an id), and ``_root``, equal
+    for parts that belong together. ``reach``: 0 for 4 neighbours, 1 for 8.
+    """
+    own = [*keys, "_block"]
+    dealt = mask.select(*keys, "frame", F.col(value).alias("_m"), F.floor(F.col("frame") / block).alias("_block"))
+
+    def label(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        out = []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+            part = rows.slice(lo, hi - lo)
+            found = _parts_of(_matrix(part.column("_m")) > 0, longs(part, "frame"), int(part.column("_block")[0].as_py()), block, reach)
+            out += [(lo, *x) for x in found]
+        table = _part_table(out, {"_row": pa.int64()})
+        of = rows.select(own).take(table.column("_row"))
+        return pa.table([*of.columns, *table.columns[1:]], names=[*own, *_PART_KINDS])
+
+    kinds = T.StructType([*(dealt.schema[k] for k in own), *T.StructType.fromDDL(_PART).fields])
+    return _joined(map_groups(dealt, own, ["frame"], label, kinds), keys, reach)
+
+
 def find_bounding_boxes(mask: DataFrame, min_side_length: int = 1, keys: Sequence[str] = KEYS, value: str = "mags", block: int = BLOCK) -> DataFrame:
     """Inclusive boxes around the 4-connected components of the mask, both sides ``min_side_length`` at least."""
-    parts = block_components(mask, keys, value, 0, block)
+    return _boxes(block_components(mask, keys, value, 0, block), min_side_length, keys)
+
+
+def _boxes(parts: DataFrame, min_side_length: int, keys: Sequence[str]) -> DataFrame:
     boxes = parts.groupBy(*keys, "_root").agg(F.min("freq_start").alias("freq_start"), F.max("freq_end").alias("freq_end"), F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.sum("n_cells").alias("n_cells"))
     big = boxes.filter((F.col("t_end") - F.col("t_start") + 1 >= min_side_length) & (F.col("freq_end") - F.col("freq_start") + 1 >= min_side_length))
     return big.select(*keys, F.xxhash64("t_start", "t_end", "freq_start", "freq_end", "n_cells").alias("box_id"), "freq_start", "freq_end", "t_start", "t_end", F.lit(None).cast("string").alias("label"), "n_cells")
@@ -175,21 +196,13 @@ def evolve(edges: DataFrame, start: DataFrame, num_iter: int = 230, smoothing: i
 def detect_gac_settings(frames: DataFrame, meta: DataFrame, settings: Sequence[dict], min_side_length: int = 1, filter: bool = True, alpha: float = 100.0, counted=None) -> DataFrame:
     """``detect_gac`` with eroded level sets for many settings in one plan: boxes with ``setting`` and ``recording``.
 
-    ``settings``: setting (a number), num_iter, smoothing, threshold, balloon, flood_threshold, sigma. A setting is a
-    column: edge maps are made once for each sigma, level sets once for each sigma and flood threshold, and settings that
-    differ in ``num_iter`` only are one evolution of a tile. ``counted``: an accumulator for the steps of all tiles.
+    ``settings``: setting (a number), num_iter, smoothing, threshold, balloon, flood_threshold, sigma. Frames travel once for
+    each sigma, with a bit for each pixel and flood threshold: the task of a block floods, evolves and labels it for all
+    settings of its sigma, one after the other, and only boxes come out. Settings that differ in ``num_iter`` only are one
+    evolution. ``counted``: an accumulator for the steps of all tiles.
     """
     names = ("setting", "num_iter", "smoothing", "threshold", "balloon", "flood_threshold", "sigma")
 
-    def dealt(rows: DataFrame, own: tuple[str, ...], given: tuple[str, ...], among: list[dict] | None = None) -> DataFrame:
-        """A copy of each row for every distinct value of ``own`` that goes with its values of ``given``."""
-        kinds = sorted({tuple(x[k] for k in (*given, *own)) for x in among or settings})
-        listed = F.array(*[F.struct(*[F.lit(v).alias(f"_{k}") for k, v in zip((*given, *own), kind, strict=True)]) for kind in kinds])
-        fits = lambda k: lambda x: x[f"_{k}"] == F.col(k)
-        for k in given:
-            listed = F.filter(listed, fits(k))
-        return rows.withColumn("_s", F.explode(listed)).withColumns({k: F.col(f"_s._{k}") for k in own}).drop("_s")
-
     def edge_map(m: np.ndarray, left: int, right: int, sigma: float) -> np.ndarray:
         r = int(4 * sigma + 0.5)
         g = kernels.gradient_magnitude(m, sigma, (left, right))
@@ -197,31 +210,78 @@ def detect_gac_settings(frames: DataFrame, meta: DataFrame, settings: Sequence[d
 
     settings = [{k: x[k] if k == "setting" else float(x[k]) for k in names} for x in settings]
     reach = max((int(4 * x["sigma"] + 0.5) for x in settings), default=0)
-    edges = stash(with_halo(dealt(frames.select("recording", "frame", "mags"), ("sigma",), ()), reach, edge_map, keys=("recording",), extra={"sigma": "sigma"}))
-    start = eroded_level_set(dealt(edges, ("flood_threshold",), ("sigma",)), meta, "flood_threshold", ("sigma", "flood_threshold", "recording"))
-    both = edges.join(start.withColumnRenamed("mags", "_u"), ["sigma", "recording", "frame"]).withColumn("mags", F.concat("mags", "_u")).drop("_u")
+    each = frames.select("recording", "frame", "mags").withColumn("sigma", F.explode(F.array(*[F.lit(v) for v in sorted({x["sigma"] for x in settings})]).cast("array<double>")))
+    edges = stash(with_halo(each, reach, edge_map, keys=("recording",), extra={"sigma": "sigma"})).join(_edge(meta), "recording")
+    floods = {v: sorted({x["flood_threshold"] for x in settings if x["sigma"] == v}) for v in {x["sigma"] for x in settings}}
     halo = max((int(x["num_iter"]) * (2 + 2 * int(x["smoothing"])) for x in settings), default=0)
     # settings that differ in their number of steps only are one evolution, with a picture after each of the numbers
-    shared = ("sigma", "flood_threshold", "smoothing", "threshold", "balloon")
     families: dict[tuple, dict[int, list[int]]] = {}
     for x in settings:
-        families.setdefault(tuple(x[k] for k in shared), {}).setdefault(int(x["num_iter"]), []).append(x["setting"])
-    listed = [dict(zip(shared, kind, strict=True)) | {"family": i} for i, kind in enumerate(families)]
-    pictures = [sorted(of) for of in families.values()]
-
-    def contour(m: np.ndarray, left: int, right: int, family: int) -> np.ndarray:
-        n, x = m.shape[0] // 2, listed[int(family)]
-        some = kernels.contour_snapshots(m[:n], m[n:], pictures[int(family)], int(x["smoothing"]), x["threshold"], x["balloon"])
-        if counted is not None:
-            counted.add(max(pictures[int(family)], default=0))
-        return np.concatenate([u[:, left : u.shape[1] - right].astype(float) for u in some])
+        families.setdefault(tuple(x[k] for k in ("sigma", "flood_threshold", "smoothing", "threshold", "balloon")), {}).setdefault(int(x["num_iter"]), []).append(x["setting"])
+    tile = ["sigma", "recording", "_block"]
+    kind = edges.schema["recording"].dataType.simpleString()
+    blocks = edges.withColumn("_block", F.floor(F.col("frame") / BLOCK))
+
+    def opened(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, float, object, int, np.ndarray]:
+        """Frames in order, their numbers, edge map [frames x bins], keys, and the pixels at the edge of the spectrogram."""
+        rows = rows.sort_by("frame")
+        at, m = longs(rows, "frame"), _matrix(rows.column("mags"))
+        rim = np.zeros(m.shape, bool)
+        rim[(at == 0) | (at == longs(rows, "_n") - 1)] = True
+        rim[:, :1] = rim[:, -1:] = True
+        return rows, at, m, *(rows.column(k)[0].as_py() for k in tile), rim
+
+    def flooded(rows: pa.Table) -> pa.Table:
+        """The parts of pixels above each flood threshold."""
+        _, at, m, sigma, recording, b, rim = opened(rows)
+        out = [(sigma, v, recording, b, *x) for v in floods[sigma] for x in _parts_of(rim | (m > v), at, b, BLOCK, 1)]
+        return _part_table(out, {"sigma": pa.float64(), "flood_threshold": pa.float64(), "recording": pa.string(), "_block": pa.int64()})
+
+    own = ("sigma", "flood_threshold", "recording")
+    parts = stash(_joined(blocks.groupBy(*tile).applyInArrow(flooded, f"sigma double, flood_threshold double, recording {kind}, _block long, {_PART}"), own, 1))
+    size = edges.groupBy("recording").agg(F.max("_n").alias("_n"), F.max(F.size("mags")).alias("_f"))
+    at_edge = (F.col("t_start") == 0) | (F.col("t_end") == F.col("_n") - 1) | (F.col("freq_start") == 0) | (F.col("freq_end") == F.col("_f") - 1)
+    outside = parts.join(size, "recording").filter(at_edge).select("_root").distinct()
+    gone = parts.join(outside, "_root").select(*own, "_block", "_local")
+
+    def started(rows: pa.Table, out: pa.Table) -> pa.Table:
+        """The rows with ``starts``: the bits of the level sets of all flood thresholds, one after the other."""
+        rows, at, m, sigma, _, _, rim = opened(rows)
+        flood, local = out.column("flood_threshold").to_numpy(), out.column("_local").to_numpy()
+        u = np.ones((len(at), len(floods[sigma]), m.shape[1]), bool)
+        for i, v in enumerate(floods[sigma]):
+            row, first, last, of = kernels.mask_runs(rim | (m > v), at, 1)
+            for j in np.flatnonzero(np.isin(of, local[flood == v])).tolist():
+                u[row[j], i, first[j] : last[j] + 1] = False
+        bits = np.packbits(u, axis=2)
+        return rows.select([*tile[:2], "frame", "mags"]).append_column("starts", pa.array([x.tobytes() for x in bits], pa.binary()))
+
+    started_blocks = blocks.groupBy(*tile).cogroup(gone.groupBy(*tile)).applyInArrow(started, f"sigma double, recording {kind}, frame long, mags array<double>, starts binary")
+    first, last = F.floor((F.col("frame") - halo) / BLOCK), F.floor((F.col("frame") + halo) / BLOCK)
+    tiles = started_blocks.withColumn("_block", F.explode(F.sequence(first, last)))
+
+    def contours(rows: pa.Table) -> pa.Table:
+        """The parts inside the contour of each setting, in the block's own frames."""
+        rows = rows.sort_by("frame")
+        at, m = longs(rows, "frame"), _matrix(rows.column("mags"))
+        sigma, recording, b = (rows.column(k)[0].as_py() for k in tile)
+        core, out = at // BLOCK == b, []
+        bits = np.frombuffer(b"".join(rows.column("starts").to_pylist()), np.uint8).reshape(len(at), len(floods[sigma]), -1)
+        for (of_sigma, flood, smoothing, threshold, balloon), steps in families.items() if core.any() else ():
+            if of_sigma != sigma:
+                continue
+            u = np.unpackbits(bits[:, floods[sigma].index(flood)], axis=1, count=m.shape[1])
+            pictures = sorted(steps)
+            for n, x in zip(pictures, kernels.contour_snapshots(m.T, u.T, pictures, int(smoothing), threshold, balloon), strict=True):
+                found = _parts_of(x.T[core] > 0, at[core], b, BLOCK, 0)
+                out += [(setting, recording, b, *y) for setting in steps[n] for y in found]
+            if counted is not None:
+                counted.add(max(pictures, default=0))
+        return _part_table(out, {"setting": pa.int64(), "recording": pa.string(), "_block": pa.int64()})
 
     keys = ("setting", "recording")
-    evolved = with_halo(dealt(both, ("family",), ("sigma", "flood_threshold"), listed), halo, contour, 4096, ("recording",), {"family": "family"})
-    place = F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.lit(len(of)).alias("of"), F.lit(setting).cast("long").alias("setting")) for k, n in enumerate(sorted(of)) for setting in of[n]]) for of in families.values()])
-    each = evolved.withColumn("_p", F.explode(F.get(place, F.col("family").cast("int")))).withColumn("_h", (F.size("mags") / F.col("_p.of")).cast("int"))
-    inside = each.select(F.col("_p.setting").alias("setting"), "recording", "frame", F.slice("mags", F.col("_p.k") * F.col("_h") + 1, F.col("_h")).alias("mags"))
-    boxes = find_bounding_boxes(inside, min_side_length, keys)
+    inside = _joined(tiles.groupBy(*tile).applyInArrow(contours, f"setting long, recording {kind}, _block long, {_PART}"), keys, 0)
+    boxes = _boxes(inside, min_side_length, keys)
     return filter_boxes(boxes, meta) if filter else boxes
 
 
